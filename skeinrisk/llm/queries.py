@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, sharding
+from . import decontaminate, licenses, mixing, sharding, simhash, substring_dedup
 from .common import table
 
 
+def op1_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark, sf_dir):
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -14,10 +22,14 @@ def op5_sharding(spark, sf_dir):
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark, sf_dir):
+    return simhash.simhash_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark, sf_dir):
     return licenses.license_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op5_sharding, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_mixing, op5_sharding, op6_simhash, op10_licenses)}
 
 ORACLE_SQL = {"op10_licenses": licenses.oracle()}
