@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing, sharding, simhash, substring_dedup
+from . import decontaminate, licenses, mixing, quality, sharding, simhash, substring_dedup, topk
 from .common import table
 
 
@@ -26,10 +26,18 @@ def op6_simhash(spark, sf_dir):
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark, sf_dir):
+    return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_topk(spark, sf_dir):
+    return topk.top_k_digest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_licenses(spark, sf_dir):
     return licenses.license_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_mixing, op5_sharding, op6_simhash, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_mixing, op5_sharding, op6_simhash, op8_quality, op9_topk, op10_licenses)}
 
-ORACLE_SQL = {"op10_licenses": licenses.oracle()}
+ORACLE_SQL = {"op9_topk": topk.ORACLE, "op10_licenses": licenses.oracle()}
