@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing, quality, sharding, simhash, substring_dedup, topk
+from . import decontaminate, licenses, mixing, quality, sharding, simhash, substring_dedup, topk, url_filter, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_substring_dedup(spark, sf_dir):
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op4_mixing(spark, sf_dir):
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op6_simhash(spark, sf_dir):
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark, sf_dir):
     return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +46,6 @@ def op10_licenses(spark, sf_dir):
     return licenses.license_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_mixing, op5_sharding, op6_simhash, op8_quality, op9_topk, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_url_filter, op4_mixing, op5_sharding, op6_simhash, op7_warc, op8_quality, op9_topk, op10_licenses)}
 
 ORACLE_SQL = {"op9_topk": topk.ORACLE, "op10_licenses": licenses.oracle()}
