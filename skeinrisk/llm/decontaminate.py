@@ -16,11 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
-
 _BETWEEN = re.compile(r"[\W_]+")
 #: Characters of a text that are looked at together; the next part begins a passage's length before the end of the last.
 PART = 1 << 20
@@ -217,26 +215,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def leaks_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return leaks(docs, benchmark)
-
+def holds_passage(text: Column, block: Passages, spark: SparkSession) -> Column:
+    """Whether a text holds a passage of the block."""
+    sent = spark.sparkContext.broadcast(block)  # of bounded size
 
-def holds_passage(text: Column, blocks: list[Passages], spark) -> Column:
-    """Whether a text holds a passage of any block."""
-    flag = F.lit(False)
-    for block in blocks:
-        sent = spark.sparkContext.broadcast(block)
+    @F.pandas_udf("boolean")
+    def holds(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: bool(sent.value.matches(t))).astype(bool)
 
-        @F.pandas_udf("boolean")
-        def holds(s: pd.Series, sent=sent) -> pd.Series:
-            b = sent.value
-            return s.map(lambda t: bool(b.matches(t)))
-
-        flag = flag | holds(text)
-    return flag
+    return holds(text)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
     """``docs`` without the documents that hold a passage; all columns pass through, rows with null text stay."""
-    blocks = load_passages(benchmark, item_id_col, item_text_col, q, rate)
-    return docs.where(~holds_passage(F.col(text_col), blocks, docs.sparkSession)) if blocks else docs
+    for block in load_passages(benchmark, item_id_col, item_text_col, q, rate):
+        docs = docs.where(~holds_passage(F.col(text_col), block, docs.sparkSession))
+    return docs
