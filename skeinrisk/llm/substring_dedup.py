@@ -114,9 +114,10 @@ def repeated_spans(docs: DataFrame, sentences: int = RUN_SENTENCES, words: int =
     alone = marked.where("first IS NULL OR first = doc_id")
     at = alone.select("doc_id", "n", F.explode(F.arrays_zip("h", "s", "e")).alias("r")).select("doc_id", "n", "r.h", "r.s", "r.e")
     place = F.struct("doc_id", "s")
-    firsts = at.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    firsts = at.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1")
     firsts = Written(firsts.select("h", F.col("first.doc_id").alias("fd"), F.col("first.s").alias("fs")), "firsts").df
-    again = at.join(small(firsts), "h").where("doc_id <> fd OR s <> fs").select("doc_id", "s", "e", "n", F.col("fd").alias("first_doc_id"))
+    # by shuffle at every size: the repeated hashes grow with the corpus
+    again = at.join(firsts.hint("merge"), "h").where("doc_id <> fd OR s <> fs").select("doc_id", "s", "e", "n", F.col("fd").alias("first_doc_id"))
     return _merged(again.unionByName(copies))
 
 
