@@ -49,17 +49,13 @@ def intensification(windows: DataFrame, short: str = "corr_20", long: str = "cor
     return last.select("dt", "short_corr", "long_corr", gap.alias("gap"), F.when(gap >= least, "rising").when(gap <= -least, "falling").otherwise("stable").alias("flag"))
 
 
-def bar_returns(bars: DataFrame) -> DataFrame:
-    """(ticker, ts, r): over the whole series, so that a day's first return is the overnight move."""
-    before = F.lag("px").over(Window.partitionBy("ticker").orderBy("ts"))
-    return bars.withColumn("r", F.ln(F.try_divide("px", before))).where("r IS NOT NULL").select("ticker", "ts", "r")
-
-
 def paired_bars(bars: DataFrame, a: str, b: str) -> DataFrame:
-    """(dt, ts, x, y): two tickers' bar returns on the bars that both have."""
-    r = bar_returns(bars)
-    x, y = (r.where(F.col("ticker") == t).select("ts", F.col("r").alias(c)) for t, c in ((a, "x"), (b, "y")))
-    return x.join(y, "ts").select(F.to_date("ts").alias("dt"), "ts", "x", "y")
+    """(dt, ts, x, y): two tickers' returns between the bars that both have."""
+    one = lambda t, c: bars.where(F.col("ticker") == t).select("ts", F.col("px").alias(c))
+    both = one(a, "a").join(one(b, "b"), "ts").withColumn("pair", F.lit(f"{a}/{b}"))
+    order = Window.partitionBy("pair").orderBy("ts")
+    r = lambda c: F.ln(F.try_divide(c, F.lag(c).over(order)))
+    return both.select(F.to_date("ts").alias("dt"), "ts", r("a").alias("x"), r("b").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
 
 
 def daily_correlation(pairs: DataFrame, least: int = 20) -> DataFrame:

@@ -171,17 +171,16 @@ def regime_intensification(spark, d):
     return rounded(correlation.intensification(correlation.multi_window(panel.returns(spark, d), MARKET, BOND)))
 
 
-INTRADAY = "SELECT x.ts, CAST(x.ts AS DATE) AS dt, x.r AS x, y.r AS y FROM br x JOIN br y ON x.ts = y.ts WHERE x.ticker = 'view' AND y.ticker = 'click'"
-BAR_RETURNS = "SELECT * FROM (SELECT ticker, ts, ln(px / lag(px) OVER (PARTITION BY ticker ORDER BY ts)) AS r FROM bars) WHERE r IS NOT NULL"
+INTRADAY = "SELECT * FROM (SELECT ts, CAST(ts AS DATE) AS dt, ln(a / lag(a) OVER (ORDER BY ts)) AS x, ln(b / lag(b) OVER (ORDER BY ts)) AS y FROM (SELECT v.ts, v.px AS a, c.px AS b FROM bars v JOIN bars c ON v.ts = c.ts WHERE v.ticker = 'view' AND c.ticker = 'click')) WHERE x IS NOT NULL AND y IS NOT NULL"
 DAILY = "SELECT dt, count(*) AS n, covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0) AS corr FROM intraday GROUP BY 1 HAVING count(*) >= 20"
 
 
-@query(sql("SELECT dt, n::BIGINT AS n, round(corr, 6) AS corr FROM daily", "bars", br=BAR_RETURNS, intraday=INTRADAY, daily=DAILY))
+@query(sql("SELECT dt, n::BIGINT AS n, round(corr, 6) AS corr FROM daily", "bars", intraday=INTRADAY, daily=DAILY))
 def intraday_corr_naive(spark, d):
     return rounded(correlation.daily_correlation(correlation.paired_bars(panel.bars(spark, d), "view", "click")))
 
 
-@query(sql("SELECT dt, sign::INT AS sign, streak::BIGINT AS streak, n_days::BIGINT AS n_days, n_positive::BIGINT AS n_positive, round(rate, 6) AS rate, round(pow(rate, streak), 6) AS probability, round(1 / pow(rate, streak), 4) AS odds FROM (SELECT *, CASE WHEN sign > 0 THEN n_positive / n_days ELSE 1 - n_positive / n_days END AS rate, (SELECT count(*) FROM s WHERE dt > coalesce((SELECT max(dt) FROM s WHERE s.sign <> e.sign), DATE '1900-01-01')) AS streak FROM e)", "bars", br=BAR_RETURNS, intraday=INTRADAY, daily=DAILY,
+@query(sql("SELECT dt, sign::INT AS sign, streak::BIGINT AS streak, n_days::BIGINT AS n_days, n_positive::BIGINT AS n_positive, round(rate, 6) AS rate, round(pow(rate, streak), 6) AS probability, round(1 / pow(rate, streak), 4) AS odds FROM (SELECT *, CASE WHEN sign > 0 THEN n_positive / n_days ELSE 1 - n_positive / n_days END AS rate, (SELECT count(*) FROM s WHERE dt > coalesce((SELECT max(dt) FROM s WHERE s.sign <> e.sign), DATE '1900-01-01')) AS streak FROM e)", "bars", intraday=INTRADAY, daily=DAILY,
     s="SELECT dt, CASE WHEN corr > 0 THEN 1 ELSE -1 END AS sign FROM daily WHERE corr IS NOT NULL", e="SELECT max(dt) AS dt, max_by(sign, dt) AS sign, count(*) AS n_days, count_if(sign > 0) AS n_positive FROM s"))
 def corr_streak(spark, d):
     out = correlation.streak(correlation.daily_correlation(correlation.paired_bars(panel.bars(spark, d), "view", "click")))
