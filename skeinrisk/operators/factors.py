@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numerics as nm
+from ..sources.panel import spread
 
 FACTORS = ("mkt", "smb", "hml", "rmw", "cma", "mom")
 
@@ -47,7 +48,7 @@ def factor_ols(returns: DataFrame, factors: DataFrame, lookback: int = 252) -> D
         rows = [(pdf["ticker"].iloc[0], f, len(y), fit["b"][k], fit["t"][k], fit["p"][k], boot[:, k].std(ddof=1), low[k], high[k], fit["r2"], total, total * math.sqrt(part), total * math.sqrt(1 - part)) for k, f in enumerate(("alpha", *FACTORS))]
         return pd.DataFrame(rows, columns=names)
 
-    return joined(returns, factors).groupBy("ticker").applyInPandas(run, OLS_SCHEMA)
+    return spread(joined(returns, factors), "ticker").groupBy("ticker").applyInPandas(run, OLS_SCHEMA)
 
 
 CASCADE_SCHEMA = "ticker string, step int, factor string, ortho_loading double, incr_var_pct double, cumulative_r2_pct double, share_of_explained_pct double"
@@ -70,7 +71,7 @@ def cascade(returns: DataFrame, factors: DataFrame, order: tuple[str, ...] = FAC
         total = np.cumsum(part)
         return pd.DataFrame([(pdf["ticker"].iloc[0], k + 1, f, b[k], part[k], total[k], _share(part[k], total[-1])) for k, f in enumerate(order)], columns=names)
 
-    return joined(returns, factors).groupBy("ticker").applyInPandas(run, CASCADE_SCHEMA)
+    return spread(joined(returns, factors), "ticker").groupBy("ticker").applyInPandas(run, CASCADE_SCHEMA)
 
 
 def _book(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[str], np.ndarray]:
@@ -125,7 +126,7 @@ def decomposition(returns: DataFrame, weights: DataFrame, factors: DataFrame, lo
         rows += [(p, "factor", f, None, None, net[k], _share(net[k] * along[k], system), None, _share(net[k] * along[k], model), None, None) for k, f in enumerate(FACTORS)]
         return pd.DataFrame(rows, columns=names)
 
-    return _books(returns, weights, factors).groupBy("portfolio").applyInPandas(run, DECOMPOSITION_SCHEMA)
+    return spread(_books(returns, weights, factors), "portfolio").groupBy("portfolio").applyInPandas(run, DECOMPOSITION_SCHEMA)
 
 
 BRIDGE_SCHEMA = "portfolio string, window_days int, component string, delta_var double, vol_points double, share_pct double, direction string, vol_then_pct double, vol_now_pct double, dominant boolean"
@@ -153,7 +154,7 @@ def bridge(returns: DataFrame, weights: DataFrame, factors: DataFrame, most: int
         rows = [(pdf["portfolio"].iloc[0], win, k, v, (v1 - v0) * v / total if some else None, 100 * v / total if some else None, "raised" if v > 0 else "lowered" if v < 0 else "flat", v0, v1, k == top) for k, v in parts.items()]
         return pd.DataFrame(rows, columns=names)
 
-    return _books(returns, weights, factors).groupBy("portfolio").applyInPandas(run, BRIDGE_SCHEMA)
+    return spread(_books(returns, weights, factors), "portfolio").groupBy("portfolio").applyInPandas(run, BRIDGE_SCHEMA)
 
 
 ROLLING_SCHEMA = "ticker string, dt date, factor string, loading double, r2 double"
@@ -178,7 +179,7 @@ def rolling_loadings(returns: DataFrame, factors: DataFrame, window: int = 252,
             rows += [(pdf["ticker"].iloc[0], days[end - 1], f, b[k + 1], 1 - float(e @ e) / tss if tss > 0 else None) for k, f in enumerate(FACTORS)]
         return pd.DataFrame(rows, columns=names)
 
-    return joined(returns, factors).groupBy("ticker").applyInPandas(run, ROLLING_SCHEMA)
+    return spread(joined(returns, factors), "ticker").groupBy("ticker").applyInPandas(run, ROLLING_SCHEMA)
 
 
 THEME_SCHEMA = "ticker string, basket string, n int, beta double, t double, p double, r2 double, total_vol double, factor_vol double, idio_vol double"
@@ -207,4 +208,4 @@ def thematic(returns: DataFrame, baskets: list[str], lookback: int = 252) -> Dat
         rows = [(me, b, len(y), fit["b"][k], fit["t"][k], fit["p"][k], fit["r2"], total, rest, idio) for k, b in enumerate(("alpha", *columns))]
         return pd.DataFrame(rows, columns=names)
 
-    return returns.join(F.broadcast(sides), "dt").groupBy("ticker").applyInPandas(run, THEME_SCHEMA)
+    return spread(returns.join(F.broadcast(sides), "dt"), "ticker").groupBy("ticker").applyInPandas(run, THEME_SCHEMA)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numerics as nm
+from ..sources.panel import spread
 
 from .risk import P, WINDOW
 
@@ -58,7 +59,7 @@ def asset_models(returns: DataFrame, window: int = WINDOW) -> DataFrame:
         out = (*garch_var_es(recent, False), *garch_var_es(recent, True), *nm.var_es_evt(recent), *year_ahead(r))
         return pd.DataFrame([(pdf["ticker"].iloc[0], len(r), *out)], columns=[c.split()[0] for c in RISK_SCHEMA.split(", ")])
 
-    return returns.where("r IS NOT NULL").groupBy("ticker").applyInPandas(run, RISK_SCHEMA)
+    return spread(returns.where("r IS NOT NULL"), "ticker").groupBy("ticker").applyInPandas(run, RISK_SCHEMA)
 
 
 def garch_residuals(returns: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def garch_residuals(returns: DataFrame) -> DataFrame:
         res = nm.fit_garch(pdf["r"].to_numpy(float) * 100, True)["residuals"][0] if len(pdf) >= 100 else np.full(len(pdf), np.nan)
         return pd.DataFrame({"ticker": pdf["ticker"], "dt": pdf["dt"], "residual": [_finite(x) for x in res]})
 
-    return returns.groupBy("ticker").applyInPandas(run, "ticker string, dt date, residual double")
+    return spread(returns, "ticker").groupBy("ticker").applyInPandas(run, "ticker string, dt date, residual double")
 
 
 def rolling_forecasts(series: DataFrame, model: str, lookback: int = WINDOW, chunk: int = 128, key: str = "portfolio", p: float = P) -> DataFrame:
@@ -82,7 +83,7 @@ def rolling_forecasts(series: DataFrame, model: str, lookback: int = WINDOW, chu
     rows = series.withColumn("i", F.row_number().over(w.orderBy("dt")) - 1).withColumn("n", F.count("*").over(w)).where(F.col("n") - lookback - 1 >= 30)
     first = F.greatest(F.floor((F.col("i") - lookback - 1) / chunk), F.lit(0))
     last = F.floor((F.col("i") - 1) / chunk)
-    spread = rows.withColumn("c", F.explode(F.sequence(first.cast("int"), F.greatest(last, first).cast("int"))))
+    dealt = rows.withColumn("c", F.explode(F.sequence(first.cast("int"), F.greatest(last, first).cast("int"))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
@@ -103,7 +104,7 @@ def rolling_forecasts(series: DataFrame, model: str, lookback: int = WINDOW, chu
         at = [i - i0 for i in targets]
         return pd.DataFrame({key: pdf[key].iloc[0], "dt": pdf["dt"].to_numpy()[at], "r": r[at], "var": var})
 
-    return spread.groupBy(key, "c").applyInPandas(run, f"{key} string, dt date, r double, var double")
+    return spread(dealt, key, "c").groupBy(key, "c").applyInPandas(run, f"{key} string, dt date, r double, var double")
 
 
 def backtest_tests(record: DataFrame) -> DataFrame:
@@ -116,14 +117,14 @@ def backtest_tests(record: DataFrame) -> DataFrame:
     return record.withColumn("kupiec_p", tail_probability("kupiec_stat")).withColumn("christoffersen_p", tail_probability("christoffersen_stat"))
 
 
-def recession_probability(spread: DataFrame) -> DataFrame:
+def recession_probability(yields: DataFrame) -> DataFrame:
     """Adds the probit probability of a recession from a yield spread in percent."""
 
     @F.pandas_udf("double")
     def probit(x: pd.Series) -> pd.Series:
         return x.map(lambda s: nm.norm_cdf(-0.5333 - 0.6330 * s))
 
-    return spread.withColumn("recession_probability", probit("spread"))
+    return yields.withColumn("recession_probability", probit("spread"))
 
 
 def daily_qmle(pairs: DataFrame, least: int = 20) -> DataFrame:
@@ -144,7 +145,7 @@ def daily_qmle(pairs: DataFrame, least: int = 20) -> DataFrame:
             method = "qmle" if {a, b, c, d} == {"qmle"} else "qmle_partial"
         return pd.DataFrame([(pdf["dt"].iloc[0], len(x), naive, corr, method)], columns=columns)
 
-    return pairs.groupBy("dt").applyInPandas(run, "dt date, n_obs int, corr_naive double, corr_qmle double, method string")
+    return spread(pairs, "dt").groupBy("dt").applyInPandas(run, "dt date, n_obs int, corr_naive double, corr_qmle double, method string")
 
 
 SKILL_SCHEMA = "portfolio string, n_obs int, years double, information_ratio double, t_stat double, p_luck double, observed_percentile double, psr_pct double, years_for_significance double, null_p5 double, null_p50 double, null_p95 double, hist_centers array<double>, hist_counts array<int>, verdict string"
@@ -168,8 +169,8 @@ def skill_or_luck(pairs: DataFrame, draws: int = 4000, block: int = 10, seed: in
             m = min(200, draws - at)
             starts = rng.integers(0, n - block + 1, (m, k))
             s = flat[(starts[:, :, None] + np.arange(block)).reshape(m, -1)[:, :n]]
-            spread = s.std(1, ddof=1)
-            null[at : at + m] = np.where(spread > 0, s.mean(1) / np.where(spread > 0, spread, 1) * math.sqrt(252), 0.0)
+            dev = s.std(1, ddof=1)
+            null[at : at + m] = np.where(dev > 0, s.mean(1) / np.where(dev > 0, dev, 1) * math.sqrt(252), 0.0)
         luck, sr = float((null >= ir).mean()), a.mean() / sd
         series = pd.Series(a)
         room = 1 - series.skew() * sr + (series.kurtosis() + 2) / 4 * sr * sr
@@ -179,6 +180,6 @@ def skill_or_luck(pairs: DataFrame, draws: int = 4000, block: int = 10, seed: in
         row = (pdf["portfolio"].iloc[0], n, n / 252, ir, ir * math.sqrt(n / 252), luck, float((null <= ir).mean() * 100), psr, (2 / ir) ** 2 if ir > 0 else None, *np.percentile(null, [5, 50, 95]), list((edges[:-1] + edges[1:]) / 2), [int(c) for c in counts], verdict)
         return pd.DataFrame([row], columns=names)
 
-    return pairs.groupBy("portfolio").applyInPandas(run, SKILL_SCHEMA)
+    return spread(pairs, "portfolio").groupBy("portfolio").applyInPandas(run, SKILL_SCHEMA)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numerics as nm
+from ..sources.panel import spread
 
 CASH, LEAST = 0.045, 0.005
 OBJECTIVES = ("gmv", "erc", "max_div", "concentrated", "lowvol_te", "max_sharpe")
@@ -144,7 +145,7 @@ def variants(returns: DataFrame, weights: DataFrame, market: str, window: int =
         share = 100 * risk / risk.sum() if risk.sum() else np.zeros(len(w))
         return pd.DataFrame([(pdf["portfolio"].iloc[0], variant, t, w[k], base[k], share[k], *[f[c] for c in FIGURES]) for k, t in enumerate(tickers)], columns=names)
 
-    return _rows(returns, weights, market).withColumn("variant", jobs).groupBy("portfolio", "variant").applyInPandas(run, SCHEMA)
+    return spread(_rows(returns, weights, market).withColumn("variant", jobs), "portfolio", "variant").groupBy("portfolio", "variant").applyInPandas(run, SCHEMA)
 
 
 def frontier(returns: DataFrame, weights: DataFrame, market: str, points: int = 25, window: int = 1000) -> DataFrame:
@@ -166,4 +167,4 @@ def frontier(returns: DataFrame, weights: DataFrame, market: str, points: int =
                 out.append((pdf["portfolio"].iloc[0], k, float(w @ mu) * 100, math.sqrt(float(w @ s @ w)) * 100))
         return pd.DataFrame(out, columns=names)
 
-    return _rows(returns, weights, market).groupBy("portfolio").applyInPandas(run, "portfolio string, k int, ret double, vol double")
+    return spread(_rows(returns, weights, market), "portfolio").groupBy("portfolio").applyInPandas(run, "portfolio string, k int, ret double, vol double")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import CORRELATION_TIERS, EXCEPTION_TIERS, RISK_TIERS, Z99, tier
-from ..operators import backtest, correlation, holdings, performance, portfolio, risk, scenarios, views
+from ..operators import backtest, correlation, holdings, performance, portfolio, risk, scenarios, sections, views
 from ..sources import panel
 from ..sources.panel import BOND, MARKET, THEME, sql
 from .registry import query, rounded
@@ -407,3 +407,25 @@ def loss_history(spark, d):
 @query(sql("SELECT round(y10, 6) AS y10, round(y3m, 6) AS y3m, round(y10 - y3m, 6) AS spread FROM (SELECT CASE WHEN a > 30 THEN a / 10 ELSE a END AS y10, CASE WHEN b > 30 THEN b / 10 ELSE b END AS y3m FROM (SELECT max_by(px, dt) FILTER (ticker = 'NO') AS a, max_by(px, dt) FILTER (ticker = 'AF') AS b FROM filled))", "filled"))
 def yield_spread(spark, d):
     return rounded(views.yield_spread(panel.fill(panel.prices(spark, d)), MARKET, BOND))
+
+
+@query(sql("SELECT ticker, round(v, 6) AS vol_60, round(beta, 6) AS beta FROM (SELECT ticker, CASE WHEN count(*) = 60 THEN stddev_samp(r) * sqrt(252.0) * 100 END AS v FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY dt DESC) AS k FROM returns) WHERE k <= 60 GROUP BY 1) JOIN (SELECT ticker, covar_samp(p, b) / var_samp(b) AS beta FROM (SELECT r.ticker, r.r AS p, m.r AS b, row_number() OVER (PARTITION BY r.ticker ORDER BY r.dt DESC) AS k FROM returns r JOIN market m USING (dt)) WHERE k <= 252 GROUP BY 1) USING (ticker)", "market"))
+def risk_profile(spark, d):
+    r = panel.returns(spark, d)
+    return rounded(sections.risk_profile(r, r.where(F.col("ticker") == MARKET)))
+
+
+@query(_v([("60/40", "NO", 0.6), ("60/40", "AF", 0.4)], "portfolio, ticker, w"))
+def complete_benchmarks(spark, d):
+    marks = panel.weights(spark, {"60/40": panel.BENCHMARK, "broken": {MARKET: 0.5, "ZZ": 0.5}})
+    return sections.complete_benchmarks(marks, panel.returns(spark, d)).select("portfolio", "ticker", "w")
+
+
+SOURCES = [("h1", "survey", 0.2), ("h1", "market", 0.1)]
+
+
+@query(sql("SELECT DISTINCT portfolio, id, CASE WHEN id = 'h1' THEN 'market:0.1,survey:0.2' ELSE '' END AS probabilities FROM parts", "books", **_HYPO))
+def scenario_probabilities(spark, d):
+    listed = sections.with_probabilities(scenarios.totals(hypo_parts(spark, d)), spark.createDataFrame(SOURCES, "id string, source string, probability double"))
+    text = F.array_join(F.transform("probabilities", lambda x: F.concat(x["source"], F.lit(":"), x["probability"].cast("string"))), ",")
+    return listed.select("portfolio", "id", text.alias("probabilities"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import backtest, correlation, detectors, factors, models, optimizer, performance, risk, views
-from ..sources import panel
+from ..operators import backtest, correlation, factors, models, optimizer, performance, portfolio, sections, views
+from ..sources import panel, sinks
 from ..sources.panel import BOND, MARKET, THEME
 from .book_queries import book, pairs
 from .registry import query, rounded
@@ -53,15 +53,36 @@ def var_year_t(spark, d):
 
 @query()
 def asset_risk(spark, d):
-    """The whole row of an asset: five models, tail, downside, trend, exceptions, last move, spread and consensus."""
     filled = panel.fill(panel.prices(spark, d))
-    r = panel.log_returns(filled)
-    s = risk.var_series(r)
-    out = risk.var_es_hs(r)
-    for part in (risk.var_es_ewma(r), models.asset_models(r).drop("n", "nu_garch", "nu_gjr"), risk.hill_tail_index(r), risk.monthly_downside(r), risk.risk_level(r), risk.var_trend(s), risk.var_exceptions(s), risk.last_move(filled, r)):
-        out = out.join(part, "ticker", "left")
-    five = [F.col(f"var_{m}") for m in ("hs", "ewma", "garch", "gjr", "evt")]
-    return rounded(out.withColumn("mean_var", sum(five[1:], five[0]) / 5).withColumn("model_spread", F.greatest(*five) - F.least(*five)))
+    return rounded(sections.risk_rows(panel.log_returns(filled), filled))
+
+
+@query()
+def portfolio_rows(spark, d):
+    nav = panel.prices(spark, d).where(F.col("ticker") == THEME).select(F.lit("B").alias("portfolio"), "dt", "px")
+    return rounded(sections.portfolio_rows(panel.returns(spark, d), panel.weights(spark), nav))
+
+
+@query()
+def benchmark_row(spark, d):
+    r = panel.returns(spark, d)
+    marks = panel.weights(spark, {"60/40": panel.BENCHMARK, "broken": {MARKET: 0.5, "ZZ": 0.5}})
+    return rounded(sections.portfolio_rows(r, sections.complete_benchmarks(marks, r)))
+
+
+@query()
+def asset_table(spark, d):
+    filled = panel.fill(panel.prices(spark, d))
+    r, w = panel.log_returns(filled), panel.weights(spark)
+    return rounded(sections.asset_table(w, sections.risk_rows(r, filled), portfolio.component_var(r, w)))
+
+
+@query()
+def sector_view(spark, d):
+    """The sections of the sector view as one document."""
+    r = panel.returns(spark, d)
+    market = r.where(F.col("ticker") == MARKET)
+    return sinks.document(sections.sector_view(r, market, factor_panel(spark, d), [MARKET, THEME, BOND, "AO"]), "2001-11-04")
 
 
 @query()
@@ -71,9 +92,7 @@ def garch_residuals(spark, d):
 
 @query()
 def anomaly_view(spark, d):
-    r = panel.returns(spark, d)
-    scored = detectors.cusum(detectors.z_scores(r)).join(models.garch_residuals(r), ["ticker", "dt"], "left")
-    return rounded(panel.tail(detectors.flags(scored, "residual"), 504).withColumn("detectors", F.concat_ws(",", "detectors")))
+    return rounded(sections.anomaly_view(panel.returns(spark, d)).withColumn("detectors", F.concat_ws(",", "detectors")))
 
 
 def _tested(spark, d, model: str) -> DataFrame:

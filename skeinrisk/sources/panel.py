@@ -85,6 +85,14 @@ def volatility_index(market: DataFrame) -> DataFrame:
     return v.where("vix IS NOT NULL").select("dt", "vix")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt out by ``keys`` over a fixed number of partitions, for grouped functions that work long on few rows.
+
+    Left to itself, adaptive execution sizes partitions by bytes and would put all such groups into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 PORTFOLIOS = {
     "A": {"AF": 0.30, "NF": 0.20, "NO": 0.15, "RF": 0.15, "AO": 0.10, "RO": 0.10},
     "B": {t: 1 / 6 for t in ("AF", "NF", "NO", "RF", "AO", "RO")},
