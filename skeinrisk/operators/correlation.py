@@ -64,9 +64,10 @@ def daily_correlation(pairs: DataFrame, least: int = 20) -> DataFrame:
 
 
 def streak(daily: DataFrame, value: str = "corr") -> DataFrame:
-    """The latest run of days of one sign: its length and sign, the share of such days, and the odds of such a run by chance."""
+    """The latest run of days of one sign: its length and sign, the share of such days, and the odds of such a run by chance;
+    no row without days."""
     days = daily.where(F.col(value).isNotNull()).select("dt", F.when(F.col(value) > 0, 1).otherwise(-1).alias("sign"))
-    end = days.agg(F.max_by("sign", "dt").alias("last"), F.max("dt").alias("dt"), F.avg((F.col("sign") > 0).cast("double")).alias("up"), F.count("*").alias("n_days"), F.count_if(F.col("sign") > 0).alias("n_positive"))
+    end = days.agg(F.max_by("sign", "dt").alias("last"), F.max("dt").alias("dt"), F.avg((F.col("sign") > 0).cast("double")).alias("up"), F.count("*").alias("n_days"), F.count_if(F.col("sign") > 0).alias("n_positive")).where("n_days > 0")
     broken = days.crossJoin(F.broadcast(end.select("last"))).where("sign <> last").agg(F.max("dt").alias("since"))  # one row each
     length = days.crossJoin(F.broadcast(broken)).where("since IS NULL OR dt > since").agg(F.count("*").alias("streak"))
     out = end.crossJoin(F.broadcast(length))

@@ -180,7 +180,7 @@ def intraday_corr_naive(spark, d):
     return rounded(correlation.daily_correlation(correlation.paired_bars(panel.bars(spark, d), "view", "click")))
 
 
-@query(sql("SELECT dt, sign::INT AS sign, streak::BIGINT AS streak, n_days::BIGINT AS n_days, n_positive::BIGINT AS n_positive, round(rate, 6) AS rate, round(pow(rate, streak), 6) AS probability, round(1 / pow(rate, streak), 4) AS odds FROM (SELECT *, CASE WHEN sign > 0 THEN n_positive / n_days ELSE 1 - n_positive / n_days END AS rate, (SELECT count(*) FROM s WHERE dt > coalesce((SELECT max(dt) FROM s WHERE s.sign <> e.sign), DATE '1900-01-01')) AS streak FROM e)", "bars", intraday=INTRADAY, daily=DAILY,
+@query(sql("SELECT dt, sign::INT AS sign, streak::BIGINT AS streak, n_days::BIGINT AS n_days, n_positive::BIGINT AS n_positive, round(rate, 6) AS rate, round(pow(rate, streak), 6) AS probability, round(1 / pow(rate, streak), 4) AS odds FROM (SELECT *, CASE WHEN sign > 0 THEN n_positive / n_days ELSE 1 - n_positive / n_days END AS rate, (SELECT count(*) FROM s WHERE dt > coalesce((SELECT max(dt) FROM s WHERE s.sign <> e.sign), DATE '1900-01-01')) AS streak FROM e WHERE n_days > 0)", "bars", intraday=INTRADAY, daily=DAILY,
     s="SELECT dt, CASE WHEN corr > 0 THEN 1 ELSE -1 END AS sign FROM daily WHERE corr IS NOT NULL", e="SELECT max(dt) AS dt, max_by(sign, dt) AS sign, count(*) AS n_days, count_if(sign > 0) AS n_positive FROM s"))
 def corr_streak(spark, d):
     out = correlation.streak(correlation.daily_correlation(correlation.paired_bars(panel.bars(spark, d), "view", "click")))
