@@ -16,12 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written, small
 from .components import components
+from .shingle_sets import near_copies, shingle_hashes
 
 SEGMENTS, SEGMENT_BITS = 4, 16
 #: Rows of one key beyond which the key is made finer by a byte of the next segment.
@@ -57,23 +57,6 @@ class Links:
 
 #: The contract's: three words, repeats included, three bits.
 CONTRACT = Links(Print(3))
-#: Near copies at a similarity of 0.8 or more on five-word shingles. Single words, each once, move least under edits: of pairs
-#: at 0.8 to 0.85, 88 % are within three bits in one lane, so three lanes miss 2 in 1,000. The check compares 512 bits on the
-#: shingles themselves: a similarity of 0.8 means an angle of 27.3 degrees, 78 bits, with a standard deviation of 8.
-NEAR_COPIES = Links(Print(1, lanes=3, distinct=True), 3, Print(5, lanes=8, distinct=True), 88)
-
-
-def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
-    """XXH64 (seed 42) of every run of k words, space-joined; fewer words: of them all; no words: none."""
-    digest = xxhash.xxh64_intdigest
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) <= k:
-        return np.array([digest(b" ".join(words), 42)], np.uint64)
-    if k == 1:
-        return np.array([digest(w, 42) for w in words], np.uint64)
-    runs = zip(*(words[i:] for i in range(k)), strict=False)
-    return np.array([digest(b" ".join(r), 42) for r in runs], np.uint64)
 
 
 def _lane(h: np.ndarray, k: int) -> np.ndarray:
@@ -253,14 +236,14 @@ def groups(docs: DataFrame, links: Links, id_col: str = "doc_id", text_col: str
     return prints.join(named, links.columns, "left").select("doc_id", *links.columns, F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"))
 
 
-def near_duplicate_ids(docs: DataFrame, links: Links = NEAR_COPIES, **cols) -> DataFrame:
+def near_duplicate_ids(docs: DataFrame, **cols) -> DataFrame:
     """doc_id of the documents that go if one of each group stays: all but the smallest id of the group, each once."""
-    return groups(docs, links, **cols).where("doc_id <> component").select("doc_id").distinct()
+    return near_copies(docs, **cols).where("doc_id <> component").select("doc_id").distinct()
 
 
-def drop_near_duplicates(docs: DataFrame, links: Links = NEAR_COPIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that ``near_duplicate_ids`` gives; rows without an id stay."""
-    gone = Written(near_duplicate_ids(docs, links, id_col=id_col, text_col=text_col).withColumnRenamed("doc_id", "_gone"), "gone").df
+    gone = Written(near_duplicate_ids(docs, id_col=id_col, text_col=text_col).withColumnRenamed("doc_id", "_gone"), "gone").df
     return docs.join(small(gone, 2_000_000), F.col(id_col) == F.col("_gone"), "left_anti")
 
 

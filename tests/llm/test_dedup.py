@@ -191,3 +191,38 @@ def test_sentences_cover_the_text_and_cut_by_words(rng):
 
 def test_spans_of_an_empty_table(spark):
     assert substring_dedup.repeated_spans(documents(spark, []).limit(0)).count() == 0
+
+
+def words(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(n)]
+
+
+def edited(rng, n):
+    """Bases of n distinct words, and copies with words appended, cut and replaced, from near to just beyond 0.8."""
+    rows = []
+    for _ in range(6):
+        w = words(rng, n)
+        rows.append(w)
+        for part in (0.04, 0.1, 0.18, 0.22, 0.3):
+            k = max(1, int(part * n))
+            rows += [w + words(rng, k), w[: n - k], words(rng, k // 2) + w + words(rng, k // 2)]
+            changed = list(w)
+            for at in rng.sample(range(n), max(1, k // 9)):
+                changed[at] = words(rng, 1)[0]
+            rows.append(changed)
+    return [(k, " ".join(w)) for k, w in enumerate(rows)]
+
+
+def brute_kept(rows):
+    links = [(a, b) for a, x in rows for b, y in rows if a < b and jaccard(x, y) >= 0.8]
+    top = brute_components([i for i, _ in rows], links)
+    return {i for i in top if top[i] == i}
+
+
+@pytest.mark.parametrize("n", [50, 100, 400])
+def test_appended_cut_and_replaced_copies_go_as_by_brute_force(spark, rng, n):
+    """All pairs at 0.8 or more, at every length, on texts whose words are all different."""
+    rows = edited(rng, n)
+    want = brute_kept(rows)
+    assert 6 <= len(want) < len(rows) / 2
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()} == want
