@@ -4,8 +4,10 @@ A text is cut into sentences; from every sentence on, the shortest run of at lea
 is hashed, the hashes of all documents are met in one aggregation, and the sentences of every run that isn't the first with
 its hash are removed. First is the smallest (doc_id, sentence) over the whole table.
 
-Where a passage starts and ends in the middle of a sentence, its inner sentences still agree. A sentence of over ``LONG`` words
-is cut further after words whose hash ends in zeros, so the cuts depend on the words and not on where the sentence began.
+Sentences are cut further where a word's hash is the least of some ``WINDOW`` words in a row (winnowing), so the cuts depend on
+the words and not on where the sentence or passage began, and one comes in any ``WINDOW`` words. Of a passage of over 50 words,
+from the middle of one sentence to the middle of another, at least 29 words lie between cuts that all its copies share; a run of
+20 words ends within 25 of its start, so each has a whole run.
 """
 
 from __future__ import annotations
@@ -23,35 +25,33 @@ from .common import Written, small
 
 SENTENCE = re.compile(rb"[^.!?\n]*(?:[.!?]+|\n|$)")
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-LONG, CUT = 20, 6
+WINDOW = 6
 #: A repeated run has at least so many sentences and words.
 RUN_SENTENCES, RUN_WORDS = 3, 20
 
 
 def sentences(text: bytes) -> list[tuple[int, int, list[bytes]]]:
-    """(start, end, words) of each sentence that has words, as bytes of the text; they cover it in order."""
-    out = []
-    at = 0
+    """(start, end, words) of each sentence, or part of one, that has words, as bytes of the text; they cover it in order."""
+    words, ends, last = [], [], []
     for m in SENTENCE.finditer(text):
-        words = m[0].split()
-        if not words:
-            continue
-        if len(words) <= LONG:
-            out.append((at, m.end(), words))
-            at = m.end()
-            continue
-        own: list[bytes] = []
-        for w in WORDS.finditer(text, m.start(), m.end()):
-            own.append(w[0])
-            if xxhash.xxh32_intdigest(w[0]) % CUT == 0:
-                out.append((at, w.end(), own))
-                at, own = w.end(), []
+        own = [(w[0], w.end()) for w in WORDS.finditer(text, m.start(), m.end())]
         if own:
-            out.append((at, m.end(), own))
-            at = m.end()
-        elif out:
-            out[-1] = (out[-1][0], m.end(), out[-1][2])
-            at = m.end()
+            words += [w for w, _ in own]
+            ends += [e for _, e in own[:-1]] + [m.end()]
+            last.append(len(words) - 1)
+    if not words:
+        return []
+    h = np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words))
+    h[last] = -1  # ends of sentences are cuts, and spare the windows that hold them another
+    cut = np.zeros(len(h), bool)
+    cut[last] = True
+    if len(h) >= WINDOW:
+        least = np.lib.stride_tricks.sliding_window_view(h, WINDOW)[:, ::-1].argmin(1)
+        cut[np.arange(WINDOW - 1, len(h)) - least] = True
+    out, at, start = [], 0, 0
+    for k in np.flatnonzero(cut).tolist():
+        out.append((at, ends[k], words[start : k + 1]))
+        at, start = ends[k], k + 1
     return out
 
 

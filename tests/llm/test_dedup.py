@@ -226,3 +226,22 @@ def test_appended_cut_and_replaced_copies_go_as_by_brute_force(spark, rng, n):
     want = brute_kept(rows)
     assert 6 <= len(want) < len(rows) / 2
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()} == want
+
+
+@pytest.mark.parametrize(("shortest", "longest"), [(10, 20), (14, 20), (8, 24), (60, 60)])
+def test_passages_from_mid_sentence_to_mid_sentence_have_a_run(rng, shortest, longest):
+    """51 words that begin and end inside sentences, between unfinished sentences of other texts, always share a run."""
+
+    def text(n):
+        w = words(rng, n)
+        at = rng.randint(shortest, longest)
+        while at < n:
+            w[at - 1] += "."
+            at += rng.randint(shortest, longest)
+        return w
+
+    for _ in range(200):
+        passage = text(51)
+        passage[-1] = passage[-1].rstrip(".")
+        a, b = (" ".join(["Begun.", *words(rng, rng.randint(1, 15)), *passage, *words(rng, rng.randint(1, 15))]) for _ in range(2))
+        assert set(substring_dedup.runs(a.encode(), 3, 20)[0]) & set(substring_dedup.runs(b.encode(), 3, 20)[0])
