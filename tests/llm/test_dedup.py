@@ -245,3 +245,14 @@ def test_passages_from_mid_sentence_to_mid_sentence_have_a_run(rng, shortest, lo
         passage[-1] = passage[-1].rstrip(".")
         a, b = (" ".join(["Begun.", *words(rng, rng.randint(1, 15)), *passage, *words(rng, rng.randint(1, 15))]) for _ in range(2))
         assert set(substring_dedup.runs(a.encode(), 3, 20)[0]) & set(substring_dedup.runs(b.encode(), 3, 20)[0])
+
+
+def test_documents_below_the_similarity_stay(spark, rng):
+    """Pairs from 0.70 to just below 0.8, of which fingerprints take many for copies, stay; those just above go."""
+    rows, want = [], set()
+    for near in [False] * 40 + [True] * 20:
+        w = words(rng, 204)  # 200 shingles; k more words at the end: similarity 200 / (200 + k)
+        k = rng.randint(48, 50) if near else rng.randint(51, 85)
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w + words(rng, k)))]
+        want |= {rows[-2][0]} if near else {rows[-2][0], rows[-1][0]}
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()} == want
