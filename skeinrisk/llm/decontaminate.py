@@ -93,7 +93,7 @@ def edits_within(passage: np.ndarray, text: np.ndarray, low: int, high: int, mos
 class Passages:
     """The q-grams of a block of passages, ready to be probed."""
 
-    ids: list[int]
+    ids: list[int | None]
     texts: list[np.ndarray]
     edits: np.ndarray
     least: np.ndarray
@@ -167,11 +167,11 @@ class Passages:
 
 
 def load_passages(benchmark: DataFrame, id_col: str, text_col: str, q: int, rate: float, block_chars: int = 4_000_000) -> list[Passages]:
-    """The benchmark in blocks of ``block_chars`` characters at most, in order of id; null and empty passages match nothing.
+    """The benchmark in blocks of ``block_chars`` characters at most, in order of id, those without an id first; null and empty passages match nothing.
 
     A block goes to every task, so its size is bounded; a larger benchmark takes one pass over the texts a block.
     """
-    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").orderBy("i", "t")
+    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").orderBy("i", "t")
     blocks, now, size = [], [], 0
     for r in rows.toLocalIterator():
         t = normal(r["t"])
@@ -208,7 +208,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 for n, text in enumerate(part["text"]):
                     for k, (e, start, end) in b.matches(text).items():
                         rows.append((part["doc_id"].iloc[n], b.ids[k], e, 1 - e / len(b.texts[k]), start, end))
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "similarity", "start", "end"])
+                frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "similarity", "start", "end"])
+                yield frame.assign(item_id=pd.array([r[1] for r in rows], "Int64"))  # null for a passage without an id
 
         found = slim.mapInPandas(run, schema)
         out = found if out is None else out.unionByName(found)

@@ -145,3 +145,12 @@ def test_isotonic_curve_falls():
     y = (rng.random(500) < 1 / (1 + np.exp(3 * x))).astype(float)
     at, share = quality.fit_curve(x, y, np.ones(500))
     assert at == sorted(at) and share == sorted(share, reverse=True) and share[0] > 0.9 > 0.1 > share[-1]
+
+
+def test_passages_without_an_id_are_looked_for(spark, rng):
+    big = 2**53 + 1
+    known, nameless = prose(rng, 25), prose(rng, 25)
+    items = spark.createDataFrame([(big, known), (None, nameless)], "item_id long, text string")
+    docs = documents(spark, [(1, nameless), (2, prose(rng, 60)), (3, known + " " + nameless)])
+    assert {r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()} == {2}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()} == {(1, None), (3, None), (3, big)}
