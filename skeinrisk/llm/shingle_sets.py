@@ -1,33 +1,38 @@
 """Near copies by an exact set-similarity join on five-word shingles.
 
-Two texts are near copies if the Jaccard similarity of their sets of shingles is 0.8 or more. Such sets share at least four
-fifths of the larger one, so in any one order of all shingles the first fifth and one more of each set have a shingle in
-common (prefix filter): those are the keys of the join. Any order gives the same result; shingles that are frequent in a sample
-go last, which keeps the keys rare. Candidates of fitting sizes (length filter) that share keys enough (positional filter) are
-decided by counting the whole sets.
-
-Texts of equal sets are one node. Candidates are decided in two rounds: first documents of a key that are neighbours in size,
-then all pairs of a key that the links of the first round haven't joined. A large group of copies so costs a few
-comparisons for each member, and a pair is left out only where it can't change the components.
+Two texts are near copies if the Jaccard similarity of their sets of shingles is 0.8 or more. Such a set shares at least four
+fifths of its shingles with the other, so a set whose own shingles (those of no other set) are more than a fifth has no near
+copy, and in any one order of all shingles the first fifth and one more of both have a shingle in common (prefix filter).
+
+Shingles are counted over the whole corpus, in two rounds. The first counts those whose hash is in the lowest ``LOW`` of the hash
+space: most sets have enough shingles of their own among these and are done. All shingles of the sets left are counted then,
+rarest first is the order, and the shared ones among a set's first fifth are the keys of the join.
+
+Pairs of a key come in two rounds. First each set meets the key's central member, that with the fewest shingles of its own;
+what links becomes one tree. Then only sets of different trees meet, block by block, so a large group of copies costs about one
+comparison for each member. A pair goes on if its sizes fit and its parity bitmaps differ in no more places than the sets may
+(a bitmap's bit is the parity of the shingles that fall on it, so bitmaps differ in no more places than the sets in members);
+pairs that go on are decided by counting the shared shingles of the whole sets.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Written, small
 from .components import components
 
 SHINGLE = 5
-#: Documents in the sample whose frequent shingles go last, the count from which one is frequent, and how many are told apart.
-SAMPLE, FREQUENT, TOLD = 8000, 3, 50_000
+#: The part of the hash space that the first round counts.
+LOW = 0.3
+#: Bits of a parity bitmap, and members of a key that one block holds.
+BITMAP, BLOCK = 2048, 1024
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -48,185 +53,148 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     return np.unique(shingle_hashes((text or b"").lower().split(), SHINGLE))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Jaccard similarity of 0.8 or more, in whole numbers: 5 shared >= 4 (a + b - shared)."""
-    if not fitting(len(a), len(b)):
-        return False
-    both = np.sort(np.concatenate((a, b)), kind="stable")
-    return 9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both)
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles that fall on each of BITMAP bits, as 64-bit words."""
+    odd = np.bincount((own & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def fitting(a, b):
-    """Sizes at which a similarity of 0.8 is possible."""
-    return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
-
-
-def prefix(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first fifth of a set and one more: shingles that aren't in ``frequent`` (sorted) first, then these by count."""
-    if not len(own):
-        return own
-    n = len(own) // 5 + 1
-    if not len(frequent):
-        return own[:n]
-    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-    weight = np.where(frequent[at] == own, counts[at], 0)
-    return own[np.argsort(weight, kind="stable")[:n]]
+def may_be_similar(n, m, differing):
+    """Sizes n and m and at least ``differing`` members in one set only leave room for a similarity of 0.8."""
+    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * differing <= n + m)
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id IS NOT NULL")
-
-
-def frequent_shingles(slim: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, counts) of those that several documents of a sample hold; sorted by shingle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], ["h"])
+    text = F.col(text_col).cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text).alias("th"), text.alias("text")).where("doc_id IS NOT NULL")
 
-    parts = max(1, slim.count() // SAMPLE)
-    counts = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0).mapInArrow(run, "h long").groupBy("h").count()
-    top = counts.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(TOLD).collect()
-    h, n = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
 
-
-def _signed(slim: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(doc_id, d0 and d1: digest of the set, n: its size, keys: its prefix)."""
+def _signed(slim: DataFrame) -> DataFrame:
+    """(doc_id, th: hash of the text, set: digest of its shingles, n: their number, low: those of the first round)."""
+    end = np.uint64(int(LOW * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py()) for t in b.column(1)]
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            keys = pa.array([prefix(s, frequent, counts).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            sets = [shingle_set(t.as_py()) for t in b.column(2)]
+            digests = pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
             sizes = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), sizes, keys], ["doc_id", "d0", "d1", "n", "keys"])
+            low = pa.array([s[: np.searchsorted(s, end)].view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), digests, sizes, low], ["doc_id", "th", "set", "n", "low"])
 
-    return slim.mapInArrow(run, "doc_id long, d0 long, d1 long, n int, keys array<long>")
+    return slim.mapInArrow(run, "doc_id long, th long, set long, n int, low array<long>")
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """rows(key, n, id) -> (ids, sizes, keys) of the rows that share a key, sorted by size; keys of the same rows are counted in one."""
+def _whole(slim: DataFrame) -> DataFrame:
+    """(set, n, all shingles, bits: parity bitmap)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows of the last key, which may go on in the next batch
-
-        def lists(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts)
-            key, n, ids = (t.column(c).to_numpy() for c in ("key", "n", "id"))
-            own = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]
-            key, n, ids = key[own], n[own], ids[own]
-            cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
-            out = Counter((ids[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b - a > 1)
-            met = pa.array([np.frombuffer(i, np.int64) for i, _ in out], pa.list_(pa.int64()))
-            sizes = pa.array([np.frombuffer(s, np.int32) for _, s in out], pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([met, sizes, pa.array(out.values(), pa.int64())], ["ids", "sizes", "keys"])
-
         for b in batches:
-            if not b.num_rows:
-                continue
-            key = b.column(0).to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
-            if held and (cut or held[-1].column(0)[-1].as_py() != key[0]):
-                yield lists([*held, b.slice(0, cut)])
-                held = []
-            elif cut:
-                yield lists([b.slice(0, cut)])
-            held.append(b.slice(cut))
-        if held:
-            yield lists(held)
-
-    return rows.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(run, "ids array<long>, sizes array<int>, keys long").groupBy("ids", "sizes").agg(F.sum("keys").alias("keys"))
-
-
-def _pairs(lists: DataFrame, chain: bool) -> DataFrame:
-    """lists(ids, sizes, keys, and trees if not ``chain``) -> (a, b), a < b, of fitting sizes that can be similar.
-
-    If ``chain``, each with the one before it and with the first; else all of different trees, so that a pair meets in every list
-    that holds it and its shared keys are counted in full. Of n shingles the n // 5 + 1 first are keys; for the set whose last
-    key comes first, all it shares by its keys are keys of the other too, so a pair shares at most the rest of one set more.
-    """
-    names = ["a", "na", "b", "nb", "keys"]
+            sets = [shingle_set(t.as_py()) for t in b.column(2)]
+            digests = pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
+            sizes = pa.array([len(s) for s in sets], pa.int32())
+            whole, bits = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([digests, sizes, whole, bits], ["set", "n", "shingles", "bits"])
+
+    return slim.mapInArrow(run, "set long, n int, shingles array<long>, bits array<long>")
+
+
+def _own(rows: DataFrame) -> DataFrame:
+    """rows(h, set) -> (set, own): how many of its shingles no other set has; copies of a set are one."""
+    alone = rows.groupBy("h").agg(F.min("set").alias("set"), F.max("set").alias("_last")).where("set = _last")
+    return alone.groupBy("set").agg(F.count("*").alias("own"))
+
+
+def _keys(whole: DataFrame) -> DataFrame:
+    """(key, set, own): the shared shingles among the first fifth, and one, of each set, rarest first."""
+    rows = whole.select(F.explode("shingles").alias("h"), "set", "n")
+    shared = Written(rows.groupBy("h").agg(F.min("set").alias("_a"), F.max("set").alias("_b"), F.count("*").alias("c")).where("_a <> _b").select("h", "c"), "shared").df
+    order = Window.partitionBy("set").orderBy("c", "h")  # the shingles of one text
+    ranked = rows.join(shared, "h").withColumn("r", F.dense_rank().over(order))
+    ranked = ranked.withColumn("own", F.col("n") - F.max("r").over(Window.partitionBy("set")))
+    return ranked.where("own + r <= n div 5 + 1").select(F.col("h").alias("key"), "set", "own").distinct()
+
+
+def _decided(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that are similar, in whole numbers: 9 shared >= 4 (n + m)."""
+    a, b = (whole.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}")) for x in ("a", "b"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(a, "a").join(b, "b").where(9 * shared >= 4 * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+
+
+def _central_pairs(keys: DataFrame, briefs: DataFrame) -> DataFrame:
+    """(a, b): the members of each key with its central one, where sizes and bitmaps allow it."""
+    central = keys.groupBy("key").agg(F.min(F.struct("own", "set"))["set"].alias("b"))
+    met = keys.join(central, "key").where("set <> b").select(F.col("set").alias("a"), "b").distinct()
+    a, b = (briefs.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"t{x}")) for x in ("a", "b"))
+    differing = F.aggregate(F.zip_with("ta", "tb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    fitting = 5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")
+    return met.join(a, "a").join(b, "b").where(fitting & (9 * differing <= F.col("na") + F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _blocks(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks(block, set): members of a key, BLOCK at most; meets(x, y): blocks of one key), equal blocks of several keys once."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("set")) - 1
+    lists = keys.withColumn("part", F.floor(place / BLOCK)).groupBy("key", "part").agg(F.array_sort(F.collect_list("set")).alias("sets"))
+    lists = Written(lists.select("key", "part", F.xxhash64("sets", F.lit(0)).alias("block"), "sets"), "lists").df
+    blocks = lists.groupBy("block").agg(F.first("sets").alias("sets")).select("block", F.explode("sets").alias("set"))
+    x, y = lists.select("key", F.col("part").alias("px"), F.col("block").alias("x")), lists.select("key", F.col("part").alias("py"), F.col("block").alias("y"))
+    return blocks, x.join(y, "key").where("px <= py").select("x", "y").distinct()
+
+
+def _cross_pairs(keys: DataFrame, briefs: DataFrame, trees: DataFrame) -> DataFrame:
+    """(a, b): sets of different trees that share a key, where sizes and bitmaps allow it."""
+    placed = keys.select("key", "set").join(trees.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("tree", F.coalesce("component", "set"))
+    mixed = placed.groupBy("key").agg(F.min("tree").alias("_a"), F.max("tree").alias("_b")).where("_a <> _b").select("key")
+    placed = Written(placed.join(mixed, "key").select("key", "set", "tree"), "placed").df
+    blocks, meets = _blocks(placed)
+    known = briefs.join(placed.select("set", "tree").distinct(), "set")
+    full = blocks.join(known, "set").groupBy("block").agg(F.collect_list(F.struct("set", "n", "tree", "bits")).alias("m"))
+    full = Written(full.select("block", *[F.col(f"m.{c}").alias(c) for c in ("set", "n", "tree")], F.flatten("m.bits").alias("bits")), "blocks").df
+    x, y = (full.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("set", "n", "tree", "bits")]) for s in ("x", "y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], names)
-
         for b in batches:
-            found, total = [], 0
             for row in range(b.num_rows):
-                ids, sizes = (b.column(k)[row].values.to_numpy() for k in (0, 1))
-                keys = b.column(2)[row].as_py()
-                tree = None if chain else b.column(3)[row].values.to_numpy()
-                for k in range(len(ids) - 1):
-                    at = np.arange(k + 1, len(ids)) if k == 0 or not chain else np.array([k + 1])
-                    at = at[fitting(sizes[at], sizes[k]) & (ids[at] != ids[k])]
-                    if tree is not None:
-                        at = at[tree[at] != tree[k]]
-                    if not len(at):
-                        continue
-                    less, own = ids[at] < ids[k], np.full(len(at), k)
-                    x, y = np.where(less, at, own), np.where(less, own, at)
-                    found.append((ids[x], sizes[x], ids[y], sizes[y], np.full(len(at), keys)))
-                    total += len(at)
-                    if total > 1 << 17:
-                        yield batch(found)
-                        found, total = [], 0
-            if found:
-                yield batch(found)
-
-    met = lists.mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy("a", "na", "b", "nb").agg(F.sum("keys").alias("keys"))
-    rest = F.greatest(F.expr("na - na div 5 - 1"), F.expr("nb - nb div 5 - 1"))
-    return met.where(9 * (F.col("keys") + rest) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
-
-
-def _links(pairs: DataFrame, slim: DataFrame) -> DataFrame:
-    """The pairs (a, b), a < b, whose sets are similar. A text goes once to each smaller document that it is held against."""
+                (s, n, t, w), (s2, n2, t2, w2) = ([b.column(f"{c}_{side}")[row].values.to_numpy() for c in ("set", "n", "tree", "bits")] for side in ("x", "y"))
+                w, w2 = w.view(np.uint64).reshape(len(s), -1), w2.view(np.uint64).reshape(len(s2), -1)
+                found: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+                for k in range(len(s)):
+                    at = np.flatnonzero((t2 != t[k]) & may_be_similar(n[k], n2, 0))
+                    at = at[may_be_similar(n[k], n2[at], np.bitwise_count(w2[at] ^ w[k]).sum(1, dtype=np.int64))]
+                    found[0].append(np.minimum(s2[at], s[k]))
+                    found[1].append(np.maximum(s2[at], s[k]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, sets = None, []
-        for b in batches:
-            out: tuple[list[int], list[int]] = ([], [])
-            for c, i, t in zip(*b.columns, strict=True):
-                own, here = shingle_set(t.as_py()), c.as_py()
-                if here != centre:
-                    centre, sets = here, []
-                if i.as_py() == here:
-                    sets.append(own)  # comes first, being the smallest
-                elif any(similar(x, own) for x in sets):
-                    out[0].append(here)
-                    out[1].append(i.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
-
-    held = pairs.select(F.col("a").alias("centre"), F.col("b").alias("doc_id")).unionByName(pairs.select(F.col("a").alias("centre"), F.col("a").alias("doc_id")).distinct())
-    held = Written(held, "held")
-    rows = slim.join(small(held.df), "doc_id").select("centre", "doc_id", "text")
-    found = Written(rows.repartition("centre").sortWithinPartitions("centre", "doc_id").mapInArrow(run, "a long, b long"), "similar")
-    held.discard()
-    return found.df
+    return meets.join(x, "x").join(y, "y").drop("x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component): component is the smallest doc_id reachable over links between near copies, itself included.
+    """(doc_id, th, component, first): th is ``xxhash64`` of the text's bytes; component the smallest doc_id reachable over links
+    between near copies, itself included; first: whether the row is the one that stays of its group.
 
-    Null and empty texts have the empty set and are copies of each other; rows without an id take no part; rows that repeat an
-    id are one document.
+    Null and empty texts have the empty set and are copies of each other; rows without an id take no part; rows that repeat an id
+    and text are one document, rows that repeat an id with another text are judged by their own text each (of two in one group
+    with the smallest id, that with the smaller th stays). Texts of any length are taken whole.
     """
     slim = _slim(docs, id_col, text_col)
-    signed = Written(_signed(slim, *frequent_shingles(slim)), "signed").df
-    nodes = Written(signed.groupBy("d0", "d1").agg(F.min("doc_id").alias("id")), "nodes").df
-    rows = signed.join(small(nodes), ["d0", "d1"]).where("doc_id = id").select(F.explode("keys").alias("key"), "n", "id")
-    met = Written(_met(rows), "met").df
-    tried = Written(_pairs(met, chain=True), "pairs").df
-    links = _links(tried, slim)
-    trees = small(components(links))
-    more = met.select(F.xxhash64("ids", "sizes").alias("list"), "ids", "keys", F.explode(F.arrays_zip("ids", "sizes")).alias("r"))
-    more = more.select("list", "ids", "keys", F.col("r.ids").alias("node"), "r.sizes").join(trees, "node", "left").withColumn("tree", F.coalesce("component", "node"))
-    more = more.groupBy("list", "ids", "keys").agg(F.array_sort(F.collect_list(F.struct("sizes", "node", "tree"))).alias("r"))
-    more = _pairs(more.where(F.size(F.array_distinct("r.tree")) > 1).select("r.node", "r.sizes", "keys", "r.tree"), chain=False)
-    more = Written(more.join(tried, ["a", "b"], "left_anti"), "pairs").df
-    found = components(links.unionByName(_links(more, slim)))
-    named = nodes.join(small(found), nodes["id"] == found["node"], "left").select("d0", "d1", F.coalesce("component", "id").alias("component"))
-    return signed.join(named, ["d0", "d1"]).select("doc_id", "component")
+    signed = Written(_signed(slim), "signed").df
+    own = _own(signed.select(F.explode("low").alias("h"), "set"))
+    nodes = Written(signed.groupBy("set").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("n").alias("n")).select("set", "r.doc_id", "r.th", "n"), "nodes").df
+    open_ = nodes.join(own, "set", "left").where("coalesce(own, 0) <= n div 5 AND n > 0").select("doc_id", "th")
+    open_ = Written(open_, "open").df
+    whole = Written(_whole(slim.join(small(open_), ["doc_id", "th"], "left_semi").select("doc_id", "th", "text")), "whole").df
+    keys = Written(_keys(whole), "keys").df
+    briefs = Written(whole.select("set", "n", "bits").join(keys.select("set").distinct(), "set", "left_semi").dropDuplicates(["set"]), "briefs").df
+    links = Written(_decided(_central_pairs(keys, briefs), whole), "links").df
+    more = Written(_decided(_cross_pairs(keys, briefs, components(links)), whole), "links").df
+    found = components(links.unionByName(more))
+    named = nodes.join(found, nodes["set"] == found["node"], "left").select("set", "doc_id", "th", F.coalesce("component", "set").alias("label"))
+    named = Written(named, "named").df
+    heads = named.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("head"))
+    head_of = named.join(heads, "label").select("set", "head")
+    out = signed.select("doc_id", "th", "set").join(head_of, "set")
+    return out.select("doc_id", "th", F.col("head.doc_id").alias("component"), ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("th") == F.col("head.th"))).alias("first"))
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("binary"))

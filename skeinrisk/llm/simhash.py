@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Written, small
 from .components import components
-from .shingle_sets import near_copies, shingle_hashes
+from .shingle_sets import near_copies, shingle_hashes, text_hash
 
 SEGMENTS, SEGMENT_BITS = 4, 16
 #: Rows of one key beyond which the key is made finer by a byte of the next segment.
@@ -236,15 +236,14 @@ def groups(docs: DataFrame, links: Links, id_col: str = "doc_id", text_col: str
     return prints.join(named, links.columns, "left").select("doc_id", *links.columns, F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"))
 
 
-def near_duplicate_ids(docs: DataFrame, **cols) -> DataFrame:
-    """doc_id of the documents that go if one of each group stays: all but the smallest id of the group, each once."""
-    return near_copies(docs, **cols).where("doc_id <> component").select("doc_id").distinct()
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that ``near_duplicate_ids`` gives; rows without an id stay."""
-    gone = Written(near_duplicate_ids(docs, id_col=id_col, text_col=text_col).withColumnRenamed("doc_id", "_gone"), "gone").df
-    return docs.join(small(gone, 2_000_000), F.col(id_col) == F.col("_gone"), "left_anti")
+    """``docs`` with one document of each group of near copies (``shingle_sets.near_copies``): that with the smallest id.
+
+    Rows without an id stay; rows that repeat an id and text stay or go together; extra columns of any name pass through.
+    """
+    gone = near_copies(docs, id_col, text_col).where(~F.col("first")).select(F.col("doc_id").alias("_gone"), F.col("th").alias("_gone_th")).distinct()
+    gone = Written(gone, "gone").df
+    return docs.join(small(gone), (F.col(id_col).cast("long") == F.col("_gone")) & (text_hash(F.col(text_col)) == F.col("_gone_th")), "left_anti")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
