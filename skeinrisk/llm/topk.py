@@ -1,9 +1,10 @@
 """Exact top-k search by columnar branch-and-bound.
 
-Candidates lie in blocks, dimension by dimension. For a block of queries, scores are summed one block of dimensions after the
-other; after each, what the dimensions left can still add is bounded by the product of the two vectors' remaining norms, and
-only the pairs whose sum and bound reach the query's k-th score so far stay (they are compacted). The k-th scores rise from
-block to block, so later blocks lose most pairs early.
+Candidates lie in blocks, dimension by dimension, committed once and read where they lie; bounded groups of queries are sent to
+all tasks. For a block of queries and one of candidates, scores are summed one block of dimensions after the other; after each,
+what the dimensions left can still add is bounded by the product of the two vectors' remaining norms, and candidates (and
+queries) of which no pair's sum and bound reach the query's k-th score so far are compacted away. The k-th scores rise from
+block to block, so later blocks lose most candidates early.
 """
 
 from __future__ import annotations
@@ -11,148 +12,188 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, new_path
 
-#: Vectors in a block, dimensions summed between two cuts, and candidate blocks that one task goes through.
-BLOCK, STEP, GROUP = 2048, 16, 64
+#: Vectors in a block, dimensions summed between two cuts, bytes of queries that are sent at once, blocks that a task reads at most.
+BLOCK, STEP, SENT_BYTES, TASK_BLOCKS = 1024, 16, 32 << 20, 256
 QUANTUM = 64
+_LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def packed(vectors: DataFrame, id_col: str, vector_col: str, quantum: int) -> DataFrame:
-    """(ids, dims, data): blocks of up to BLOCK vectors as floor(quantum * x) in int16 (int64 where
-    that is too narrow), one dimension after the other.
+    """(ids, dims, narrow, data): blocks of up to BLOCK vectors, one dimension after the other; as floor(quantum * x) in int16,
+    or, in blocks of their own, as x itself where a component is too wide for that.
 
     Vectors that are null or hold null, NaN or infinite components are left out, and rows without an id.
     """
 
-    def block(ids: list, rows: list[np.ndarray]) -> pd.DataFrame:
-        dims = max(map(len, rows))
-        m = np.zeros((dims, len(rows)), np.int64)  # a shorter vector has zeros
-        for k, r in enumerate(rows):
-            m[: len(r), k] = r
-        if np.abs(m).max(initial=0) < 1 << 15:
-            m = m.astype(np.int16)
-        return pd.DataFrame({"ids": [np.array(ids, np.int64).tobytes()], "dims": [dims], "data": [m.tobytes()]})
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, rows = [], []
-        for part in parts:
-            for i, v in zip(part["i"], part["v"], strict=True):
-                ids.append(i)
-                rows.append(np.floor(quantum * np.asarray(v, np.float64)).astype(np.int64))
-                if len(ids) == BLOCK:
-                    yield block(ids, rows)
-                    ids, rows = [], []
-        if ids:
-            yield block(ids, rows)
+    def block(ids: np.ndarray, x: np.ndarray, narrow: bool) -> pa.RecordBatch:
+        data = np.floor(quantum * x).astype(np.int16) if narrow else x
+        return pa.RecordBatch.from_pylist([{"ids": ids.tobytes(), "dims": x.shape[1], "narrow": narrow, "data": np.ascontiguousarray(data.T).tobytes()}], schema=kinds)
+
+    kinds = pa.schema([("ids", pa.binary()), ("dims", pa.int32()), ("narrow", pa.bool_()), ("data", pa.binary())])
+
+    def joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        dims = max(x.shape[1] for _, x in parts)  # a shorter vector has zeros
+        return np.concatenate([i for i, _ in parts]), np.concatenate([np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for _, x in parts])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list] = {True: [], False: []}
+        for b in batches:
+            ids, lists = b.column(0).to_numpy(), b.column(1)
+            sizes, values = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+            x = np.zeros((len(ids), int(sizes.max(initial=0))))
+            x[np.arange(x.shape[1]) < sizes[:, None]] = values
+            is_narrow = np.abs(x).max(1, initial=0) < (1 << 15) // quantum - 1
+            for narrow in (True, False):
+                held[narrow].append((ids[is_narrow == narrow], x[is_narrow == narrow]))
+                if sum(len(i) for i, _ in held[narrow]) >= BLOCK:
+                    i, v = joined(held[narrow])
+                    full = len(i) // BLOCK * BLOCK
+                    for at in range(0, full, BLOCK):
+                        yield block(i[at : at + BLOCK], v[at : at + BLOCK], narrow)
+                    held[narrow] = [(i[full:], v[full:])]
+        for narrow, parts in held.items():
+            if parts and len((both := joined(parts))[0]):
+                yield block(*both, narrow)
 
     v = F.col(vector_col).cast("array<double>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     slim = vectors.select(F.col(id_col).cast("long").alias("i"), v.alias("v")).where(F.col("i").isNotNull() & F.col("v").isNotNull() & good)
-    return slim.mapInPandas(run, "ids binary, dims int, data binary")
+    return slim.mapInArrow(run, "ids binary, dims int, narrow boolean, data binary")
 
 
-def unpack(row) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row.ids, np.int64)
-    kind = np.int16 if len(row.data) == 2 * row.dims * len(ids) else np.int64
-    return ids, np.frombuffer(row.data, kind).reshape(row.dims, len(ids)).astype(np.int64)
+class Block:
+    """A block's vectors, one dimension after the other: ``m``, whole numbers as floats that are exact where ``most`` says so."""
+
+    def __init__(self, ids: bytes, dims: int, narrow: bool, data: bytes, quantum: int):
+        self.ids, self.quantum = np.frombuffer(ids, np.int64), quantum
+        raw = np.frombuffer(data, np.int16 if narrow else np.float64).reshape(dims, len(self.ids))
+        self.x = None if narrow else raw
+        with np.errstate(over="ignore"):
+            self.m = raw.astype(np.float64) if narrow else np.floor(quantum * raw)
+            self.most = float(np.abs(self.m).max(initial=0))
+            square = self.m**2
+            self.tails = np.sqrt(np.r_[np.cumsum(square[::-1], 0)[::-1], np.zeros((1, len(self.ids)))])
+
+    def whole(self) -> np.ndarray:
+        """The vectors as Python's whole numbers, for sums beyond what floats hold exactly."""
+        if self.x is None:
+            return self.m.astype(np.int64).astype(object)
+        big = lambda v: int(v) * self.quantum if abs(v) >= 2.0**53 else int(np.floor(v * self.quantum))
+        return np.array([[big(v) for v in row] for row in self.x.tolist()], object).reshape(self.x.shape)
 
 
 class Best:
     """The k best of each query of a block so far."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
-        self.ids, self.q, self.k = ids, q, k
-        self.score = np.full((len(ids), k), np.iinfo(np.int64).min)
-        self.vec = np.full((len(ids), k), np.iinfo(np.int64).max)
-        self.tails = tails(q)
-
-    def meet(self, ids: np.ndarray, c: np.ndarray) -> None:
-        dims = min(len(self.q), len(c))
-        q, most = self.q[:dims], self.score[:, -1]
-        top = int(np.abs(q).max(initial=0)) * int(np.abs(c[:dims]).max(initial=0)) * max(dims, 1)
-        kind = np.float64 if top < 1 << 53 else np.int64  # sums of either are exact
-        ends = [*range(STEP, dims, STEP), dims]
-        end = ends[0]
-        first = (q[:end].T.astype(kind) @ c[:end].astype(kind)) if dims else np.zeros((len(self.ids), len(ids)), kind)
-        own = tails(c[:dims])
-        mine = tails(q)
-        bound = first + np.sqrt(mine[end])[:, None] * np.sqrt(own[end])[None, :] * (1 + 1e-9) + 1e-6
-        qi, ci = np.nonzero((bound >= most[:, None]) & (self.ids[:, None] != ids[None, :]))
-        s = first[qi, ci].astype(np.int64)
-        for begin, end in zip(ends, ends[1:], strict=False):
-            for at in range(0, len(qi), 1 << 18):
-                part = slice(at, at + (1 << 18))
-                s[part] += np.einsum("dn,dn->n", q[begin:end, qi[part]], c[begin:end, ci[part]])
-            keep = s + np.sqrt(mine[end][qi] * own[end][ci]) * (1 + 1e-9) + 1e-6 >= most[qi]
-            qi, ci, s = qi[keep], ci[keep], s[keep]
-        self.merge(qi, ids[ci], s)
+    def __init__(self, numbers: np.ndarray, q: Block, k: int):
+        self.numbers, self.q, self.k = numbers, q, k
+        self.score = np.full((len(numbers), k), _LEAST)
+        self.vec = np.full((len(numbers), k), _MOST)
+        self.full = np.zeros(len(numbers), np.int64)  # how many of the k are there
+
+    def meet(self, c: Block) -> None:
+        dims = min(len(self.q.m), len(c.m))
+        if self.q.most * c.most * max(dims, 1) >= 2.0**53:
+            rows, cols = np.arange(len(self.q.ids)), np.arange(len(c.ids))
+            s = np.zeros((len(rows), len(cols)), object) + (self.q.whole()[:dims].T @ c.whole()[:dims] if dims else 0)
+            s = np.clip(s, _LEAST + 1, _MOST).astype(np.int64)
+        else:
+            rows, cols, s = self.bounded(c, dims)
+        own = self.q.ids[rows][:, None] == c.ids[cols][None, :]
+        least = np.where(self.full[rows] == self.k, self.score[rows, -1], _LEAST)
+        if s.shape[1] > self.k:  # no more than the block's own k best, and what ties with the last
+            least = np.maximum(least, np.partition(np.where(own, _LEAST, s), s.shape[1] - self.k, 1)[:, -self.k])
+        at, to = np.nonzero((s >= least[:, None]) & ~own)
+        self.merge(rows[at], c.ids[cols[to]], s[at, to])
+
+    def bounded(self, c: Block, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, candidates, scores of all their pairs) after compaction."""
+        rows, cols = np.arange(len(self.q.ids)), np.arange(len(c.ids))
+        least = np.where(self.full == self.k, self.score[:, -1], -np.inf)
+        s = np.zeros((len(rows), len(cols)))
+        for begin in range(0, dims, STEP):
+            end = min(begin + STEP, dims)
+            s += self.q.m[begin:end, rows].T @ c.m[begin:end, cols]
+            if end < dims:
+                alive = s + self.q.tails[end][rows][:, None] * (c.tails[end][cols] * (1 + 1e-9))[None, :] + 1e-6 >= least[rows][:, None]
+                r, n = alive.any(1), alive.any(0)
+                if r.sum() * n.sum() < 0.8 * alive.size:
+                    rows, cols, s = rows[r], cols[n], s[np.ix_(r, n)]
+        return rows, cols, s.astype(np.int64)
 
     def merge(self, qi: np.ndarray, vec: np.ndarray, s: np.ndarray) -> None:
         touched = np.unique(qi)
-        qi = np.r_[qi, np.repeat(touched, self.k)]
-        vec, s = np.r_[vec, self.vec[touched].ravel()], np.r_[s, self.score[touched].ravel()]
-        order = np.lexsort((vec, -s.astype(np.float64), qi)) if not len(s) or np.abs(s[s != np.iinfo(np.int64).min]).max(initial=0) < 1 << 53 else sorted(range(len(s)), key=lambda n: (qi[n], -int(s[n]), vec[n]))
+        real = np.arange(self.k) < self.full[touched][:, None]
+        qi = np.r_[qi, np.repeat(touched, self.full[touched])]
+        vec, s = np.r_[vec, self.vec[touched][real]], np.r_[s, self.score[touched][real]]
+        order = np.lexsort((vec, ~s, qi))  # ~s falls as s rises, without overflow
         qi, vec, s = qi[order], vec[order], s[order]
-        start = np.searchsorted(qi, touched)
-        at = start[:, None] + np.arange(self.k)
-        self.score[touched], self.vec[touched] = s[at], vec[at]
-
-    def rows(self) -> pd.DataFrame:
-        real = self.score > np.iinfo(np.int64).min
-        return pd.DataFrame({"query_id": np.repeat(self.ids, real.sum(1)), "vec_id": self.vec[real], "score": self.score[real]})
+        place = np.arange(len(qi)) - np.searchsorted(qi, qi)
+        keep = place < self.k
+        self.score[qi[keep], place[keep]], self.vec[qi[keep], place[keep]] = s[keep], vec[keep]
+        self.full[touched] = np.minimum(self.k, np.searchsorted(qi, touched, "right") - np.searchsorted(qi, touched))
 
-
-def tails(m: np.ndarray) -> np.ndarray:
-    """Squared norm of each vector from every dimension on."""
-    square = m.astype(np.float64) ** 2
-    return np.r_[np.cumsum(square[::-1], 0)[::-1], np.zeros((1, m.shape[1]))]
+    def rows(self) -> pa.RecordBatch:
+        real = np.arange(self.k) < self.full[:, None]
+        columns = np.repeat(self.numbers, self.full), np.repeat(self.q.ids, self.full), self.vec[real], self.score[real]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["number", "query_id", "vec_id", "score"])
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", quantum: int = QUANTUM) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products over all candidates with another id.
 
-    Ties go to the smaller vec_id; fewer candidates give fewer rows; a candidate row that repeats counts each time, a query
-    row that repeats once; vectors of other lengths count as if filled up with zeros. Query blocks meet groups of candidate blocks task by task, a candidate block at a time, and send k rows a query
-    and group; the groups' rows meet in one small ranking for each query.
+    Ties go to the smaller vec_id; fewer candidates give fewer rows. A candidate row that repeats counts each time; a query row
+    that repeats counts once; query rows of one id and different vectors are queries of their own, each with ranks from 1 under
+    that id. Vectors of other lengths count as if filled up with zeros. Sums are exact at any size; a score beyond a long is
+    given, and ranked, as the nearest long. Empty tables give an empty result; other columns are ignored.
+
+    Queries pass through the driver in groups of SENT_BYTES; each group goes to all tasks, which scan the committed candidate
+    blocks and send out k rows a query.
     """
+    spark = queries.sparkSession
     c = Written(packed(candidates, id_col, vector_col, quantum), "candidates").df
     q = Written(packed(queries.select(id_col, vector_col).dropDuplicates(), id_col, vector_col, quantum), "queries").df
     n = c.count()
-    groups = max(1, -(-n // GROUP))
-    # groups by hash of the ids; a query block goes to each group, a candidate block to each query block
-    c = c.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    q = q.withColumn("b", F.xxhash64("ids"))
-    # numbers of query blocks come to the driver only while they are few; else blocks meet in a join on the group
-    blocks = [r["b"] for r in q.select("b").collect()] if q.count() <= 10_000 else None
-    spread = q.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("b", "g", F.lit(0).alias("side"), "ids", "dims", "data")
-    if blocks is not None:
-        again = c.withColumn("b", F.explode(F.array(*[F.lit(b) for b in blocks]))) if blocks else c.withColumn("b", F.lit(0).cast("long")).limit(0)
-    else:
-        again = c.join(q.select("b", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g")), "g")
-    met = spread.unionByName(again.select("b", "g", F.lit(1).alias("side"), "ids", "dims", "data"))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, best = None, None
-        for part in parts:
-            for row in part.itertuples(index=False):
-                ids, m = unpack(row)
-                if row.side == 0:
-                    if best is not None:
-                        yield best.rows()
-                    now, best = (row.b, row.g), Best(ids, m, k)
-                elif best is not None and (row.b, row.g) == now:
-                    best.meet(ids, m)
-        if best is not None:
-            yield best.rows()
-
-    # block rows are large: few to an Arrow batch
-    found = met.repartition("b", "g").sortWithinPartitions("b", "g", "side", "ids").mapInPandas(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    tasks = max(1, min(n, max(2 * spark.sparkContext.defaultParallelism, -(-n // TASK_BLOCKS))))
+    path, schema = new_path(spark, "found"), "number long, query_id long, vec_id long, score long"
+    spark.createDataFrame([], schema).write.parquet(path)
+
+    def search(group: list[tuple[int, bytes, int, bool, bytes]]) -> None:
+        sent = spark.sparkContext.broadcast(group)  # SENT_BYTES and a block at most
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = []
+            for first, *row in sent.value:
+                own = Block(*row, quantum)
+                best.append(Best(first + np.arange(len(own.ids)), own, k))
+            for b in batches:
+                for row in zip(*b.columns, strict=True):
+                    block = Block(*(x.as_py() for x in row), quantum)
+                    for own in best:
+                        own.meet(block)
+            for own in best:
+                yield own.rows()
+
+        c.repartition(tasks).mapInArrow(run, schema).write.mode("append").parquet(path)
+        sent.destroy()
+
+    group, first = [], 0
+    for row in q.toLocalIterator():
+        group.append((first, bytes(row.ids), row.dims, row.narrow, bytes(row.data)))
+        first += len(row.ids) // 8
+        if sum(len(x[4]) for x in group) >= SENT_BYTES:
+            search(group)
+            group = []
+    if group:
+        search(group)
+    order = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
+    found = spark.read.schema(schema).parquet(path)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

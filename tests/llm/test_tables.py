@@ -218,9 +218,25 @@ def test_top_k_matches_brute_force(spark, n, dims):
     assert topk.top_k_digest(df.limit(0)).count() == 0
 
 
-def test_top_k_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "GROUP", 2)
+@pytest.mark.parametrize("sent", [1, 32 << 20])
+def test_top_k_over_many_blocks_and_groups_of_queries(spark, monkeypatch, sent):
+    monkeypatch.setattr(topk, "SENT_BYTES", sent)
+    monkeypatch.setattr(topk, "BLOCK", 16)
     rng = np.random.default_rng(0)
-    rows = [(k, [float(np.float32(x)) for x in rng.normal(size=20)]) for k in range(300)]
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k_digest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(12)).collect())
+    rows = [(k, [float(np.float32(x)) for x in rng.normal(size=40) * (3 if k % 7 == 0 else 1)]) for k in range(300)]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k_digest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)).collect())
     assert got == plain_top(rows)
+
+
+def test_top_k_of_one_id_with_two_vectors_in_two_partitions(spark):
+    rows = [(20, [1.0, 0.0]), (1, [2.0, 5.0]), (20, [0.0, 1.0]), (2, [3.0, 1.0]), (3, [4.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1)).repartition(5)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k_digest(df).collect())
+    first, second = [(3, 4), (2, 3), (1, 2)], [(1, 5), (3, 2), (2, 1)]
+    assert got == sorted((20, n + 1, v, s * 4096) for own in (first, second) for n, (v, s) in enumerate(own))
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [0.0, 3.0]), (4, [0.0, 2.0]), (5, [2.0**40, -1.0])]
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k_digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (5, 2**63 - 1), (3, 3 * 4096), (4, 2 * 4096), (2, -(2**63) + 1)]
