@@ -189,6 +189,29 @@ def test_sentences_cover_the_text_and_cut_by_words(rng):
     assert {b" ".join(s[2]) for s in found[3:-1]} <= {b" ".join(s[2]) for s in shifted}
 
 
+def test_rows_of_one_id_lose_only_their_own_spans(spark, rng):
+    shared, own = prose(rng, 90), prose(rng, 90)
+    docs = documents(spark, [(0, shared), (1, own), (1, shared), (1, own)]).withColumnRenamed("lang", "_spans").withColumnRenamed("source", "_span_id")
+    out = substring_dedup.drop_repeated(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted([(0, shared), (1, own), (1, ""), (1, own)])
+
+
+def test_spans_name_the_first_document(spark, rng):
+    """Documents 5 and 7 are copies whose first half stands in 1 already; 9 holds the second half, which is first in 5."""
+    p, q = (prose(rng, 90).replace(" ", "  ") for _ in range(2))
+    rows = [(1, p), (5, p + "\n" + q), (7, p + "\n" + q), (9, prose(rng, 30) + "\n" + q)]
+    got = {(r["doc_id"], r["first_doc_id"]) for r in substring_dedup.repeated_spans(documents(spark, rows + ODD)).collect()}
+    assert got == {(5, 1), (7, 1), (9, 5)}
+
+
+def test_a_very_long_text_is_cut_to_its_end(spark, rng):
+    long = prose(rng, 30_000)
+    rows = [(1, long), (2, prose(rng, 40) + "\n" + long)]
+    (span,) = substring_dedup.repeated_spans(documents(spark, rows)).collect()
+    assert span["doc_id"] == 2 and span["end_sentence"] == span["n_sentences"] and span["first_sentence"] < 40
+
+
 def test_spans_of_an_empty_table(spark):
     assert substring_dedup.repeated_spans(documents(spark, []).limit(0)).count() == 0
 
