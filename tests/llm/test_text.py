@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -95,6 +97,39 @@ def test_licenses_match_their_sql(spark):
     assert by_id[9001]["n_words"] == 0 and by_id[9001]["labels"] == "" and by_id[9001]["first_word"] is None
 
 
+def plain_parts(text):
+    """label -> the largest part of a template that a window of it holds, if the threshold is met; every window is looked at."""
+    words = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    out = {}
+    for template, label in licenses.TEMPLATES:
+        own = licenses.notice(template)
+        size = len(own) + len(own) // 4
+        most = max((len(set(own) & set(words[at : at + size])) for at in range(len(words))), default=0)
+        if most >= licenses.least_words(len(set(own)), 0.9):
+            out[label] = max(out.get(label, 0), most / len(set(own)))
+    return out
+
+
+def test_notices_are_found_in_windows_across_lines(spark, rng):
+    """Whole notices, wrapped, with words lost and put in, cut into others and scattered over much text, against every window."""
+    rows = []
+    for template, _ in licenses.TEMPLATES:
+        w = template.split()
+        wrapped = "\n".join(" ".join(w[k : k + 6]) for k in range(0, len(w), 6))
+        lost = [x for x in w if rng.random() > 0.08]
+        filled = [y for x in w for y in ([x, rng.choice(["ba", "ce", "di"])] if rng.random() < 0.15 else [x])]
+        far = " ".join(x + " " + prose(rng, 30) for x in w)
+        rows += [prose(rng, 400) + "\n" + wrapped + "\n" + prose(rng, 400), prose(rng, 30) + " " + " ".join(lost), " ".join(filled) + prose(rng, 10), far]
+    rows = list(enumerate(rows))
+    got = {r["doc_id"]: (r["labels"], r["score"], r["base_labels"]) for r in licenses.license_digest(documents(spark, rows + ODD)).collect()}
+    for i, t in rows:
+        want = plain_parts(t)
+        labels = set(want) | set(got[i][2].split(",")) - {""}
+        assert got[i][0] == ",".join(sorted(labels)), i
+        assert got[i][1] == pytest.approx(1.0 if got[i][2] else max(want.values(), default=0.0))
+    assert all(got[4 * k][0] for k in range(len(licenses.TEMPLATES))) and not any(got[4 * k + 3][0] for k in range(len(licenses.TEMPLATES)))
+
+
 def test_license_scan_with_clashing_columns(spark):
     docs = documents(spark, [(1, "under the mit license")]).withColumnRenamed("lang", "score").withColumnRenamed("source", "labels")
     row = licenses.scan(docs).first()
