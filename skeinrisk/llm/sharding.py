@@ -8,7 +8,7 @@ where any row number went. DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Written
@@ -55,54 +55,60 @@ def walk(x: Column, n: int, seed: int, steps: int) -> Column:
 
 
 def numbered(df: DataFrame, keys: list[str], tag: str) -> tuple[DataFrame, int]:
-    """Adds ``_row``, the row's rank from 0 by ``keys`` (nulls first), over all rows, without one task seeing them all.
+    """Adds ``__skein_row``, the row's rank from 0 by ``keys`` (nulls first), over all rows, without one task seeing them all.
 
     Rows are range-partitioned with their place in the input as last key, so that a key that many rows share is split. The
     partitions are written with each row's place in them; their sizes, one row a partition, give the offsets. Rows that
     agree in all keys may swap numbers.
     """
     place = F.monotonically_increasing_id()
-    ranged = df.withColumn("_place", place).repartitionByRange(*[F.col(k) for k in keys], F.col("_place"))
-    ranged = ranged.sortWithinPartitions(*keys, "_place").drop("_place")
+    ranged = df.withColumn("__skein_place", place).repartitionByRange(*[F.col(k) for k in keys], F.col("__skein_place"))
+    ranged = ranged.sortWithinPartitions(*keys, "__skein_place").drop("__skein_place")
     at = F.monotonically_increasing_id()
     stored = Written(
-        ranged.withColumn("_part", F.shiftright(at, 33).cast("int")).withColumn("_at", at.bitwiseAND((1 << 33) - 1)), tag
+        ranged.withColumn("__skein_part", F.shiftright(at, 33).cast("int")).withColumn("__skein_at", at.bitwiseAND((1 << 33) - 1)), tag
     ).df
-    sizes = stored.groupBy("_part").agg(F.count("*").alias("_n"))
     # one row for each partition of the sort: bounded by the number of partitions, not by the data
-    found = sorted((r["_part"], r["_n"]) for r in sizes.collect())
-    offsets, total = [], 0
-    for part, n in found:
-        offsets.append((part, total))
-        total += n
-    if not found:
-        return stored.withColumn("_row", F.lit(0).cast("long")).drop("_part", "_at"), 0
-    # offsets as a literal array by partition number: one long for each partition
-    by_part = dict(offsets)
-    lookup = F.array(*[F.lit(by_part.get(p, 0)).cast("long") for p in range(max(by_part) + 1)])
-    return stored.withColumn("_row", F.get(lookup, F.col("_part")) + F.col("_at")).drop("_part", "_at"), total
+    sizes = Written(stored.groupBy("__skein_part").agg(F.count("*").alias("__skein_n")), f"{tag}-sizes").df
+    total = sizes.agg(F.coalesce(F.sum("__skein_n"), F.lit(0))).first()[0]
+    before = F.sum("__skein_n").over(Window.orderBy("__skein_part")) - F.col("__skein_n")
+    offsets = F.broadcast(sizes.select(F.col("__skein_part"), before.alias("__skein_before")))
+    return stored.join(offsets, "__skein_part").withColumn("__skein_row", F.col("__skein_before") + F.col("__skein_at")).drop("__skein_part", "__skein_at", "__skein_before"), total
+
+
+def row_keys(df: DataFrame, id_col: str, text_col: str) -> dict[str, Column]:
+    """Columns that order rows by what they hold: the id, a hash of the text, and one of all else, of whatever types."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)]
+    return {"__skein_id": F.col(id_col), "__skein_text": F.xxhash64(text_col), "__skein_rest": F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0)}
+
+
+def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``shard_rows`` for documents with any other columns: rows are ordered by ``row_keys``, so those that still tie are equal."""
+    docs = docs.drop("shard", "slot")
+    keys = row_keys(docs, id_col, text_col)
+    return shard_rows(docs.withColumns(keys), list(keys), shards).drop(*keys)
 
 
 def shard_rows(df: DataFrame, keys: list[str], shards: int, seed: int = 20240229) -> DataFrame:
     """All rows and columns of ``df`` with ``shard`` (int, 0 to shards-1) and ``slot`` (long, gapless from 0 in each shard).
 
-    keys: columns that order the rows; the result depends on the rows and ``seed`` only, not on files or partitions.
-    Nulls in keys sort first; equal rows each have a slot of their own; an empty table gives an empty result; columns named
-    ``shard`` or ``slot`` are replaced.
+    keys: columns that order the rows; the result depends on the rows and ``seed`` only, not on files or partitions, if rows
+    that agree in all keys are equal. Nulls in keys sort first; equal rows each have a slot of their own; texts of any length
+    are moved whole; an empty table gives an empty result; columns named ``shard`` or ``slot`` are replaced.
     """
     df = df.drop("shard", "slot")
     rows, n = numbered(df, keys, "numbered")
     if not n:
-        return rows.drop("_row").withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
+        return rows.drop("__skein_row").withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
     steps = 4
     # on average 1 in sqrt(n) values walks on, so 4 passes nearly always do; the largest value tells
-    while rows.agg(F.max(walk(F.col("_row"), n, seed, steps))).first()[0] >= n:
+    while rows.agg(F.max(walk(F.col("__skein_row"), n, seed, steps))).first()[0] >= n:
         steps *= 2
-    out = rows.withColumn("_row", walk(F.col("_row"), n, seed, steps))
+    out = rows.withColumn("__skein_row", walk(F.col("__skein_row"), n, seed, steps))
     return (
-        out.withColumn("shard", F.pmod(F.col("_row"), F.lit(shards)).cast("int"))
-        .withColumn("slot", F.floor(F.col("_row") / shards).cast("long"))
-        .drop("_row")
+        out.withColumn("shard", F.pmod(F.col("__skein_row"), F.lit(shards)).cast("int"))
+        .withColumn("slot", F.floor(F.col("__skein_row") / shards).cast("long"))
+        .drop("__skein_row")
     )
 
 
