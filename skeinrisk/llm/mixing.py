@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, small, written
+from .common import WORD, Written, small, written
+from .sharding import numbered
 
 #: Bits of the hash line, and bits that one histogram resolves.
 LINE_BITS, STEP_BITS = 63, 12
@@ -21,11 +22,42 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Parts into which the rows that repeat one id and text are dealt to be numbered.
+PARTS = 64
+
+
 def place(*cols: Column) -> Column:
     """A row's place on the hash line, 0 to 2**63 - 1."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 1)
 
 
+def repeated(rows: DataFrame, at: Column) -> DataFrame:
+    """(_mix_k): the places that several rows have, which are those that repeat an id and text."""
+    return Written(rows.groupBy(at.alias("_mix_k")).agg(F.count("*").alias("_n")).where("_n > 1").select("_mix_k"), "mix-again").df
+
+
+def told_apart(rows: DataFrame, at: str, again: DataFrame) -> DataFrame:
+    """``rows``, where of those at one place the second, third and so on get a place of their own by their number, so that they
+    aren't all on one side of a threshold.
+
+    The rows that repeat are dealt into parts, numbered in each, and start where the parts before end; no other row is moved.
+    """
+    if again.isEmpty():
+        return rows
+    again = small(again)
+    one = rows.join(again, F.col(at) == F.col("_mix_k"), "left_anti")
+    many = rows.join(again, F.col(at) == F.col("_mix_k"), "left_semi").withColumn("_mix_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+    many = written(many, "mix-many")
+    sizes = many.groupBy(at, "_mix_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(at).orderBy("_mix_part")) - F.col("_n")  # PARTS rows at most
+    starts = sizes.select(F.col(at).alias("_a"), F.col("_mix_part").alias("_p"), before.alias("_start"))
+    own = F.row_number().over(Window.partitionBy(at, "_mix_part").orderBy(F.lit(0))) - 1
+    many = many.withColumn("_mix_n", own).join(starts, (F.col(at) == F.col("_a")) & (F.col("_mix_part") == F.col("_p")))
+    number = F.col("_start") + F.col("_mix_n")
+    many = many.withColumn(at, F.when(number == 0, F.col(at)).otherwise(place(F.col(at), number)))
+    return one.unionByName(many.select(*rows.columns))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """sizes(source, source_size), one row a source -> with ``target``.
 
@@ -33,9 +65,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     ``most`` times its source's size; what is over goes to the others by weight, until none is above. Only sums over the
     sources come to the driver.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))  # one row a source
-    cyclic = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    sources = written(sizes.withColumn("_w", cyclic).withColumn("_cap", F.lit(float(most)) * F.col("source_size")), "sources")
+    ranked, _ = numbered(sizes.withColumn("_none", F.col("source").isNull()), ["_none", "source"], "sources")
+    cyclic = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("__skein_row"), F.lit(len(weights))) + 1).cast("int"))
+    sources = written(ranked.select("source", "source_size", cyclic.alias("_w"), (F.lit(float(most)) * F.col("source_size")).alias("_cap")), "sources")
     budget = share * float(sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
     level, full = 0.0, -1
     while True:
@@ -97,12 +129,14 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return written(out.select("g.source", "g.source_size", "g.target", "g.whole", F.coalesce("e.upto", none).alias("upto")), "mix-plan")
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """(rows(doc_id, source, size, at), thresholds a source) of a mix over all documents; one pass over the texts."""
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows(doc_id, source, size, at), thresholds a source, places that repeat) of a mix over all documents; one pass over the texts."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), place(F.col(id_col), F.col(text_col)).alias("at"))
     rows = written(rows, "mix-rows")
+    again = repeated(rows, F.col("at"))
+    rows = told_apart(rows, "at", again)
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    return rows, thresholds(rows, goals)
+    return rows, thresholds(rows, goals), again
 
 
 def times(whole: Column, upto: Column, at: Column) -> Column:
@@ -112,11 +146,11 @@ def times(whole: Column, upto: Column, at: Column) -> Column:
 def mix_digest(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target (of its source) and taken: the words that the mix takes of the document.
 
-    Documents are taken whole, 0, 1 or 2 times. Null texts have size 0; null sources form one source; repeated rows of one
-    id and text share a place and are taken alike; an empty table gives an empty result. The choice depends on ids, texts
-    and sources only.
+    Documents are taken whole, 0, 1 or 2 times, texts of any length. Null texts have size 0; null sources form one source; rows
+    that repeat an id and text each have a place of their own; an empty table gives an empty result; other columns are ignored.
+    The choice depends on ids, texts and sources only.
     """
-    rows, ends = plan(docs, **how)
+    rows, ends, _ = plan(docs, **how)
     rows, ends = rows.alias("r"), small(ends).alias("e")
     out = rows.join(ends, F.col("r.source").eqNullSafe(F.col("e.source")))
     return out.select("r.doc_id", "r.size", "e.source_size", "e.target", (F.col("r.size") * times(F.col("e.whole"), F.col("e.upto"), F.col("r.at"))).alias("taken"))
@@ -128,9 +162,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Texts aren't moved: each row finds its source's threshold by a join on the source and is kept, repeated or dropped where
     it is. Nulls, ties and empty tables as in ``mix_digest``; extra columns of any name pass through.
     """
-    _, ends = plan(docs, id_col, text_col, source_col, **how)
+    _, ends, again = plan(docs, id_col, text_col, source_col, **how)
     ends = small(ends.select(F.col("source").alias("_mix_source"), F.col("whole").alias("_mix_whole"), F.col("upto").alias("_mix_upto")))
-    out = docs.join(ends, F.col(source_col).eqNullSafe(F.col("_mix_source")))
-    n = times(F.col("_mix_whole"), F.col("_mix_upto"), place(F.col(id_col), F.col(text_col)))
+    own = docs.withColumn("_mix_at", place(F.col(id_col), F.col(text_col)))
+    out = told_apart(own, "_mix_at", again).join(ends, F.col(source_col).eqNullSafe(F.col("_mix_source")))
+    n = times(F.col("_mix_whole"), F.col("_mix_upto"), F.col("_mix_at"))
     out = out.withColumn("_mix_n", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))))
     return out.select(*docs.columns)
