@@ -77,23 +77,27 @@ def split_records(read, size: int = CHUNK) -> Iterator[bytes]:
         held += more
 
 
-def normalise(path: str, out: str) -> tuple[int, int]:
+def normalise(path: str, out: str, per_range: int = READ_RECORDS) -> tuple[int, int, list[int]]:
     """A gzip archive, of one stream or many -> a member for each record in ``out`` and an index in ``out``.idx.
 
-    The index is a line of JSON for each record: offset, length, page_id. -> (records, bytes of the archive)
+    The index is a line of JSON for each record: offset, length, page_id. -> (records, bytes of the archive, places in the
+    index at which every ``per_range`` records begin, and its end)
     """
     fs, own = store(path)
     to, target = store(out)
-    at = n = 0
+    at = n = place = 0
+    marks = []
     with fs.open_input_stream(own, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream, to.open_output_stream(target, compression=None) as sink, to.open_output_stream(target + ".idx", compression=None) as index:
         for rec in split_records(stream.read):
             member = gzip.compress(rec, 6, mtime=0)
             page = headers(rec[: rec.find(b"\r\n\r\n")]).get("x-page-id", "")
             sink.write(member)
-            index.write((json.dumps({"offset": at, "length": len(member), "page_id": page}) + "\n").encode())
-            at += len(member)
-            n += 1
-    return n, at
+            line = (json.dumps({"offset": at, "length": len(member), "page_id": page}) + "\n").encode()
+            index.write(line)
+            if n % per_range == 0:
+                marks.append(place)
+            at, n, place = at + len(member), n + 1, place + len(line)
+    return n, at, [*marks, place]
 
 
 def parse(rec: bytes) -> tuple[int | None, int, str, str, int | None]:
@@ -156,37 +160,50 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     return Written(rows.mapInArrow(run, "path string, records long"), "manifest").df
 
 
+def spread(rows: DataFrame, most: int) -> DataFrame:
+    """Rows that each stand for much work, over enough tasks for all cores, with at most about ``most`` of them a task.
+
+    The number is named: by the bytes of these short rows, adaptive execution would put them all in one task.
+    """
+    n = rows.count()
+    return rows.repartition(max(1, min(n, 4 * rows.sparkSession.sparkContext.defaultParallelism), -(-n // most)))
+
+
 def normalise_archives(manifest: DataFrame) -> DataFrame:
-    """(path, records) of monolithic archives -> (path, records) of normalised ones, committed; an archive is one task's."""
+    """(path, records) of monolithic archives -> (path, records, marks) of normalised ones, committed; an archive is one task's.
+
+    marks: places in the archive's index at which READ_RECORDS records begin, and its end.
+    """
+    per_range = READ_RECORDS
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             done = []
             for path, records in zip(part["path"], part["records"], strict=True):
                 out = f"{path.removesuffix('.warc.gz')}-{uuid.uuid4().hex[:8]}.members.warc.gz"
-                n, _ = normalise(path, out)
+                n, _, marks = normalise(path, out, per_range)
                 if n != records:
                     raise ValueError(f"{path} holds {n} records; {records} were written")
-                done.append((out, n))
-            yield pd.DataFrame(done, columns=["path", "records"])
+                done.append((out, n, marks))
+            yield pd.DataFrame(done, columns=["path", "records", "marks"])
 
-    n = max(1, manifest.count())
-    spread = manifest.repartition(min(n, 4096), F.xxhash64("path"))
-    return Written(spread.mapInPandas(run, "path string, records long"), "members").df
+    return Written(spread(manifest, 4).mapInPandas(run, "path string, records long, marks array<long>"), "members").df
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """Normalised archives -> one row a record: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
-    A task takes READ_RECORDS records of an archive: it reads the index, seeks, and inflates only its own members.
+    READ_RECORDS records of an archive are read together: their part of the index, then a seek to each member, which is inflated
+    alone.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for path, first in zip(part["path"], part["first"], strict=True):
+            for path, begin, end in zip(part["path"], part["begin"], part["end"], strict=True):
                 fs, own = store(path)
-                with fs.open_input_stream(own + ".idx", compression=None) as f:
-                    index = [json.loads(x) for x in f.read().decode().splitlines()[first : first + READ_RECORDS]]
+                with fs.open_input_file(own + ".idx") as f:
+                    f.seek(begin)
+                    index = [json.loads(x) for x in f.read(end - begin).decode().splitlines()]
                 rows = []
                 with fs.open_input_file(own) as f:
                     for x in index:
@@ -195,8 +212,9 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
                 yield out.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
 
-    ranges = manifest.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("records") - 1, F.lit(0)), F.lit(READ_RECORDS).cast("long"))).alias("first"))
-    return ranges.repartition(F.col("path"), F.col("first")).mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    ends = F.slice("marks", F.lit(2), F.size("marks"))
+    ranges = manifest.where("records > 0").select("path", F.explode(F.arrays_zip(F.slice("marks", F.lit(1), F.size("marks") - 1).alias("begin"), ends.alias("end"))).alias("r"))
+    return spread(ranges.select("path", "r.begin", "r.end"), 64).mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -204,7 +222,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Of equal payloads of at least REVISIT_BYTES bytes, rows with the largest page_id are responses and all others revisits of
     it; smaller ones are responses. A null payload is empty; a null page_id is smaller than any other; rows that repeat the
-    largest page_id are all responses; an empty table gives an empty result.
+    largest page_id are all responses; an empty table gives an empty result; other columns are ignored. A payload is held in memory
+    whole while its record is written or read, and may have up to 2 GB, as a Spark value may.
     """
     folder = new_path(pages.sparkSession, "warc")
     written_ = write_archives(planned(pages, id_col, url_col, payload_col), folder)

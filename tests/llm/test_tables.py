@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from skeinrisk.llm import mixing, sharding, topk, url_filter, warc
@@ -14,6 +15,49 @@ from skeinrisk.llm import mixing, sharding, topk, url_filter, warc
 from .conftest import ODD, documents, prose
 
 
+def plain_hash(*values):
+    """Spark's xxhash64 of longs, ints and strings, in Python: each value's hash is the next one's seed."""
+    h = 42
+    for kind, v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if kind == "s" else v.to_bytes({"l": 8, "i": 4}[kind], "little", signed=True), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def plain_walk(x, n, seed):
+    """The permutation, step by step: Feistel rounds over two digits, again while the value is n or more."""
+    a, b = sharding.radices(n)
+    while True:
+        high, low = divmod(x, b)
+        for key in sharding.ROUND_KEYS:
+            high = (high + plain_hash(("l", low), ("l", key), ("i", seed)) % a) % a
+            low = (low + plain_hash(("l", high), ("l", key), ("i", ~seed)) % b) % b
+        x = high * b + low
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 7, 100, 1000])
+def test_walk_matches_a_plain_feistel_network(spark, n):
+    got = {r[0]: r[1] for r in spark.range(n).select("id", sharding.walk(F.col("id"), n, 20240229, 64)).collect()}
+    assert got == {k: plain_walk(k, n, 20240229) for k in range(n)}
+
+
+def test_digest_matches_brute_force(spark, rng):
+    rows = [(k, prose(rng, rng.randint(0, 9))) for k in range(230)]
+    got = {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard_digest(documents(spark, rows).repartition(5)).collect()}
+    assert got == {(k, plain_walk(k, 230, 20240229) % 40, plain_walk(k, 230, 20240229) // 40) for k in range(230)}
+
+
+def test_documents_alike_but_for_the_text_keep_their_shards(spark):
+    """Whatever the input's partitions; a map column and a clashing one pass through."""
+    rows = [(7, f"text {k}", {"a": k % 2}, k % 3) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>, _row int")
+    out = [sorted((r["text"], r["_row"], r["shard"], r["slot"]) for r in sharding.shard_documents(docs.repartition(n).orderBy(F.rand(n)), 4).collect()) for n in (1, 3, 6)]
+    assert out[0] == out[1] == out[2] and len(out[0]) == 50
+    assert sharding.shard_documents(docs.limit(0), 4).columns == [*docs.columns, "shard", "slot"]
+
+
 def test_feistel_permutes(spark):
     for n in (1, 2, 7, 100, 1000):
         a, b = sharding.radices(n)
@@ -95,6 +139,32 @@ def test_mix_reaches_its_targets(spark, rng):
     assert sorted((r["doc_id"] or 0, r["taken"]) for r in out) == sorted((r["doc_id"] or 0, r["taken"]) for r in again)
 
 
+def test_mix_takes_the_rows_below_each_threshold(spark, rng):
+    """Rows in order of their places: taken once more up to where the sum comes nearest to what the target leaves."""
+    rows = [(k, prose(rng, rng.randint(1, 60)), "en", rng.choice("abc"), 1) for k in range(400)] + [(900, "lone words", "en", "d", 1)]
+    got = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix_digest(documents(spark, rows)).collect()}
+    sizes, own = {}, {}
+    for i, t, _, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+        own.setdefault(s, []).append(((plain_hash(("l", i), ("s", t)) % 2**64) >> 1, len(t.split()), i))
+    for s, target in plain_targets(sizes).items():
+        whole = int(target // sizes[s])
+        left, total = target - whole * sizes[s], 0
+        for _, n, i in sorted(own[s]):
+            more = left > 0 and total + n - left < left - total if total + n > left else True
+            assert got[i] == whole + more, (s, i)
+            total = total + n if total <= left else math.inf
+
+
+@pytest.mark.parametrize("n", [40, 400])
+def test_a_source_of_one_repeated_row_meets_its_target(spark, n):
+    rows = [(1, "ten words " * 5, "en", "a", 1)] * n + [(k, "ten words " * 5, "en", "b", 1) for k in range(100, 100 + n)]
+    docs = documents(spark, rows)
+    out = mixing.mix_digest(docs).groupBy((F.col("doc_id") == 1).alias("a")).agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(out) == 2 and all(abs(r["taken"] - r["target"]) <= 10 for r in out)
+    assert mixing.mix(docs).count() == sum(r["taken"] for r in out) // 10
+
+
 def test_mix_repeats_rows(spark, rng):
     docs = documents(spark, [(k, prose(rng, 20), "en", "ab"[k % 2], 1) for k in range(200)]).withColumnRenamed("lang", "target")
     out = mixing.mix(docs)
@@ -181,16 +251,35 @@ def test_warc_round_trip(spark, rng):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_over_many_archives_and_ranges(spark, rng, monkeypatch):
+    """Archives that roll over, and more than one range of records in each; a payload beyond a chunk."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "READ_RECORDS", 4)
+    rows = [(k, f"http://x/{k}", prose(rng, 200), "own") for k in range(120)] + [(500, "http://long", "z" * 3_000_000, "own")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").coalesce(2)
+    folder = warc.new_path(spark, "warc-test")
+    written = warc.write_archives(warc.planned(pages, "page_id", "url", "html"), folder)
+    assert written.count() >= 6
+    members = warc.normalise_archives(written)
+    assert members.where("size(marks) > 2").count() >= 6
+    read = warc.read_archives(members)
+    assert read.rdd.getNumPartitions() >= 8
+    got = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in read.collect())
+    assert got == sorted((i, len(t), hashlib.sha1(t.encode()).hexdigest(), "response") for i, _, t, _ in rows)
+
+
 def test_normaliser_makes_members_and_an_index(tmp_path, rng):
     recs = [warc.record("response", k, "http://x", prose(rng, 50).encode(), "d", 1, None) for k in range(40)]
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(recs)))
-    n, size = warc.normalise(str(tmp_path / "a.warc.gz"), str(tmp_path / "b.warc.gz"))
+    n, size, marks = warc.normalise(str(tmp_path / "a.warc.gz"), str(tmp_path / "b.warc.gz"), 15)
     data = (tmp_path / "b.warc.gz").read_bytes()
     assert n == 40 and size == len(data) and gzip.decompress(data) == b"".join(recs)
     import json
 
     index = [json.loads(x) for x in (tmp_path / "b.warc.gz.idx").read_text().splitlines()]
     assert [gzip.decompress(data[x["offset"] : x["offset"] + x["length"]]) for x in index] == recs
+    lines = (tmp_path / "b.warc.gz.idx").read_bytes()
+    assert [len(lines[a:b].splitlines()) for a, b in zip(marks, marks[1:])] == [15, 15, 10] and marks[-1] == len(lines)
     (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(recs)[:-30]))
     with pytest.raises(ValueError, match="ends within"):
         warc.normalise(str(tmp_path / "c.warc.gz"), str(tmp_path / "d.warc.gz"))
