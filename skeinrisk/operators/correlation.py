@@ -17,16 +17,22 @@ def complete_dates(returns: DataFrame) -> DataFrame:
 def average_pairwise(returns: DataFrame, window: int = 60, every: int = 5) -> DataFrame:
     """(dt, avg_corr): mean correlation of all ticker pairs over the ``window`` rows before dt, every ``every`` rows.
 
-    Pairs are a theta join of tickers (a < b) on equal dates; each pair's windows run in a partition of their own.
+    Pairs aren't made: over a window, the sum of n standardised series has the variance n + n (n - 1) times their mean
+    correlation, and that variance is the sum over dates of the squared sum of z. Each date counts in ``window`` windows, so the
+    work is linear in tickers; a series that doesn't move in a window has no correlation and leaves its window's pairs.
     """
     days = complete_dates(returns)
-    a, b = (days.select("dt", F.col("ticker").alias(x), F.col("r").alias(f"r{x}")) for x in "ab")
-    pairs = a.join(b, "dt").where("a < b")
-    own = Window.partitionBy("a", "b").orderBy("dt")
+    own = Window.partitionBy("ticker").orderBy("dt")
     before = own.rowsBetween(-window, -1)
-    pairs = pairs.withColumn("i", F.row_number().over(own) - 1).withColumn("c", correlation(F.col("ra"), F.col("rb"), before))
-    kept = pairs.where((F.col("i") >= window) & ((F.col("i") - window) % every == 0))
-    return kept.groupBy("dt").agg(F.avg("c").alias("avg_corr"))
+    rows = days.withColumn("i", F.row_number().over(own) - 1).withColumn("past", F.collect_list("r").over(before))
+    kept = rows.where((F.col("i") >= window) & ((F.col("i") - window) % every == 0))
+    mean = F.aggregate("past", F.lit(0.0), lambda a, x: a + x) / window
+    kept = kept.withColumn("past", F.transform("past", lambda x: x - mean))
+    norm = F.sqrt(F.aggregate("past", F.lit(0.0), lambda a, x: a + x * x))
+    kept = kept.withColumn("norm", norm).where("norm > 0").select("dt", F.posexplode("past").alias("k", "x"), "norm")
+    summed = kept.groupBy("dt", "k").agg(F.sum(F.col("x") / F.col("norm")).alias("s"), F.count("*").alias("n"))
+    whole = summed.groupBy("dt").agg(F.sum(F.col("s") * F.col("s")).alias("v"), F.max("n").alias("n")).where("n > 1")
+    return whole.select("dt", ((F.col("v") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("avg_corr"))
 
 
 def multi_window(returns: DataFrame, a: str, b: str, windows: tuple[int, ...] = (20, 60, 252), every: int = 5) -> DataFrame:

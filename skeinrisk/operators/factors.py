@@ -94,7 +94,7 @@ DECOMPOSITION_SCHEMA = "portfolio string, kind string, name string, weight_pct d
 
 
 def _books(returns: DataFrame, weights: DataFrame, factors: DataFrame) -> DataFrame:
-    return joined(returns, factors).join(F.broadcast(weights.where("w > 0")), "ticker")
+    return joined(returns, factors).join(weights.where("w > 0"), "ticker")
 
 
 def decomposition(returns: DataFrame, weights: DataFrame, factors: DataFrame, lookback: int = 252) -> DataFrame:

@@ -7,6 +7,7 @@ a backtest's windows, so its size doesn't grow with the number of series.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,17 +24,17 @@ def _finite(x: float) -> float | None:
     return float(x) if x is not None and math.isfinite(x) else None
 
 
-def garch_var_es(r: np.ndarray, leverage: bool, p: float = P) -> tuple[float, float, float | None]:
-    """(VaR, ES, nu) from a fit to returns in percent; EWMA where it fails."""
-    try:
-        fit = nm.fit_garch(r * 100, leverage)
-        sigma, nu = float(fit["sigma"][0]) / 100, float(fit["nu"][0])
-        if not math.isfinite(sigma) or sigma <= 0:
-            raise ValueError("no variance")
-    except (ValueError, FloatingPointError, np.linalg.LinAlgError):
-        sigma, nu = nm.ewma_sigma(r), math.inf
-    var, es = nm.standardised_t_var_es(sigma, p, nu)
-    return min(var, 100.0), min(es, 100.0), _finite(nu)
+def garch_forecasts(windows: np.ndarray, leverage: bool, p: float = P, start: np.ndarray | None = None) -> list[tuple[float, float, float | None]]:
+    """(VaR, ES, nu) of each row of returns, all fitted together; EWMA where a fit gives no variance."""
+    with np.errstate(all="ignore"):
+        fit = nm.fit_garch(windows * 100, leverage, **({} if start is None else {"start": start, "step": 0.15}))
+    out = []
+    for r, sigma, nu in zip(windows, fit["sigma"] / 100, fit["nu"], strict=True):
+        if not (math.isfinite(sigma) and sigma > 0 and math.isfinite(nu)):
+            sigma, nu = nm.ewma_sigma(r), math.inf
+        var, es = nm.standardised_t_var_es(float(sigma), p, float(nu))
+        out.append((min(var, 100.0), min(es, 100.0), _finite(nu)))
+    return out
 
 
 def year_ahead(r: np.ndarray, q: float = 0.10) -> tuple[float | None, float | None, float | None]:
@@ -47,19 +48,46 @@ def year_ahead(r: np.ndarray, q: float = 0.10) -> tuple[float | None, float | No
     return var, es, nu if nu > 2 else None
 
 
-RISK_SCHEMA = "ticker string, n long, var_garch double, es_garch double, nu_garch double, var_gjr double, es_gjr double, nu_gjr double, var_evt double, es_evt double, var_year double, es_year double, nu_year double"
-
-
-def asset_models(returns: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row a ticker: GARCH-t, GJR-t and extreme-value VaR and ES over the last ``window`` rows, year-ahead loss over all."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.sort_values("dt")["r"].to_numpy(float)
-        recent = r[-window:]
-        out = (*garch_var_es(recent, False), *garch_var_es(recent, True), *nm.var_es_evt(recent), *year_ahead(r))
-        return pd.DataFrame([(pdf["ticker"].iloc[0], len(r), *out)], columns=[c.split()[0] for c in RISK_SCHEMA.split(", ")])
-
-    return spread(returns.where("r IS NOT NULL"), "ticker").groupBy("ticker").applyInPandas(run, RISK_SCHEMA)
+#: What each model gives: VaR and ES, and the t's degrees of freedom.
+MODELS = {"garch": ("var_garch", "es_garch", "nu_garch"), "gjr": ("var_gjr", "es_gjr", "nu_gjr"), "evt": ("var_evt", "es_evt"), "year": ("var_year", "es_year", "nu_year")}
+
+
+def asset_models(returns: DataFrame, window: int = WINDOW, which: tuple[str, ...] = tuple(MODELS), together: int = 64) -> DataFrame:
+    """One row a ticker: (ticker, n, and the columns of ``which`` in MODELS): GARCH-t, GJR-t and extreme-value VaR and ES over the
+    last ``window`` rows, year-ahead loss over all. Up to ``together`` series of a task are fitted together."""
+    names = ["ticker", "n", *[c for m in which for c in MODELS[m]]]
+
+    def fitted(series: dict[str, np.ndarray]) -> pd.DataFrame:
+        found: dict[str, list] = {t: [t, len(r)] for t, r in series.items()}
+        sizes: dict[int, list[str]] = {}
+        for t, r in series.items():
+            sizes.setdefault(min(len(r), window), []).append(t)
+        for m in which:
+            for tickers in sizes.values():
+                if m in ("garch", "gjr"):
+                    rows = garch_forecasts(np.stack([series[t][-window:] for t in tickers]), m == "gjr")
+                elif m == "evt":
+                    rows = [nm.var_es_evt(series[t][-window:]) for t in tickers]
+                else:
+                    rows = [year_ahead(series[t]) for t in tickers]
+                for t, row in zip(tickers, rows, strict=True):
+                    found[t] += row
+        return pd.DataFrame(list(found.values()), columns=names)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[np.ndarray]] = {}  # a series may go on in the next batch
+        for part in parts:
+            for t, own in part.groupby("ticker", sort=False):
+                if t not in held and len(held) == together:
+                    yield fitted({k: np.concatenate(v) for k, v in held.items()})
+                    held = {}
+                held.setdefault(t, []).append(own["r"].to_numpy(float))
+        if held:
+            yield fitted({k: np.concatenate(v) for k, v in held.items()})
+
+    schema = ", ".join(f"{c} {'string' if c == 'ticker' else 'long' if c == 'n' else 'double'}" for c in names)
+    rows = spread(returns.where("r IS NOT NULL AND ticker IS NOT NULL").select("ticker", "dt", "r"), "ticker")
+    return rows.sortWithinPartitions("ticker", "dt").mapInPandas(run, schema)
 
 
 def garch_residuals(returns: DataFrame) -> DataFrame:
@@ -99,8 +127,7 @@ def rolling_forecasts(series: DataFrame, model: str, lookback: int = WINDOW, chu
             # neighbouring windows differ by a row: all start from the fit of the middle one
             leverage, middle = model == "gjr", windows[len(windows) // 2]
             warm = nm.fit_garch(middle * 100, leverage)["p"]
-            fit = nm.fit_garch(windows * 100, leverage, rounds=70, start=np.repeat(warm, len(windows), 0), step=0.15)
-            var = np.array([min(nm.standardised_t_var_es(s / 100, p, v)[0], 100.0) for s, v in zip(fit["sigma"], fit["nu"], strict=True)])
+            var = np.array([x[0] for x in garch_forecasts(windows, leverage, p, np.repeat(warm, len(windows), 0))])
         at = [i - i0 for i in targets]
         return pd.DataFrame({key: pdf[key].iloc[0], "dt": pdf["dt"].to_numpy()[at], "r": r[at], "var": var})
 

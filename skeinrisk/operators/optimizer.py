@@ -124,7 +124,7 @@ def _inputs(pdf: pd.DataFrame, window: int):
 
 def _rows(returns: DataFrame, weights: DataFrame, market: str) -> DataFrame:
     m = returns.where(F.col("ticker") == market).select("dt", F.col("r").alias("m"))
-    return returns.join(F.broadcast(weights), "ticker").join(F.broadcast(m), "dt", "left")
+    return returns.join(weights, "ticker").join(F.broadcast(m), "dt", "left")
 
 
 def variants(returns: DataFrame, weights: DataFrame, market: str, window: int = 1000) -> DataFrame:

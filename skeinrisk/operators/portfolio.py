@@ -27,8 +27,8 @@ def book_returns(returns: DataFrame, weights: DataFrame, least: int = 252) -> Da
     """(portfolio, dt, r): weighted return on the dates that all of the book's surviving tickers have."""
     kept = survivors(returns, weights, least)
     need = kept.groupBy("portfolio").agg(F.count("*").alias("need"))
-    daily = returns.join(F.broadcast(kept), "ticker").groupBy("portfolio", "dt").agg(F.sum(F.col("r") * F.col("w_norm")).alias("r"), F.count("*").alias("have"))
-    return daily.join(F.broadcast(need), "portfolio").where("have = need").select("portfolio", "dt", "r")
+    daily = returns.join(kept, "ticker").groupBy("portfolio", "dt").agg(F.sum(F.col("r") * F.col("w_norm")).alias("r"), F.count("*").alias("have"))
+    return daily.join(need, "portfolio").where("have = need").select("portfolio", "dt", "r")
 
 
 def synthetic_nav(book: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def component_var(returns: DataFrame, weights: DataFrame, window: int = WINDOW,
     """
     kept = survivors(returns, weights, 1)
     need = kept.groupBy("portfolio").agg(F.count("*").alias("need")).where("need >= 2")
-    rows = returns.join(F.broadcast(kept), "ticker").join(F.broadcast(need), "portfolio")
+    rows = returns.join(kept, "ticker").join(need, "portfolio")
     rows = rows.withColumn("have", F.count("*").over(Window.partitionBy("portfolio", "dt"))).where("have = need")
     newest = Window.partitionBy("portfolio", "ticker").orderBy(F.desc("dt"))
     rows = rows.withColumn("back", F.row_number().over(newest) - 1).where(F.col("back") < window)

@@ -39,18 +39,20 @@ def totals(parts: DataFrame) -> DataFrame:
     return parts.groupBy("portfolio", "id").agg(F.sum("contribution").alias("portfolio_pnl"), (F.sum("w") * 100).alias("coverage_pct"), F.count("*").alias("n_assets"))
 
 
-def closure(tree: DataFrame, depth: int = 4) -> DataFrame:
+def closure(tree: DataFrame) -> DataFrame:
     """tree(class, parent), roots their own parents -> (class, ancestor, depth), a class its own ancestor at 0.
 
-    ``depth`` self-joins of a table as long as the taxonomy; a chain that is longer raises in ``validate_tree``.
+    Levels are joined until no class has a further ancestor, however deep the taxonomy is; a chain longer than there are classes
+    is a circle and raises ValueError.
     """
-    out = tree.select("class", F.col("class").alias("ancestor"), F.lit(0).alias("depth"))
-    level = out
-    for _ in range(depth):
-        up = tree.select(F.col("class").alias("ancestor"), "parent").where("ancestor <> parent")
-        level = level.join(F.broadcast(up), "ancestor").select("class", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
+    up = tree.select(F.col("class").alias("ancestor"), "parent").where("ancestor <> parent")
+    out = level = tree.select("class", F.col("class").alias("ancestor"), F.lit(0).alias("depth"))
+    for _ in range(tree.count() + 1):
+        level = level.join(up, "ancestor").select("class", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
+        if level.isEmpty():
+            return out
         out = out.unionByName(level)
-    return out
+    raise ValueError("the taxonomy has a circle")
 
 
 def resolve(securities: DataFrame, tree: DataFrame, shocks: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -59,16 +61,16 @@ def resolve(securities: DataFrame, tree: DataFrame, shocks: DataFrame, overrides
     securities(ticker, class, sector, blend map<class, weight>): a blend averages the shocks of the sleeves that resolve.
     shocks(id, category, shock), overrides(id, ticker, shock). What resolves nowhere has no row.
     """
-    reach = closure(tree).join(F.broadcast(shocks), F.col("ancestor") == F.col("category"))
+    reach = closure(tree).join(shocks, F.col("ancestor") == F.col("category"))
     by_class = reach.groupBy("id", "class").agg(F.min_by("shock", "depth").alias("class_shock"))
     ids = shocks.select("id").union(overrides.select("id")).distinct()
     base = ids.crossJoin(F.broadcast(securities))  # both are short dimensions
-    out = base.join(F.broadcast(overrides.withColumnRenamed("shock", "own")), ["id", "ticker"], "left")
+    out = base.join(overrides.withColumnRenamed("shock", "own"), ["id", "ticker"], "left")
     sectors = shocks.select("id", F.col("category").alias("sector"), F.col("shock").alias("sector_shock"))
-    out = out.join(F.broadcast(sectors), ["id", "sector"], "left").join(F.broadcast(by_class), ["id", "class"], "left")
-    sleeves = securities.select("ticker", F.explode("blend").alias("class", "sw")).join(F.broadcast(by_class), "class")
+    out = out.join(sectors, ["id", "sector"], "left").join(by_class, ["id", "class"], "left")
+    sleeves = securities.select("ticker", F.explode("blend").alias("class", "sw")).join(by_class, "class")
     blends = sleeves.groupBy("id", "ticker").agg(ratio(F.sum(F.col("sw") * F.col("class_shock")), F.sum("sw")).alias("blend_shock"))
-    out = out.join(F.broadcast(blends), ["id", "ticker"], "left")
+    out = out.join(blends, ["id", "ticker"], "left")
     plain = F.when(F.col("blend").isNull(), F.coalesce("sector_shock", "class_shock"))
     path = F.when(F.col("own").isNotNull(), "override").when(F.col("blend").isNotNull(), "blend").when(F.col("sector_shock").isNotNull(), "sector").otherwise("class")
     out = out.withColumn("shock", F.coalesce("own", F.when(F.col("blend").isNotNull(), F.col("blend_shock")), plain))
@@ -77,24 +79,25 @@ def resolve(securities: DataFrame, tree: DataFrame, shocks: DataFrame, overrides
 
 def groups(securities: DataFrame, tree: DataFrame, shocks: DataFrame, class_groups: DataFrame, sector_group: dict[str, str]) -> DataFrame:
     """(id, ticker, grp): the slider group along the path that the shock took; a blend follows its heaviest covered sleeve."""
-    named = closure(tree).join(F.broadcast(class_groups), F.col("ancestor") == F.col("gclass")).groupBy("class").agg(F.min_by("grp", "depth").alias("grp"))
-    covered = closure(tree).join(F.broadcast(shocks), F.col("ancestor") == F.col("category")).select("id", "class").distinct()
+    reach = closure(tree)
+    named = reach.join(class_groups, F.col("ancestor") == F.col("gclass")).groupBy("class").agg(F.min_by("grp", "depth").alias("grp"))
+    covered = reach.join(shocks, F.col("ancestor") == F.col("category")).select("id", "class").distinct()
     sleeves = securities.select("ticker", F.explode("blend").alias("class", "sw")).join(covered, "class")
     heaviest = sleeves.groupBy("id", "ticker").agg(F.max_by("class", F.struct("sw", "class")).alias("class"))
     plain = shocks.select("id").distinct().crossJoin(F.broadcast(securities.where("blend IS NULL").select("ticker", "class", "sector")))
     hit = shocks.select("id", F.col("category").alias("sector"), F.lit(True).alias("hit"))
-    plain = plain.join(F.broadcast(hit), ["id", "sector"], "left")
+    plain = plain.join(hit, ["id", "sector"], "left")
     own = F.lit(None).cast("string")
     for sector, grp in sector_group.items():
         own = F.when(F.col("hit") & (F.col("sector") == sector), F.lit(grp)).otherwise(own)
     rows = plain.select("id", "ticker", "class", own.alias("own")).unionByName(heaviest.select("id", "ticker", "class", F.lit(None).cast("string").alias("own")))
-    return rows.join(F.broadcast(named), "class", "left").select("id", "ticker", F.coalesce("own", "grp").alias("grp")).where("grp IS NOT NULL")
+    return rows.join(named, "class", "left").select("id", "ticker", F.coalesce("own", "grp").alias("grp")).where("grp IS NOT NULL")
 
 
 def coverage(parts: DataFrame, weights: DataFrame) -> DataFrame:
     """(portfolio, id, coverage): covered weight over all weight."""
     all_w = weights.groupBy("portfolio").agg(F.sum("w").alias("all_w"))
-    return parts.groupBy("portfolio", "id").agg(F.sum("w").alias("w")).join(F.broadcast(all_w), "portfolio").select("portfolio", "id", ratio(F.col("w"), F.col("all_w")).alias("coverage"))
+    return parts.groupBy("portfolio", "id").agg(F.sum("w").alias("w")).join(all_w, "portfolio").select("portfolio", "id", ratio(F.col("w"), F.col("all_w")).alias("coverage"))
 
 
 def unmapped(weights: DataFrame, securities: DataFrame) -> DataFrame:
@@ -105,13 +108,13 @@ def unmapped(weights: DataFrame, securities: DataFrame) -> DataFrame:
 
 def what_if(parts: DataFrame, grouped: DataFrame, multipliers: DataFrame) -> DataFrame:
     """(portfolio, id, pnl, pnl_scaled): every slider group's contributions by its multiplier, summed again."""
-    rows = parts.join(F.broadcast(grouped), ["id", "ticker"], "left").join(F.broadcast(multipliers), "grp", "left")
+    rows = parts.join(grouped, ["id", "ticker"], "left").join(multipliers, "grp", "left")
     return rows.groupBy("portfolio", "id").agg(F.sum("contribution").alias("pnl"), F.sum(F.col("contribution") * F.coalesce("multiplier", F.lit(1.0))).alias("pnl_scaled"))
 
 
 def anchors(parts: DataFrame, grouped: DataFrame) -> DataFrame:
     """The largest shock in size of each slider group: what a slider shows."""
-    rows = parts.join(F.broadcast(grouped), ["id", "ticker"])
+    rows = parts.join(grouped, ["id", "ticker"])
     return rows.groupBy("portfolio", "id", "grp").agg(F.max_by("ret", F.struct(F.abs("ret"), "ticker")).alias("anchor"))
 
 

@@ -55,7 +55,7 @@ def asset_table(weights: DataFrame, rows: DataFrame, components: DataFrame) -> D
 def with_probabilities(scenarios: DataFrame, sources: DataFrame) -> DataFrame:
     """Scenarios with the list of their probability sources, (source, probability) in order of source; empty where there is none."""
     said = sources.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("source", "probability"))).alias("probabilities"))
-    return scenarios.join(F.broadcast(said), "id", "left").withColumn("probabilities", F.coalesce("probabilities", F.array().cast(said.schema["probabilities"].dataType)))
+    return scenarios.join(said, "id", "left").withColumn("probabilities", F.coalesce("probabilities", F.array().cast(said.schema["probabilities"].dataType)))
 
 
 def with_disclosure(books: DataFrame, coverage: DataFrame, disclosures: DataFrame) -> DataFrame:

@@ -27,28 +27,28 @@ def factor_panel(spark, d) -> DataFrame:
     return base.join(s, "dt").withColumn("rf", F.lit(0.0001)).where("mkt IS NOT NULL AND mom IS NOT NULL")
 
 
-def asset_models(spark, d) -> DataFrame:
-    return models.asset_models(panel.returns(spark, d))
+def asset_models(spark, d, *which: str) -> DataFrame:
+    return models.asset_models(panel.returns(spark, d), which=which)
 
 
 @query()
 def var_es_garch(spark, d):
-    return rounded(asset_models(spark, d).select("ticker", "var_garch", "es_garch", "nu_garch"))
+    return rounded(asset_models(spark, d, "garch").drop("n"))
 
 
 @query()
 def var_es_gjr(spark, d):
-    return rounded(asset_models(spark, d).select("ticker", "var_gjr", "es_gjr", "nu_gjr"))
+    return rounded(asset_models(spark, d, "gjr").drop("n"))
 
 
 @query()
 def var_es_evt(spark, d):
-    return rounded(asset_models(spark, d).select("ticker", "var_evt", "es_evt"))
+    return rounded(asset_models(spark, d, "evt").drop("n"))
 
 
 @query()
 def var_year_t(spark, d):
-    return rounded(asset_models(spark, d).select("ticker", "var_year", "es_year", "nu_year"))
+    return rounded(asset_models(spark, d, "year").drop("n"))
 
 
 @query()
