@@ -19,9 +19,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import new_path, written
+
 _BETWEEN = re.compile(r"[\W_]+")
 #: Characters of a text that are looked at together; the next part begins a passage's length before the end of the last.
 PART = 1 << 20
+#: Shared q-grams that are counted at a time.
+HITS = 1 << 21
+#: Characters of the benchmark that are searched for in one pass.
+BLOCK_CHARS = 4_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -66,6 +72,7 @@ def edits_within(passage: np.ndarray, text: np.ndarray, low: int, high: int, mos
     # cell (i, d): the passage's first i characters against a piece of the text that ends before place i + d
     places = np.arange(low, high + 1)
     cost = np.where((places >= 0) & (places <= len(text)), 0, far)
+    own = np.arange(width)
     begin = places.copy()
     for i in range(1, n + 1):
         at = places + i
@@ -79,10 +86,11 @@ def edits_within(passage: np.ndarray, text: np.ndarray, low: int, high: int, mos
         less = (drop < now) & (at >= 0) & (at <= len(text))
         now = np.where(less, drop, now)
         start = np.where(less, np.r_[begin[1:], 0], start)
-        for k in range(1, width):  # a character of the text that the passage lacks
-            if now[k - 1] + 1 < now[k] and at[k] <= len(text):
-                now[k], start[k] = now[k - 1] + 1, start[k - 1]
-        cost, begin = np.minimum(now, far), start
+        # characters of the text that the passage lacks: one more for each diagonal, from the nearest cell that is no worse itself
+        flat = now - own
+        least = np.minimum.accumulate(flat)
+        source = np.maximum.accumulate(np.where(flat <= np.r_[flat[0], least[:-1]], own, 0))
+        cost, begin = np.minimum(np.where(at <= len(text), least + own, far), far), start[source]
         if cost.min() > most:
             return None
     k = int(cost.argmin())
@@ -137,19 +145,28 @@ class Passages:
             place, lo, n = place[n > 0], lo[n > 0], n[n > 0]
             if not len(place):
                 continue
-            # a gram that stands k times in the passages gives k hits
-            hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            k = item[hit]
-            half = self.edits[k] + 1
-            band = (np.repeat(place, n) - at[hit] + len(c) * 2) // half  # shifted, so that none is below zero
-            pair = np.concatenate([k << 40 | band, k << 40 | (band - 1)])  # bands of two halves, starting at either
-            found, count = np.unique(pair, return_counts=True)
-            for p in found[count >= self.least[found >> 40]].tolist():
+            # a gram that stands k times in the passages gives k hits; HITS of them, or one place's, are made at a time
+            part = (np.cumsum(n) - 1) // HITS
+            counted = [self.counted(place[part == k], lo[part == k], n[part == k], item, at) for k in np.unique(part)]
+            pair, which = np.unique(np.concatenate([x for x, _ in counted]), return_inverse=True)
+            count = np.bincount(which, np.concatenate([c for _, c in counted]))
+            for p in pair[count >= self.least[pair >> 40]].tolist():
                 k = p >> 40
-                start = (p & (1 << 40) - 1) * (int(self.edits[k]) + 1) - len(c) * 2
+                start = (p & (1 << 40) - 1) * (int(self.edits[k]) + 1) - self.shift(k)
                 out.append((k, start, start + 2 * int(self.edits[k]) + 1))
         return out
 
+    def shift(self, k):
+        """What is added to diagonals, so that neither they nor the band before them is below zero."""
+        return self.longest + self.edits[k] + 1
+
+    def counted(self, place: np.ndarray, lo: np.ndarray, n: np.ndarray, item: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage and band in one number, shared q-grams) for grams at ``place`` of the text and ``lo`` to lo + n of the passages'."""
+        hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        k = item[hit]
+        band = (np.repeat(place, n) - at[hit] + self.shift(k)) // (self.edits[k] + 1)
+        return np.unique(np.concatenate([k << 40 | band, k << 40 | (band - 1)]), return_counts=True)  # bands of two halves, starting at either
+
     def matches(self, text: str | None) -> dict[int, tuple[int, int, int]]:
         """The nearest match of each passage in a text: passage -> (edits, start, end) in the normal text."""
         t = normal(text)
@@ -166,54 +183,71 @@ class Passages:
         return best
 
 
-def load_passages(benchmark: DataFrame, id_col: str, text_col: str, q: int, rate: float, block_chars: int = 4_000_000) -> list[Passages]:
-    """The benchmark in blocks of ``block_chars`` characters at most, in order of id, those without an id first; null and empty passages match nothing.
+def passage_blocks(benchmark: DataFrame, id_col: str, text_col: str, q: int, rate: float, block_chars: int = BLOCK_CHARS) -> Iterator[Passages]:
+    """The benchmark in blocks of ``block_chars`` characters, or one passage, at most, in order of id, those without an id first;
+    null and empty passages match nothing.
 
-    A block goes to every task, so its size is bounded; a larger benchmark takes one pass over the texts a block.
+    The driver holds one block at a time, and one goes to every task; each takes a pass over the texts.
     """
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").orderBy("i", "t")
-    blocks, now, size = [], [], 0
+    now, size = [], 0
     for r in rows.toLocalIterator():
         t = normal(r["t"])
         if not t:
             continue
         if now and size + len(t) > block_chars:
-            blocks.append(Passages.of(now, q, rate))
+            yield Passages.of(now, q, rate)
             now, size = [], 0
         now.append((r["i"], t))
         size += len(t)
-    return blocks + ([Passages.of(now, q, rate)] if now else [])
+    if now:
+        yield Passages.of(now, q, rate)
 
 
 Q, RATE = 10, 0.08
+SCHEMA = "doc_id long, item_id long, edits int, similarity double, start long, end long"
+
+
+def leaks_of(slim: DataFrame, block: Passages) -> DataFrame:
+    """slim(doc_id, text) -> the rows of ``leaks`` for one block of passages."""
+    sent = slim.sparkSession.sparkContext.broadcast(block)  # of bounded size
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b = sent.value
+        for part in parts:
+            rows = []
+            for i, text in zip(part["doc_id"].array, part["text"], strict=True):
+                for k, (e, start, end) in b.matches(text).items():
+                    rows.append((i, b.ids[k], e, 1 - e / len(b.texts[k]), start, end))
+            frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "similarity", "start", "end"])
+            whole = {c: pd.array([None if pd.isna(r[k]) else int(r[k]) for r in rows], "Int64") for k, c in enumerate(("doc_id", "item_id"))}
+            yield frame.assign(**whole)  # null for documents and passages without an id
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
+    return slim.mapInPandas(run, SCHEMA)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Which documents hold which passages: (doc_id, item_id, edits, similarity, start, end), the nearest match of each pair.
 
     A passage is found where some piece of a document is within ``rate`` of its characters in edits. start and end are places
-    in the document's normal text. Documents with null or empty text match nothing; rows that repeat a document or an item
-    repeat their matches; an empty benchmark or table gives no rows.
+    in the document's normal text; of regions with equally few edits, the one whose band comes first. Texts of any length are
+    searched whole, PART characters at a time with an overlap. Documents with null or empty text match nothing; rows that repeat
+    a document or an item repeat their matches; an empty benchmark or table gives no rows; other columns are ignored.
+
+    One block of passages is searched when the result is read; of more, all but the last are searched and their matches written
+    at once, so memory doesn't grow with the benchmark.
     """
-    schema = "doc_id long, item_id long, edits int, similarity double, start long, end long"
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    out = None
-    for block in load_passages(benchmark, item_id_col, item_text_col, q, rate):
-        sent = docs.sparkSession.sparkContext.broadcast(block)  # of bounded size
-
-        def run(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            b = sent.value
-            for part in parts:
-                rows = []
-                for n, text in enumerate(part["text"]):
-                    for k, (e, start, end) in b.matches(text).items():
-                        rows.append((part["doc_id"].iloc[n], b.ids[k], e, 1 - e / len(b.texts[k]), start, end))
-                frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "similarity", "start", "end"])
-                yield frame.assign(item_id=pd.array([r[1] for r in rows], "Int64"))  # null for a passage without an id
-
-        found = slim.mapInPandas(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    # ids as text: beside nulls, pandas would make floats of them
+    slim = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    path, before, last = None, 0, None
+    for block in passage_blocks(benchmark, item_id_col, item_text_col, q, rate, block_chars):
+        if last is not None:
+            path = path or new_path(docs.sparkSession, "leaks")
+            leaks_of(slim, last).write.mode("append").parquet(path)
+            before += 1
+        last = block
+    out = leaks_of(slim, last) if last is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+    return docs.sparkSession.read.schema(SCHEMA).parquet(path).unionByName(out) if before else out
 
 
 def holds_passage(text: Column, block: Passages, spark: SparkSession) -> Column:
@@ -227,8 +261,15 @@ def holds_passage(text: Column, block: Passages, spark: SparkSession) -> Column:
     return holds(text)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
-    """``docs`` without the documents that hold a passage; all columns pass through, rows with null text stay."""
-    for block in load_passages(benchmark, item_id_col, item_text_col, q, rate):
-        docs = docs.where(~holds_passage(F.col(text_col), block, docs.sparkSession))
-    return docs
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` without the documents that hold a passage; rows with null text stay, rows that repeat stay or go together, and all
+    columns of any name pass through.
+
+    One block of passages filters as the result is read; of more, what each but the last leaves is written for the next.
+    """
+    last = None
+    for block in passage_blocks(benchmark, item_id_col, item_text_col, q, rate, block_chars):
+        if last is not None:
+            docs = written(docs.where(~holds_passage(F.col(text_col), last, docs.sparkSession)), "clean")
+        last = block
+    return docs if last is None else docs.where(~holds_passage(F.col(text_col), last, docs.sparkSession))

@@ -71,8 +71,28 @@ def test_a_very_long_text_is_searched_part_by_part(rng, monkeypatch):
 
 
 def test_passages_in_blocks_find_the_same(spark, rng):
-    items = spark.createDataFrame([(k, prose(rng, 25)) for k in range(5)], "item_id long, text string")
-    assert len(decontaminate.load_passages(items, "item_id", "text", 10, 0.08, block_chars=200)) > 1
+    items = spark.createDataFrame([(k, prose(rng, 25)) for k in range(5)] + [(None, prose(rng, 25))], "item_id long, text string")
+    assert len(list(decontaminate.passage_blocks(items, "item_id", "text", 10, 0.08, block_chars=200))) > 3
+    own = [r["text"] for r in items.collect()]
+    rows = [(k, prose(rng, 20) + " " + edit(rng, own[k % 6], k % 4) + " " + own[(k + 1) % 6 if k % 3 == 0 else k % 6]) for k in range(12)] + [(50, prose(rng, 60))]
+    docs = documents(spark, rows + ODD)
+    rows_of = lambda **how: sorted(map(str, decontaminate.leaks(docs, items, **how).collect()))
+    assert len(rows_of()) >= 12 and rows_of() == rows_of(block_chars=200)
+    kept = [sorted(str(r["doc_id"]) for r in decontaminate.decontaminate(docs, items, **how).collect()) for how in ({}, {"block_chars": 200})]
+    assert kept[0] == kept[1] and "50" in kept[0] and "0" not in kept[0]
+
+
+def test_hits_are_counted_in_parts(rng, monkeypatch):
+    p = decontaminate.Passages.of([(1, "ab " * 40), (2, decontaminate.normal(prose(rng, 40)))], 10, 0.08)
+    text = decontaminate.codes("ab " * 100 + decontaminate.normal(prose(rng, 100)))
+    whole = sorted(p.bands(text))
+    monkeypatch.setattr(decontaminate, "HITS", 64)
+    assert whole and sorted(p.bands(text)) == whole
+
+
+def test_a_passage_much_longer_than_the_text(rng):
+    p = decontaminate.Passages.of([(1, decontaminate.normal(prose(rng, 300))), (2, decontaminate.normal("a few words that stand alone"))], 10, 0.08)
+    assert set(p.matches("A few words, that stand alone!")) == {1}
 
 
 def test_licenses_match_their_sql(spark):
