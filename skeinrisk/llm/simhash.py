@@ -2,8 +2,9 @@
 
 Two fingerprints of 64 bits that differ in at most ``bits`` places, cut into a ring of segments, have a segment from which
 every chain of consecutive segments keeps within its part of the budget: l segments together differ in at most
-l * bits / segments places. The first segment's part is below one, so it is equal: that is the key of the join. Longer chains
-are then held against their parts before the whole fingerprint is (the full Hamming check).
+l * bits / segments places. With three bits and four segments the first segment is equal and the second differs in one place at
+most, so one of its two bytes is equal too: segment and byte are the key of the join. Longer chains are then held against their
+parts before the whole fingerprint is (the full Hamming check).
 
 Rows of a key are sorted by Spark and met in a streaming function, which sends out the links of a spanning forest, never all
 pairs: n rows that share a key give at most n - 1 links.
@@ -12,7 +13,6 @@ pairs: n rows that share a key give at most n - 1 links.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,84 +24,36 @@ from .components import components
 from .shingle_sets import near_copies, shingle_hashes, text_hash
 
 SEGMENTS, SEGMENT_BITS = 4, 16
-#: Rows of one key beyond which the key is made finer by a byte of the next segment.
-LARGE = 2048
-
-
-@dataclass(frozen=True)
-class Print:
-    """A fingerprint: of ``shingle`` words, each shingle once if ``distinct``; ``lanes`` words of 64 bits."""
-
-    shingle: int
-    lanes: int = 1
-    distinct: bool = False
-
-
-@dataclass(frozen=True)
-class Links:
-    """Which rows link: an ``index`` lane within ``bits``, and all of ``check`` within ``check_bits`` if that is given."""
-
-    index: Print
-    bits: int = 3
-    check: Print | None = None
-    check_bits: int = 0
-
-    @property
-    def prints(self) -> tuple[Print, ...]:
-        return (self.index, self.check) if self.check else (self.index,)
-
-    @property
-    def columns(self) -> list[str]:
-        return [f"f{k}" for k in range(self.index.lanes)] + [f"c{k}" for k in range(self.check.lanes if self.check else 0)]
-
-
-#: The contract's: three words, repeats included, three bits.
-CONTRACT = Links(Print(3))
-
-
-def _lane(h: np.ndarray, k: int) -> np.ndarray:
-    """Independent hashes from one: the lane's number goes through a 64-bit mixer with each hash; lane 0 is the hash itself."""
-    if not k:
-        return h
-    with np.errstate(over="ignore"):
-        x = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+#: The contract's: shingles of three words, repeats included, and three differing bits.
+SHINGLE, BITS = 3, 3
+#: Hashes whose bits are counted at a time.
+PART = 1 << 16
 
 
 def majority(h: np.ndarray) -> int:
     """A bit is 1 if it is set in over half of the hashes; 0 for none."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 16):
-        part = h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(h), PART):
+        part = h[at : at + PART].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprint(text: bytes | None, prints: tuple[Print, ...]) -> list[int]:
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     words = (text or b"").lower().split()  # of bytes: A-Z only, and exactly the six ASCII spaces
-    out = []
-    for p in prints:
-        h = shingle_hashes(words, p.shingle)
-        if p.distinct:
-            h = np.unique(h)
-        out += [majority(_lane(h, k)) for k in range(p.lanes)]
-    return out
+    return majority(shingle_hashes(words, shingle))
 
 
-def fingerprints(docs: DataFrame, links: Links, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, and a long for each lane); whole texts, null as empty."""
-    columns, prints = links.columns, links.prints
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, f: the fingerprint as a long); whole texts, null as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [fingerprint(t.as_py(), prints) for t in b.column(1)]
-            lanes = np.array(rows, np.uint64).reshape(len(rows), len(columns)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(lanes[:, k]) for k in range(len(columns)))], ["doc_id", *columns])
+            f = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f)], ["doc_id", "f"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in columns))
+    return slim.mapInArrow(run, "doc_id long, f long")
 
 
 class Forest:
@@ -127,36 +79,36 @@ class Forest:
             self.b.append(b)
 
 
-def near(x: np.ndarray, wide: np.ndarray | None, budgets: list[int], check_bits: int) -> np.ndarray:
-    """Which rows of differences pass: chain by chain from the first segment on, then the check."""
+def near(x: np.ndarray, budgets: list[int]) -> np.ndarray:
+    """Which rows of differences pass, chain by chain from the first segment on; the last chain is the whole fingerprint."""
     ok = np.ones(len(x), bool)
     for n, most in enumerate(budgets, 1):
         mask = np.uint64((1 << (SEGMENT_BITS * n)) - 1)
         ok &= np.bitwise_count(x & mask) <= most
-    if wide is not None and ok.any():
-        at = np.flatnonzero(ok)
-        ok[at] = np.bitwise_count(wide[at]).sum(1, dtype=np.int64) <= check_bits
     return ok
 
 
-def _spread(rows: np.ndarray, ring: np.ndarray, wide: np.ndarray | None, ids: np.ndarray, budgets: list[int], check_bits: int, forest: Forest) -> None:
+def chain_budgets(bits: int) -> list[int]:
+    return [bits * n // SEGMENTS for n in range(1, SEGMENTS + 1)]
+
+
+def _spread(rows: np.ndarray, ring: np.ndarray, ids: np.ndarray, budgets: list[int], forest: Forest) -> None:
     """Links of the rows with each other: from a row to all that are near and not met yet, and so on from these."""
     left = rows
     while len(left):
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             at = todo.pop()
-            hit = near(ring[left] ^ ring[at], None if wide is None else wide[left] ^ wide[at], budgets, check_bits)
+            hit = near(ring[left] ^ ring[at], budgets)
             for k in left[hit]:
                 forest.add(int(ids[at]), int(ids[k]))
                 todo.append(k)
             left = left[~hit]
 
 
-def bucket_links(key: np.ndarray, ring: np.ndarray, wide: np.ndarray | None, ids: np.ndarray, bits: int, check_bits: int) -> Forest:
+def bucket_links(key: np.ndarray, ring: np.ndarray, ids: np.ndarray, bits: int = BITS) -> Forest:
     """Links between rows of equal key. ring: fingerprints turned so that the key's segment is lowest; sorted by key."""
-    budgets = [bits * n // SEGMENTS for n in range(1, SEGMENTS + 1)]
-    forest = Forest()
+    budgets, forest = chain_budgets(bits), Forest()
     cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[cuts, len(key)])
     size_at = np.repeat(sizes, sizes)
@@ -166,42 +118,32 @@ def bucket_links(key: np.ndarray, ring: np.ndarray, wide: np.ndarray | None, ids
         if not len(a):
             continue
         b = a + step
-        hit = near(ring[a] ^ ring[b], None if wide is None else wide[a] ^ wide[b], budgets, check_bits)
+        hit = near(ring[a] ^ ring[b], budgets)
         for i, j in zip(ids[a[hit]].tolist(), ids[b[hit]].tolist(), strict=True):
             forest.add(i, j)
     for k in np.flatnonzero(sizes > few):
-        rows = np.arange(cuts[k], cuts[k] + sizes[k])
-        if sizes[k] <= LARGE or budgets[1] > 1:
-            _spread(rows, ring, wide, ids, budgets, check_bits, forest)
-            continue
-        # the second segment differs in one place at most: one of its two bytes is equal
-        for byte in (0, 1):
-            part = (ring[rows] >> np.uint64(SEGMENT_BITS + 8 * byte)) & np.uint64(255)
-            order = np.argsort(part, kind="stable")
-            for own in np.split(rows[order], np.flatnonzero(np.diff(part[order])) + 1):
-                _spread(own, ring, wide, ids, budgets, check_bits, forest)
+        _spread(np.arange(cuts[k], cuts[k] + sizes[k]), ring, ids, budgets, forest)
     return forest
 
 
-def link_nodes(nodes: DataFrame, links: Links) -> DataFrame:
-    """nodes(id long, a long for each lane) -> links (a, b) that join all nodes which link, directly or by others."""
-    checks = [c for c in links.columns if c[0] == "c"]
+def link_nodes(nodes: DataFrame, bits: int = BITS) -> DataFrame:
+    """nodes(id long, f long), different fingerprints -> links (a, b) that join all nodes which link, directly or by others."""
+    if chain_budgets(bits)[:2] > [0, 1]:
+        raise ValueError("keys are exact for up to three differing bits")
     keys = []
-    for lane in range(links.index.lanes):
-        for start in range(SEGMENTS):
-            f = F.col(f"f{lane}")
-            turned = f if not start else F.shiftrightunsigned(f, SEGMENT_BITS * start).bitwiseOR(F.shiftleft(f, 64 - SEGMENT_BITS * start))
-            mark = (lane * SEGMENTS + start) << SEGMENT_BITS
-            keys.append(F.struct((turned.bitwiseAND((1 << SEGMENT_BITS) - 1) + mark).cast("int").alias("key"), turned.alias("ring")))
-    rows = nodes.select("id", F.explode(F.array(*keys)).alias("k"), *checks).select(F.col("k.key").alias("key"), F.col("k.ring").alias("ring"), "id", *checks)
-    bits, check_bits = links.bits, links.check_bits
+    for start in range(SEGMENTS):
+        turned = F.col("f") if not start else F.shiftrightunsigned("f", SEGMENT_BITS * start).bitwiseOR(F.shiftleft("f", 64 - SEGMENT_BITS * start))
+        for byte in (0, 1):
+            own = F.shiftrightunsigned(turned, SEGMENT_BITS + 8 * byte).bitwiseAND(255)
+            key = F.shiftleft(turned.bitwiseAND((1 << SEGMENT_BITS) - 1), 8).bitwiseOR(own) + ((2 * start + byte) << (SEGMENT_BITS + 8))
+            keys.append(F.struct(key.cast("int").alias("key"), turned.alias("ring")))
+    rows = nodes.select("id", F.explode(F.array(*keys)).alias("k")).select("k.key", "k.ring", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links_of(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts)
-            col = lambda c: t.column(c).to_numpy()
-            wide = np.stack([col(c).view(np.uint64) for c in checks], 1) if checks else None
-            found = bucket_links(col("key"), col("ring").view(np.uint64), wide, col("id"), bits, check_bits)
+            key, ring, ids = (t.column(c).to_numpy() for c in ("key", "ring", "id"))
+            found = bucket_links(key, ring.view(np.uint64), ids, bits)
             return pa.RecordBatch.from_arrays([pa.array(found.a, pa.int64()), pa.array(found.b, pa.int64())], ["a", "b"])
 
         held: list[pa.RecordBatch] = []  # rows of the last key, which may go on in the next batch
@@ -218,22 +160,22 @@ def link_nodes(nodes: DataFrame, links: Links) -> DataFrame:
         if held:
             yield links_of(held)
 
-    # key holds lane, start and segment: 65,536 keys for each lane and start
+    # 2 ** 24 keys for each start and byte
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, links: Links, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, a long for each lane, component): component is the smallest doc_id reachable over links, itself included.
+def groups(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, f, component): the fingerprint, and the smallest doc_id reachable over links, itself included.
 
     Rows with equal fingerprints are one node of the graph, named by their smallest id, so copies cost one row each. Null and
-    empty texts have fingerprint zero and link like any other; rows without an id take no part and have no component; rows
-    that repeat an id are one document.
+    empty texts have fingerprint zero and link like any other; texts of any length are hashed whole; rows without an id take no
+    part and have no component; rows that repeat an id are one document; an empty table gives an empty result.
     """
-    prints = Written(fingerprints(docs, links, id_col, text_col), "prints").df
-    nodes = Written(prints.groupBy(*links.columns).agg(F.min("doc_id").alias("id")).where("id IS NOT NULL"), "nodes").df
-    found = components(link_nodes(nodes, links))
-    named = nodes.join(small(found), nodes["id"] == found["node"], "left").select(*links.columns, F.coalesce("component", "id").alias("component"))
-    return prints.join(named, links.columns, "left").select("doc_id", *links.columns, F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"))
+    prints = Written(fingerprints(docs, shingle, id_col, text_col), "prints").df
+    nodes = Written(prints.groupBy("f").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL"), "nodes").df
+    found = components(link_nodes(nodes, bits))
+    named = nodes.join(small(found), nodes["id"] == found["node"], "left").select("f", F.coalesce("component", "id").alias("component"))
+    return prints.join(named, "f", "left").select("doc_id", "f", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,5 +190,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
     """The contract's rows: doc_id, fingerprint (16 hex digits), component_id."""
-    out = groups(docs, CONTRACT)
-    return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+    return groups(docs).select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))

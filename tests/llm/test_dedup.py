@@ -80,12 +80,12 @@ def test_bucket_links_lose_none_and_stay_few(n):
     f = np.unique(f)
     ring = f << np.uint64(16)  # the key's segment, lowest, is equal
     ids = np.arange(len(f))
-    forest = simhash.bucket_links(np.zeros(len(f), np.int32), ring, None, ids, 3, 0)
+    forest = simhash.bucket_links(np.zeros(len(f), np.int32), ring, ids, 3)
     assert len(forest.a) <= len(f) - 1
     rows = []
     budgets = [0, 1, 2, 3]
     for i in range(len(f)):
-        hit = simhash.near(ring[i + 1 :] ^ ring[i], None, budgets, 0)
+        hit = simhash.near(ring[i + 1 :] ^ ring[i], budgets)
         rows += [(i, i + 1 + int(j)) for j in np.flatnonzero(hit)]
     assert brute_components(range(len(f)), zip(forest.a, forest.b)) == brute_components(range(len(f)), rows)
 
@@ -99,7 +99,29 @@ def test_pigeonring_keeps_every_near_pair(rng):
             b ^= 1 << rng.randrange(64)
         x = a ^ b
         turned = [np.array([((x >> 16 * s) | (x << (64 - 16 * s))) % 2**64], np.uint64) for s in range(4)]
-        assert any(simhash.near(t, None, [0, 1, 2, 3], 0)[0] for t in turned)
+        assert any(simhash.near(t, [0, 1, 2, 3])[0] for t in turned)
+
+
+def test_long_texts_are_counted_in_parts(rng, monkeypatch):
+    text = prose(rng, 900)
+    monkeypatch.setattr(simhash, "PART", 64)
+    assert simhash.fingerprint(text.encode()) == plain_fingerprint(text)
+
+
+def test_crowded_fingerprints_link_as_by_brute_force(spark, rng):
+    """Many fingerprints around few centres, in all segments: keys of a segment and a byte lose no link."""
+    centres = [rng.getrandbits(64) for _ in range(12)]
+    prints = set()
+    while len(prints) < 600:
+        f = rng.choice(centres)
+        for _ in range(rng.randint(0, 5)):
+            f ^= 1 << rng.randrange(64)
+        prints.add(f)
+    rows = [(k, f - 2**64 if f >= 2**63 else f) for k, f in enumerate(sorted(prints))]
+    found = {r["node"]: r["component"] for r in components.components(simhash.link_nodes(spark.createDataFrame(rows, "id long, f long"))).collect()}
+    links = [(i, j) for i, a in rows for j, b in rows if i < j and ((a ^ b) % 2**64).bit_count() <= 3]
+    want = brute_components(range(len(rows)), links)
+    assert len(links) > 200 and found == {n: c for n, c in want.items() if n != c}
 
 
 def jaccard(a, b, k=5):
