@@ -31,8 +31,11 @@ def _share(a: float, b: float) -> float | None:
 OLS_SCHEMA = "ticker string, factor string, n int, beta double, t double, p double, boot_se double, ci_low double, ci_high double, r2 double, total_vol double, factor_vol double, idio_vol double"
 
 
-def factor_ols(returns: DataFrame, factors: DataFrame, lookback: int = 252) -> DataFrame:
-    """A row for each ticker and coefficient ('alpha' first): slope, t, p, bootstrap error and interval, fit and volatility split."""
+def factor_ols(returns: DataFrame, factors: DataFrame, lookback: int = 252, draws: int = 500) -> DataFrame:
+    """A row for each ticker and coefficient ('alpha' first): slope, t, p, bootstrap error and interval, fit and volatility split.
+
+    Without ``draws`` there is no bootstrap, and its columns are null.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names = [c.split()[0] for c in OLS_SCHEMA.split(", ")]
@@ -41,11 +44,14 @@ def factor_ols(returns: DataFrame, factors: DataFrame, lookback: int = 252) -> D
             return pd.DataFrame(columns=names)
         y = (pdf["r"] - pdf["rf"]).to_numpy(float)
         fit = nm.ols(y, pdf[list(FACTORS)].to_numpy(float))
-        boot = nm.bootstrap_betas(fit["z"], y)
-        low, high = np.percentile(boot, [2.5, 97.5], axis=0)
+        none = [None] * (len(FACTORS) + 1)
+        error = low = high = none
+        if draws:
+            boot = nm.bootstrap_betas(fit["z"], y, draws)
+            error, (low, high) = boot.std(0, ddof=1), np.percentile(boot, [2.5, 97.5], axis=0)
         total = float(y.std(ddof=1)) * math.sqrt(252) * 100
         part = max(0.0, fit["r2"])
-        rows = [(pdf["ticker"].iloc[0], f, len(y), fit["b"][k], fit["t"][k], fit["p"][k], boot[:, k].std(ddof=1), low[k], high[k], fit["r2"], total, total * math.sqrt(part), total * math.sqrt(1 - part)) for k, f in enumerate(("alpha", *FACTORS))]
+        rows = [(pdf["ticker"].iloc[0], f, len(y), fit["b"][k], fit["t"][k], fit["p"][k], error[k], low[k], high[k], fit["r2"], total, total * math.sqrt(part), total * math.sqrt(1 - part)) for k, f in enumerate(("alpha", *FACTORS))]
         return pd.DataFrame(rows, columns=names)
 
     return spread(joined(returns, factors), "ticker").groupBy("ticker").applyInPandas(run, OLS_SCHEMA)

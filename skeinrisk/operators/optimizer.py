@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numerics as nm
@@ -127,6 +127,27 @@ def _rows(returns: DataFrame, weights: DataFrame, market: str) -> DataFrame:
     return returns.join(weights, "ticker").join(F.broadcast(m), "dt", "left")
 
 
+def shrunk_covariance(returns: DataFrame, window: int = 1000) -> DataFrame:
+    """(a, b, cov, shrinkage): the annual covariance of all pairs of tickers over the last ``window`` dates that all have, shrunk
+    towards the mean variance by the optimal amount (Ledoit and Wolf), as the objectives use it.
+
+    Sums over dates by pair of tickers: a matrix has that many cells; the amount is one row.
+    """
+    n = returns.select("ticker").distinct().count()
+    days = returns.groupBy("dt").agg(F.count("*").alias("_n")).where(F.col("_n") == n).orderBy(F.desc("dt")).limit(window).select("dt")
+    mean = F.avg("r").over(Window.partitionBy("ticker"))
+    rows = returns.join(days, "dt").select("dt", "ticker", (F.col("r") - mean).alias("c"))
+    a, b = (rows.select("dt", F.col("ticker").alias(t), F.col("c").alias(f"c{t}")) for t in "ab")
+    both = F.col("ca") * F.col("cb")
+    cov = a.join(b, "dt").groupBy("a", "b").agg(F.avg(both).alias("s"), (F.avg(both * both) - F.avg(both) * F.avg(both)).alias("v"), F.count("*").alias("n"))
+    own = F.when(F.col("a") == F.col("b"), F.col("s"))
+    sums = cov.agg((F.sum(own) / n).alias("mu"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(own).alias("trace"), (F.sum("v") / F.max("n")).alias("b2"))
+    # sum of (s - mu on the diagonal) squared: n mu is the trace
+    shrink = F.least(F.col("b2") / (F.col("ss") - F.col("mu") * F.col("trace")), F.lit(1.0))
+    out = cov.crossJoin(F.broadcast(sums.select("mu", shrink.alias("shrinkage"))))  # one row
+    return out.select("a", "b", (252 * ((1 - F.col("shrinkage")) * F.col("s") + F.when(F.col("a") == F.col("b"), F.col("shrinkage") * F.col("mu")).otherwise(0.0))).alias("cov"), "shrinkage")
+
+
 def variants(returns: DataFrame, weights: DataFrame, market: str, window: int = 1000) -> DataFrame:
     """A row for each book, variant (the base and six objectives, one task each) and ticker: weights, risk shares and figures."""
     jobs = F.explode(F.array(*[F.lit(x) for x in ("base", *OBJECTIVES)]))

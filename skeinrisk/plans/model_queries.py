@@ -1,4 +1,5 @@
-"""Queries on estimators that SQL can't express; tests hold them against closed forms, invariants and simulated parameters."""
+"""Queries on estimators: regressions with SQL by normal equations, and iterative ones that SQL can't express, which tests hold
+against closed forms, invariants and simulated parameters."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import backtest, correlation, factors, models, optimizer, performance, portfolio, sections, views
 from ..sources import panel, sinks
 from ..sources.panel import BOND, MARKET, THEME
+from . import factor_sql
 from .book_queries import book, pairs
 from .registry import query, rounded
 
@@ -120,7 +122,7 @@ def qmle_corr(spark, d):
     return rounded(models.daily_qmle(correlation.paired_bars(panel.bars(spark, d), "view", "click")))
 
 
-@query()
+@query(factor_sql.RECESSION)
 def recession_probability(spark, d):
     return rounded(models.recession_probability(views.yield_spread(panel.fill(panel.prices(spark, d)), MARKET, BOND)))
 
@@ -130,33 +132,39 @@ def factor_ols(spark, d):
     return rounded(factors.factor_ols(panel.returns(spark, d), factor_panel(spark, d)))
 
 
-@query()
+@query(factor_sql.BETAS)
+def factor_betas(spark, d):
+    out = factors.factor_ols(panel.returns(spark, d), factor_panel(spark, d), draws=0)
+    return rounded(out.drop("boot_se", "ci_low", "ci_high"))
+
+
+@query(factor_sql.CASCADE)
 def factor_cascade(spark, d):
     return rounded(factors.cascade(panel.returns(spark, d), factor_panel(spark, d)))
 
 
-@query()
+@query(factor_sql.DECOMPOSITION)
 def factor_decomposition(spark, d):
     return rounded(factors.decomposition(panel.returns(spark, d), panel.weights(spark), factor_panel(spark, d)))
 
 
-@query()
+@query(factor_sql.BRIDGE)
 def factor_bridge(spark, d):
     return rounded(factors.bridge(panel.returns(spark, d), panel.weights(spark), factor_panel(spark, d)), 10)
 
 
-@query()
+@query(factor_sql.ROLLING)
 def rolling_loadings(spark, d):
     return rounded(factors.rolling_loadings(panel.returns(spark, d), factor_panel(spark, d)))
 
 
-@query()
+@query(factor_sql.LOADING_DRIFT)
 def loading_drift(spark, d):
     points = factors.rolling_loadings(panel.returns(spark, d), factor_panel(spark, d)).withColumn("key", F.concat_ws("/", "ticker", "factor"))
     return rounded(performance.drift(points, "key", "loading"))
 
 
-@query()
+@query(factor_sql.THEMATIC)
 def thematic(spark, d):
     return rounded(factors.thematic(panel.returns(spark, d), [MARKET, THEME, BOND, "AO"]))
 
@@ -166,6 +174,18 @@ def skill_vs_luck(spark, d):
     return rounded(models.skill_or_luck(pairs(spark, d)))
 
 
+@query(factor_sql.SKILL)
+def skill_ratio(spark, d):
+    """What of skill_vs_luck doesn't rest on random draws."""
+    return rounded(models.skill_or_luck(pairs(spark, d), draws=200).select("portfolio", "n_obs", "years", "information_ratio", "t_stat", "psr_pct"))
+
+
+@query(factor_sql.SHRUNK)
+def shrunk_covariance(spark, d):
+    out = optimizer.shrunk_covariance(panel.returns(spark, d))
+    return out.withColumns({"cov": F.round("cov", 8), "shrinkage": F.round("shrinkage", 6)})
+
+
 @query()
 def optimizer_variants(spark, d):
     return rounded(optimizer.variants(panel.returns(spark, d), panel.weights(spark), MARKET))
