@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a local one of our own only where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset, a local one of our own if Spark runs in
+    this process only, else an error: executors couldn't see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="skeinrisk-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

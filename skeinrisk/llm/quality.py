@@ -103,14 +103,17 @@ def train(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: s
 
     The sample is ``rows`` of each class, those with the smallest hashes of their ids, and ``per_row`` pieces of each, spread
     over the whole text; half of the rows train the dictionaries, the other half the curve, weighted back to the classes'
-    shares among all of ``known``.
+    shares among all of ``known``. Of rows that repeat an id one text is taken, that with the smallest hash, so what comes to the
+    driver is bounded however often ids repeat.
     """
     share = known.agg(F.coalesce(F.avg("y"), F.lit(0.5))).first()[0]
     ranked = known.withColumn("o", F.xxhash64(F.col("doc_id").cast("string")))
     picked = [ranked.where(F.col("y") == y).orderBy("o", "doc_id").limit(rows) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1]).withColumnRenamed("doc_id", "_id")
     chosen = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("binary").alias("text")).where("text IS NOT NULL")
-    chosen = chosen.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("o", "y", "text")  # 2 * rows at most
+    chosen = chosen.join(F.broadcast(picked), F.col("_doc") == F.col("_id"))  # 2 * rows at most are sent
+    # of several texts of one id, that with the smallest hash
+    chosen = chosen.groupBy("_id", "o", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("o", "y", "text")
 
     def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -164,7 +167,12 @@ def trained(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_c
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of documents; without labels of both kinds, all get the good share."""
+    """doc_id, held_out, score, predicted for every row of documents.
+
+    Texts of any length are scored whole; null and empty ones get the curve's value at no difference; rows that repeat, and texts
+    that compress alike, get equal scores; without labels of both kinds, all get the good share (0.5 without any); an empty table
+    gives an empty result; other columns are ignored.
+    """
     model = trained(docs, labels)
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text"), model, docs.sparkSession).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= CUTOFF).cast("int"))

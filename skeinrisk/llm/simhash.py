@@ -183,9 +183,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows without an id stay; rows that repeat an id and text stay or go together; extra columns of any name pass through.
     """
-    gone = near_copies(docs, id_col, text_col).where(~F.col("first")).select(F.col("doc_id").alias("_gone"), F.col("th").alias("_gone_th")).distinct()
-    gone = Written(gone, "gone").df
-    return docs.join(small(gone), (F.col(id_col).cast("long") == F.col("_gone")) & (text_hash(F.col(text_col)) == F.col("_gone_th")), "left_anti")
+    gone = near_copies(docs, id_col, text_col).where(~F.col("first")).select("doc_id", "th").distinct()
+    gone = small(Written(gone, "gone").df).alias("g")
+    own = (F.col(f"d.`{id_col}`").cast("long") == F.col("g.doc_id")) & (text_hash(F.col(f"d.`{text_col}`")) == F.col("g.th"))
+    return docs.alias("d").join(gone, own, "left_anti")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:

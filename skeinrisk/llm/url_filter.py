@@ -147,8 +147,10 @@ def boost(binned: DataFrame, n_features: int) -> tuple[float, list[dict]]:
 def judge(pages: DataFrame, url_col: str = "url", rules: dict[str, str] = RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """All rows and columns of ``pages`` with host, path, rule, verdict ('allow' or 'block') and score (of being blocked).
 
-    A null or odd url has empty host and path, no rule, and the trees' verdict. Where no rule labels any url, all others are
-    allowed. Columns of ``pages`` with the names of results are replaced.
+    A null or odd url has empty host and path, no rule, and the trees' verdict. Of rules that fit, the longest wins; two as long
+    can't both fit one url unless they are equal. Urls of any length are taken whole; rows that repeat get equal results. Where no
+    rule labels any url, all others are allowed; an empty table gives an empty result. Columns of ``pages`` with the names of
+    results are replaced.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "score")
     url = F.coalesce(F.col(url_col), F.lit(""))

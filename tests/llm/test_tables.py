@@ -225,6 +225,48 @@ def test_url_trees_learn(spark, rng):
     assert sum((r["verdict"] == "block") == r["host"][0].isdigit() for r in out) / len(out) > 0.95
 
 
+def plain_boosting(bins, y, weight):
+    """Boosted trees grown row by row: at each node the split of the most gain over all features and edges; log odds of each row."""
+    score = np.full(len(y), np.log(((weight * y).sum() + 1) / ((weight * (1 - y)).sum() + 1)))
+    worth = lambda g, h: g * g / (h + url_filter.RIDGE)
+    for _ in range(url_filter.TREES):
+        p = 1 / (1 + np.exp(-score))
+        g, h = (p - y) * weight, p * (1 - p) * weight
+        step = np.zeros(len(y))
+
+        def grow(rows, depth):
+            best = (1e-9, None)
+            for f in range(bins.shape[1]) if depth < url_filter.DEPTH else ():
+                for b in np.unique(bins[rows, f])[:-1]:
+                    left = rows[bins[rows, f] <= b]
+                    rest = np.setdiff1d(rows, left)
+                    gain = worth(g[left].sum(), h[left].sum()) + worth(g[rest].sum(), h[rest].sum()) - worth(g[rows].sum(), h[rows].sum())
+                    if gain > best[0] + 1e-12:
+                        best = (gain, (left, rest))
+            if best[1] is None:
+                step[rows] = -url_filter.RATE * g[rows].sum() / (h[rows].sum() + url_filter.RIDGE)
+            else:
+                for part in best[1]:
+                    grow(part, depth + 1)
+
+        grow(np.arange(len(y)), 0)
+        score = score + step
+    return score
+
+
+def test_trees_match_plain_boosting(spark):
+    rng = np.random.default_rng(5)
+    bins = rng.integers(0, 9, (300, 4))
+    y = (bins[:, 0] + 2 * (bins[:, 1] > 5) * bins[:, 2] + rng.normal(size=300) * 3 > 8).astype(float)
+    weight = rng.integers(1, 5, 300)
+    rows = [([int(v) for v in b], float(a), int(n), k) for k, (b, a, n) in enumerate(zip(bins, y, weight))]
+    binned = spark.createDataFrame(rows, "bins array<int>, y double, n long, k int")
+    start, trees = url_filter.boost(binned.drop("k"), 4)
+    z = sum((url_filter.tree_value(t, 1, lambda f, b: F.col("bins")[f] <= b) for t in trees), F.lit(start))
+    got = [r["z"] for r in binned.select("k", z.alias("z")).orderBy("k").collect()]
+    assert len(trees) == url_filter.TREES and np.allclose(got, plain_boosting(bins, y, weight), atol=1e-7)
+
+
 def test_urls_without_labels_or_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x", "r")], "page_id long, url string, rule string")
     assert url_filter.judge(pages).first()["verdict"] == "allow" and url_filter.judge(pages.limit(0)).count() == 0

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
+import zstandard
 
 from skeinrisk.llm import decontaminate, licenses, quality
 
@@ -172,13 +175,50 @@ def test_quality_on_held_out_labels(spark, labelled):
     out = quality.quality_digest(docs, labels)
     rows = out.collect()
     assert out.count() == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
-    import zlib
-
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows if r["doc_id"] is not None)
     held = [r for r in rows if r["held_out"] and r["doc_id"] in truth]
     assert len(held) > 40 and sum(r["predicted"] == truth[r["doc_id"]] for r in held) / len(held) >= 0.95
 
 
+def plain_model(docs, labels):
+    """The dictionaries from the rows that the docstrings say: those of each class with the smallest hashes of their ids, of these
+    every other one, and of each up to eight pieces of 1,024 bytes, evenly spread."""
+    known = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 5}
+    place = lambda i: (lambda h: h - 2**64 if h >= 2**63 else h)(xxhash.xxh64_intdigest(str(i).encode(), 42))
+    out = []
+    for y in (1, 0):
+        samples = []
+        for i in sorted((i for i in known if known[i] == y and docs.get(i)), key=place)[::2]:
+            data = docs[i].encode()
+            own = [data[k : k + 1024] for k in range(0, len(data), 1024)]
+            samples += own if len(own) <= 8 else [own[len(own) * k // 8] for k in range(8)]
+        out.append(zstandard.train_dictionary(1 << 16, samples))
+    return out
+
+
+def test_quality_scores_match_a_plain_version(spark, labelled):
+    """The model's dictionaries and every row's score, recomputed one text at a time."""
+    docs, labels, truth = labelled
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id < 9000").collect()}
+    model = quality.trained(docs, labels)
+    dictionaries = plain_model(texts, [(i, y) for i, y in truth.items() if i != 3] + [(3, truth[3])])
+    assert [d.as_bytes() for d in dictionaries] == [model.good, model.bad]
+    assert list(model.at) == sorted(model.at) and list(model.share) == sorted(model.share, reverse=True)
+    for r in quality.quality_digest(docs, labels).where("doc_id < 200 OR doc_id > 9000").join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        data, total = (r["text"] or "").encode(), 0
+        for k in range(0, len(data), 1024):
+            good, bad = (len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d.as_bytes()), write_content_size=False, write_checksum=False, write_dict_id=False).compress(data[k : k + 1024])) for d in dictionaries)
+            total += good - bad
+        assert r["score"] == pytest.approx(np.interp(total / len(data) if data else 0.0, model.at, model.share), abs=1e-12)
+
+
+def test_repeated_labelled_ids_train_on_one_text(spark, labelled):
+    docs, labels, _ = labelled
+    one = quality.trained(docs, labels)
+    again = quality.trained(docs.unionByName(docs.where("doc_id < 40")).repartition(3), labels)
+    assert (one.good, one.bad, one.at) == (again.good, again.bad, again.at)
+
+
 def test_quality_filter_keeps_columns(spark, labelled):
     docs, labels, truth = labelled
     out = quality.keep_good(docs.withColumnRenamed("lang", "y"), labels)
