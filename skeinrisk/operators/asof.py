@@ -6,19 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def backward(left: DataFrame, right: DataFrame, value: str, on: str = "dt", by: list[str] | None = None) -> DataFrame:
-    """``left`` with the latest ``value`` of ``right`` at or before each row's ``on``.
+def backward(left: DataFrame, right: DataFrame, value: str, on: str = "dt", by: list[str] | None = None, block: str = "month") -> DataFrame:
+    """``left`` with the latest ``value`` of ``right`` at or before each row's ``on``, a date or timestamp.
 
-    Both sides go through one sort of their union, whatever their sizes. ``by``: columns that must agree; without them all
-    rows are one series, and its rows meet in one task, which suits a single dated series.
+    Both sides go through one sort of their union, block of time by block, whatever their sizes; where a block has no value yet,
+    the last one of the blocks before is carried over, from a table of one row a block. ``by``: columns that must agree.
     """
-    by = by or []
-    columns = left.columns
+    by, columns = by or [], left.columns
     a = left.select(F.struct(*columns).alias("_row"), *by, F.col(on).alias("_at"), F.lit(None).cast(dict(right.dtypes)[value]).alias("_v"), F.lit(1).alias("_side"))
     b = right.select(F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), *by, F.col(on).alias("_at"), F.col(value).alias("_v"), F.lit(0).alias("_side"))
-    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    met = a.unionByName(b).withColumn("_last", F.last("_v", ignorenulls=True).over(order)).where("_side = 1")
-    return met.select("_row.*", F.col("_last").alias(value))
+    b = b.withColumn("_block", F.date_trunc(block, "_at"))
+    both = a.withColumn("_block", F.date_trunc(block, "_at")).unionByName(b)
+    order = Window.partitionBy(*by, "_block").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_last", F.last("_v", ignorenulls=True).over(order)).where("_side = 1")
+    ends = b.where("_v IS NOT NULL").groupBy(*by, "_block").agg(F.max_by("_v", "_at").alias("_end"))
+    blocks = both.select(*by, "_block").distinct().join(ends, [*by, "_block"], "left")
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_block").alias("_start"), F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    same = F.col("_block").eqNullSafe(F.col("_start"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return met.join(carried, same, "left").select("_row.*", F.coalesce("_last", "_carried").alias(value))
 
 
 def nearest(points: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import Z99, cap, ratio
+from .models import rolling_forecasts
 from .risk import LAMBDA, P, WINDOW, ewma_series
 
 
@@ -19,14 +20,8 @@ def _last(series: DataFrame, lookback: int, key: str) -> DataFrame:
 
 
 def historical_forecasts(series: DataFrame, lookback: int = WINDOW, p: float = P, key: str = "portfolio") -> DataFrame:
-    """(key, dt, r, var): the loss of rank floor(n p) among the ``lookback`` rows before each row.
-
-    Only rows that can be that far down matter: those among the ``m`` worst of a window. They come from a sorted slice of the
-    window's collected values, ``lookback`` doubles a row, within the row's own partition.
-    """
-    frame = Window.partitionBy(key).orderBy("dt").rowsBetween(-lookback, -1)
-    rows = _last(series, lookback, key).withColumn("past", F.collect_list("r").over(frame)).where(F.col("i") >= lookback + 1)
-    return rows.select(key, "dt", "r", cap(-F.sort_array("past")[int(lookback * p)] * 100).alias("var"))
+    """(key, dt, r, var): the loss of rank floor(n p) among the ``lookback`` rows before each row, by chunks of rows."""
+    return rolling_forecasts(series, "hs", lookback, key=key, p=p)
 
 
 def ewma_forecasts(series: DataFrame, lookback: int = WINDOW, lam: float = LAMBDA, key: str = "portfolio") -> DataFrame:
@@ -85,3 +80,12 @@ def exception_calendar(hits: DataFrame, days: int = 252) -> DataFrame:
     daily = daily.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= days)
     start = F.date_trunc("week", F.min("dt").over(Window.partitionBy("portfolio"))).cast("date")
     return daily.select("portfolio", "dt", F.floor(F.date_diff("dt", start) / 7).cast("int").alias("week"), (F.weekday("dt") + 1).alias("dow"), F.concat_ws(",", "m").alias("models"))
+
+
+def with_cached(backtests: DataFrame, stored: DataFrame) -> DataFrame:
+    """Backtests of books with the stored ones of slow models, for the books that have some; a stored row that was made again
+    since is left out."""
+    keys = ["portfolio", "model"]
+    books = backtests.select("portfolio").distinct()
+    kept = stored.join(books, "portfolio", "left_semi").join(backtests.select(*keys), keys, "left_anti")
+    return backtests.unionByName(kept.select(*backtests.columns))

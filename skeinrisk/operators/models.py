@@ -102,7 +102,7 @@ def garch_residuals(returns: DataFrame) -> DataFrame:
 
 
 def rolling_forecasts(series: DataFrame, model: str, lookback: int = WINDOW, chunk: int = 128, key: str = "portfolio", p: float = P) -> DataFrame:
-    """(key, dt, r, var): out-of-sample forecasts by ``model`` (evt, garch or gjr) from the ``lookback`` rows before each row.
+    """(key, dt, r, var): out-of-sample forecasts by ``model`` (hs, evt, garch or gjr) from the ``lookback`` rows before each row.
 
     Rows are dealt into chunks that carry their own lookback, so a long backtest spreads over tasks; the windows of a chunk are
     fitted together.
@@ -121,7 +121,10 @@ def rolling_forecasts(series: DataFrame, model: str, lookback: int = WINDOW, chu
         if not targets:
             return pd.DataFrame(columns=[key, "dt", "r", "var"])
         windows = np.stack([r[i - lookback - i0 : i - i0] for i in targets])
-        if model == "evt":
+        if model == "hs":
+            at = int(lookback * p)
+            var = np.minimum(-np.partition(windows, at, 1)[:, at] * 100, 100.0)
+        elif model == "evt":
             var = np.array([nm.var_es_evt(x, p)[0] for x in windows])
         else:
             # neighbouring windows differ by a row: all start from the fit of the middle one

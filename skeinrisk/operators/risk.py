@@ -72,6 +72,13 @@ def var_series(returns: DataFrame, warmup: int = WARMUP, key: str = "ticker") ->
     return rows.select(key, "dt", "r", (F.sqrt("v") * Z99 * 100).alias("var"))
 
 
+def trajectory(book: DataFrame, warmup: int = 252, every: int = 5, key: str = "portfolio") -> DataFrame:
+    """(key, dt, var): EWMA VaR of a book every ``every`` rows from row ``warmup`` on."""
+    rows = ewma_series(book, key=key)
+    kept = rows.where((F.col("i") >= warmup) & ((F.col("i") - warmup) % every == 0))
+    return kept.select(key, "dt", (F.sqrt("v") * Z99 * 100).alias("var"))
+
+
 def risk_level(returns: DataFrame, history: int = 504, window: int = WINDOW, key: str = "ticker") -> DataFrame:
     """The share of the last ``history`` EWMA variances that don't exceed the latest; 0.5 on a shorter series."""
     rows = ewma_series(returns, 30, key=key)

@@ -72,6 +72,28 @@ def risk_profile(returns: DataFrame, market: DataFrame, window: int = 60) -> Dat
     return vol.join(performance.market_beta(both, "ticker"), "ticker", "left")
 
 
+def performance_skill(pairs: DataFrame, least: int = 252, draws: int = 4000) -> DataFrame:
+    """pairs(portfolio, dt, p, b) -> one row a book with ``least`` common rows: their span, metrics, regimes and skill against luck."""
+    span = pairs.groupBy("portfolio").agg(F.count("*").cast("int").alias("n_obs"), F.min("dt").alias("first_date"), F.max("dt").alias("last_date")).where(F.col("n_obs") >= least)
+    span = span.select("portfolio", "n_obs", (F.col("n_obs") / YEAR).alias("years"), "first_date", "last_date")
+    one = lambda df, name: df.select("portfolio", F.struct(*[c for c in df.columns if c != "portfolio"]).alias(name))
+    regimes = one(performance.regimes(pairs), "r").groupBy("portfolio").agg(F.sort_array(F.collect_list("r")).alias("regime_alpha"))
+    out = span.join(one(performance.metrics(pairs), "metrics"), "portfolio", "left").join(regimes, "portfolio", "left")
+    return out.join(one(models.skill_or_luck(pairs, draws), "skill_vs_luck"), "portfolio", "left")
+
+
+def bundle(parts: dict[str, DataFrame]) -> DataFrame:
+    """(portfolio, value): the rows of every part, as one JSON document for each book of the first; a part that it lacks is missing.
+
+    For display-sized parts; books are rows, so many books spread over tasks.
+    """
+    out = None
+    for name, df in parts.items():
+        own = df.groupBy("portfolio").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "portfolio"])).alias(name))
+        out = own if out is None else out.join(own, "portfolio", "left")
+    return out.select("portfolio", F.to_json(F.struct(*parts)).alias("value"))
+
+
 def anomaly_view(returns: DataFrame, rows: int = 504, least: int = 100) -> DataFrame:
     """z, both CUSUM sums, GARCH residual and the detectors that fire, over the last rows of tickers with enough history."""
     n = F.count("*").over(Window.partitionBy("ticker"))

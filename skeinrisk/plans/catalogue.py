@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import book_queries, model_queries, risk_queries  # noqa: F401
+from . import book_queries, file_queries, model_queries, risk_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -127,9 +127,7 @@ def component_var(spark, d):
 
 @query(sql(f"SELECT portfolio, dt, round(sqrt(v) * {Z99!r} * 100, 6) AS var FROM ewma WHERE i >= 252 AND (i - 252) % 5 = 0", "port", ewma=ewma_sql("port", "portfolio")))
 def portfolio_trajectory(spark, d):
-    s = risk.ewma_series(portfolio.book_returns(panel.returns(spark, d), panel.weights(spark)), key="portfolio")
-    kept = s.where((F.col("i") >= 252) & ((F.col("i") - 252) % 5 == 0))
-    return rounded(kept.select("portfolio", "dt", (F.sqrt("v") * Z99 * 100).alias("var")))
+    return rounded(risk.trajectory(portfolio.book_returns(panel.returns(spark, d), panel.weights(spark))))
 
 
 @query(sql("SELECT a.portfolio, count_if(coalesce(a.w, 0) > 0)::BIGINT AS n_holdings, round(sum(a.w * a.w), 6) AS hhi, round(max(a.w), 6) AS max_weight, round(sum(abs(a.w - b.w)), 6) AS turnover, round(1 / sum(a.w * a.w), 6) AS effective_n FROM books a JOIN books b ON a.ticker = b.ticker AND b.portfolio = 'B' GROUP BY 1", "books"))

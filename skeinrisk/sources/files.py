@@ -5,6 +5,8 @@ Such files are small and many: Spark lists and reads them, and each is parsed wh
 
 from __future__ import annotations
 
+import csv
+import datetime as dt
 import io
 import re
 import zipfile
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.holdings import number
+from .sinks import there
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -76,59 +79,82 @@ def cached_factors(spark: SparkSession, load, cache: str) -> DataFrame:
     try:
         load().write.mode("overwrite").parquet(cache)
     except Exception as e:  # noqa: BLE001 - whatever failed, an earlier download will do
-        try:
-            return spark.read.parquet(cache)
-        except Exception:  # noqa: BLE001
+        if not there(spark, cache):
             raise e from None
     return spark.read.parquet(cache)
 
 
+#: How holdings files name their columns. A header names a ticker and one of the weight words.
 WEIGHT_WORDS = ("percent of net assets", "weight", "% of", "weighting")
+NAME_COLUMNS, TICKER_COLUMNS = ("security name", "security", "name"), ("ticker",)
+WEIGHT_COLUMNS = ("weighting", "percent of net assets", "% of net", "weight", "% market")
+KIND_COLUMNS, COUNTRY_COLUMNS = ("asset type", "asset class", "type"), ("country",)
+#: Lines in which a header may stand.
+HEADER_LINES = 12
+_DATE = re.compile(r"(\d{1,2})[/-](\d{1,2})[/-](\d{4}|\d{2})")
+
+
+def written_date(text: str) -> dt.date | None:
+    """The first date in a text, month before day unless that is no date; None for a date that doesn't exist."""
+    if not (found := _DATE.search(text)):
+        return None
+    first, second, year = map(int, found.groups())
+    for month, day in ((first, second), (second, first)):
+        try:
+            return dt.date(year + 2000 * (year < 100), month, day)
+        except ValueError:
+            continue
+    return None
+
+
+def heading(rows: list[list[str | None]]) -> tuple[int | None, dt.date | None]:
+    """(index of the header among the first rows, the first real date above it)."""
+    said = [" | ".join(x for x in row if x) for row in rows[:HEADER_LINES]]
+    head = next((k for k, x in enumerate(said) if "ticker" in x.lower() and any(w in x.lower() for w in WEIGHT_WORDS)), None)
+    return head, next((d for x in said[:head] if (d := written_date(x))), None) if head is not None else None
+
+
+def header_row(text: DataFrame) -> DataFrame:
+    """text(path, n, line) -> (path, head, as_of) of the files that have a header among their first lines."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        head, as_of = heading([[x] for x in pdf.sort_values("n")["line"]])
+        return pd.DataFrame([] if head is None else [(pdf["path"].iloc[0], head, as_of)], columns=["path", "head", "as_of"])
 
-def header_row(text: DataFrame, most: int = 12) -> DataFrame:
-    """(path, head, as_of): the first of ``most`` lines that names a ticker and a weight, and the first date above it."""
-    low = F.lower("line")
-    named = F.contains(low, F.lit("ticker")) & F.greatest(*[F.contains(low, F.lit(w)) for w in WEIGHT_WORDS])
-    heads = text.where(F.col("n") < most).groupBy("path").agg(F.min(F.when(named, F.col("n"))).alias("head")).where("head IS NOT NULL")
-    above = text.join(heads, "path").where(F.col("n") < F.col("head")).withColumn("d", F.regexp_extract("line", r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", 1)).where("d <> ''")
-    parts = F.split("d", "[/-]")
-    year = F.when(F.length(parts[2]) == 2, F.concat(F.lit("20"), parts[2])).otherwise(parts[2])
-    day = F.make_date(year.cast("int"), parts[0].cast("int"), parts[1].cast("int"))
-    dates = above.groupBy("path").agg(F.min_by(day, "n").alias("as_of"))
-    return heads.join(dates, "path", "left")
+    return text.where(F.col("n") < HEADER_LINES).groupBy("path").applyInPandas(run, "path string, head int, as_of date")
 
 
 def _match(names: list[str], wanted: tuple[str, ...]) -> str | None:
     return next((n for n in names if any(w in n.lower() for w in wanted)), None)
 
 
-def holdings_rows(table: pd.DataFrame, fund: str) -> pd.DataFrame:
-    """A holdings table with named columns -> (fund, name, ticker, weight, asset_type, country), columns found by their names."""
+def holdings_rows(table: pd.DataFrame, fund: str, as_of: dt.date | None = None) -> pd.DataFrame:
+    """A holdings table with named columns -> rows of ROWS_SCHEMA, columns found by their names."""
     names = [str(c) for c in table.columns]
     table = table.set_axis(names, axis=1)
-    use = {
-        "name": _match(names, ("security name", "security", "name")), "ticker": _match(names, ("ticker",)),
-        "weight": _match(names, ("weighting", "percent of net assets", "% of net", "weight", "% market")),
-        "asset_type": _match(names, ("asset type", "asset class", "type")), "country": _match(names, ("country",)),
-    }
+    wanted = {"name": NAME_COLUMNS, "ticker": TICKER_COLUMNS, "weight": WEIGHT_COLUMNS, "asset_type": KIND_COLUMNS, "country": COUNTRY_COLUMNS}
+    use = {k: _match(names, v) for k, v in wanted.items()}
     if not use["name"] or not use["weight"]:
         raise ValueError(f"no name or weight among {names}")
     out = pd.DataFrame({k: table[v] if v else None for k, v in use.items()}, dtype=object)
     out.insert(0, "fund", fund)
-    return out.where(out.notna(), None).astype(object).map(lambda v: None if v is None else str(v).strip())
+    out = out.where(out.notna(), None).astype(object).map(lambda v: None if v is None else str(v).strip())
+    return out.assign(as_of=pd.Series([as_of] * len(out), dtype=object))
 
 
-ROWS_SCHEMA = "fund string, name string, ticker string, weight string, asset_type string, country string"
+ROWS_SCHEMA = "fund string, name string, ticker string, weight string, asset_type string, country string, as_of date"
 
 
-def _csv_table(text: str) -> pd.DataFrame:
-    found = text.splitlines()
-    head = next((k for k, x in enumerate(found[:12]) if "ticker" in x.lower() and any(w in x.lower() for w in WEIGHT_WORDS)), None)
+def _table(rows: list[list[str | None]]) -> tuple[pd.DataFrame, dt.date | None]:
+    """The named columns below a header, and the date above it."""
+    head, as_of = heading(rows)
     if head is None:
         raise ValueError("no header row")
-    t = pd.read_csv(io.StringIO("\n".join(found[head:])), dtype=str, on_bad_lines="skip")
-    return t[[c for c in t.columns if str(c).strip() and not str(c).startswith("Unnamed")]].dropna(how="all")
+    names = [x or "" for x in rows[head]]
+    fitting = [r for r in rows[head + 1 :] if not any(r[len(names) :])]  # a row with more cells than the header is broken
+    t = pd.DataFrame([(r + [None] * len(names))[: len(names)] for r in fitting], columns=names, dtype=object)
+    t = t.replace("", None)
+    return t[[c for c in t.columns if c.strip()]].dropna(how="all"), as_of
 
 
 _X = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -164,38 +190,44 @@ def xlsx_rows(data: bytes, sheet: str | None = None) -> list[list[str | None]]:
     return out
 
 
-def _xlsx_table(data: bytes, sheet: str | None = None) -> pd.DataFrame:
-    rows = xlsx_rows(data, sheet)
-    head = next((k for k, r in enumerate(rows[:12]) if "ticker" in (j := " | ".join(x for x in r if x).lower()) and any(w in j for w in WEIGHT_WORDS)), None)
-    if head is None:
-        raise ValueError("no header row")
-    names = [x or "" for x in rows[head]]
-    body = [(r + [None] * len(names))[: len(names)] for r in rows[head + 1 :]]
-    t = pd.DataFrame(body, columns=names)
-    return t[[c for c in t.columns if c.strip()]].dropna(how="all")
+#: Notes in brackets that a disclosure's names carry, and the last day of each quarter.
+NAME_NOTES = re.compile(r"\s*\((?:[a-z]|(?:CAD|EUR|GBP) denominated)\)\s*")
+QUARTER_ENDS = {"1": (3, 31), "2": (6, 30), "3": (9, 30), "4": (12, 31)}
 
 
-def docx_table(data: bytes) -> pd.DataFrame:
-    """Rows of a document's tables that end in shares and value: (name, ticker, value)."""
+def quarter_end(name: str) -> dt.date | None:
+    """The last day of the quarter that a file's name holds, as Q1-2026."""
+    found = re.search(r"Q([1-4])[-_](\d{4})", name)
+    return dt.date(int(found[2]), *QUARTER_ENDS[found[1]]) if found else None
+
+
+def docx_table(data: bytes, tickers: dict[str, str] | None = None) -> pd.DataFrame:
+    """The holdings among a document's table rows, those that end in shares and value: (name, ticker, weight), weight in percent of
+    all value. ``tickers`` maps names to tickers, as such documents have none; rows of one ticker, or of one name, are merged."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         root = ElementTree.fromstring(z.read("word/document.xml"))
-    out = []
+    amount = re.compile(r"\$?\s*[\d,]+(\.\d+)?")
+    values: dict[str, list] = {}
     for row in root.iter(_W + "tr"):
         cells = [("".join(t.text or "" for t in c.iter(_W + "t"))).strip() for c in row.iter(_W + "tc")]
-        cells = [c for c in cells if c and c != "$"]
-        numeric = [c for c in cells if re.fullmatch(r"\$?\s*[\d,]+(\.\d+)?", c)]
-        if len(numeric) < 2 or not cells or cells[0] in numeric:
+        said = [c for c in cells[1:] if c and c != "$"]
+        name = " ".join(NAME_NOTES.sub(" ", cells[0]).split()) if cells else ""
+        if len(said) < 2 or not all(amount.fullmatch(c) for c in said[-2:]) or not name or "%" in name:
             continue
-        ticker = next((c for c in cells[1:] if re.fullmatch(r"[A-Z]{1,5}", c)), None)
-        out.append((cells[0], ticker, float(re.sub(r"[^\d.]", "", numeric[-1]))))
-    return pd.DataFrame(out, columns=["name", "ticker", "value"])
+        ticker = (tickers or {}).get(name) or next((c for c in said if re.fullmatch(r"[A-Z]{1,5}", c)), None)
+        held = values.setdefault(ticker or f"name {name}", [name, ticker, 0.0])
+        held[2] += float(re.sub(r"[^\d.]", "", said[-1]))
+    if not values:
+        raise ValueError("no holdings rows")
+    total = sum(v for _, _, v in values.values())
+    return pd.DataFrame([(n, t, 100 * v / total) for n, t, v in values.values()], columns=["name", "ticker", "weight"])
 
 
-def read_holdings(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """(fund, name, ticker, weight, asset_type, country, error): rows of csv, xlsx and docx files, the file's name as fund.
+def read_holdings(spark: SparkSession, path: str, sheet: str | None = None, tickers: dict[str, str] | None = None) -> DataFrame:
+    """(fund, name, ticker, weight, asset_type, country, as_of, error): rows of csv, xlsx and docx files, the file's name as fund.
 
-    A file that can't be read gives one row with the error and nothing else, and stops no other. In a docx, weight is a
-    holding's share of the value, and lots of one ticker are one row.
+    as_of: the date above the header, or the end of the quarter in a docx file's name. A file that can't be read gives one row
+    with the error and nothing else, and stops no other. ``tickers``: of the names in docx files.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,16 +236,13 @@ def read_holdings(spark: SparkSession, path: str, sheet: str | None = None) -> D
                 fund, _, kind = name.rsplit("/", 1)[-1].rpartition(".")
                 try:
                     if kind == "docx":
-                        t = docx_table(data)
-                        t["key"] = t["ticker"].fillna(t["name"])
-                        t = t.groupby("key", sort=False).agg(name=("name", "first"), ticker=("ticker", "first"), value=("value", "sum"))
-                        t["weight"] = 100 * t["value"] / t["value"].sum()
-                        rows = holdings_rows(t[["name", "ticker", "weight"]], fund)
+                        table, as_of = docx_table(data, tickers), quarter_end(fund)
                     else:
-                        rows = holdings_rows(_xlsx_table(data, sheet) if kind == "xlsx" else _csv_table(data.decode("utf-8", "replace")), fund)
-                    rows["error"] = None
+                        cells = xlsx_rows(data, sheet) if kind == "xlsx" else list(csv.reader(io.StringIO(data.decode("utf-8-sig", "replace"))))
+                        table, as_of = _table(cells)
+                    rows = holdings_rows(table, fund, as_of).assign(error=None)
                 except Exception as e:  # noqa: BLE001 - failures of one file are reported in its row
-                    rows = pd.DataFrame([(fund, None, None, None, None, None, str(e))], columns=["fund", "name", "ticker", "weight", "asset_type", "country", "error"])
+                    rows = pd.DataFrame([(fund, *[None] * 6, str(e))], columns=["fund", "name", "ticker", "weight", "asset_type", "country", "as_of", "error"])
                 yield rows
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ROWS_SCHEMA + ", error string")

@@ -85,6 +85,13 @@ def volatility_index(market: DataFrame) -> DataFrame:
     return v.where("vix IS NOT NULL").select("dt", "vix")
 
 
+def smoothed_volatility(vix: DataFrame, window: int = 60, least: int = 20) -> DataFrame:
+    """(dt, vix): the mean of the last ``window`` values, where there are ``least`` of them: on a par with correlations over as many
+    rows. One dated series is one partition."""
+    w = Window.partitionBy(F.lit(0)).orderBy("dt").rowsBetween(1 - window, 0)
+    return vix.select("dt", F.when(F.count("vix").over(w) >= least, F.avg("vix").over(w)).alias("vix")).where("vix IS NOT NULL")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Dealt out by ``keys`` over a fixed number of partitions, for grouped functions that work long on few rows.
 

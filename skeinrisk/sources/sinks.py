@@ -24,14 +24,16 @@ def write_document(sections: dict[str, DataFrame], as_of: str, path: str) -> Non
     document(sections, as_of).coalesce(1).write.mode("overwrite").text(path)
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written whole to ``path``, on any store that Spark reads."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done)
+
+
 def cached(spark: SparkSession, compute, path: str, refresh: bool = False) -> DataFrame:
     """A model's results from ``path``; computed and written where they are missing or ``refresh`` is set."""
-    if not refresh:
-        try:
-            return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - no cache yet
-            pass
-    compute().write.mode("overwrite").parquet(path)
+    if refresh or not there(spark, path):
+        compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -214,3 +214,22 @@ def test_garch_residuals_are_standardised(spark):
     r = np.random.default_rng(10).standard_t(6, 800) * 0.01
     z = [x["residual"] for x in models.garch_residuals(series(spark, r)).collect()]
     assert len(z) == 800 and np.std(z) == pytest.approx(1, abs=0.15)
+
+
+def test_taxonomies_are_walked_to_the_root(spark):
+    """A shock on the root of a chain of nine classes reaches its leaf; a circle is an error."""
+    chain = [(f"c{k}", f"c{max(k - 1, 0)}") for k in range(9)]
+    tree = spark.createDataFrame(chain, "class string, parent string")
+    assert {(r["ancestor"], r["depth"]) for r in scenarios.closure(tree).where("class = 'c8'").collect()} == {(f"c{k}", 8 - k) for k in range(9)}
+    with pytest.raises(ValueError, match="circle"):
+        scenarios.closure(spark.createDataFrame([("a", "b"), ("b", "a")], "class string, parent string"))
+
+
+def test_as_of_values_cross_blocks(spark):
+    left = [(1, "x", 70), (2, "x", 5), (3, "y", 400), (4, "x", 200), (5, "x", -3)]
+    right = [("x", 0, 1.0), ("x", 60, 2.0), ("x", 61, None), ("y", 390, 3.0), ("y", 401, 4.0)]
+    day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(k)
+    a = spark.createDataFrame([(i, b, day(k)) for i, b, k in left], "i int, b string, dt date")
+    c = spark.createDataFrame([(b, day(k), v) for b, k, v in right], "b string, dt date, v double")
+    assert {r["i"]: r["v"] for r in asof.backward(a, c, "v", by=["b"]).collect()} == {1: 2.0, 2: 1.0, 3: 3.0, 4: 2.0, 5: None}
+    assert {r["i"]: r["v"] for r in asof.backward(a, c.where("b = 'x'"), "v").collect()} == {1: 2.0, 2: 1.0, 3: 2.0, 4: 2.0, 5: None}

@@ -86,6 +86,7 @@ def test_holdings_files(spark, tmp_path):
     assert [(r["name"], r["ticker"], r["weight"]) for r in by["ONE"]] == [("Micron, Inc", "MU", "6.5"), ("Cash", None, "1.0")]
     assert {r["ticker"] for r in by["TWO"]} == {"005930 KS", None} and by["TWO"][0]["asset_type"] == "Equity"
     assert {r["name"]: float(r["weight"]) for r in by["THREE"]} == {"Alpha Corp": 40.0, "Beta": 60.0}
+    assert by["ONE"][0]["as_of"] == dt.date(2026, 5, 5) and by["THREE"][0]["as_of"] is None
     assert by["BAD"][0]["error"] and by["BAD"][0]["name"] is None
     head = files.header_row(files.lines(spark, f"file://{tmp_path}/ONE.csv")).first()
     assert head["head"] == 2 and head["as_of"] == dt.date(2026, 5, 5)
@@ -95,6 +96,19 @@ def test_holdings_files(spark, tmp_path):
     assert top["TWO", 1]["weight"] == 5.0 and top["TWO", 1]["symbol"] == "005930.KS" and ("TWO", 2) not in top
 
 
+def test_documents_without_tickers(spark, tmp_path):
+    """Names map to tickers, notes in brackets go, lots of one ticker are merged, and the quarter in the file's name is the date."""
+    rows = [["Stocks 90%", "", ""], ["Alpha Corp (a)", "1,000", "$300"], ["Alpha ADR (EUR denominated)", "10", "100"], ["Beta", "5", "$", "600"], ["Note", "text", "5"]]
+    (tmp_path / "FUND-Q2-2026.docx").write_bytes(docx(rows))
+    got = files.read_holdings(spark, f"file://{tmp_path}", tickers={"Alpha Corp": "ALP", "Alpha ADR": "ALP"}).collect()
+    assert [(r["name"], r["ticker"], float(r["weight"]), r["as_of"]) for r in got] == [("Alpha Corp", "ALP", 40.0, dt.date(2026, 6, 30)), ("Beta", None, 60.0, dt.date(2026, 6, 30))]
+
+
+@pytest.mark.parametrize(("text", "day"), [("As of 05/31/2026", dt.date(2026, 5, 31)), ("31/12/2025", dt.date(2025, 12, 31)), ("on 2-3-26 it", dt.date(2026, 2, 3)), ("45/45/2026", None), ("none", None)])
+def test_written_dates(text, day):
+    assert files.written_date(text) == day
+
+
 def test_json_round_trip(spark, tmp_path):
     doc = {"funds": {"F": {"as_of": "2026-05-05", "holdings": [{"security": "A", "ticker": "A", "weight": 3.0, "rank": 1}, {"security": "B", "ticker": "B", "weight": 1.0, "symbol": "B", "rank": 2}]}}}
     (tmp_path / "d.json").write_text(json.dumps(doc))
