@@ -273,7 +273,7 @@ def scenario_coverage(spark, d):
     return rounded(c.groupBy("portfolio").pivot("id", ["h1", "h2"]).agg(F.first("coverage")))
 
 
-@query("SELECT * FROM (VALUES ('YY', 'M'), ('ZZ', 'M')) t(ticker, portfolios)")
+@query(f"SELECT ticker, string_agg(DISTINCT portfolio, ',' ORDER BY portfolio) AS portfolios FROM ({BOOKS_SQL}) WHERE ticker NOT IN (SELECT ticker FROM ({_v([(t,) for t, *_ in SECURITIES], 'ticker')})) GROUP BY 1")
 def unmapped_guard(spark, d):
     return scenarios.unmapped(panel.weights(spark, BOOKS), taxonomy(spark, d)["securities"])
 
@@ -315,7 +315,12 @@ _TICKERS = [("005930 KS", "005930.KS"), ("A005930", "005930.KS"), ("A111111", "1
 _NAMES = [("Samsung Electronics Co., Ltd.", "Samsung Electronics Co"), ("MICRON TECHNOLOGY INC COMMON STOCK USD.1", "Micron Technology"), ("ALPHABET INC CL A", "Alphabet"), ("  spaced   out  ", "Spaced Out"), ("Inc", "Inc"), ("o'neil plc", "O'Neil")]
 
 
-@query(_v(_TICKERS, "ticker, symbol"))
+_LOOKUP = lambda pairs: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs.items()) + "}"
+
+
+@query(f"""SELECT ticker, CASE WHEN t IS NULL OR t = '' OR lower(t) IN ('nan', 'none') THEN NULL WHEN named IS NOT NULL THEN named WHEN suffix IS NOT NULL THEN split_part(t, ' ', 1) || suffix
+ WHEN regexp_full_match(t, 'A[0-9]{{6}}') THEN substr(t, 2) || '.KS' WHEN regexp_full_match(t, '[A-Z]{{1,5}}') THEN t WHEN regexp_full_match(t, '[0-9]{{4,5}}') THEN t || '.HK' END AS symbol
+ FROM (SELECT ticker, t, {_LOOKUP(holdings.TICKER_OVERRIDES)}[t] AS named, CASE WHEN regexp_full_match(t, '\\S+ [A-Za-z]{{2}}') THEN {_LOOKUP(holdings.EXCHANGE_SUFFIX)}[upper(split_part(t, ' ', 2))] END AS suffix FROM (SELECT ticker, trim(ticker) AS t FROM ({_v([(t,) for t, _ in _TICKERS], 'ticker')})))""")
 def ticker_map(spark, d):
     return spark.createDataFrame([(t,) for t, _ in _TICKERS], "ticker string").select("ticker", holdings.map_ticker(F.col("ticker")).alias("symbol"))
 
@@ -351,10 +356,12 @@ def look_through_coverage(spark, d):
     return rounded(holdings.look_through_coverage(holdings.normalise(raw_holdings(spark)), 3))
 
 
-@query(_v([("AF", 1), ("NO", 2), ("ZZ", 3), ("YY", 4), ("RF", 5)], "ticker, pos").replace("SELECT *", "SELECT ticker, pos::INT AS pos"))
+_LISTS = [(0, 0, "AF"), (0, 1, "NO"), (0, 2, "ZZ"), (1, 0, "YY"), (1, 1, "AF"), (1, 2, "RF")]
+
+
+@query(f"SELECT ticker, row_number() OVER (ORDER BY min(src * 1000 + ord))::INT AS pos FROM ({_v(_LISTS, 'src, ord, ticker')}) GROUP BY ticker")
 def benchmark_union(spark, d):
-    rows = [(0, 0, "AF"), (0, 1, "NO"), (0, 2, "ZZ"), (1, 0, "YY"), (1, 1, "AF"), (1, 2, "RF")]
-    return holdings.ordered_union(spark.createDataFrame(rows, "src int, ord int, ticker string"))
+    return holdings.ordered_union(spark.createDataFrame(_LISTS, "src int, ord int, ticker string"))
 
 
 @query(sql("SELECT p_brand AS key, min_by(p_name, p_partkey) AS name, round(sum(p_retailprice), 4) AS value, round(sum(p_retailprice) / sum(sum(p_retailprice)) OVER () * 100, 6) AS weight, 'all' AS fund FROM part GROUP BY 1"))
@@ -392,7 +399,7 @@ BANDS = {"treasuries": {"var": "0.3 to 1.0", "vol": "4 to 8"}, "equity": {"var":
 CLASSES = {"AF": "treasuries", "NO": "equity", "RF": "equity"}
 
 
-@query(_v([(t, c, m, BANDS[c][m]) for t, c in CLASSES.items() for m in ("var", "vol")], "ticker, class, metric, band"))
+@query(f"SELECT ticker, c.class, metric, band FROM ({_v(list(CLASSES.items()), 'ticker, class')}) c LEFT JOIN ({_v([(c, m, b) for c, own in BANDS.items() for m, b in own.items()], 'class, metric, band')}) b ON b.class = c.class")
 def reference_bands(spark, d):
     return views.reference_bands(spark.createDataFrame(list(CLASSES.items()), "ticker string, class string"), spark.createDataFrame([(c, m) for c, m in BANDS.items()], "class string, bands map<string, string>"))
 
@@ -415,9 +422,12 @@ def risk_profile(spark, d):
     return rounded(sections.risk_profile(r, r.where(F.col("ticker") == MARKET)))
 
 
-@query(_v([("60/40", "NO", 0.6), ("60/40", "AF", 0.4)], "portfolio, ticker, w"))
+_MARKS = {"60/40": panel.BENCHMARK, "broken": {MARKET: 0.5, "ZZ": 0.5}}
+
+
+@query(sql("SELECT portfolio, ticker, w FROM marks m WHERE NOT EXISTS (SELECT 1 FROM marks x WHERE x.portfolio = m.portfolio AND x.ticker NOT IN (SELECT ticker FROM returns))", "returns", marks=_v([(p, t, w) for p, own in _MARKS.items() for t, w in own.items()], "portfolio, ticker, w")))
 def complete_benchmarks(spark, d):
-    marks = panel.weights(spark, {"60/40": panel.BENCHMARK, "broken": {MARKET: 0.5, "ZZ": 0.5}})
+    marks = panel.weights(spark, _MARKS)
     return sections.complete_benchmarks(marks, panel.returns(spark, d)).select("portfolio", "ticker", "w")
 
 

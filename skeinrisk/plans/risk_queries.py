@@ -108,7 +108,7 @@ def synthetic_nav(spark, d):
 MIXED = {"M": {"AF": 0.5, "NO": 0.3, "ZZ": 0.2}}
 
 
-@query(sql("SELECT 'M' AS portfolio, 'ZZ' AS ticker, 0::BIGINT AS n_returns, 'no data' AS reason"))
+@query(sql("SELECT portfolio, ticker, n AS n_returns, CASE WHEN n = 0 THEN 'no data' ELSE 'short history' END AS reason FROM (SELECT b.portfolio, b.ticker, count(r.r)::BIGINT AS n FROM (VALUES " + ", ".join(f"('{p}', '{t}')" for p, own in MIXED.items() for t in own) + ") b(portfolio, ticker) LEFT JOIN returns r USING (ticker) GROUP BY 1, 2) WHERE n < 252", "returns"))
 def dropped_tickers(spark, d):
     return portfolio.dropped(panel.returns(spark, d), panel.weights(spark, MIXED))
 
