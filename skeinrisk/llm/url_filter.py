@@ -144,12 +144,13 @@ def boost(binned: DataFrame, n_features: int) -> tuple[float, list[dict]]:
     return start, trees
 
 
-def judge(pages: DataFrame, url_col: str = "url", rules: dict[str, str] = RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def judge(pages: DataFrame, url_col: str = "url", rules: dict[str, str] = RULES, train_rows: int = TRAIN_ROWS, train_on: Column | None = None) -> DataFrame:
     """All rows and columns of ``pages`` with host, path, rule, verdict ('allow' or 'block') and score (of being blocked).
 
     A null or odd url has empty host and path, no rule, and the trees' verdict. Of rules that fit, the longest wins; two as long
     can't both fit one url unless they are equal. Urls of any length are taken whole; rows that repeat get equal results. Where no
-    rule labels any url, all others are allowed; an empty table gives an empty result. Columns of ``pages`` with the names of
+    rule labels any url, all others are allowed; an empty table gives an empty result. ``train_on``: which rows the trees may learn
+    from (all), so that others can be held out. Columns of ``pages`` with the names of
     results are replaced.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "score")
@@ -161,7 +162,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules: dict[str, str] = RULES,
     ends = suffixes(F.col("host"), F.col("path"))
     blocked = F.col("rule").isin([r for r, v in rules.items() if v == "block"])
 
-    labelled = pages.select(url.alias("_u_url"))
+    labelled = (pages if train_on is None else pages.where(train_on)).select(url.alias("_u_url"))
     labelled = labelled.select("_u_url", *[c.alias(n) for n, c in zip(("host", "path"), parts(F.col("_u_url")), strict=True)])
     labelled = labelled.withColumn("rule", rule(F.col("host"), F.col("path"), rules)).where("rule IS NOT NULL")
     labelled = labelled.select(blocked.cast("double").alias("y"), F.shiftrightunsigned(F.xxhash64("_u_url"), 1).alias("o"), *[v.alias(k) for k, v in (lexical | ends).items()])

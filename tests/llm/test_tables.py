@@ -225,6 +225,19 @@ def test_url_trees_learn(spark, rng):
     assert sum((r["verdict"] == "block") == r["host"][0].isdigit() for r in out) / len(out) > 0.95
 
 
+def test_urls_held_out_are_not_learnt_from(spark, rng):
+    """Labels on half of the rows; those of the other half, which contradict them, change no score."""
+    name = lambda bad: "".join(rng.choice("0123456789" if bad else "abcdefgh") for _ in range(12))
+    rows = [(k, f"http://{name(k % 4 < 2)}.one/{'x/' if (k % 4 < 2) == (k % 2 == 0) else 'y/'}p") for k in range(400)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = {"one/x/": "block", "one/y/": "allow"}
+    learnt = url_filter.judge(pages, rules=rules, train_on=F.col("page_id") % 2 == 0)
+    alone = url_filter.judge(pages.where("page_id % 2 = 0"), rules=rules)
+    score = lambda df: sorted((r["page_id"], round(r["score"], 9)) for r in df.where("page_id % 2 = 0").collect())
+    assert score(learnt) == score(alone) and learnt.count() == 800
+    assert all((s > 0.5) == (i % 4 < 2) for i, s in score(learnt))
+
+
 def plain_boosting(bins, y, weight):
     """Boosted trees grown row by row: at each node the split of the most gain over all features and edges; log odds of each row."""
     score = np.full(len(y), np.log(((weight * y).sum() + 1) / ((weight * (1 - y)).sum() + 1)))
