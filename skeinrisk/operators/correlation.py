@@ -10,8 +10,8 @@ from ..functions.columns import correlation
 
 def complete_dates(returns: DataFrame) -> DataFrame:
     """Rows of the dates that every ticker has."""
-    n = returns.select("ticker").distinct().count()
-    return returns.withColumn("_n", F.count("*").over(Window.partitionBy("dt"))).where(F.col("_n") == n).drop("_n")
+    all_ = returns.agg(F.count_distinct("ticker").alias("_all"))  # one row
+    return returns.withColumn("_n", F.count("*").over(Window.partitionBy("dt"))).crossJoin(F.broadcast(all_)).where(F.col("_n") == F.col("_all")).drop("_n", "_all")
 
 
 def average_pairwise(returns: DataFrame, window: int = 60, every: int = 5) -> DataFrame:

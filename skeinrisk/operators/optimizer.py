@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numerics as nm
 from ..sources.panel import spread
+from .correlation import complete_dates
 
 CASH, LEAST = 0.045, 0.005
 OBJECTIVES = ("gmv", "erc", "max_div", "concentrated", "lowvol_te", "max_sharpe")
@@ -133,14 +134,15 @@ def shrunk_covariance(returns: DataFrame, window: int = 1000) -> DataFrame:
 
     Sums over dates by pair of tickers: a matrix has that many cells; the amount is one row.
     """
-    n = returns.select("ticker").distinct().count()
-    days = returns.groupBy("dt").agg(F.count("*").alias("_n")).where(F.col("_n") == n).orderBy(F.desc("dt")).limit(window).select("dt")
+    whole = complete_dates(returns)
+    days = whole.select("dt").distinct().orderBy(F.desc("dt")).limit(window)
     mean = F.avg("r").over(Window.partitionBy("ticker"))
-    rows = returns.join(days, "dt").select("dt", "ticker", (F.col("r") - mean).alias("c"))
+    rows = whole.join(days, "dt").select("dt", "ticker", (F.col("r") - mean).alias("c"))
     a, b = (rows.select("dt", F.col("ticker").alias(t), F.col("c").alias(f"c{t}")) for t in "ab")
     both = F.col("ca") * F.col("cb")
     cov = a.join(b, "dt").groupBy("a", "b").agg(F.avg(both).alias("s"), (F.avg(both * both) - F.avg(both) * F.avg(both)).alias("v"), F.count("*").alias("n"))
     own = F.when(F.col("a") == F.col("b"), F.col("s"))
+    n = F.sqrt(F.count("*"))  # tickers: the matrix has their square of cells
     sums = cov.agg((F.sum(own) / n).alias("mu"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(own).alias("trace"), (F.sum("v") / F.max("n")).alias("b2"))
     # sum of (s - mu on the diagonal) squared: n mu is the trace
     shrink = F.least(F.col("b2") / (F.col("ss") - F.col("mu") * F.col("trace")), F.lit(1.0))

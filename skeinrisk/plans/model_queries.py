@@ -3,7 +3,7 @@ against closed forms, invariants and simulated parameters."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import backtest, correlation, factors, models, optimizer, performance, portfolio, sections, views
@@ -17,10 +17,9 @@ from .registry import query, rounded
 def factor_panel(spark, d) -> DataFrame:
     """(dt, six factors, rf) from orders: mean and differences of the priorities' returns, and of two segments'."""
     r = panel.log_returns(panel.fill(panel.order_prices(spark, d)))
-    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    names = [x["ticker"] for x in r.select("ticker").distinct().orderBy("ticker").limit(5).collect()] or names
-    wide = r.groupBy("dt").pivot("ticker", names).agg(F.first("r"))
-    c = [F.col(f"`{n}`") for n in names]
+    place = F.row_number().over(Window.orderBy("ticker"))  # of a handful of priorities
+    wide = r.join(r.select("ticker").distinct().withColumn("k", place), "ticker").groupBy("dt").agg(*[F.max(F.when(F.col("k") == k, F.col("r"))).alias(f"c{k}") for k in range(1, 6)])
+    c = [F.col(f"c{k}") for k in range(1, 6)]
     orders, customers = panel.table(spark, d, "orders"), panel.table(spark, d, "customer")
     seg = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
     seg = seg.groupBy(F.col("c_mktsegment").alias("ticker"), F.col("o_orderdate").cast("date").alias("dt")).agg(panel.damped(F.avg("o_totalprice")).alias("px"))
