@@ -187,8 +187,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keys = Written(_keys(whole), "keys").df
     briefs = Written(whole.select("set", "n", "bits").join(keys.select("set").distinct(), "set", "left_semi").dropDuplicates(["set"]), "briefs").df
     links = Written(_decided(_central_pairs(keys, briefs), whole), "links").df
-    more = Written(_decided(_cross_pairs(keys, briefs, components(links)), whole), "links").df
-    found = components(links.unionByName(more))
+    found = Written(components(links), "trees").df
+    more = Written(_decided(_cross_pairs(keys, briefs, found), whole), "links").df
+    if not more.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = nodes.join(found, nodes["set"] == found["node"], "left").select("set", "doc_id", "th", F.coalesce("component", "set").alias("label"))
     named = Written(named, "named").df
     heads = named.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("head"))
