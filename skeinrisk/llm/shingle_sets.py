@@ -135,7 +135,7 @@ def _blocks(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blocks(block, set): members of a key, about BLOCK at most; meets(x, y): blocks of one key), equal blocks of several keys once."""
     sizes = keys.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("_parts"))
     dealt = keys.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("set", "key"), F.col("_parts")))
-    lists = dealt.groupBy("key", "part").agg(F.array_sort(F.collect_list("set")).alias("sets"))
+    lists = dealt.repartition("key", "part").groupBy("key", "part").agg(F.array_sort(F.collect_list("set")).alias("sets"))
     lists = Written(lists.select("key", "part", F.xxhash64("sets", F.lit(0)).alias("block"), "sets"), "lists").df
     blocks = lists.groupBy("block").agg(F.first("sets").alias("sets")).select("block", F.explode("sets").alias("set"))
     x, y = lists.select("key", F.col("part").alias("px"), F.col("block").alias("x")), lists.select("key", F.col("part").alias("py"), F.col("block").alias("y"))
