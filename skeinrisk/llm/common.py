@@ -72,12 +72,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return Written(df, tag).df
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has no more than ``rows`` rows (it is counted), else as it is.
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has no more than BROADCAST_ROWS rows (it is counted), else as it is.
 
     ``df`` should be written already, so that the count is cheap.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def ascii_lower(text: Column) -> Column:

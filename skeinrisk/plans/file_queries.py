@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import asof, backtest, correlation, factors, holdings, models, performance, portfolio, risk, scenarios, sections
-from ..sources import files, panel, scratch, sinks
+from ..sources import config, files, panel, scratch, sinks
 from ..sources.panel import MARKET, THEME, sql
-from .book_queries import _BT, COUNTS, PAIRS, PERF, RANKED, REGIMES, SHARES, STATS, book, brand_fund, hist_parts, hits, pairs, triples
+from .book_queries import _BT, _HYPO, COUNTS, HIST, HIST_SQL, PAIRS, PERF, PROXIES, RANKED, REGIMES, SECURITIES, SHARES, SHOCKS, STATS, book, brand_fund, hist_parts, hits, pairs, taxonomy, triples
 from .factor_sql import FACTOR_TABLES, normal_probability
 from .model_queries import factor_panel
 from .registry import query, rounded
@@ -57,22 +61,119 @@ def books_with_disclosure(spark, d):
     return sections.with_disclosure(books, shown.groupBy("fund").agg(F.count("*").alias("n_holdings")), shown).select("portfolio", "fund", "n_holdings", "as_of")
 
 
+def _holdings_rows(spark, d) -> list:
+    """The fund's disclosed rows, a dimension of some 25, for files that a query writes."""
+    return brand_fund(spark, d).orderBy("rank").collect()
+
+
+@query(sql("SELECT security AS name, symbol AS ticker, weight, DATE '2026-05-05' AS as_of, kind FROM shares CROSS JOIN (VALUES ('xlsx')) k(kind)", shares=SHARES))
+def xlsx_holdings(spark, d):
+    """A workbook whose second sheet holds the holdings, written and read."""
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rows = [["Fund", None, None], ["As of 05/05/2026", None, None], ["Security Name", "Ticker", "% of Net Assets"], *[[r["security"], r["symbol"], r["weight"]] for r in _holdings_rows(spark, d)]]
+    cell = lambda ref, v: "" if v is None else f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else f'<c r="{ref}"><v>{v!r}</v></c>'
+    sheet = lambda own: f'<worksheet xmlns="{main}"><sheetData>' + "".join(f'<row r="{i}">' + "".join(cell(f"{c}{i}", v) for c, v in zip("ABC", row, strict=True)) + "</row>" for i, row in enumerate(own, 1)) + "</sheetData></worksheet>"
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Notes" r:id="r1"/><sheet name="Holdings" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet([["nothing", None, None]]))
+        z.writestr("xl/worksheets/sheet2.xml", sheet(rows))
+    folder = scratch.new_path(spark, "xlsx")
+    scratch.write_bytes(spark, f"{folder}/FUND.xlsx", data.getvalue())
+    read = files.read_holdings(spark, folder).where("error IS NULL")
+    return read.select("name", "ticker", F.round(holdings.number(F.col("weight")), 4).alias("weight"), "as_of", F.lit("xlsx").alias("kind"))
+
+
+@query(sql("SELECT security AS name, round(v / sum(v) OVER () * 100, 6) AS weight, DATE '2026-03-31' AS as_of FROM (SELECT security, round(weight * 10000) AS v FROM shares)", shares=SHARES))
+def docx_holdings(spark, d):
+    """A quarterly document without tickers, one holding in two lots, written and read; the quarter is in the file's name."""
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    rows = [["Stocks 99%", "Shares", "Value"]]
+    for r in _holdings_rows(spark, d):
+        value = round(r["weight"] * 10000)
+        rows += [[f"{r['security']} (a)", "1,000", f"${value - 1:,}"], [r["security"], "10", "1"]]
+    body = "".join("<w:tr>" + "".join(f"<w:tc><w:p><w:r><w:t>{c}</w:t></w:r></w:p></w:tc>" for c in row) + "</w:tr>" for row in rows)
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:tbl>{body}</w:tbl></w:body></w:document>')
+    folder = scratch.new_path(spark, "docx")
+    scratch.write_bytes(spark, f"{folder}/FUND-Q1-2026.docx", data.getvalue())
+    return rounded(files.read_holdings(spark, folder).where("error IS NULL").select("name", holdings.number(F.col("weight")).alias("weight"), "as_of"))
+
+
+@query("SELECT 'funds-2026-02.csv' AS name, 3 AS n_lines")
+def latest_file(spark, d):
+    """The last of several disclosures by name, and its lines."""
+    folder = scratch.new_path(spark, "folder")
+    for name, lines in (("funds-2026-01.csv", 2), ("funds-2026-02.csv", 3), ("funds-2025-12.csv", 5), ("notes-2027.txt", 1)):
+        scratch.write_bytes(spark, f"{folder}/{name}", "\n".join(["line"] * lines).encode())
+    path = files.latest_file(spark, folder, "funds-*.csv")
+    return files.lines(spark, path).groupBy(F.element_at(F.split("path", "/"), -1).alias("name")).agg(F.count("*").cast("int").alias("n_lines"))
+
+
+def _yaml(spark, raw: dict, tag: str) -> dict:
+    path = scratch.new_path(spark, tag)
+    scratch.write_bytes(spark, path, yaml.safe_dump(raw).encode())
+    return config.load(spark, path)
+
+
+def _checked(spark, d) -> dict[str, DataFrame]:
+    """Books, taxonomy and scenarios as YAML files, read, checked and made into tables."""
+    tree = [(r["class"], r["parent"]) for r in taxonomy(spark, d)["tree"].collect()]  # nations and regions
+    books = {"benchmarks": {"mark": {"weights": panel.BENCHMARK}}, "portfolios": [{"id": p, "weights": own, "benchmark": "mark"} for p, own in panel.PORTFOLIOS.items()] + [{"id": "hidden", "weights": {"NO": 1.0}, "visible": False}]}
+    known = {"classes": dict(tree), "sectors": ["BUILDING", "MACHINERY"], "securities": {t: {"weights": b} if b else {"class": c, "sector": s} for t, c, s, b in SECURITIES}}
+    stress = {"historical": [{"id": i, "start": a, "end": b} for i, a, b in HIST], "hypothetical": [{"id": i, "categories": {c: x for j, c, x in SHOCKS if i == j}} for i in ("h1", "h2")], "proxies": dict(PROXIES)}
+    tax = config.taxonomy(_yaml(spark, known, "taxonomy.yaml"))
+    return config.tables(spark, config.portfolios(_yaml(spark, books, "portfolios.yaml")), tax, config.scenarios(_yaml(spark, stress, "scenarios.yaml"), tax))
+
+
+@query(sql("SELECT portfolio, ticker, w FROM books", "books"))
+def yaml_portfolios(spark, d):
+    return _checked(spark, d)["weights"].select("portfolio", "ticker", "w")
+
+
+@query(f"SELECT class, parent FROM ({_HYPO['tree']})")
+def yaml_taxonomy(spark, d):
+    return _checked(spark, d)["tree"]
+
+
+@query(f'SELECT id, "start"::VARCHAR AS what, NULL::DOUBLE AS shock FROM ({HIST_SQL}) UNION ALL SELECT id, category, shock FROM ({_HYPO["shocks"]})')
+def yaml_scenarios(spark, d):
+    """Windows by their first day, and shocks by category."""
+    t = _checked(spark, d)
+    return t["windows"].select("id", F.col("start").cast("string").alias("what"), F.lit(None).cast("double").alias("shock")).unionByName(t["shocks"].select("id", F.col("category").alias("what"), "shock"))
+
+
 _DECIMALS = ", ".join(f"round({c}::DOUBLE, 6) AS {c}" for c in (*factors.FACTORS, "rf"))
 
 
 @query(sql(f"SELECT dt, {_DECIMALS} FROM factors", "returns", "order_px", **{k: v for k, v in FACTOR_TABLES.items() if k != "joint"}))
 def factor_files(spark, d):
-    """Two factor files with a preamble and a second block, in percent, written from the factor panel; read, joined and cached."""
+    """Two factor files, a plain and a zipped one, with a preamble and a second block, in percent, written from the factor panel; read,
+    joined and cached."""
     table = factor_panel(spark, d)
 
-    def block(names: dict[str, str], tag: str) -> DataFrame:
+    def block_text(names: dict[str, str]) -> DataFrame:
         cells = [F.format_string("%.8f", F.col(c) * 100) for c in names.values()]
         line = F.concat_ws(",", F.date_format("dt", "yyyyMMdd"), *cells)
-        text = _text(table, "dt", line, ["This file was made by a query.", "", "," + ",".join(names)], ["", " Annual factors", "," + ",".join(names), "1999,1.0"])
+        return _text(table, "dt", line, ["This file was made by a query.", "", "," + ",".join(names)], ["", " Annual factors", "," + ",".join(names), "1999,1.0"])
+
+    def block(names: dict[str, str], tag: str) -> DataFrame:
+        text = block_text(names)
         return files.factor_block(files.lines(spark, _written(spark, text, tag)), next(iter(names)))
 
+    def zipped(names: dict[str, str], tag: str) -> DataFrame:
+        """The same from an archive."""
+        text = block_text(names).first()["value"]  # a factor table has a row a date
+        data, folder = io.BytesIO(), scratch.new_path(spark, tag)
+        with zipfile.ZipFile(data, "w") as z:
+            z.writestr("factors.csv", text)
+        scratch.write_bytes(spark, f"{folder}/factors.zip", data.getvalue())
+        return files.factor_block(files.unzipped_lines(spark, folder), next(iter(names)))
+
     five = {k: v for k, v in files.FACTOR_NAMES.items()}
-    load = lambda: files.factors(block(five, "five"), block({"Mom": "mom"}, "momentum"))
+    load = lambda: files.factors(block(five, "five"), zipped({"Mom": "mom"}, "momentum"))
     return rounded(files.cached_factors(spark, load, scratch.new_path(spark, "factors")))
 
 

@@ -114,9 +114,9 @@ def scenarios(raw: dict, tax: dict) -> dict:
     return {"historical": hist, "hypothetical": hypo, "proxies": dict(proxies)}
 
 
-def load(path: str) -> dict:
-    with open(path) as f:
-        return yaml.safe_load(f)
+def load(spark: SparkSession, path: str) -> dict:
+    """An assumption file, on any store that Spark reads."""
+    return yaml.safe_load(spark.read.text(path, wholetext=True).first()["value"])
 
 
 def tables(spark: SparkSession, books: dict, tax: dict, stress: dict) -> dict[str, DataFrame]:

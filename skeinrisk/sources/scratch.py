@@ -25,6 +25,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small binary file at ``path``, on any store that Spark writes."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(target, True)
+    out.write(bytearray(data))
+    out.close()
+
+
 @atexit.register
 def _discard() -> None:
     for spark, path in _made:

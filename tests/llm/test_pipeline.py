@@ -4,7 +4,7 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
-from skeinrisk.llm import common, decontaminate, quality, queries
+from skeinrisk.llm import common, decontaminate, quality, queries, shingle_sets, simhash
 
 from .conftest import ODD, SCHEMA, prose
 from .test_dedup import brute_components, jaccard
@@ -125,6 +125,22 @@ def test_each_stage_matches_a_brute_force_version(spark, corpus):
     assert sorted((str(r["doc_id"]), str(r["text"]), r["shard"], r["slot"]) for r in steps[4].collect()) == want
 
 
+@pytest.mark.parametrize("name", ["op2_substring_dedup", "op4_mixing", "op6_simhash", "op7_warc"])
+def test_results_dont_depend_on_what_is_broadcast(spark, tables, monkeypatch, name):
+    """Sides that are counted and sent, and the same ones by shuffle."""
+    sent = sorted(map(str, queries.QUERIES[name](spark, tables).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, queries.QUERIES[name](spark, tables).collect())) == sent and sent
+
+
+def test_near_copies_dont_depend_on_what_is_broadcast(spark, corpus, monkeypatch):
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    sent = keys(simhash.drop_near_duplicates(docs))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shingle_sets, "BLOCK", 2)
+    assert keys(simhash.drop_near_duplicates(docs)) == sent and len(sent) < docs.count()
+
+
 def test_stages_take_empty_tables(spark, corpus):
     folder, _, _ = corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
