@@ -68,28 +68,33 @@ def edits_within(passage: np.ndarray, text: np.ndarray, low: int, high: int, mos
     -> (edits, start, end) of the nearest piece, or None if it takes over ``most`` edits. Cells off the diagonals aren't made.
     """
     n, width = len(passage), high - low + 1
+    for at in range(max(low, 0), min(high, len(text) - n) + 1):  # most are exact
+        if text[at] == passage[0] and np.array_equal(text[at : at + n], passage):
+            return 0, at, at + n
     far = most + 1
     # cell (i, d): the passage's first i characters against a piece of the text that ends before place i + d
-    places = np.arange(low, high + 1)
+    places, own = np.arange(low, high + 1), np.arange(width)
     cost = np.where((places >= 0) & (places <= len(text)), 0, far)
-    own = np.arange(width)
     begin = places.copy()
+    # what the text has at each place that a cell looks at; none (0, which no character is) beyond its ends
+    seen = np.zeros(n + width, text.dtype)
+    inner = slice(max(low, 0), max(min(high + n, len(text)), 0))
+    seen[inner.start - low : inner.stop - low] = text[inner]
+    drop, from_drop, before = np.empty(width, np.int64), np.empty(width, np.int64), np.empty(width, np.int64)
     for i in range(1, n + 1):
-        at = places + i
-        inside = (at >= 1) & (at <= len(text))
-        same = np.zeros(width, bool)
-        same[inside] = text[at[inside] - 1] == passage[i - 1]
-        step = cost + ~same
-        step[~inside] = far
-        now, start = step, begin.copy()
-        drop = np.r_[cost[1:], far] + 1  # a character of the passage that the text lacks
-        less = (drop < now) & (at >= 0) & (at <= len(text))
-        now = np.where(less, drop, now)
-        start = np.where(less, np.r_[begin[1:], 0], start)
+        here, at = seen[i - 1 : i - 1 + width], places + i
+        now = cost + (here != passage[i - 1])
+        now[here == 0] = far
+        drop[:-1], drop[-1] = cost[1:] + 1, far  # a character of the passage that the text lacks
+        from_drop[:-1], from_drop[-1] = begin[1:], 0
+        inside = (at >= 0) & (at <= len(text))
+        less = (drop < now) & inside
+        now, start = np.where(less, drop, now), np.where(less, from_drop, begin)
         # characters of the text that the passage lacks: one more for each diagonal, from the nearest cell that is no worse itself
         flat = now - own
         least = np.minimum.accumulate(flat)
-        source = np.maximum.accumulate(np.where(flat <= np.r_[flat[0], least[:-1]], own, 0))
+        before[0], before[1:] = flat[0], least[:-1]
+        source = np.maximum.accumulate(np.where(flat <= before, own, 0))
         cost, begin = np.minimum(np.where(at <= len(text), least + own, far), far), start[source]
         if cost.min() > most:
             return None
