@@ -197,8 +197,8 @@ def _variances(r: np.ndarray, mu, omega, alpha, gamma, beta) -> tuple[np.ndarray
 def fit_garch(windows: np.ndarray, leverage: bool, rounds: int = 300, start: np.ndarray | None = None, step: float = 0.5) -> dict[str, np.ndarray]:
     """GARCH(1,1), with a leverage term if asked, constant mean and unit-variance t innovations, for each row of ``windows``.
 
-    Returns should be in percent. Persistence stays below 1 by the parametrisation. Rows are searched until another round of steps
-    lowers their loss by less than 1e-4. -> sigma (one step ahead), nu, parameters,
+    Returns should be in percent. Persistence stays below 1 by the parametrisation. From a ``start`` that is near, rows are searched
+    until another part of the rounds lowers their loss by less than 1e-4. -> sigma (one step ahead), nu, parameters,
     and standardised residuals.
     """
     r = np.atleast_2d(windows)
@@ -217,8 +217,8 @@ def fit_garch(windows: np.ndarray, leverage: bool, rounds: int = 300, start: np.
         ll = r.shape[1] * const - 0.5 * np.log(h).sum(1) - (nu + 1) / 2 * np.log1p(e * e / (h * (nu - 2)[:, None])).sum(1)
         return np.where(np.isfinite(ll), -ll, 1e12)
 
-    # a part of the rounds for all rows, then again for those whose loss still fell, from where they were
-    p, value = nelder_mead(loss, p0, step, part := min(rounds, 60), 1e-8)
+    # from a start that is near: a part of the rounds for all rows, then again for those whose loss still fell, from where they were
+    p, value = nelder_mead(loss, p0, step, part := rounds if start is None else min(rounds, 60), 1e-8)
     everything, left, spent = (r, level, mean, scale), np.arange(len(r)), part
     while len(left) and spent < rounds:
         r, level, mean, scale = (x[left] for x in everything)
