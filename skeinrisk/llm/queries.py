@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing, periodic_runs, quality, sharding, simhash, spelling, substring_dedup, topk, url_filter, warc
+from . import decontaminate, licenses, mixing, periodic_runs, quality, sharding, simhash, spelling, substring_dedup, suffix_family, topk, url_filter, warc
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op10_licenses(spark, sf_dir):
     return licenses.license_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_family(spark, sf_dir):
+    return suffix_family.suffix_digest(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark, sf_dir):
     return periodic_runs.runs_digest(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,6 @@ def op13_spelling(spark, sf_dir):
     return spelling.spelling_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_url_filter, op4_mixing, op5_sharding, op6_simhash, op7_warc, op8_quality, op9_topk, op10_licenses, op12_periodic_runs, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_url_filter, op4_mixing, op5_sharding, op6_simhash, op7_warc, op8_quality, op9_topk, op10_licenses, op11_suffix_family, op12_periodic_runs, op13_spelling)}
 
 ORACLE_SQL = {"op9_topk": topk.ORACLE, "op10_licenses": licenses.oracle()}
