@@ -162,76 +162,7 @@ def fit_gpd(y: np.ndarray) -> tuple[float, float]:
     return best[1], best[2]
 
 
-# GARCH
-
-
-def _unpack(p: np.ndarray, level: np.ndarray, leverage: bool) -> tuple[np.ndarray, ...]:
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    keep = 0.9995 * sig(p[:, 2])
-    alpha = keep * sig(p[:, 3])
-    half = (keep - alpha) * sig(p[:, 5]) if leverage else np.zeros(len(p))
-    omega = level * np.exp(np.clip(p[:, 1], -10, 10)) * (1 - keep)
-    return p[:, 0], omega, alpha, 2 * half, keep - alpha - half, 2.05 + np.exp(np.clip(p[:, 4], -6, 6))
-
-
-def _variances(r: np.ndarray, mu, omega, alpha, gamma, beta) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(residuals, variances, next variance) of each row's recursion, started from a backcast.
-
-    The recursion h = u + beta * (h before) is a sum of u's, each weighted by a power of beta: sums over 1, 2, 4 ... places are
-    doubled, so a series of n takes log n steps over whole arrays.
-    """
-    e = r - mu[:, None]
-    square = e * e
-    hit = square * (alpha[:, None] + gamma[:, None] * (e < 0))
-    n = min(75, r.shape[1])
-    weight = 0.94 ** np.arange(n)
-    h = (square[:, :n] * weight).sum(1) / weight.sum()
-    out = np.column_stack([h, omega[:, None] + hit])
-    power, places = beta[:, None].copy(), 1
-    while places < out.shape[1]:
-        out[:, places:] = out[:, places:] + power * out[:, :-places]
-        power, places = power * power, 2 * places
-    return e, out[:, :-1], out[:, -1]
-
-
-def fit_garch(windows: np.ndarray, leverage: bool, rounds: int = 300, start: np.ndarray | None = None, step: float = 0.5) -> dict[str, np.ndarray]:
-    """GARCH(1,1), with a leverage term if asked, constant mean and unit-variance t innovations, for each row of ``windows``.
-
-    Returns should be in percent. Persistence stays below 1 by the parametrisation. From a ``start`` that is near, rows are searched
-    until another part of the rounds lowers their loss by less than 1e-4. -> sigma (one step ahead), nu, parameters,
-    and standardised residuals.
-    """
-    r = np.atleast_2d(windows)
-    level, mean, scale = r.var(1) + 1e-12, r.mean(1), r.std(1) + 1e-12
-    k = 6 if leverage else 5
-    p0 = np.tile(np.array([0.0, 0.0, 3.0, -2.5, 1.5, -1.0])[:k], (len(r), 1)) if start is None else start
-    lgamma = np.vectorize(math.lgamma)
-
-    def loss(p: np.ndarray) -> np.ndarray:
-        z = p.copy()
-        z[:, 0] = mean + scale * p[:, 0]
-        mu, omega, alpha, gamma, beta, nu = _unpack(z, level, leverage)
-        e, h, _ = _variances(r, mu, omega, alpha, gamma, beta)
-        h = np.maximum(h, 1e-12)
-        const = lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * np.log(math.pi * (nu - 2))
-        ll = r.shape[1] * const - 0.5 * np.log(h).sum(1) - (nu + 1) / 2 * np.log1p(e * e / (h * (nu - 2)[:, None])).sum(1)
-        return np.where(np.isfinite(ll), -ll, 1e12)
-
-    # from a start that is near: a part of the rounds for all rows, then again for those whose loss still fell, from where they were
-    p, value = nelder_mead(loss, p0, step, part := rounds if start is None else min(rounds, 60), 1e-8)
-    everything, left, spent = (r, level, mean, scale), np.arange(len(r)), part
-    while len(left) and spent < rounds:
-        r, level, mean, scale = (x[left] for x in everything)
-        again, better = nelder_mead(loss, p[left], step / 3, part, 1e-8)
-        fell = value[left] - better > 1e-4
-        p[left], value[left] = again, better
-        left, spent = left[fell], spent + part
-    r, level, mean, scale = everything
-    z = p.copy()
-    z[:, 0] = mean + scale * p[:, 0]
-    mu, omega, alpha, gamma, beta, nu = _unpack(z, level, leverage)
-    e, h, ahead = _variances(r, mu, omega, alpha, gamma, beta)
-    return {"sigma": np.sqrt(ahead), "nu": nu, "mu": mu, "omega": omega, "alpha": alpha, "gamma": gamma, "beta": beta, "p": p, "residuals": e / np.sqrt(h), "loss": value}
+# one-day models
 
 
 def ewma_sigma(r: np.ndarray, lam: float = 0.94) -> float:

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import garch
 from ..functions import numerics as nm
 from ..sources.panel import spread
 
@@ -24,12 +25,13 @@ def _finite(x: float) -> float | None:
     return float(x) if x is not None and math.isfinite(x) else None
 
 
-def garch_forecasts(windows: np.ndarray, leverage: bool, p: float = P, start: np.ndarray | None = None) -> list[tuple[float, float, float | None]]:
-    """(VaR, ES, nu) of each row of returns, all fitted together; EWMA where a fit gives no variance."""
+def garch_forecasts(windows: np.ndarray, leverage: bool, p: float = P, rolling: bool = False) -> list[tuple[float, float, float | None]]:
+    """(VaR, ES, nu) of each row of returns, all fitted together; EWMA where a fit gives no variance. ``rolling``: rows are windows
+    that follow each other."""
     with np.errstate(all="ignore"):
-        fit = nm.fit_garch(windows * 100, leverage, **({} if start is None else {"start": start, "step": 0.15}))
+        fit = (garch.fit_rolling if rolling else garch.fit)(windows * 100, leverage)
     out = []
-    for r, sigma, nu in zip(windows, fit["sigma"] / 100, fit["nu"], strict=True):
+    for r, sigma, nu in zip(windows, fit.sigma / 100, fit.parameters.nu, strict=True):
         if not (math.isfinite(sigma) and sigma > 0 and math.isfinite(nu)):
             sigma, nu = nm.ewma_sigma(r), math.inf
         var, es = nm.standardised_t_var_es(float(sigma), p, float(nu))
@@ -90,12 +92,37 @@ def asset_models(returns: DataFrame, window: int = WINDOW, which: tuple[str, ...
     return rows.sortWithinPartitions("ticker", "dt").mapInPandas(run, schema)
 
 
+def garch_likelihood(returns: DataFrame, alpha: float = 0.05, gamma: float = 0.04, beta: float = 0.9, nu: float = 8.0, window: int = WINDOW) -> DataFrame:
+    """(ticker, model, n, loglik, d_mu, d_omega, d_alpha, d_gamma, d_beta, d_nu, no_worse, stationary) of both models, over the last
+    ``window`` returns in percent.
+
+    The likelihood and its score are those that the fits climb, here at a stated point (mean and variance of the sample; no
+    leverage for ``garch``); ``no_worse``: the fit's likelihood is at least that; ``stationary``: its score is nil.
+    """
+    names = ["loglik", *(f"d_{x}" for x in garch.Parameters._fields)]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.sort_values("dt")["r"].to_numpy(float)[None, -window:] * 100
+        rows = []
+        for model in ("garch", "gjr"):
+            own = gamma if model == "gjr" else 0.0
+            numbers = r.mean(), r.var() * (1 - alpha - own / 2 - beta), alpha, own, beta, nu
+            value, score = garch.likelihood(r, garch.Parameters(*(np.array([x]) for x in numbers)))
+            fit = garch.fit(r, model == "gjr")
+            flat = bool(np.abs(fit.score).max() <= 10 * garch.SCORE * r.shape[1])
+            rows.append((pdf["ticker"].iloc[0], model, r.shape[1], float(value[0]), *score[0].tolist(), bool(-fit.loss[0] >= value[0] - 1e-6), flat))
+        return pd.DataFrame(rows, columns=["ticker", "model", "n", *names, "no_worse", "stationary"])
+
+    schema = f"ticker string, model string, n long, {', '.join(f'{x} double' for x in names)}, no_worse boolean, stationary boolean"
+    return spread(returns.where("r IS NOT NULL"), "ticker").groupBy("ticker").applyInPandas(run, schema)
+
+
 def garch_residuals(returns: DataFrame) -> DataFrame:
     """(ticker, dt, residual): standardised GJR-t residuals over each ticker's history."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("dt")
-        res = nm.fit_garch(pdf["r"].to_numpy(float) * 100, True)["residuals"][0] if len(pdf) >= 100 else np.full(len(pdf), np.nan)
+        res = garch.fit(pdf["r"].to_numpy(float) * 100, True).residuals[0] if len(pdf) >= 100 else np.full(len(pdf), np.nan)
         return pd.DataFrame({"ticker": pdf["ticker"], "dt": pdf["dt"], "residual": [_finite(x) for x in res]})
 
     return spread(returns, "ticker").groupBy("ticker").applyInPandas(run, "ticker string, dt date, residual double")
@@ -127,10 +154,7 @@ def rolling_forecasts(series: DataFrame, model: str, lookback: int = WINDOW, chu
         elif model == "evt":
             var = np.array([nm.var_es_evt(x, p)[0] for x in windows])
         else:
-            # neighbouring windows differ by a row: all start from the fit of the middle one
-            leverage, middle = model == "gjr", windows[len(windows) // 2]
-            warm = nm.fit_garch(middle * 100, leverage)["p"]
-            var = np.array([x[0] for x in garch_forecasts(windows, leverage, p, np.repeat(warm, len(windows), 0))])
+            var = np.array([x[0] for x in garch_forecasts(windows, model == "gjr", p, rolling=True)])
         at = [i - i0 for i in targets]
         return pd.DataFrame({key: pdf[key].iloc[0], "dt": pdf["dt"].to_numpy()[at], "r": r[at], "var": var})
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest, correlation, factors, models, optimizer, performance, portfolio, sections, views
 from ..sources import panel, sinks
-from ..sources.panel import BOND, MARKET, THEME
+from ..sources.panel import BOND, MARKET, THEME, sql
 from . import factor_sql
 from .book_queries import book, pairs
 from .registry import query, rounded
@@ -91,6 +91,26 @@ def garch_residuals(spark, d):
     return rounded(models.garch_residuals(panel.returns(spark, d)))
 
 
+#: The likelihood and its score by their definition, one return after the other.
+LIKELIHOOD = sql("""SELECT ticker, model, n, round(n * (lgamma(4.5) - lgamma(4) - 0.5 * ln(pi() * 6)) - sum(0.5 * ln(h) + 4.5 * ln(1 + z)), 6) AS loglik,
+ round(sum(s * dm + 9 * e / (h * 6 * (1 + z))), 3) AS d_mu, round(sum(s * dw), 3) AS d_omega, round(sum(s * da), 3) AS d_alpha, round(sum(s * dg), 3) AS d_gamma, round(sum(s * db), 3) AS d_beta,
+ round(sum(0.5 * (2 * (1 + 1/3.0 + 0.2 + 1/7.0) - 2 * ln(2) - (1 + 0.5 + 1/3.0) - 1/6.0) - 0.5 * ln(1 + z) + 0.75 * z / (1 + z)), 3) AS d_nu, TRUE AS no_worse, TRUE AS stationary
+ FROM (SELECT *, (9 * z / (1 + z) - 1) / (2 * h) AS s FROM (SELECT *, e * e / (h * 6) AS z FROM walk)) GROUP BY ticker, model, n""", "last1000",
+ x="""SELECT ticker, model, g, n, i, 0.05 AS a, 0.9 AS b, v * (1 - 0.95 - g / 2) AS w, r - m AS e FROM (SELECT ticker, 100 * r AS r, row_number() OVER (PARTITION BY ticker ORDER BY dt) - 1 AS i,
+ count(*) OVER (PARTITION BY ticker) AS n, avg(100 * r) OVER (PARTITION BY ticker) AS m, var_pop(100 * r) OVER (PARTITION BY ticker) AS v FROM last1000) CROSS JOIN (VALUES ('garch', 0.0::DOUBLE), ('gjr', 0.04::DOUBLE)) k(model, g)""",
+ first="SELECT ticker, model, sum(pow(0.94, i) * e * e) / sum(pow(0.94, i)) AS h0, -2 * sum(pow(0.94, i) * e) / sum(pow(0.94, i)) AS m0 FROM x WHERE i < 75 GROUP BY ALL",
+ walk="""SELECT x.ticker, x.model, n, i, e, g, a, b, w, h0::DOUBLE AS h, m0::DOUBLE AS dm, 0::DOUBLE AS dw, 0::DOUBLE AS da, 0::DOUBLE AS dg, 0::DOUBLE AS db FROM x JOIN first USING (ticker, model) WHERE i = 0
+ UNION ALL SELECT x.ticker, x.model, x.n, x.i, x.e, x.g, x.a, x.b, x.w, p.w + (p.a + p.g * (p.e < 0)::INT) * p.e * p.e + p.b * h, -2 * p.e * (p.a + p.g * (p.e < 0)::INT) + p.b * dm, 1 + p.b * dw,
+ p.e * p.e + p.b * da, (p.e < 0)::INT * p.e * p.e + p.b * dg, h + p.b * db FROM walk p JOIN x ON x.ticker = p.ticker AND x.model = p.model AND x.i = p.i + 1""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(LIKELIHOOD)
+def garch_likelihood(spark, d):
+    """The likelihood and score that the fits of both models climb, and whether the fits end where it is highest."""
+    out = models.garch_likelihood(panel.returns(spark, d))
+    return out.withColumns({"loglik": F.round("loglik", 6), **{c: F.round(c, 3) for c in out.columns if c.startswith("d_")}})
+
+
 @query()
 def anomaly_view(spark, d):
     return rounded(sections.anomaly_view(panel.returns(spark, d)).withColumn("detectors", F.concat_ws(",", "detectors")))

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from skeinrisk.functions import garch
 from skeinrisk.functions import numerics as nm
 from skeinrisk.operators import optimizer
 
@@ -44,18 +45,67 @@ def test_garch_fit_recovers(gamma):
     for t in range(n):
         r[t] = math.sqrt(h) * rng.standard_t(6) * math.sqrt(4 / 6)
         h = 0.05 + (0.07 + gamma * (r[t] < 0)) * r[t] ** 2 + 0.86 * h
-    f = nm.fit_garch(r, True)
-    assert f["alpha"][0] + f["gamma"][0] / 2 + f["beta"][0] < 1
-    assert f["beta"][0] == pytest.approx(0.86, abs=0.08) and f["gamma"][0] == pytest.approx(gamma, abs=0.05)
-    assert f["sigma"][0] == pytest.approx(math.sqrt(h), rel=0.15) and f["nu"][0] == pytest.approx(6, rel=0.35)
-
-
-def test_windows_fitted_together_agree_with_one_by_one():
+    f = garch.fit(r, True)
+    q = f.parameters
+    assert q.alpha[0] + q.gamma[0] / 2 + q.beta[0] < 1
+    assert q.beta[0] == pytest.approx(0.86, abs=0.08) and q.gamma[0] == pytest.approx(gamma, abs=0.05)
+    assert f.sigma[0] == pytest.approx(math.sqrt(h), rel=0.15) and q.nu[0] == pytest.approx(6, rel=0.35)
+
+
+def plain_loss(r, q):
+    """The likelihood by its definition, one return after the other."""
+    weight = [garch.DECAY**k for k in range(min(garch.BACKCAST, len(r)))]
+    h, total = sum(w * (x - q.mu) ** 2 for w, x in zip(weight, r, strict=False)) / sum(weight), 0.0
+    for x in r:
+        e = x - q.mu
+        c = math.lgamma((q.nu + 1) / 2) - math.lgamma(q.nu / 2) - 0.5 * math.log(math.pi * (q.nu - 2) * h)
+        total += c - (q.nu + 1) / 2 * math.log1p(e * e / (h * (q.nu - 2)))
+        h = q.omega + (q.alpha + q.gamma * (e < 0)) * e * e + q.beta * h
+    return -total
+
+
+@pytest.mark.parametrize("leverage, n", [(False, 40), (True, 300)])
+def test_likelihood_and_score(leverage, n):
+    rng = np.random.default_rng(11)
+    m = garch.Model(rng.standard_t(5, (4, n)), leverage)
+    p = rng.normal(size=(4, m.size)) + garch.STARTS[0][: m.size]
+    loss, score = m.loss(p)
+    q, _ = m.parameters(p)
+    assert loss == pytest.approx([plain_loss(m.r[k], garch.Parameters(*(x[k] for x in q))) for k in range(4)], rel=1e-10)
+    steps = np.eye(m.size) * 1e-5
+    apart = np.stack([(m.loss(p + s)[0] - m.loss(p - s)[0]) / 2e-5 for s in steps], 1)
+    assert score == pytest.approx(apart, rel=1e-5, abs=1e-5)
+
+
+def test_gamma_functions():
+    x = np.array([0.3, 1.0, 2.5, 40.0, 300.0])
+    assert garch.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-12)
+    assert garch.digamma(np.array([1.0, 4.5])) == pytest.approx([-0.5772156649015329, 1.3888709263595289], abs=1e-10)
+
+
+@pytest.mark.parametrize("leverage", [False, True])
+def test_fits_end_where_the_score_is_nil_and_no_simplex_goes_lower(leverage):
+    rng = np.random.default_rng(12)
+    r = np.stack([rng.standard_t(5, 600), rng.normal(size=600) * (1 + np.arange(600) / 300), np.round(rng.normal(size=600), 1)])
+    f = garch.fit(r, leverage)
+    assert np.abs(f.score).max() <= 10 * garch.SCORE * 600
+    m = garch.Model(r, leverage)
+    for start in garch.STARTS:
+        _, value = nm.nelder_mead(lambda p: m.loss(np.clip(p, -garch.BOUNDS[: m.size], garch.BOUNDS[: m.size]))[0], np.tile(start[: m.size], (3, 1)), 0.5, 400)
+        assert (f.loss <= value + 1e-4 * np.abs(value)).all()
+
+
+def test_odd_windows_end():
+    r = np.stack([np.zeros(300), np.r_[np.zeros(299), 5.0], np.tile([1.0, -1.0], 150)])
+    f = garch.fit(r, True)
+    assert np.isfinite(f.loss).all()
+
+
+def test_rolling_fits_are_no_worse_than_alone():
     r = np.random.default_rng(4).standard_t(5, 700)
-    w = np.lib.stride_tricks.sliding_window_view(r, 600)[::40]
-    both = nm.fit_garch(w, False)["sigma"]
-    alone = np.array([nm.fit_garch(x, False)["sigma"][0] for x in w])
-    assert both == pytest.approx(alone, rel=0.02)
+    w = np.lib.stride_tricks.sliding_window_view(r, 600)[:100]
+    both, alone = garch.fit_rolling(w, False), garch.fit(w[::9], False)
+    assert (both.loss[::9] <= alone.loss + 0.02).all() and np.abs(both.score).max() <= 10 * garch.SCORE * 600
 
 
 @pytest.mark.parametrize("theta", [-0.3, 0.3])
