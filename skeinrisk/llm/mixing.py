@@ -22,25 +22,32 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-#: Parts into which the rows that repeat one id and text are dealt to be numbered.
+#: Parts into which equal rows are dealt to be numbered.
 PARTS = 64
 
 
 def place(*cols: Column) -> Column:
-    """A row's place on the hash line, 0 to 2**63 - 1."""
+    """A place on the hash line, 0 to 2**63 - 1."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 1)
 
 
-def repeated(rows: DataFrame, at: Column) -> DataFrame:
-    """(_mix_k): the places that several rows have, which are those that repeat an id and text."""
-    return Written(rows.groupBy(at.alias("_mix_k")).agg(F.count("*").alias("_n")).where("_n > 1").select("_mix_k"), "mix-again").df
+def identity(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A hash of all that a row holds, of whatever types; nulls count."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    return F.xxhash64(F.lit("row"), F.to_json(F.struct(F.col(id_col).alias("i"), F.col(text_col).isNull().alias("t"), *[c.alias(f"c{k}") for k, c in enumerate(rest)])), F.col(text_col))
 
 
-def told_apart(rows: DataFrame, at: str, again: DataFrame) -> DataFrame:
-    """``rows``, where of those at one place the second, third and so on get a place of their own by their number, so that they
-    aren't all on one side of a threshold.
+def repeated(rows: DataFrame) -> DataFrame:
+    """(_mix_k): the places that several rows have, which are those that repeat an id and text, of whatever source."""
+    return Written(rows.groupBy(F.col("at").alias("_mix_k")).agg(F.count("*").alias("_n")).where("_n > 1").select("_mix_k"), "mix-again").df
 
-    The rows that repeat are dealt into parts, numbered in each, and start where the parts before end; no other row is moved.
+
+def told_apart(rows: DataFrame, at: str, own: str, again: DataFrame) -> DataFrame:
+    """``rows``, where those that share a place get places of their own, so that they aren't all on one side of a threshold: by
+    what they hold (``own``), and by a number among those that hold the same and can stand for each other. So the places depend on
+    the rows only, not on their order or partitions.
+
+    Equal rows are dealt into parts, numbered in each, and start where the parts before end; no other row is moved.
     """
     if again.isEmpty():
         return rows
@@ -48,13 +55,12 @@ def told_apart(rows: DataFrame, at: str, again: DataFrame) -> DataFrame:
     one = rows.join(again, F.col(at) == F.col("_mix_k"), "left_anti")
     many = rows.join(again, F.col(at) == F.col("_mix_k"), "left_semi").withColumn("_mix_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
     many = written(many, "mix-many")
-    sizes = many.groupBy(at, "_mix_part").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(at).orderBy("_mix_part")) - F.col("_n")  # PARTS rows at most
-    starts = sizes.select(F.col(at).alias("_a"), F.col("_mix_part").alias("_p"), before.alias("_start"))
-    own = F.row_number().over(Window.partitionBy(at, "_mix_part").orderBy(F.lit(0))) - 1
-    many = many.withColumn("_mix_n", own).join(starts, (F.col(at) == F.col("_a")) & (F.col("_mix_part") == F.col("_p")))
-    number = F.col("_start") + F.col("_mix_n")
-    many = many.withColumn(at, F.when(number == 0, F.col(at)).otherwise(place(F.col(at), number)))
+    sizes = many.groupBy(at, own, "_mix_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(at, own).orderBy("_mix_part")) - F.col("_n")  # PARTS rows at most
+    starts = sizes.select(F.col(at).alias("_a"), F.col(own).alias("_o"), F.col("_mix_part").alias("_p"), before.alias("_start"))
+    number = F.row_number().over(Window.partitionBy(at, own, "_mix_part").orderBy(F.lit(0))) - 1
+    many = many.withColumn("_mix_n", number).join(starts, (F.col(at) == F.col("_a")) & (F.col(own) == F.col("_o")) & (F.col("_mix_part") == F.col("_p")))
+    many = many.withColumn(at, place(F.col(at), F.col(own), F.col("_start") + F.col("_mix_n")))
     return one.unionByName(many.select(*rows.columns))
 
 
@@ -131,10 +137,11 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows(doc_id, source, size, at), thresholds a source, places that repeat) of a mix over all documents; one pass over the texts."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), place(F.col(id_col), F.col(text_col)).alias("at"))
+    at, own = place(F.col(id_col), F.col(text_col)), identity(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), at.alias("at"), own.alias("own"))
     rows = written(rows, "mix-rows")
-    again = repeated(rows, F.col("at"))
-    rows = told_apart(rows, "at", again)
+    again = repeated(rows)
+    rows = told_apart(rows, "at", "own", again).drop("own")
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     return rows, thresholds(rows, goals), again
 
@@ -147,8 +154,8 @@ def mix_digest(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target (of its source) and taken: the words that the mix takes of the document.
 
     Documents are taken whole, 0, 1 or 2 times, texts of any length. Null texts have size 0; null sources form one source; rows
-    that repeat an id and text each have a place of their own; an empty table gives an empty result; other columns are ignored.
-    The choice depends on ids, texts and sources only.
+    that repeat an id and text, in one source or several, each have a place of their own; an empty table gives an empty result.
+    The choice depends on what the rows hold only: other columns tell rows of one id and text apart, and count for nothing else.
     """
     rows, ends, _ = plan(docs, **how)
     rows, ends = rows.alias("r"), small(ends).alias("e")
@@ -164,8 +171,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     _, ends, again = plan(docs, id_col, text_col, source_col, **how)
     ends = small(ends.select(F.col("source").alias("_mix_source"), F.col("whole").alias("_mix_whole"), F.col("upto").alias("_mix_upto")))
-    own = docs.withColumn("_mix_at", place(F.col(id_col), F.col(text_col)))
-    out = told_apart(own, "_mix_at", again).join(ends, F.col(source_col).eqNullSafe(F.col("_mix_source")))
+    placed = docs.withColumns({"_mix_at": place(F.col(id_col), F.col(text_col)), "_mix_own": identity(docs, id_col, text_col)})
+    out = told_apart(placed, "_mix_at", "_mix_own", again).join(ends, F.col(source_col).eqNullSafe(F.col("_mix_source")))
     n = times(F.col("_mix_whole"), F.col("_mix_upto"), F.col("_mix_at"))
     out = out.withColumn("_mix_n", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))))
     return out.select(*docs.columns)

@@ -165,6 +165,22 @@ def test_a_source_of_one_repeated_row_meets_its_target(spark, n):
     assert mixing.mix(docs).count() == sum(r["taken"] for r in out) // 10
 
 
+def test_one_id_and_text_in_several_sources(spark, rng):
+    """Whatever the order and partitions of the rows, the same of them are taken, and each source meets its target."""
+    rows = [(1, "ten words " * 5, "en", rng.choice("abc"), k % 3) for k in range(300)] + [(2, "ten words " * 5, None, None, None)] * 40
+    size, seen = 10, []
+    for k in range(3):
+        own = rows[:]
+        rng.shuffle(own)
+        docs = documents(spark, own).repartition(2 + 3 * k)
+        digest = mixing.mix_digest(docs).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+        assert all(abs(r["taken"] - r["target"]) <= 2 * size for r in digest)
+        out = sorted(map(str, mixing.mix(docs).collect()))
+        assert len(out) == sum(r["taken"] for r in digest) // size
+        seen.append((out, sorted((r["source_size"], r["taken"]) for r in digest)))
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_mix_repeats_rows(spark, rng):
     docs = documents(spark, [(k, prose(rng, 20), "en", "ab"[k % 2], 1) for k in range(200)]).withColumnRenamed("lang", "target")
     out = mixing.mix(docs)
