@@ -128,23 +128,29 @@ def garch_residuals(returns: DataFrame) -> DataFrame:
     return spread(returns, "ticker").groupBy("ticker").applyInPandas(run, "ticker string, dt date, residual double")
 
 
-def rolling_forecasts(series: DataFrame, model: str, lookback: int = WINDOW, chunk: int = 128, key: str = "portfolio", p: float = P) -> DataFrame:
+def rolling_forecasts(series: DataFrame, model: str, lookback: int = WINDOW, chunk: int = 128, key: str = "portfolio", p: float = P, last: DataFrame | None = None) -> DataFrame:
     """(key, dt, r, var): out-of-sample forecasts by ``model`` (hs, evt, garch or gjr) from the ``lookback`` rows before each row.
 
     Rows are dealt into chunks that carry their own lookback, so a long backtest spreads over tasks; the windows of a chunk are
-    fitted together.
+    fitted together. ``last`` (key, last): only dates after it are forecast; other keys from their beginning.
     """
     w = Window.partitionBy(key)
     rows = series.withColumn("i", F.row_number().over(w.orderBy("dt")) - 1).withColumn("n", F.count("*").over(w)).where(F.col("n") - lookback - 1 >= 30)
     first = F.greatest(F.floor((F.col("i") - lookback - 1) / chunk), F.lit(0))
-    last = F.floor((F.col("i") - 1) / chunk)
-    dealt = rows.withColumn("c", F.explode(F.sequence(first.cast("int"), F.greatest(last, first).cast("int"))))
+    final = F.floor((F.col("i") - 1) / chunk)
+    rows = rows.withColumn("new", F.lit(True)) if last is None else rows.join(last.select(key, "last"), key, "left").withColumn("new", F.coalesce(F.col("dt") > F.col("last"), F.lit(True))).drop("last")
+    dealt = rows.withColumn("c", F.explode(F.sequence(first.cast("int"), F.greatest(final, first).cast("int"))))
+    if last is not None:  # chunks without a new row aren't sent
+        own = F.floor((F.col("i") - lookback - 1) / chunk)
+        wanted = rows.where(F.col("new") & (F.col("i") > lookback)).select(F.col(key).alias("_key"), own.cast("int").alias("_c")).distinct()
+        dealt = dealt.join(wanted, (F.col(key) == F.col("_key")) & (F.col("c") == F.col("_c")), "left_semi")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         c, i0, r = int(pdf["c"].iloc[0]), int(pdf["i"].iloc[0]), pdf["r"].to_numpy(float)
         begin = lookback + 1 + c * chunk
-        targets = [i for i in range(begin, begin + chunk) if i - i0 < len(r) and i - lookback - i0 >= 0]
+        new = pdf["new"].to_numpy(bool)
+        targets = [i for i in range(begin, begin + chunk) if i - i0 < len(r) and i - lookback - i0 >= 0 and new[i - i0]]
         if not targets:
             return pd.DataFrame(columns=[key, "dt", "r", "var"])
         windows = np.stack([r[i - lookback - i0 : i - i0] for i in targets])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import CORRELATION_TIERS, EXCEPTION_TIERS, RISK_TIERS, Z99, tier
@@ -102,11 +102,6 @@ def drift_alerts(spark, d):
     return rounded(performance.drift(performance.theme_rolling(triples(spark, d)), "portfolio", "beta"))
 
 
-@query(sql("SELECT portfolio, round(sum(w) * 100, 6) AS weight_pct, count(*)::BIGINT AS n_names, string_agg(ticker, ',' ORDER BY w DESC, ticker) AS names FROM books WHERE ticker IN ('RF', 'AF') AND portfolio = 'A' GROUP BY 1", "books"))
-def theme_direct_weight(spark, d):
-    return rounded(performance.direct_weight(panel.weights(spark, {"A": panel.PORTFOLIOS["A"]}), ["RF", "AF"]))
-
-
 # backtests
 
 WEEK = "SELECT portfolio, dt, r, row_number() OVER (PARTITION BY portfolio ORDER BY dt) - 1 AS i, count(*) OVER (PARTITION BY portfolio) AS n FROM port WHERE isodow(dt) <= 5"
@@ -290,44 +285,48 @@ def all_scenarios(spark, d):
 
 # holdings
 
-RAW = [
-    ("F1", "MICRON TECHNOLOGY INC COMMON STOCK USD.1", "MU US", "6.5%", "Equity", "US"), ("F1", "Samsung Electronics Co., Ltd.", "005930 KS", "5.25", "Equity", "South Korea"), ("F1", "NESTLE SA REG", "NESN", "4.1", "Equity", "nan"),
-    ("F1", "Cash", None, "3.0", "Cash", None), ("F1", "PING AN", "2318", "2.2", "Equity - common", " China "), ("F1", "Broken weight", "BAD", "n/a", "Equity", None), ("F1", "Negative", "NEG", "-1", "Equity", None),
-    ("F2", "Taiwan Semi SP ADR", "TSM", "0.31", None, "Taiwan"), ("F2", "Hanwha", "A012450", "0.25", None, None), ("F2", "SK Square", "A402340", "0.2", None, ""), ("F2", "odd name", "a b c", "0.1", None, "none"), ("F2", "Tencent", "700 HK", "1,0%", None, None),
-]
-CANON = [
-    ("F1", "Micron Technology", "MU US", "MU", "US", 6.5, 1), ("F1", "Samsung Electronics Co", "005930 KS", "005930.KS", "South Korea", 5.25, 2), ("F1", "Nestle", "NESN", "NSRGY", None, 4.1, 3), ("F1", "Ping An", "2318", "2318.HK", "China", 2.2, 4),
-    ("F2", "Tencent", "700 HK", "700.HK", None, 10.0, 1), ("F2", "Taiwan Semi", "TSM", "TSM", "Taiwan", 0.31, 2), ("F2", "Hanwha", "A012450", "012450.KS", None, 0.25, 3), ("F2", "Sk Square", "A402340", "402340.KS", None, 0.2, 4), ("F2", "Odd Name", "a b c", None, None, 0.1, 5),
-]
-CANON_SQL = _v(CANON, "fund, security, ticker, symbol, country, weight, rank").replace("SELECT *", "SELECT fund, security, ticker, symbol, country, weight, rank::INT AS rank")
+#: A disclosed row of each part: brands are funds. Names carry boilerplate, tickers take the forms of exchanges, weights are percents
+#: in some funds and fractions in others, and some rows are cash, broken or negative.
+_FORMS = ["lpad(k, 6, '0') || ' KS'", "'A' || lpad(k, 6, '0')", "k || ' HK'", "'NESN'", "upper(substr(p_name, 1, 3)) || ' US'", "lpad(k, 4, '0')", "' SAP GR '", "'nan'", "'a b c'", "'X ZZ'", "upper(substr(p_name, 1, 4))"]
+_NOISE = ["", " INC", " Co., Ltd.", " SP ADR", " COMMON STOCK USD.1", " PLC", " INC CL A"]
+_FRACTIONS = "CAST(substr(p_brand, 7) AS INT) % 2 = 0"
+_CASES = lambda on, values: f"CASE {on} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+_NOISES = _CASES(f"p_partkey % {len(_NOISE)}", [f"'{x}'" for x in _NOISE])
+_RAW_COLUMNS = f"""p_brand AS fund, upper(p_name) || {_NOISES} AS name, {_CASES(f'p_partkey % {len(_FORMS)}', _FORMS)} AS ticker,
+ CASE WHEN p_partkey % 31 = 0 THEN 'n/a' WHEN p_partkey % 37 = 0 THEN '-1' WHEN {_FRACTIONS} THEN CAST(p_retailprice / 100000 AS STRING) ELSE CAST(p_retailprice / 1000 + 1 AS STRING) || '%' END AS weight,
+ CASE p_size % 5 WHEN 0 THEN 'Cash' WHEN 1 THEN 'Equity' WHEN 2 THEN 'Equity - common' END AS asset_type, CASE p_size % 4 WHEN 0 THEN ' ' || p_type || ' ' WHEN 1 THEN 'nan' WHEN 2 THEN '' END AS country"""
+_RAW_EXPRESSIONS = _RAW_COLUMNS.replace(" AS name, ", " AS name;;").replace(" AS ticker,", " AS ticker;;").replace(" AS fund, ", " AS fund;;").replace(" AS weight,", " AS weight;;").replace(" AS asset_type, ", " AS asset_type;;").split(";;")
+_PARTS = "(SELECT *, CAST(p_partkey AS STRING) AS k FROM part)"
+#: A ticker's symbol by the rules, in their order, with the fixed tables.
+_LOOKUP = lambda pairs: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs.items()) + "}"
+_SYMBOL = f"""CASE WHEN t IS NULL OR t = '' OR lower(t) IN ('nan', 'none') THEN NULL WHEN named IS NOT NULL THEN named WHEN suffix IS NOT NULL THEN split_part(t, ' ', 1) || suffix
+ WHEN regexp_full_match(t, 'A[0-9]{{6}}') THEN substr(t, 2) || '.KS' WHEN regexp_full_match(t, '[A-Z]{{1,5}}') THEN t WHEN regexp_full_match(t, '[0-9]{{4,5}}') THEN t || '.HK' END"""
+_RAW_SQL = f"""SELECT *, trim(ticker) AS t, {_LOOKUP(holdings.TICKER_OVERRIDES)}[trim(ticker)] AS named,
+ CASE WHEN regexp_full_match(trim(ticker), '\\S+ [A-Za-z]{{2}}') THEN {_LOOKUP(holdings.EXCHANGE_SUFFIX)}[upper(split_part(trim(ticker), ' ', 2))] END AS suffix
+ FROM (SELECT {_RAW_COLUMNS}, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ') || CASE WHEN p_partkey % {len(_NOISE)} = 2 THEN ' Co' ELSE '' END AS security FROM {_PARTS})""".replace("STRING", "VARCHAR")
+_CANON = f"""SELECT *, row_number() OVER (PARTITION BY fund ORDER BY weight DESC, name, ticker) AS rank FROM (SELECT fund, security, name, ticker, {_SYMBOL} AS symbol,
+ CASE WHEN trim(country) NOT IN ('', 'nan') THEN trim(country) END AS country, round(CASE WHEN max(v) OVER (PARTITION BY fund) <= 1.5 THEN v * 100 ELSE v END, 4) AS weight
+ FROM (SELECT *, TRY_CAST(replace(weight, '%', '') AS DOUBLE) AS v FROM raw WHERE asset_type IS NULL OR asset_type LIKE 'Equity%') WHERE v > 0)"""
 
 
-def raw_holdings(spark) -> DataFrame:
-    return spark.createDataFrame(RAW, "fund string, name string, ticker string, weight string, asset_type string, country string")
+def raw_holdings(spark, d) -> DataFrame:
+    part = panel.table(spark, d, "part").withColumn("k", F.col("p_partkey").cast("string"))
+    return part.selectExpr(*[x.strip() for x in _RAW_EXPRESSIONS])
 
 
-@query(CANON_SQL)
+@query(f"WITH raw AS ({_RAW_SQL}), canon AS ({_CANON}) SELECT fund, security, trim(coalesce(ticker, '')) AS ticker, symbol, country, weight, rank::INT AS rank FROM canon")
 def holdings_normalise(spark, d):
-    return holdings.normalise(raw_holdings(spark))
+    return holdings.normalise(raw_holdings(spark, d))
 
 
-_TICKERS = [("005930 KS", "005930.KS"), ("A005930", "005930.KS"), ("A111111", "111111.KS"), ("2318 HK", "2318.HK"), ("NESN", "NSRGY"), ("TSM", "TSM"), ("2318", "2318.HK"), ("SAP GR", "SAP.DE"), ("toolong", None), ("nan", None), ("", None), ("X ZZ", None), ("VALE3", "VALE"), ("SAAB B", "SAAB-B.ST"), (" MU US ", "MU")]
-_NAMES = [("Samsung Electronics Co., Ltd.", "Samsung Electronics Co"), ("MICRON TECHNOLOGY INC COMMON STOCK USD.1", "Micron Technology"), ("ALPHABET INC CL A", "Alphabet"), ("  spaced   out  ", "Spaced Out"), ("Inc", "Inc"), ("o'neil plc", "O'Neil")]
-
-
-_LOOKUP = lambda pairs: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs.items()) + "}"
-
-
-@query(f"""SELECT ticker, CASE WHEN t IS NULL OR t = '' OR lower(t) IN ('nan', 'none') THEN NULL WHEN named IS NOT NULL THEN named WHEN suffix IS NOT NULL THEN split_part(t, ' ', 1) || suffix
- WHEN regexp_full_match(t, 'A[0-9]{{6}}') THEN substr(t, 2) || '.KS' WHEN regexp_full_match(t, '[A-Z]{{1,5}}') THEN t WHEN regexp_full_match(t, '[0-9]{{4,5}}') THEN t || '.HK' END AS symbol
- FROM (SELECT ticker, t, {_LOOKUP(holdings.TICKER_OVERRIDES)}[t] AS named, CASE WHEN regexp_full_match(t, '\\S+ [A-Za-z]{{2}}') THEN {_LOOKUP(holdings.EXCHANGE_SUFFIX)}[upper(split_part(t, ' ', 2))] END AS suffix FROM (SELECT ticker, trim(ticker) AS t FROM ({_v([(t,) for t, _ in _TICKERS], 'ticker')})))""")
+@query(f"SELECT DISTINCT ticker, {_SYMBOL} AS symbol FROM ({_RAW_SQL})")
 def ticker_map(spark, d):
-    return spark.createDataFrame([(t,) for t, _ in _TICKERS], "ticker string").select("ticker", holdings.map_ticker(F.col("ticker")).alias("symbol"))
+    return raw_holdings(spark, d).select("ticker", holdings.map_ticker(F.col("ticker")).alias("symbol")).distinct()
 
 
-@query(_v(_NAMES, "name, security"))
+@query(f"SELECT DISTINCT name, security FROM ({_RAW_SQL})")
 def name_clean(spark, d):
-    return spark.createDataFrame([(t,) for t, _ in _NAMES], "name string").select("name", holdings.clean_name(F.col("name")).alias("security"))
+    return raw_holdings(spark, d).select("name", holdings.clean_name(F.col("name")).alias("security")).distinct()
 
 
 SHARES = "SELECT 'BRANDS' AS fund, p_brand AS security, p_brand AS symbol, round(sum(l_extendedprice) / sum(sum(l_extendedprice)) OVER () * 100, 4) AS weight FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand"
@@ -341,6 +340,42 @@ def brand_fund(spark, d) -> DataFrame:
     return views.ranked_shares(sums.select(F.lit("BRANDS").alias("fund"), F.col("p_brand").alias("security"), F.col("p_brand").alias("symbol"), "v"))
 
 
+#: Each brand as a fund of the types of its parts, by revenue.
+TYPE_SHARES = "SELECT p_brand AS fund, p_type AS security, p_type AS symbol, round(sum(l_extendedprice) / sum(sum(l_extendedprice)) OVER (PARTITION BY p_brand) * 100, 4) AS weight FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, p_type"
+
+
+def type_funds(spark, d) -> DataFrame:
+    lines, part = panel.table(spark, d, "lineitem"), panel.table(spark, d, "part")
+    sums = lines.join(part, lines["l_partkey"] == part["p_partkey"]).groupBy("p_brand", "p_type").agg(F.sum("l_extendedprice").alias("v"))
+    return views.ranked_shares(sums.select(F.col("p_brand").alias("fund"), F.col("p_type").alias("security"), F.col("p_type").alias("symbol"), "v"))
+
+
+def type_weights(spark, d) -> DataFrame:
+    """(portfolio, ticker, w) of those funds."""
+    return type_funds(spark, d).select(F.col("fund").alias("portfolio"), F.col("symbol").alias("ticker"), (F.col("weight") / 100).alias("w"))
+
+
+@query("WITH s AS (SELECT fund, symbol, weight / 100 AS w FROM (" + TYPE_SHARES + ")), g AS (SELECT f.fund, t.symbol, coalesce(s.w, 0) AS w, coalesce(b.w, 0) AS w0 FROM (SELECT DISTINCT fund FROM s) f CROSS JOIN (SELECT DISTINCT symbol FROM s) t LEFT JOIN s ON s.fund = f.fund AND s.symbol = t.symbol LEFT JOIN s b ON b.fund = 'Brand#1' AND b.symbol = t.symbol)"
+ " SELECT fund AS portfolio, count_if(w > 0)::BIGINT AS n_holdings, round(sum(w * w), 6) AS hhi, round(max(w), 6) AS max_weight, round(sum(abs(w - w0)), 6) AS turnover, round(1 / sum(w * w), 6) AS effective_n FROM g GROUP BY 1")
+def exposure_metrics(spark, d):
+    """Each brand's fund against one brand's."""
+    w = type_weights(spark, d)
+    return rounded(portfolio.exposure(w, w.where("portfolio = 'Brand#1'")))
+
+
+@query("SELECT portfolio, ticker, round(w / sum(w) OVER (PARTITION BY portfolio), 4) AS w FROM (SELECT p_brand AS portfolio, p_name AS ticker, sum(p_retailprice) / sum(sum(p_retailprice)) OVER (PARTITION BY p_brand) AS w FROM part GROUP BY 1, 2) WHERE w >= 0.02")
+def clean_weights(spark, d):
+    """Of each brand, the part names that make up two hundredths of its list prices or more."""
+    sums = panel.table(spark, d, "part").groupBy(F.col("p_brand").alias("portfolio"), F.col("p_name").alias("ticker")).agg(F.sum("p_retailprice").alias("v"))
+    share = F.col("v") / F.sum("v").over(Window.partitionBy("portfolio"))
+    return portfolio.clean_weights(sums.select("portfolio", "ticker", share.alias("w")), 0.02)
+
+
+@query("WITH shares AS (" + TYPE_SHARES + ") SELECT fund AS portfolio, round(sum(weight) / max(total) * 100, 6) AS weight_pct, count(*)::BIGINT AS n_names, string_agg(symbol, ',' ORDER BY weight DESC, symbol) AS names FROM (SELECT *, sum(weight) OVER (PARTITION BY fund) AS total FROM shares) WHERE symbol IN ('ECONOMY', 'SMALL', 'PROMO') GROUP BY 1")
+def theme_direct_weight(spark, d):
+    return rounded(performance.direct_weight(type_weights(spark, d), ["ECONOMY", "SMALL", "PROMO"]))
+
+
 @query(sql("SELECT fund, count(*)::BIGINT AS n_holdings, round(sum(weight), 4) AS total_weight_pct, round(sum(CASE WHEN rank <= 10 THEN weight ELSE 0 END), 4) AS top10_concentration_pct, round(sum(CASE WHEN rank <= 25 THEN weight ELSE 0 END), 4) AS top25_concentration_pct FROM ranked GROUP BY 1", shares=SHARES, ranked=RANKED))
 def concentration(spark, d):
     return rounded(holdings.concentration(brand_fund(spark, d)), 4)
@@ -351,17 +386,16 @@ def look_through(spark, d):
     return rounded(holdings.look_through(brand_fund(spark, d), 10))
 
 
-@query(sql("SELECT fund, count_if(rank <= 3 AND symbol IS NOT NULL)::BIGINT AS modeled_n, round(sum(CASE WHEN rank <= 3 THEN weight END), 6) AS modeled_weight_pct, round(sum(CASE WHEN rank <= 3 AND symbol IS NOT NULL THEN weight ELSE 0 END), 6) AS mapped_weight_pct, count(*)::BIGINT AS total_holdings, round(sum(weight), 6) AS total_disclosed_pct FROM canon GROUP BY 1", canon=CANON_SQL))
+@query(f"WITH raw AS ({_RAW_SQL}), canon AS ({_CANON}) SELECT fund, count_if(rank <= 10 AND symbol IS NOT NULL)::BIGINT AS modeled_n, round(sum(CASE WHEN rank <= 10 THEN weight END), 6) AS modeled_weight_pct, round(sum(CASE WHEN rank <= 10 AND symbol IS NOT NULL THEN weight ELSE 0 END), 6) AS mapped_weight_pct, count(*)::BIGINT AS total_holdings, round(sum(weight), 6) AS total_disclosed_pct FROM canon GROUP BY 1")
 def look_through_coverage(spark, d):
-    return rounded(holdings.look_through_coverage(holdings.normalise(raw_holdings(spark)), 3))
-
+    return rounded(holdings.look_through_coverage(holdings.normalise(raw_holdings(spark, d)), 10))
 
-_LISTS = [(0, 0, "AF"), (0, 1, "NO"), (0, 2, "ZZ"), (1, 0, "YY"), (1, 1, "AF"), (1, 2, "RF")]
 
-
-@query(f"SELECT ticker, row_number() OVER (ORDER BY min(src * 1000 + ord))::INT AS pos FROM ({_v(_LISTS, 'src, ord, ticker')}) GROUP BY ticker")
+@query("SELECT ticker, row_number() OVER (ORDER BY first)::INT AS pos FROM (SELECT p_brand AS ticker, min((p_size, p_partkey)) AS first FROM part GROUP BY 1)")
 def benchmark_union(spark, d):
-    return holdings.ordered_union(spark.createDataFrame(_LISTS, "src int, ord int, ticker string"))
+    """Brands in the order in which lists by size name them."""
+    lists = panel.table(spark, d, "part").select(F.col("p_size").alias("src"), F.col("p_partkey").alias("ord"), F.col("p_brand").alias("ticker"))
+    return holdings.ordered_union(lists)
 
 
 @query(sql("SELECT p_brand AS key, min_by(p_name, p_partkey) AS name, round(sum(p_retailprice), 4) AS value, round(sum(p_retailprice) / sum(sum(p_retailprice)) OVER () * 100, 6) AS weight, 'all' AS fund FROM part GROUP BY 1"))
@@ -389,19 +423,26 @@ def correlation_tiers(spark, d):
     return rounded(m.withColumn("tier", tier(F.col("corr_60"), CORRELATION_TIERS, "weak")))
 
 
-@query(sql("SELECT ticker, round(w0, 6) AS w0, round(w, 6) AS w, round(w - w0, 6) AS delta FROM (SELECT a.ticker, b.w AS w0, a.w FROM books a JOIN books b ON a.ticker = b.ticker AND a.portfolio = 'A' AND b.portfolio = 'B') WHERE abs(w - w0) >= 0.001", "books"))
-def weight_deltas(spark, d):
-    w = panel.weights(spark)
-    return rounded(views.weight_deltas(w.where("portfolio = 'A'"), w.where("portfolio = 'B'")))
+_YEAR_SHARE = "(SELECT p_name AS ticker, sum(l_extendedprice) / sum(sum(l_extendedprice)) OVER () AS w FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) = {} GROUP BY 1)"
 
 
-BANDS = {"treasuries": {"var": "0.3 to 1.0", "vol": "4 to 8"}, "equity": {"var": "1.5 to 3.5", "vol": "14 to 22"}}
-CLASSES = {"AF": "treasuries", "NO": "equity", "RF": "equity"}
+@query(f"SELECT ticker, round(coalesce(b.w, 0), 6) AS w0, round(coalesce(a.w, 0), 6) AS w, round(coalesce(a.w, 0) - coalesce(b.w, 0), 6) AS delta FROM {_YEAR_SHARE.format(1997)} a FULL JOIN {_YEAR_SHARE.format(1996)} b USING (ticker) WHERE abs(coalesce(a.w, 0) - coalesce(b.w, 0)) >= 0.001")
+def weight_deltas(spark, d):
+    """How the revenue shares of part names changed from one year to the next."""
+    lines, part = panel.table(spark, d, "lineitem"), panel.table(spark, d, "part")
+    sums = lines.join(part, lines["l_partkey"] == part["p_partkey"]).groupBy(F.year("l_shipdate").alias("portfolio"), F.col("p_name").alias("ticker")).agg(F.sum("l_extendedprice").alias("v"))
+    w = sums.withColumn("w", F.col("v") / F.sum("v").over(Window.partitionBy("portfolio")))
+    return rounded(views.weight_deltas(w.where("portfolio = 1997"), w.where("portfolio = 1996")))
 
 
-@query(f"SELECT ticker, c.class, metric, band FROM ({_v(list(CLASSES.items()), 'ticker, class')}) c LEFT JOIN ({_v([(c, m, b) for c, own in BANDS.items() for m, b in own.items()], 'class, metric, band')}) b ON b.class = c.class")
+@query("""SELECT ticker, c.class, metric, band FROM (SELECT p_brand AS ticker, p_type AS class FROM part GROUP BY 1, 2) c LEFT JOIN (SELECT p_type AS class, unnest(['price', 'size']) AS metric,
+ unnest([min(p_retailprice)::INT || ' to ' || max(p_retailprice)::INT, min(p_size) || ' to ' || max(p_size)]) AS band FROM part WHERE p_type <> 'SMALL' GROUP BY 1) b ON b.class = c.class""")
 def reference_bands(spark, d):
-    return views.reference_bands(spark.createDataFrame(list(CLASSES.items()), "ticker string, class string"), spark.createDataFrame([(c, m) for c, m in BANDS.items()], "class string, bands map<string, string>"))
+    """The usual prices and sizes of each type, one of which has none, told of the brands that hold it."""
+    part = panel.table(spark, d, "part")
+    band = lambda c: F.concat_ws(" to ", F.round(F.min(c)).cast("int"), F.round(F.max(c)).cast("int"))
+    bands = part.where("p_type <> 'SMALL'").groupBy(F.col("p_type").alias("class")).agg(F.create_map(F.lit("price"), band("p_retailprice"), F.lit("size"), band("p_size")).alias("bands"))
+    return views.reference_bands(part.select(F.col("p_brand").alias("ticker"), F.col("p_type").alias("class")).distinct(), bands)
 
 
 @query(sql("SELECT year, round(-min_var, 6) AS best, round(-max_var, 6) AS worst, CASE WHEN ret < 0 THEN round(ret, 6) END AS loss FROM (SELECT year(dt)::INT AS year, min(var) AS min_var, max(var) AS max_var FROM series WHERE ticker = 'NO' GROUP BY 1 HAVING count(*) >= 20) LEFT JOIN (SELECT year, (px / lag(px) OVER (ORDER BY year) - 1) * 100 AS ret FROM (SELECT year(dt) AS year, max_by(px, dt) AS px FROM filled WHERE ticker = 'NO' AND px IS NOT NULL GROUP BY 1)) USING (year) WHERE year >= 1997", "returns", ewma=ewma_sql(), series=SERIES))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
+import pandas as pd
 import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import asof, backtest, correlation, factors, holdings, models, performance, portfolio, risk, scenarios, sections
 from ..sources import config, files, panel, scratch, sinks
 from ..sources.panel import MARKET, THEME, sql
-from .book_queries import _BT, _HYPO, COUNTS, HIST, HIST_SQL, PAIRS, PERF, PROXIES, RANKED, REGIMES, SECURITIES, SHARES, SHOCKS, STATS, book, brand_fund, hist_parts, hits, pairs, taxonomy, triples
+from .book_queries import _BT, _HYPO, COUNTS, PAIRS, PERF, RANKED, REGIMES, STATS, TYPE_SHARES, book, hist_parts, hits, pairs, taxonomy, triples, type_funds
 from .factor_sql import FACTOR_TABLES, normal_probability
 from .model_queries import factor_panel
 from .registry import query, rounded
@@ -21,128 +23,170 @@ from .risk_queries import order_returns
 SMOOTH = "SELECT * FROM (SELECT dt, CASE WHEN count(vix) OVER w >= 20 THEN avg(vix) OVER w END AS vix FROM vix WINDOW w AS (ORDER BY dt ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) WHERE vix IS NOT NULL"
 
 
-def _text(rows: DataFrame, order: str, line, before: list[str], after: list[str] = ()) -> DataFrame:
-    """One text: the lines of a short table in order, between others."""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"]), "\n")
-    return rows.agg(F.concat_ws("\n", *[F.lit(x) for x in before], body, *[F.lit(x) for x in after]).alias("value"))
+def _files(rows: DataFrame, key: str, make, kind: str) -> DataFrame:
+    """(path, content): a file for each value of ``key``, made of its rows where they are; ``make`` takes them by rank and returns bytes."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = re.sub(r"[^A-Za-z0-9]", "", str(pdf[key].iloc[0]))
+        return pd.DataFrame([(f"{name}{kind}", make(pdf.sort_values("rank")))], columns=["path", "content"])
 
-def _written(spark, text: DataFrame, tag: str) -> str:
-    path = scratch.new_path(spark, tag)
-    text.coalesce(1).write.text(path)
-    return path
+    return rows.groupBy(key).applyInPandas(run, files.FILES)
 
 
-@query(sql("SELECT security AS name, symbol AS ticker, weight, DATE '2025-12-31' AS as_of FROM shares", shares=SHARES))
+#: Holdings of each brand's fund, with the fund's name as its file's.
+FUND_FILES = "SELECT replace(fund, '#', '') AS fund, * EXCLUDE (fund) FROM (SELECT *, row_number() OVER (PARTITION BY fund ORDER BY weight DESC, security) AS rank FROM shares)"
+
+
+@query(sql("SELECT fund, security AS name, symbol AS ticker, weight, DATE '2025-12-31' AS as_of FROM named", shares=TYPE_SHARES, named=FUND_FILES))
 def csv_holdings(spark, d):
-    """A holdings file with a title, a day-first date, a header and quoted names."""
-    line = F.format_string('"%s, Inc",%s,%.4f,', F.col("security"), F.col("symbol"), F.col("weight"))
-    path = _written(spark, _text(brand_fund(spark, d), "rank", line, ["Fund holdings", '"As of 31/12/2025"', "Name,Ticker,Weighting (%),"]), "csv")
-    rows = files.read_holdings(spark, path).where("error IS NULL")
-    return rows.select(F.regexp_replace("name", ", Inc$", "").alias("name"), "ticker", holdings.number(F.col("weight")).alias("weight"), "as_of")
+    """A file a fund with a title, a day-first date, a header and quoted names."""
+
+    def make(pdf: pd.DataFrame) -> bytes:
+        rows = [f'"{r.security}, Inc",{r.symbol},{r.weight:.4f},' for r in pdf.itertuples()]
+        return "\n".join(["Fund holdings", '"As of 31/12/2025"', "Name,Ticker,Weighting (%),", *rows]).encode()
+
+    rows = files.read_holdings(_files(type_funds(spark, d), "fund", make, ".csv")).where("error IS NULL")
+    return rows.select("fund", F.regexp_replace("name", ", Inc$", "").alias("name"), "ticker", holdings.number(F.col("weight")).alias("weight"), "as_of")
 
 
 def _disclosed(spark, d) -> DataFrame:
-    rows = brand_fund(spark, d).withColumn("ticker", F.col("symbol")).withColumn("country", F.lit(None).cast("string"))
+    """Funds as JSON documents, one each, written as text and read."""
+    rows = type_funds(spark, d).withColumn("ticker", F.col("symbol")).withColumn("country", F.lit(None).cast("string"))
     one = rows.groupBy("fund").agg(F.sort_array(F.collect_list(F.struct("rank", "security", "ticker", "weight", "symbol", "country"))).alias("holdings"))
-    whole = one.agg(F.map_from_entries(F.collect_list(F.struct("fund", F.struct(F.lit("2026-05-05").alias("as_of"), "holdings")))).alias("funds"))
-    return files.disclosures(spark, _written(spark, whole.select(F.to_json(F.struct("funds")).alias("value")), "json"))
+    whole = one.select(F.create_map("fund", F.struct(F.lit("2026-05-05").alias("as_of"), "holdings")).alias("funds"))
+    path = scratch.new_path(spark, "json")
+    whole.select(F.to_json(F.struct("funds")).alias("value")).write.text(path)
+    return files.disclosures(spark.read.text(path))
 
 
-@query(sql("SELECT fund, DATE '2026-05-05' AS as_of, security, symbol, weight, rank::INT AS rank FROM ranked", shares=SHARES, ranked=RANKED))
+@query(sql("SELECT fund, DATE '2026-05-05' AS as_of, security, symbol, weight, rank::INT AS rank FROM ranked", shares=TYPE_SHARES, ranked=RANKED))
 def json_holdings(spark, d):
     return _disclosed(spark, d).select("fund", "as_of", "security", "symbol", "weight", "rank")
 
 
-@query(sql("SELECT b.portfolio, b.fund, n AS n_holdings, CASE WHEN n IS NOT NULL THEN DATE '2026-05-05' END AS as_of FROM (VALUES ('A', 'BRANDS'), ('B', 'NONE')) b(portfolio, fund) LEFT JOIN (SELECT fund, count(*) AS n FROM shares GROUP BY 1) USING (fund)", shares=SHARES))
+@query(sql("SELECT fund, rank::INT AS rank, security, symbol, weight FROM ranked", shares=TYPE_SHARES, ranked=RANKED))
+def holdings_json(spark, d):
+    """Holdings records as the JSON that a display reads, written and read again."""
+    path = scratch.new_path(spark, "holdings")
+    sinks.write_holdings(type_funds(spark, d).withColumn("ticker", F.col("symbol")).withColumn("country", F.lit(None).cast("string")), path)
+    return spark.read.schema("fund string, holdings array<struct<rank: int, security: string, symbol: string, weight: double>>").json(path).select("fund", F.inline("holdings"))
+
+
+@query(sql("SELECT b.portfolio, b.fund, n AS n_holdings, CASE WHEN n IS NOT NULL THEN DATE '2026-05-05' END AS as_of FROM (VALUES ('A', 'Brand#3'), ('B', 'NONE')) b(portfolio, fund) LEFT JOIN (SELECT fund, count(*) AS n FROM shares GROUP BY 1) USING (fund)", shares=TYPE_SHARES))
 def books_with_disclosure(spark, d):
-    books = spark.createDataFrame([("A", "BRANDS"), ("B", "NONE")], "portfolio string, fund string")
+    books = spark.createDataFrame([("A", "Brand#3"), ("B", "NONE")], "portfolio string, fund string")
     shown = _disclosed(spark, d)
     return sections.with_disclosure(books, shown.groupBy("fund").agg(F.count("*").alias("n_holdings")), shown).select("portfolio", "fund", "n_holdings", "as_of")
 
 
-def _holdings_rows(spark, d) -> list:
-    """The fund's disclosed rows, a dimension of some 25, for files that a query writes."""
-    return brand_fund(spark, d).orderBy("rank").collect()
+_SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
 
-@query(sql("SELECT security AS name, symbol AS ticker, weight, DATE '2026-05-05' AS as_of, kind FROM shares CROSS JOIN (VALUES ('xlsx')) k(kind)", shares=SHARES))
-def xlsx_holdings(spark, d):
-    """A workbook whose second sheet holds the holdings, written and read."""
-    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    rows = [["Fund", None, None], ["As of 05/05/2026", None, None], ["Security Name", "Ticker", "% of Net Assets"], *[[r["security"], r["symbol"], r["weight"]] for r in _holdings_rows(spark, d)]]
+def _workbook(sheets: dict[str, list[list]]) -> bytes:
+    """A workbook: sheets of rows of texts and numbers."""
     cell = lambda ref, v: "" if v is None else f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else f'<c r="{ref}"><v>{v!r}</v></c>'
-    sheet = lambda own: f'<worksheet xmlns="{main}"><sheetData>' + "".join(f'<row r="{i}">' + "".join(cell(f"{c}{i}", v) for c, v in zip("ABC", row, strict=True)) + "</row>" for i, row in enumerate(own, 1)) + "</sheetData></worksheet>"
+    sheet = lambda own: f'<worksheet xmlns="{_SHEET}"><sheetData>' + "".join(f'<row r="{i}">' + "".join(cell(f"{c}{i}", v) for c, v in zip("ABC", row, strict=True)) + "</row>" for i, row in enumerate(own, 1)) + "</sheetData></worksheet>"
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Notes" r:id="r1"/><sheet name="Holdings" r:id="r2"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet2.xml"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", sheet([["nothing", None, None]]))
-        z.writestr("xl/worksheets/sheet2.xml", sheet(rows))
-    folder = scratch.new_path(spark, "xlsx")
-    scratch.write_bytes(spark, f"{folder}/FUND.xlsx", data.getvalue())
-    read = files.read_holdings(spark, folder).where("error IS NULL")
-    return read.select("name", "ticker", F.round(holdings.number(F.col("weight")), 4).alias("weight"), "as_of", F.lit("xlsx").alias("kind"))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_SHEET}" xmlns:r="{_REL}"><sheets>' + "".join(f'<sheet name="{name}" r:id="r{k}"/>' for k, name in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{k}" Target="worksheets/sheet{k}.xml"/>' for k in range(len(sheets))) + "</Relationships>")
+        for k, own in enumerate(sheets.values()):
+            z.writestr(f"xl/worksheets/sheet{k}.xml", sheet(own))
+    return data.getvalue()
+
+
+@query(sql("SELECT fund, security AS name, symbol AS ticker, weight, DATE '2026-05-05' AS as_of FROM named", shares=TYPE_SHARES, named=FUND_FILES))
+def xlsx_holdings(spark, d):
+    """A workbook a fund, whose second sheet holds the holdings."""
+
+    def make(pdf: pd.DataFrame) -> bytes:
+        head = [["Fund", None, None], ["As of 05/05/2026", None, None], ["Security Name", "Ticker", "% of Net Assets"]]
+        return _workbook({"Notes": [["nothing", None, None]], "Holdings": [*head, *[[r.security, r.symbol, float(r.weight)] for r in pdf.itertuples()]]})
+
+    read = files.read_holdings(_files(type_funds(spark, d), "fund", make, ".xlsx")).where("error IS NULL")
+    return read.select("fund", "name", "ticker", F.round(holdings.number(F.col("weight")), 4).alias("weight"), "as_of")
+
+
+_WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
 
-@query(sql("SELECT security AS name, round(v / sum(v) OVER () * 100, 6) AS weight, DATE '2026-03-31' AS as_of FROM (SELECT security, round(weight * 10000) AS v FROM shares)", shares=SHARES))
+@query(sql("SELECT fund || '-Q1-2026' AS fund, security AS name, CASE WHEN security <> 'SMALL' THEN 'T' || security END AS ticker, round(v / sum(v) OVER (PARTITION BY fund) * 100, 6) AS weight, DATE '2026-03-31' AS as_of FROM (SELECT fund, security, round(weight * 10000) AS v FROM named)", shares=TYPE_SHARES, named=FUND_FILES))
 def docx_holdings(spark, d):
-    """A quarterly document without tickers, one holding in two lots, written and read; the quarter is in the file's name."""
-    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-    rows = [["Stocks 99%", "Shares", "Value"]]
-    for r in _holdings_rows(spark, d):
-        value = round(r["weight"] * 10000)
-        rows += [[f"{r['security']} (a)", "1,000", f"${value - 1:,}"], [r["security"], "10", "1"]]
-    body = "".join("<w:tr>" + "".join(f"<w:tc><w:p><w:r><w:t>{c}</w:t></w:r></w:p></w:tc>" for c in row) + "</w:tr>" for row in rows)
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:tbl>{body}</w:tbl></w:body></w:document>')
-    folder = scratch.new_path(spark, "docx")
-    scratch.write_bytes(spark, f"{folder}/FUND-Q1-2026.docx", data.getvalue())
-    return rounded(files.read_holdings(spark, folder).where("error IS NULL").select("name", holdings.number(F.col("weight")).alias("weight"), "as_of"))
+    """A quarterly document a fund, without tickers and each holding in two lots; the quarter is in the file's name, and names map to
+    tickers by a table that lacks one."""
+
+    def make(pdf: pd.DataFrame) -> bytes:
+        rows = [["Stocks 99%", "Shares", "Value"]]
+        for r in pdf.itertuples():
+            rows += [[f"{r.security} (a)", "1,000", f"${round(r.weight * 10000) - 1:,}"], [r.security, "10", "1"]]
+        body = "".join("<w:tr>" + "".join(f"<w:tc><w:p><w:r><w:t>{c}</w:t></w:r></w:p></w:tc>" for c in row) + "</w:tr>" for row in rows)
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="{_WORD}"><w:body><w:tbl>{body}</w:tbl></w:body></w:document>')
+        return data.getvalue()
+
+    tickers = panel.table(spark, d, "part").where("p_type <> 'SMALL'").select(F.col("p_type").alias("name"), F.concat(F.lit("T"), "p_type").alias("ticker")).distinct()
+    read = files.document_holdings(_files(type_funds(spark, d), "fund", make, "-Q1-2026.docx"), tickers)
+    return rounded(read.select("fund", "name", "ticker", "weight", "as_of"))
 
 
-@query("SELECT 'funds-2026-02.csv' AS name, 3 AS n_lines")
+@query("SELECT month, count(*)::INTEGER AS n_lines FROM (SELECT strftime(l_shipdate, '%Y-%m') AS month FROM lineitem) GROUP BY 1 ORDER BY 1 DESC LIMIT 1")
 def latest_file(spark, d):
-    """The last of several disclosures by name, and its lines."""
-    folder = scratch.new_path(spark, "folder")
-    for name, lines in (("funds-2026-01.csv", 2), ("funds-2026-02.csv", 3), ("funds-2025-12.csv", 5), ("notes-2027.txt", 1)):
-        scratch.write_bytes(spark, f"{folder}/{name}", "\n".join(["line"] * lines).encode())
-    path = files.latest_file(spark, folder, "funds-*.csv")
-    return files.lines(spark, path).groupBy(F.element_at(F.split("path", "/"), -1).alias("name")).agg(F.count("*").cast("int").alias("n_lines"))
+    """The last by name of files of each month's lines, and what it holds."""
+    folder = scratch.new_path(spark, "months")
+    rows = panel.table(spark, d, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.concat_ws(",", "l_orderkey", "l_linenumber").alias("value"))
+    rows.repartition("month").write.partitionBy("month").text(folder)
+    path = files.latest_file(spark, folder, "*.txt")
+    month = F.regexp_extract("path", r"month=([^/]+)", 1)
+    return files.lines(spark, path).where("line <> ''").groupBy(month.alias("month")).agg(F.count("*").cast("int").alias("n_lines"))
 
 
-def _yaml(spark, raw: dict, tag: str) -> dict:
-    path = scratch.new_path(spark, tag)
-    scratch.write_bytes(spark, path, yaml.safe_dump(raw).encode())
-    return config.load(spark, path)
+def _yaml(rows: DataFrame, key: str, make) -> DataFrame:
+    return _files(rows, key, lambda pdf: yaml.safe_dump(make(pdf)).encode(), ".yaml")
 
 
-def _checked(spark, d) -> dict[str, DataFrame]:
-    """Books, taxonomy and scenarios as YAML files, read, checked and made into tables."""
-    tree = [(r["class"], r["parent"]) for r in taxonomy(spark, d)["tree"].collect()]  # nations and regions
-    books = {"benchmarks": {"mark": {"weights": panel.BENCHMARK}}, "portfolios": [{"id": p, "weights": own, "benchmark": "mark"} for p, own in panel.PORTFOLIOS.items()] + [{"id": "hidden", "weights": {"NO": 1.0}, "visible": False}]}
-    known = {"classes": dict(tree), "sectors": ["BUILDING", "MACHINERY"], "securities": {t: {"weights": b} if b else {"class": c, "sector": s} for t, c, s, b in SECURITIES}}
-    stress = {"historical": [{"id": i, "start": a, "end": b} for i, a, b in HIST], "hypothetical": [{"id": i, "categories": {c: x for j, c, x in SHOCKS if i == j}} for i in ("h1", "h2")], "proxies": dict(PROXIES)}
-    tax = config.taxonomy(_yaml(spark, known, "taxonomy.yaml"))
-    return config.tables(spark, config.portfolios(_yaml(spark, books, "portfolios.yaml")), tax, config.scenarios(_yaml(spark, stress, "scenarios.yaml"), tax))
+@query(sql("SELECT fund AS portfolio, symbol AS ticker, round(weight / 100, 6) AS w FROM named WHERE fund <> 'Brand2'", shares=TYPE_SHARES, named=FUND_FILES))
+def yaml_portfolios(spark, d):
+    """Books as YAML files, one a fund with its benchmark; one book is hidden, one file is broken and stops no other."""
 
+    def make(pdf: pd.DataFrame) -> dict:
+        name = pdf["fund"].iloc[0].replace("#", "")
+        own = {"id": name, "benchmark": "mark", "weights": dict(zip(pdf["symbol"], (float(w) for w in pdf["weight"] / 100), strict=True)), "visible": name != "Brand2"}
+        return {"benchmarks": {"mark": {"weights": panel.BENCHMARK}}, "portfolios": [own]}
+
+    broken = spark.createDataFrame([("broken.yaml", bytearray(b"portfolios: [{id: x}]"))], files.FILES)
+    read = config.read_portfolios(_yaml(type_funds(spark, d), "fund", make).unionByName(broken)).where("error IS NULL")
+    return rounded(read.select("portfolio", "ticker", "w"))
 
-@query(sql("SELECT portfolio, ticker, w FROM books", "books"))
-def yaml_portfolios(spark, d):
-    return _checked(spark, d)["weights"].select("portfolio", "ticker", "w")
+
+def _taxonomy(spark, d) -> DataFrame:
+    rows = taxonomy(spark, d)["tree"].withColumn("rank", F.lit(0))
+    return config.read_taxonomy(_yaml(rows, "parent", lambda pdf: {"classes": dict(zip(pdf["class"], pdf["parent"], strict=True))}))
 
 
 @query(f"SELECT class, parent FROM ({_HYPO['tree']})")
 def yaml_taxonomy(spark, d):
-    return _checked(spark, d)["tree"]
+    """A YAML file of classes for each root."""
+    return _taxonomy(spark, d).where("error IS NULL").select("class", "parent")
 
 
-@query(f'SELECT id, "start"::VARCHAR AS what, NULL::DOUBLE AS shock FROM ({HIST_SQL}) UNION ALL SELECT id, category, shock FROM ({_HYPO["shocks"]})')
+@query("""WITH years AS (SELECT year(l_shipdate) AS y, min(l_shipdate)::DATE AS a FROM lineitem GROUP BY 1)
+ SELECT 'y' || y AS id, a::VARCHAR AS what, NULL::DOUBLE AS shock FROM years UNION ALL SELECT 'z' || y, n_name, round(-0.01 * n_nationkey, 6) FROM years JOIN nation ON n_regionkey = y % 5 WHERE y <> 1997""")
 def yaml_scenarios(spark, d):
-    """Windows by their first day, and shocks by category."""
-    t = _checked(spark, d)
-    return t["windows"].select("id", F.col("start").cast("string").alias("what"), F.lit(None).cast("double").alias("shock")).unionByName(t["shocks"].select("id", F.col("category").alias("what"), "shock"))
+    """A YAML file a year, with its window and a region's shocks; that of one year shocks a class that no taxonomy has."""
+    years = panel.table(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("y")).agg(F.min(F.to_date("l_shipdate")).alias("a"), F.max(F.to_date("l_shipdate")).alias("z"))
+    rows = years.join(panel.table(spark, d, "nation"), F.col("n_regionkey") == F.col("y") % 5).withColumn("rank", F.col("n_nationkey"))
+
+    def make(pdf: pd.DataFrame) -> dict:
+        y = int(pdf["y"].iloc[0])
+        shocks = {n: round(-0.01 * k, 6) for n, k in zip(pdf["n_name"], pdf["n_nationkey"].tolist(), strict=True)} | ({"MARS": -0.2} if y == 1997 else {})
+        return {"historical": [{"id": f"y{y}", "start": pdf["a"].iloc[0], "end": pdf["z"].iloc[0]}], "hypothetical": [{"id": f"z{y}", "categories": shocks}]}
+
+    read = config.read_scenarios(_yaml(rows, "y", make), _taxonomy(spark, d).select(F.col("class").alias("category")))
+    good = read.where("error IS NULL")
+    windows = good.where("start IS NOT NULL").select("id", F.col("start").cast("string").alias("what"), F.lit(None).cast("double").alias("shock"))
+    return windows.unionByName(rounded(good.where("category IS NOT NULL").select("id", F.col("category").alias("what"), "shock")))
 
 
 _DECIMALS = ", ".join(f"round({c}::DOUBLE, 6) AS {c}" for c in (*factors.FACTORS, "rf"))
@@ -150,31 +194,31 @@ _DECIMALS = ", ".join(f"round({c}::DOUBLE, 6) AS {c}" for c in (*factors.FACTORS
 
 @query(sql(f"SELECT dt, {_DECIMALS} FROM factors", "returns", "order_px", **{k: v for k, v in FACTOR_TABLES.items() if k != "joint"}))
 def factor_files(spark, d):
-    """Two factor files, a plain and a zipped one, with a preamble and a second block, in percent, written from the factor panel; read,
-    joined and cached."""
-    table = factor_panel(spark, d)
-
-    def block_text(names: dict[str, str]) -> DataFrame:
-        cells = [F.format_string("%.8f", F.col(c) * 100) for c in names.values()]
-        line = F.concat_ws(",", F.date_format("dt", "yyyyMMdd"), *cells)
-        return _text(table, "dt", line, ["This file was made by a query.", "", "," + ",".join(names)], ["", " Annual factors", "," + ",".join(names), "1999,1.0"])
-
-    def block(names: dict[str, str], tag: str) -> DataFrame:
-        text = block_text(names)
-        return files.factor_block(files.lines(spark, _written(spark, text, tag)), next(iter(names)))
-
-    def zipped(names: dict[str, str], tag: str) -> DataFrame:
-        """The same from an archive."""
-        text = block_text(names).first()["value"]  # a factor table has a row a date
-        data, folder = io.BytesIO(), scratch.new_path(spark, tag)
+    """Two factor files a year, a plain and a zipped one, with a preamble and a second block, in percent, made of the factor panel;
+    in every second year the columns stand the other way round. Read, joined and cached."""
+    table = factor_panel(spark, d).withColumn("year", F.year("dt")).withColumn("rank", F.col("dt"))
+
+    def block(names: dict[str, str], pack) -> DataFrame:
+        def make(pdf: pd.DataFrame) -> bytes:
+            order = list(names) if pdf["year"].iloc[0] % 2 else list(names)[::-1]
+            rows = [",".join([f"{r['dt']:%Y%m%d}", *[repr(float(r[names[n]]) * 100) for n in order]]) for r in pdf.to_dict("records")]
+            lines = ["This file was made by a query.", "", "," + ",".join(order), *rows, "", " Annual factors", "," + ",".join(order), "1999,1.0"]
+            return pack("\n".join(lines).encode())
+
+        return _files(table, "year", make, ".csv")
+
+    def zipped(text: bytes) -> bytes:
+        data = io.BytesIO()
         with zipfile.ZipFile(data, "w") as z:
             z.writestr("factors.csv", text)
-        scratch.write_bytes(spark, f"{folder}/factors.zip", data.getvalue())
-        return files.factor_block(files.unzipped_lines(spark, folder), next(iter(names)))
+        return data.getvalue()
+
+    def plain_lines(made: DataFrame) -> DataFrame:
+        return made.select("path", F.posexplode(F.split(F.col("content").cast("string"), r"\r?\n")).alias("n", "line"))
 
-    five = {k: v for k, v in files.FACTOR_NAMES.items()}
-    load = lambda: files.factors(block(five, "five"), zipped({"Mom": "mom"}, "momentum"))
-    return rounded(files.cached_factors(spark, load, scratch.new_path(spark, "factors")))
+    five = lambda: files.factor_block(plain_lines(block(files.FACTOR_NAMES, bytes)), "Mkt-RF", list(files.FACTOR_NAMES))
+    momentum = lambda: files.factor_block(files.unzipped_lines(block({"Mom": "mom"}, zipped)), "Mom", ["Mom"])
+    return rounded(files.cached_factors(spark, lambda: files.factors(five(), momentum()), scratch.new_path(spark, "factors")))
 
 
 @query(sql("SELECT p_brand AS ticker, regexp_full_match(p_brand, '[A-Za-z0-9.^-]+') AS valid FROM (SELECT p_brand FROM part UNION SELECT replace(p_brand, '#', '-') FROM part)"))

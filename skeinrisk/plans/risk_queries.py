@@ -130,17 +130,6 @@ def portfolio_trajectory(spark, d):
     return rounded(risk.trajectory(portfolio.book_returns(panel.returns(spark, d), panel.weights(spark))))
 
 
-@query(sql("SELECT a.portfolio, count_if(coalesce(a.w, 0) > 0)::BIGINT AS n_holdings, round(sum(a.w * a.w), 6) AS hhi, round(max(a.w), 6) AS max_weight, round(sum(abs(a.w - b.w)), 6) AS turnover, round(1 / sum(a.w * a.w), 6) AS effective_n FROM books a JOIN books b ON a.ticker = b.ticker AND b.portfolio = 'B' GROUP BY 1", "books"))
-def exposure_metrics(spark, d):
-    w = panel.weights(spark)
-    return rounded(portfolio.exposure(w, w.where("portfolio = 'B'")))
-
-
-@query("SELECT portfolio, ticker, round(w / sum(w) OVER (PARTITION BY portfolio), 4) AS w FROM (VALUES ('P', 'a', 0.6::DOUBLE), ('P', 'b', 0.397::DOUBLE), ('P', 'c', 0.003::DOUBLE)) v(portfolio, ticker, w) WHERE w >= 0.005")
-def clean_weights(spark, d):
-    return portfolio.clean_weights(panel.weights(spark, {"P": {"a": 0.6, "b": 0.397, "c": 0.003}}).drop("ord"))
-
-
 CORR_DATES = "SELECT *, count(*) OVER (PARTITION BY dt) AS k FROM oret"
 ORET = "SELECT * FROM (SELECT ticker, dt, ln(px / lag(px) OVER (PARTITION BY ticker ORDER BY dt)) AS r FROM (SELECT t.ticker, d.dt, last_value(p.px IGNORE NULLS) OVER (PARTITION BY t.ticker ORDER BY d.dt) AS px FROM (SELECT DISTINCT dt FROM order_px) d CROSS JOIN (SELECT DISTINCT ticker FROM order_px) t LEFT JOIN order_px p ON p.dt = d.dt AND p.ticker = t.ticker)) WHERE r IS NOT NULL"
 

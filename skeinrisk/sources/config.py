@@ -5,9 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import re
 import warnings
+from collections.abc import Iterator
 
+import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SHOCK_HARD, SHOCK_ODD, BLEND_SLACK = 1.0, 0.6, 0.02
 _TICKER = re.compile(r"[A-Za-z0-9.^-]+")
@@ -114,6 +117,55 @@ def scenarios(raw: dict, tax: dict) -> dict:
     return {"historical": hist, "hypothetical": hypo, "proxies": dict(proxies)}
 
 
+def _read(documents: DataFrame, rows, schema: str) -> DataFrame:
+    """documents(path, content) -> (path, ``schema``, error): what ``rows`` makes of each YAML file, where the file was read. A file that
+    doesn't hold gives one row with the error, and stops no other."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out: list[tuple] = []
+            for path, data in zip(part["path"], part["content"], strict=True):
+                try:
+                    out += [(path, *row, None) for row in rows(yaml.safe_load(bytes(data)))]
+                except (ConfigError, yaml.YAMLError, AttributeError, TypeError) as e:
+                    out.append((path, *[None] * len(names), str(e)))
+            yield pd.DataFrame(out, columns=["path", *names, "error"], dtype=object)
+
+    return documents.mapInPandas(run, f"path string, {schema}, error string")
+
+
+def read_portfolios(documents: DataFrame) -> DataFrame:
+    """(path, portfolio, benchmark, ticker, w, ord, error): the visible books of many files, each checked by its own benchmarks."""
+
+    def rows(raw: dict) -> list[tuple]:
+        return [(p["id"], p["benchmark"], t, x, k) for p in portfolios(raw)["portfolios"] for k, (t, x) in enumerate((p.get("weights") or {}).items())]
+
+    return _read(documents, rows, "portfolio string, benchmark string, ticker string, w double, ord int")
+
+
+def read_taxonomy(documents: DataFrame) -> DataFrame:
+    """(path, class, parent, error): the classes of many files, each whole in itself."""
+    return _read(documents, lambda raw: list(taxonomy(raw)["classes"].items()), "class string, parent string")
+
+
+def read_scenarios(documents: DataFrame, known: DataFrame) -> DataFrame:
+    """(path, id, start, end, category, ticker, shock, error): windows and shocks of many files. ``known`` (category): the classes and
+    sectors there are; a scenario that shocks another has the error in its rows."""
+
+    def rows(raw: dict) -> list[tuple]:
+        own = {c for s in (raw.get("hypothetical") or []) for c in (s.get("categories") or {})}
+        found = scenarios(raw, {"classes": own, "sectors": []})
+        windows = [(s["id"], s["start"], s["end"], None, None, None) for s in found["historical"]]
+        shocks = [(s["id"], None, None, c, None, x) for s in found["hypothetical"] for c, x in s["categories"].items()]
+        return windows + shocks + [(s["id"], None, None, None, t, x) for s in found["hypothetical"] for t, x in s["shocks"].items()]
+
+    read = _read(documents, rows, "id string, start date, end date, category string, ticker string, shock double")
+    odd = read.where("category IS NOT NULL").join(known.select("category"), "category", "left_anti")
+    odd = odd.groupBy("path", "id").agg(F.concat(F.lit("unknown categories "), F.array_join(F.sort_array(F.collect_set("category")), ", ")).alias("_odd"))
+    return read.join(odd, ["path", "id"], "left").withColumn("error", F.coalesce("error", "_odd")).select(*read.columns)
+
+
 def load(spark: SparkSession, path: str) -> dict:
     """An assumption file, on any store that Spark reads."""
     return yaml.safe_load(spark.read.text(path, wholetext=True).first()["value"])

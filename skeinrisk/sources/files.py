@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.holdings import number
-from .sinks import there
+from ..operators.holdings import merge_lots, number
+from .sinks import publish, published, there
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -27,8 +27,8 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
 
 
-def unzipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, n, line) of the first file in each zip archive."""
+def unzipped_lines(archives: DataFrame) -> DataFrame:
+    """archives(path, content) -> (path, n, line) of the first file in each zip archive."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -39,29 +39,28 @@ def unzipped_lines(spark: SparkSession, path: str) -> DataFrame:
                 out += [(name, n, x) for n, x in enumerate(text.splitlines())]
             yield pd.DataFrame(out, columns=["path", "n", "line"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, n int, line string")
+    return archives.mapInPandas(run, "path string, n int, line string")
 
 
-def factor_block(text: DataFrame, hint: str) -> DataFrame:
-    """text(path, n, line) -> (dt, and a column for each name in the header): the daily block of a factor file.
+def factor_block(text: DataFrame, hint: str, names: list[str]) -> DataFrame:
+    """text(path, n, line) -> (dt, and a column for each of ``names``): the daily blocks of factor files.
 
-    The header is the first line that begins with a comma and holds ``hint``; rows that begin with an eight-digit date follow,
-    up to the first line that doesn't. A file without such a header raises.
+    A file's header is its first line that begins with a comma and holds ``hint``; rows that begin with an eight-digit date follow,
+    up to the first line that doesn't. Each file's own header says where its columns stand; names are matched without regard to
+    case, and one that a file lacks is null in its rows. Reading a file without such a header raises.
     """
     own = Window.partitionBy("path")
     marked = text.withColumn("line", F.trim("line"))
-    head = F.min(F.when(F.startswith("line", F.lit(",")) & F.contains("line", F.lit(hint)), F.col("n"))).over(own)
-    marked = marked.withColumn("head", head).where(F.col("n") >= F.col("head"))
-    dated = F.col("line").rlike(r"^\d{8}\s*(,|$)")
-    stop = F.min(F.when((F.col("n") > F.col("head")) & ~dated, F.col("n"))).over(own)
-    block = marked.withColumn("stop", stop).where(F.col("stop").isNull() | (F.col("n") < F.col("stop")))
-    header = block.where(F.col("n") == F.col("head")).select("line").first()
-    if header is None:
-        raise ValueError(f"no header holds {hint!r}")
-    names = [x.strip() for x in header["line"].split(",")][1:]
+    at = F.min(F.when(F.startswith("line", F.lit(",")) & F.contains("line", F.lit(hint)), F.col("n"))).over(own)
+    missing = F.raise_error(F.concat(F.lit(f"no header holds {hint!r}: "), F.col("path"))).cast("int")
+    marked = marked.withColumn("head", F.coalesce(at, missing)).where(F.col("n") >= F.col("head"))
+    header = F.max(F.when(F.col("n") == F.col("head"), F.transform(F.split(F.lower("line"), ","), lambda x: F.trim(x)))).over(own)
+    stop = F.min(F.when((F.col("n") > F.col("head")) & ~F.col("line").rlike(r"^\d{8}\s*(,|$)"), F.col("n"))).over(own)
+    rows = marked.withColumn("header", header).withColumn("stop", stop).where((F.col("n") > F.col("head")) & (F.col("stop").isNull() | (F.col("n") < F.col("stop"))))
     cells = F.split("line", ",")
-    rows = block.where(F.col("n") > F.col("head"))
-    return rows.select(F.to_date(F.trim(cells[0]), "yyyyMMdd").alias("dt"), *[F.trim(F.get(cells, F.lit(k + 1))).try_cast("double").alias(n) for k, n in enumerate(names)])
+    # places count from 1, and 0 is none
+    cell = lambda name: F.get(cells, F.nullif(F.array_position("header", F.lit(name.lower())), F.lit(0).cast("long")).cast("int") - 1)
+    return rows.select(F.to_date(F.trim(cells[0]), "yyyyMMdd").alias("dt"), *[F.trim(cell(x)).try_cast("double").alias(x) for x in names])
 
 
 FACTOR_NAMES = {"Mkt-RF": "mkt", "SMB": "smb", "HML": "hml", "RMW": "rmw", "CMA": "cma", "RF": "rf"}
@@ -75,13 +74,13 @@ def factors(five: DataFrame, momentum: DataFrame) -> DataFrame:
 
 
 def cached_factors(spark: SparkSession, load, cache: str) -> DataFrame:
-    """``load()``, written through to ``cache``; the cache where loading fails."""
+    """``load()``, published to ``cache``; what was published there before where loading fails, at any point."""
     try:
-        load().write.mode("overwrite").parquet(cache)
+        publish(load(), cache)
     except Exception as e:  # noqa: BLE001 - whatever failed, an earlier download will do
         if not there(spark, cache):
             raise e from None
-    return spark.read.parquet(cache)
+    return published(spark, cache)
 
 
 #: How holdings files name their columns. A header names a ticker and one of the weight words.
@@ -191,7 +190,8 @@ def xlsx_rows(data: bytes, sheet: str | None = None) -> list[list[str | None]]:
 
 
 #: Notes in brackets that a disclosure's names carry, and the last day of each quarter.
-NAME_NOTES = re.compile(r"\s*\((?:[a-z]|(?:CAD|EUR|GBP) denominated)\)\s*")
+NOTES = ("CAD denominated", "EUR denominated", "GBP denominated")
+NAME_NOTES = re.compile(rf"\s*\((?:[a-z]|{'|'.join(NOTES)})\)\s*")
 QUARTER_ENDS = {"1": (3, 31), "2": (6, 30), "3": (9, 30), "4": (12, 31)}
 
 
@@ -201,33 +201,67 @@ def quarter_end(name: str) -> dt.date | None:
     return dt.date(int(found[2]), *QUARTER_ENDS[found[1]]) if found else None
 
 
-def docx_table(data: bytes, tickers: dict[str, str] | None = None) -> pd.DataFrame:
-    """The holdings among a document's table rows, those that end in shares and value: (name, ticker, weight), weight in percent of
-    all value. ``tickers`` maps names to tickers, as such documents have none; rows of one ticker, or of one name, are merged."""
+def docx_lots(data: bytes) -> list[tuple[str, str | None, float]]:
+    """(name, ticker in the document or None, value) of the rows of a document's tables that end in shares and value."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         root = ElementTree.fromstring(z.read("word/document.xml"))
     amount = re.compile(r"\$?\s*[\d,]+(\.\d+)?")
-    values: dict[str, list] = {}
+    out = []
     for row in root.iter(_W + "tr"):
         cells = [("".join(t.text or "" for t in c.iter(_W + "t"))).strip() for c in row.iter(_W + "tc")]
         said = [c for c in cells[1:] if c and c != "$"]
         name = " ".join(NAME_NOTES.sub(" ", cells[0]).split()) if cells else ""
         if len(said) < 2 or not all(amount.fullmatch(c) for c in said[-2:]) or not name or "%" in name:
             continue
-        ticker = (tickers or {}).get(name) or next((c for c in said if re.fullmatch(r"[A-Z]{1,5}", c)), None)
-        held = values.setdefault(ticker or f"name {name}", [name, ticker, 0.0])
-        held[2] += float(re.sub(r"[^\d.]", "", said[-1]))
-    if not values:
+        out.append((name, next((c for c in said if re.fullmatch(r"[A-Z]{1,5}", c)), None), float(re.sub(r"[^\d.]", "", said[-1]))))
+    if not out:
         raise ValueError("no holdings rows")
-    total = sum(v for _, _, v in values.values())
-    return pd.DataFrame([(n, t, 100 * v / total) for n, t, v in values.values()], columns=["name", "ticker", "weight"])
+    return out
+
+
+FILES = "path string, content binary"
+
+
+def binary(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the files in a folder."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+LOTS_SCHEMA = "fund string, ord int, name string, ticker string, value double, as_of date, error string"
+
+
+def document_lots(documents: DataFrame) -> DataFrame:
+    """documents(path, content) -> (fund, ord, name, ticker, value, as_of, error): the lots that docx files list, in their order."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for path, data in zip(part["path"], part["content"], strict=True):
+                fund = path.rsplit("/", 1)[-1].rpartition(".")[0]
+                try:
+                    out += [(fund, k, *lot, quarter_end(fund), None) for k, lot in enumerate(docx_lots(data))]
+                except Exception as e:  # noqa: BLE001 - failures of one file are reported in its row
+                    out.append((fund, 0, None, None, None, None, str(e)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in LOTS_SCHEMA.split(", ")])
+
+    return documents.mapInPandas(run, LOTS_SCHEMA)
+
+
+def document_holdings(documents: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
+    """documents(path, content), tickers(name, ticker) -> (fund, name, ticker, weight, as_of): lots of one ticker, or of one name
+    where there is none, as one holding, in percent of the document's value. ``tickers`` go before those in the document."""
+    lots = document_lots(documents).where("error IS NULL")
+    if tickers is not None:
+        lots = lots.alias("l").join(tickers.alias("t"), "name", "left").select("fund", "ord", "name", F.coalesce("t.ticker", "l.ticker").alias("ticker"), "value", "as_of")
+    merged = merge_lots(lots).join(lots.groupBy("fund").agg(F.max("as_of").alias("as_of")), "fund")
+    return merged.select("fund", "name", F.when(F.col("key") != F.col("name"), F.col("key")).alias("ticker"), "weight", "as_of")
 
 
-def read_holdings(spark: SparkSession, path: str, sheet: str | None = None, tickers: dict[str, str] | None = None) -> DataFrame:
-    """(fund, name, ticker, weight, asset_type, country, as_of, error): rows of csv, xlsx and docx files, the file's name as fund.
+def read_holdings(tables: DataFrame, sheet: str | None = None) -> DataFrame:
+    """tables(path, content) -> (fund, name, ticker, weight, asset_type, country, as_of, error): rows of csv and xlsx files, the file's
+    name as fund and the date above the header as as_of.
 
-    as_of: the date above the header, or the end of the quarter in a docx file's name. A file that can't be read gives one row
-    with the error and nothing else, and stops no other. ``tickers``: of the names in docx files.
+    A file that can't be read gives one row with the error and nothing else, and stops no other.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,30 +269,27 @@ def read_holdings(spark: SparkSession, path: str, sheet: str | None = None, tick
             for name, data in zip(part["path"], part["content"], strict=True):
                 fund, _, kind = name.rsplit("/", 1)[-1].rpartition(".")
                 try:
-                    if kind == "docx":
-                        table, as_of = docx_table(data, tickers), quarter_end(fund)
-                    else:
-                        cells = xlsx_rows(data, sheet) if kind == "xlsx" else list(csv.reader(io.StringIO(data.decode("utf-8-sig", "replace"))))
-                        table, as_of = _table(cells)
+                    cells = xlsx_rows(data, sheet) if kind == "xlsx" else list(csv.reader(io.StringIO(data.decode("utf-8-sig", "replace"))))
+                    table, as_of = _table(cells)
                     rows = holdings_rows(table, fund, as_of).assign(error=None)
                 except Exception as e:  # noqa: BLE001 - failures of one file are reported in its row
                     rows = pd.DataFrame([(fund, *[None] * 6, str(e))], columns=["fund", "name", "ticker", "weight", "asset_type", "country", "as_of", "error"])
                 yield rows
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ROWS_SCHEMA + ", error string")
+    return tables.mapInPandas(run, ROWS_SCHEMA + ", error string")
 
 
-def disclosures(spark: SparkSession, path: str) -> DataFrame:
-    """JSON disclosures {funds: {ticker: {as_of, holdings: [...]}}} -> one row a holding."""
+def disclosures(documents: DataFrame) -> DataFrame:
+    """documents(value), JSON as {funds: {ticker: {as_of, holdings: [...]}}} -> one row a holding."""
     holding = "struct<security: string, ticker: string, weight: double, symbol: string, country: string, rank: int>"
-    funds = spark.read.text(path, wholetext=True).select(F.from_json("value", f"funds map<string, struct<as_of: string, holdings: array<{holding}>>>").alias("d"))
+    funds = documents.select(F.from_json("value", f"funds map<string, struct<as_of: string, holdings: array<{holding}>>>").alias("d"))
     return funds.select(F.explode("d.funds").alias("fund", "f")).select("fund", F.to_date("f.as_of").alias("as_of"), F.inline("f.holdings"))
 
 
 def latest_file(spark: SparkSession, folder: str, pattern: str) -> str | None:
     """The last path by name that matches."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(F.max("path").alias("p")).first()
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select(F.max("path").alias("p")).first()
     return found["p"] if found else None
 
 
-__all__ = ["cached_factors", "disclosures", "docx_table", "factor_block", "factors", "header_row", "holdings_rows", "latest_file", "lines", "number", "read_holdings", "unzipped_lines", "xlsx_rows"]
+__all__ = ["binary", "cached_factors", "disclosures", "document_holdings", "document_lots", "docx_lots", "factor_block", "factors", "header_row", "holdings_rows", "latest_file", "lines", "number", "read_holdings", "unzipped_lines", "xlsx_rows"]

@@ -6,6 +6,8 @@ import json
 import zipfile
 
 import pytest
+import yaml
+from pyspark.sql import functions as F
 
 from skeinrisk.operators import holdings
 from skeinrisk.sources import config, files, sinks
@@ -31,27 +33,76 @@ def folder(tmp_path):
     return f"file://{tmp_path}"
 
 
+FIVE = ["Mkt-RF", "SMB", "HML", "RMW", "CMA", "RF"]
+
+
 def test_factor_files(spark, folder):
-    five = files.factor_block(files.lines(spark, f"{folder}/five.csv"), "Mkt-RF")
-    mom = files.factor_block(files.unzipped_lines(spark, f"{folder}/mom.zip"), "Mom")
-    assert five.count() == 2 and five.columns == ["dt", "Mkt-RF", "SMB", "HML", "RMW", "CMA", "RF"]
+    five = files.factor_block(files.lines(spark, f"{folder}/five.csv"), "Mkt-RF", FIVE)
+    mom = files.factor_block(files.unzipped_lines(files.binary(spark, f"{folder}/mom.zip")), "Mom", ["MOM"])
+    assert five.count() == 2 and five.columns == ["dt", *FIVE]
     rows = files.factors(five, mom).collect()
     assert len(rows) == 1 and rows[0]["dt"] == dt.date(2024, 1, 3) and rows[0]["mkt"] == pytest.approx(-0.01) and rows[0]["mom"] == pytest.approx(0.007)
-    with pytest.raises(ValueError, match="no header"):
-        files.factor_block(files.lines(spark, f"{folder}/five.csv"), "nothing")
+    with pytest.raises(Exception, match="no header holds"):
+        files.factor_block(files.lines(spark, f"{folder}/five.csv"), "nothing", FIVE).collect()
+
+
+def test_each_factor_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(",SMB,Mkt-RF\n20240102,1,2\n")
+    (tmp_path / "b.csv").write_text("preamble\n\n,mkt-rf, Mkt-RF2,SMB\n20240103,2,9,1\n20240104,3\n\n")
+    (tmp_path / "c.csv").write_text(",Mkt-RF\n20240105,4\n")
+    rows = files.factor_block(files.lines(spark, f"file://{tmp_path}"), "kt-", ["Mkt-RF", "SMB"]).orderBy("dt").collect()
+    assert [tuple(r)[1:] for r in rows] == [(2.0, 1.0), (2.0, 1.0), (3.0, None), (4.0, None)]
 
 
 def test_factor_cache_stands_in(spark, folder, tmp_path):
     def load():
-        return files.factor_block(files.lines(spark, f"{folder}/five.csv"), "Mkt-RF").withColumnRenamed("Mkt-RF", "mkt")
+        return files.factor_block(files.lines(spark, f"{folder}/five.csv"), "Mkt-RF", FIVE).withColumnRenamed("Mkt-RF", "mkt")
 
     def broken():
         raise OSError("no network")
 
+    def broken_in_a_task():
+        return load().withColumn("mkt", F.when(F.col("mkt") < 0, F.raise_error(F.lit("cut off"))).otherwise(F.col("mkt")))
+
     cache = f"file://{tmp_path}/cache"
-    with pytest.raises(OSError, match="no network"):
-        files.cached_factors(spark, broken, cache)
-    assert files.cached_factors(spark, load, cache).count() == files.cached_factors(spark, broken, cache).count() == 2
+    for bad in (broken, broken_in_a_task):
+        with pytest.raises(Exception, match="no network|cut off"):
+            files.cached_factors(spark, bad, cache)
+    assert files.cached_factors(spark, load, cache).count() == 2
+    for bad in (broken, broken_in_a_task):
+        assert files.cached_factors(spark, bad, cache).count() == 2
+
+
+def test_published_versions(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    for k in range(4):
+        before = sinks.published(spark, path) if k else None
+        sinks.publish(spark.range(k + 1), path)
+        assert sinks.published(spark, path).count() == k + 1
+        assert before is None or before.count() == k  # who still reads the version before, can
+    assert len(sinks.versions(spark, path)) == 2
+
+
+def test_dated_store_adds_new_dates_only(spark, tmp_path):
+    schema = "portfolio string, model string, dt date, x double"
+    store, seen = sinks.DatedStore(spark, f"file://{tmp_path}/store", schema), []
+    days = [dt.date(2024, 1, k) for k in range(1, 6)]
+
+    def rows(upto):
+        def compute(last):
+            seen.append({r["portfolio"]: r["last"] for r in last.collect()})
+            return spark.createDataFrame([(p, "m", d, float(d.day)) for p in "ab" for d in days[:upto]], schema)
+        return compute
+
+    def failing(last):
+        return rows(5)(last).withColumn("x", F.when(F.col("x") > 4, F.raise_error(F.lit("lost"))).otherwise(F.col("x")))
+
+    assert store.update(rows(3)).count() == 6
+    with pytest.raises(Exception, match="lost"):
+        store.update(failing)
+    assert store.read().count() == 6
+    assert sorted(map(tuple, store.update(rows(4)).collect())) == sorted((p, "m", d, float(d.day)) for p in "ab" for d in days[:4])
+    assert seen[0] == {} and seen[-1] == {"a": days[2], "b": days[2]}
 
 
 def docx(rows):
@@ -81,17 +132,20 @@ def test_holdings_files(spark, tmp_path):
     (tmp_path / "TWO.xlsx").write_bytes(xlsx({"notes": [["nothing"]], "My Holdings": [["title"], ["Security Name", "Ticker", "Asset Type", "Percent of Net Assets"], ["Samsung", "005930 KS", "Equity", 0.05], ["Dollar", None, "Currency", 0.01]]}))
     (tmp_path / "THREE.docx").write_bytes(docx([["Name", "", "Shares", "Value"], ["Alpha Corp", "ALP", "1,000", "$ 300"], ["Alpha Corp", "ALP", "10", "100"], ["Beta", "5", "600"]]))
     (tmp_path / "BAD.csv").write_text("nothing here\n")
-    rows = files.read_holdings(spark, f"file://{tmp_path}").collect()
-    by = {f: [r for r in rows if r["fund"] == f] for f in ("ONE", "TWO", "THREE", "BAD")}
+    tables = files.binary(spark, f"file://{tmp_path}/*.[cx][sl]*")
+    rows = files.read_holdings(tables).collect()
+    by = {f: [r for r in rows if r["fund"] == f] for f in ("ONE", "TWO", "BAD")}
     assert [(r["name"], r["ticker"], r["weight"]) for r in by["ONE"]] == [("Micron, Inc", "MU", "6.5"), ("Cash", None, "1.0")]
     assert {r["ticker"] for r in by["TWO"]} == {"005930 KS", None} and by["TWO"][0]["asset_type"] == "Equity"
-    assert {r["name"]: float(r["weight"]) for r in by["THREE"]} == {"Alpha Corp": 40.0, "Beta": 60.0}
-    assert by["ONE"][0]["as_of"] == dt.date(2026, 5, 5) and by["THREE"][0]["as_of"] is None
+    three = files.document_holdings(files.binary(spark, f"file://{tmp_path}/*.docx")).collect()
+    assert {r["name"]: (r["ticker"], r["weight"], r["as_of"]) for r in three} == {"Alpha Corp": ("ALP", 40.0, None), "Beta": (None, 60.0, None)}
+    bad = files.document_lots(files.binary(spark, f"file://{tmp_path}/BAD.csv")).first()
+    assert bad["error"] and bad["name"] is None and by["ONE"][0]["as_of"] == dt.date(2026, 5, 5)
     assert by["BAD"][0]["error"] and by["BAD"][0]["name"] is None
     head = files.header_row(files.lines(spark, f"file://{tmp_path}/ONE.csv")).first()
     assert head["head"] == 2 and head["as_of"] == dt.date(2026, 5, 5)
     assert files.latest_file(spark, f"file://{tmp_path}", "*.csv").endswith("ONE.csv")
-    good = files.read_holdings(spark, f"file://{tmp_path}").where("error IS NULL").drop("error")
+    good = files.read_holdings(tables).where("error IS NULL").drop("error")
     top = {(r["fund"], r["rank"]): r for r in holdings.normalise(good).collect()}
     assert top["TWO", 1]["weight"] == 5.0 and top["TWO", 1]["symbol"] == "005930.KS" and ("TWO", 2) not in top
 
@@ -100,8 +154,9 @@ def test_documents_without_tickers(spark, tmp_path):
     """Names map to tickers, notes in brackets go, lots of one ticker are merged, and the quarter in the file's name is the date."""
     rows = [["Stocks 90%", "", ""], ["Alpha Corp (a)", "1,000", "$300"], ["Alpha ADR (EUR denominated)", "10", "100"], ["Beta", "5", "$", "600"], ["Note", "text", "5"]]
     (tmp_path / "FUND-Q2-2026.docx").write_bytes(docx(rows))
-    got = files.read_holdings(spark, f"file://{tmp_path}", tickers={"Alpha Corp": "ALP", "Alpha ADR": "ALP"}).collect()
-    assert [(r["name"], r["ticker"], float(r["weight"]), r["as_of"]) for r in got] == [("Alpha Corp", "ALP", 40.0, dt.date(2026, 6, 30)), ("Beta", None, 60.0, dt.date(2026, 6, 30))]
+    tickers = spark.createDataFrame([("Alpha Corp", "ALP"), ("Alpha ADR", "ALP")], "name string, ticker string")
+    got = files.document_holdings(files.binary(spark, f"file://{tmp_path}"), tickers).orderBy("name").collect()
+    assert [(r["name"], r["ticker"], r["weight"], r["as_of"]) for r in got] == [("Alpha Corp", "ALP", 40.0, dt.date(2026, 6, 30)), ("Beta", None, 60.0, dt.date(2026, 6, 30))]
 
 
 @pytest.mark.parametrize(("text", "day"), [("As of 05/31/2026", dt.date(2026, 5, 31)), ("31/12/2025", dt.date(2025, 12, 31)), ("on 2-3-26 it", dt.date(2026, 2, 3)), ("45/45/2026", None), ("none", None)])
@@ -112,7 +167,7 @@ def test_written_dates(text, day):
 def test_json_round_trip(spark, tmp_path):
     doc = {"funds": {"F": {"as_of": "2026-05-05", "holdings": [{"security": "A", "ticker": "A", "weight": 3.0, "rank": 1}, {"security": "B", "ticker": "B", "weight": 1.0, "symbol": "B", "rank": 2}]}}}
     (tmp_path / "d.json").write_text(json.dumps(doc))
-    rows = files.disclosures(spark, f"file://{tmp_path}/d.json")
+    rows = files.disclosures(spark.read.text(f"file://{tmp_path}/d.json", wholetext=True))
     assert [(r["fund"], r["security"], r["symbol"]) for r in rows.orderBy("rank").collect()] == [("F", "A", None), ("F", "B", "B")]
     sinks.write_holdings(rows, f"file://{tmp_path}/out")
     assert spark.read.json(f"file://{tmp_path}/out").first()["holdings"][1]["symbol"] == "B"
@@ -147,6 +202,21 @@ def test_configuration_becomes_tables(spark):
     assert t["weights"].count() == 2 and t["shocks"].count() == 2 and t["securities"].count() == 2 and t["windows"].first()["start"] == dt.date(2000, 1, 1)
 
 
+def test_many_files_are_read_where_they_are(spark):
+    doc = lambda name, raw: (name, bytearray(yaml.safe_dump(raw).encode()))
+    books = spark.createDataFrame([doc("a", BOOKS), doc("b", {"portfolios": [{"id": "x"}]}), ("c", bytearray(b"{: bad"))], files.FILES)
+    read = config.read_portfolios(books).collect()
+    assert sorted((r["portfolio"], r["ticker"], r["w"], r["ord"]) for r in read if r["error"] is None) == [("p", "A", 0.6, 0), ("p", "B", 0.4, 1)]
+    assert sorted(r["path"] for r in read if r["error"]) == ["b", "c"]
+    tree = config.read_taxonomy(spark.createDataFrame([doc("t", TAX)], files.FILES))
+    assert {(r["class"], r["parent"]) for r in tree.collect()} == {("eq", "eq"), ("us", "eq")}
+    known = spark.createDataFrame([("us",), ("tech",)], "category string")
+    odd = {"hypothetical": [{"id": "odd", "categories": {"us": -0.1, "mars": -0.2}}, {"id": "fine", "categories": {"us": 0.1}}]}
+    read = config.read_scenarios(spark.createDataFrame([doc("s", STRESS), doc("o", odd)], files.FILES), known).collect()
+    assert {r["id"] for r in read if r["error"] is None} == {"h", "y", "fine"}
+    assert {r["error"] for r in read if r["id"] == "odd"} == {"unknown categories mars"}
+
+
 @pytest.mark.parametrize(
     ("check", "raw"),
     [
