@@ -1,7 +1,8 @@
 """Exact top-k search by columnar branch-and-bound.
 
-Candidates lie in blocks, dimension by dimension, committed once and read where they lie; bounded groups of queries are sent to
-all tasks. For a block of queries and one of candidates, scores are summed one block of dimensions after the other; after each,
+Candidates lie in blocks, dimension by dimension, dealt and written once and scanned where they lie; bounded groups of queries are
+sent to all tasks. One in ``WAVE`` blocks goes first and tells each query a score that its k-th best reaches at least; the tasks
+that scan all others start from it and send on only what reaches it, so what they write doesn't grow with their number. For a block of queries and one of candidates, scores are summed one block of dimensions after the other; after each,
 what the dimensions left can still add is bounded by the product of the two vectors' remaining norms, and candidates (and
 queries) of which no pair's sum and bound reach the query's k-th score so far are compacted away. The k-th scores rise from
 block to block, so later blocks lose most candidates early.
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import Written, new_path
 
-#: Vectors in a block, dimensions summed between two cuts, bytes of queries that are sent at once, blocks that a task reads at most.
-BLOCK, STEP, SENT_BYTES, TASK_BLOCKS = 1024, 16, 32 << 20, 256
+#: Vectors in a block, dimensions summed between two cuts, bytes of queries that are sent at once.
+BLOCK, STEP, SENT_BYTES = 1024, 16, 32 << 20
+#: One in so many blocks is scanned first.
+WAVE = 32
 QUANTUM = 64
 _LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
@@ -96,6 +99,11 @@ class Best:
         self.score = np.full((len(numbers), k), _LEAST)
         self.vec = np.full((len(numbers), k), _MOST)
         self.full = np.zeros(len(numbers), np.int64)  # how many of the k are there
+        self.floor = np.full(len(numbers), _LEAST)  # what the k-th best is known to reach
+
+    def least(self) -> np.ndarray:
+        """The score that a candidate must reach."""
+        return np.maximum(np.where(self.full == self.k, self.score[:, -1], _LEAST), self.floor)
 
     def meet(self, c: Block) -> None:
         dims = min(len(self.q.m), len(c.m))
@@ -106,7 +114,7 @@ class Best:
         else:
             rows, cols, s = self.bounded(c, dims)
         own = self.q.ids[rows][:, None] == c.ids[cols][None, :]
-        least = np.where(self.full[rows] == self.k, self.score[rows, -1], _LEAST)
+        least = self.least()[rows]
         if s.shape[1] > self.k:  # no more than the block's own k best, and what ties with the last
             least = np.maximum(least, np.partition(np.where(own, _LEAST, s), s.shape[1] - self.k, 1)[:, -self.k])
         at, to = np.nonzero((s >= least[:, None]) & ~own)
@@ -115,7 +123,8 @@ class Best:
     def bounded(self, c: Block, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(queries, candidates, scores of all their pairs) after compaction."""
         rows, cols = np.arange(len(self.q.ids)), np.arange(len(c.ids))
-        least = np.where(self.full == self.k, self.score[:, -1], -np.inf)
+        least = self.least()
+        least = np.where(least == _LEAST, -np.inf, least)
         s = np.zeros((len(rows), len(cols)))
         for begin in range(0, dims, STEP):
             end = min(begin + STEP, dims)
@@ -153,25 +162,27 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str =
     that id. Vectors of other lengths count as if filled up with zeros. Sums are exact at any size; a score beyond a long is
     given, and ranked, as the nearest long. Empty tables give an empty result; other columns are ignored.
 
-    Queries pass through the driver in groups of SENT_BYTES; each group goes to all tasks, which scan the committed candidate
-    blocks and send out k rows a query.
+    Queries pass through the driver in groups of SENT_BYTES; each group goes to all tasks, which scan the candidate blocks where they
+    lie. No group shuffles candidates, and the driver gets one number a query of the group.
     """
     spark = queries.sparkSession
-    c = Written(packed(candidates, id_col, vector_col, quantum), "candidates").df
+    blocks = packed(candidates, id_col, vector_col, quantum).withColumn("first", (F.pmod(F.xxhash64("ids"), F.lit(WAVE)) == 0).cast("int"))
+    c = Written(blocks.repartition(2 * spark.sparkContext.defaultParallelism, "ids"), "candidates").df
     q = Written(packed(queries.select(id_col, vector_col).dropDuplicates(), id_col, vector_col, quantum), "queries").df
-    n = c.count()
-    tasks = max(1, min(n, max(2 * spark.sparkContext.defaultParallelism, -(-n // TASK_BLOCKS))))
     path, schema = new_path(spark, "found"), "number long, query_id long, vec_id long, score long"
     spark.createDataFrame([], schema).write.parquet(path)
+    n_first = c.where("first = 1").count()
 
-    def search(group: list[tuple[int, bytes, int, bool, bytes]]) -> None:
-        sent = spark.sparkContext.broadcast(group)  # SENT_BYTES and a block at most
+    def scan(group: list[tuple[int, bytes, int, bool, bytes]], part: DataFrame, floors: list[np.ndarray] | None) -> None:
+        sent = spark.sparkContext.broadcast((group, floors))  # SENT_BYTES, a block and a score a query at most
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = []
-            for first, *row in sent.value:
+            for k_, (first, *row) in enumerate(sent.value[0]):
                 own = Block(*row, quantum)
                 best.append(Best(first + np.arange(len(own.ids)), own, k))
+                if sent.value[1] is not None:
+                    best[-1].floor = sent.value[1][k_]
             for b in batches:
                 for row in zip(*b.columns, strict=True):
                     block = Block(*(x.as_py() for x in row), quantum)
@@ -180,9 +191,24 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str =
             for own in best:
                 yield own.rows()
 
-        c.repartition(tasks).mapInArrow(run, schema).write.mode("append").parquet(path)
+        part.select("ids", "dims", "narrow", "data").mapInArrow(run, schema).write.mode("append").parquet(path)
         sent.destroy()
 
+    def floors_of(group: list[tuple[int, bytes, int, bool, bytes]]) -> list[np.ndarray]:
+        """The k-th best score so far of each of the group's queries, where there are k."""
+        first, last = group[0][0], group[-1][0] + len(group[-1][1]) // 8
+        known = np.full(last - first, _LEAST)
+        own = spark.read.schema(schema).parquet(path).where(F.col("number").between(first, last - 1))
+        place = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score")))
+        for r in own.withColumn("place", place).where(F.col("place") == k).select("number", "score").toLocalIterator():
+            known[r["number"] - first] = r["score"]
+        return [known[g[0] - first : g[0] - first + len(g[1]) // 8] for g in group]
+
+    def search(group: list[tuple[int, bytes, int, bool, bytes]]) -> None:
+        if n_first:
+            scan(group, c.where("first = 1"), None)
+        scan(group, c.where("first = 0"), floors_of(group) if n_first else None)
+
     group, first = [], 0
     for row in q.toLocalIterator():
         group.append((first, bytes(row.ids), row.dims, row.narrow, bytes(row.data)))

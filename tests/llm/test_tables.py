@@ -388,6 +388,18 @@ def test_top_k_over_many_blocks_and_groups_of_queries(spark, monkeypatch, sent):
     assert got == plain_top(rows)
 
 
+@pytest.mark.parametrize("wave", [1, 3, 1 << 40])
+def test_top_k_from_the_scores_of_a_first_wave(spark, monkeypatch, wave):
+    """All, some or none of the blocks go first; ties with the score that they tell are kept."""
+    monkeypatch.setattr(topk, "WAVE", wave)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rng = np.random.default_rng(1)
+    rows = [(k, [float(x) for x in rng.integers(-2, 3, 6)]) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k_digest(df).collect())
+    assert got == plain_top(rows)
+
+
 def test_top_k_of_one_id_with_two_vectors_in_two_partitions(spark):
     rows = [(20, [1.0, 0.0]), (1, [2.0, 5.0]), (20, [0.0, 1.0]), (2, [3.0, 1.0]), (3, [4.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1)).repartition(5)
