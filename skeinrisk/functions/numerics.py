@@ -270,19 +270,6 @@ def gram_schmidt(x: np.ndarray) -> np.ndarray:
     return q
 
 
-def ledoit_wolf(x: np.ndarray) -> np.ndarray:
-    """Covariance shrunk towards a multiple of the identity by the optimal amount (Ledoit and Wolf, 2004)."""
-    n, k = x.shape
-    c = x - x.mean(0)
-    s = c.T @ c / n
-    mu = np.trace(s) / k
-    d2 = float(((s - mu * np.eye(k)) ** 2).sum()) / k
-    square = c * c
-    b2 = min(float((square.T @ square / n - s * s).sum()) / n / k, d2)
-    shrink = b2 / d2 if d2 > 0 else 0.0
-    return (1 - shrink) * s + shrink * mu * np.eye(k)
-
-
 def to_box(w: np.ndarray, low: float, high: float) -> np.ndarray:
     """The nearest point with entries in [low, high] that sum to 1, by bisection on the shift."""
     a, b = w.min() - high - 1, w.max() - low + 1

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import Z99, ratio
+from . import gram
 from .risk import LAMBDA, WINDOW
 
 
@@ -39,23 +40,20 @@ def synthetic_nav(book: DataFrame) -> DataFrame:
 def component_var(returns: DataFrame, weights: DataFrame, window: int = WINDOW, lam: float = LAMBDA) -> DataFrame:
     """(portfolio, ticker, component_var): w_i (S w)_i / s_p z, with S the EWMA covariance of the last ``window`` rows.
 
-    S is the weighted sum of products over pairs of tickers, seeded on the sample covariance; pairs grow with the square of a
-    book's holdings, not with the history.
+    S is the weighted sum of products over pairs of tickers, seeded on the sample covariance; both are sums over blocks of dates.
     """
     kept = survivors(returns, weights, 1)
     need = kept.groupBy("portfolio").agg(F.count("*").alias("need")).where("need >= 2")
-    rows = returns.join(kept, "ticker").join(need, "portfolio")
-    rows = rows.withColumn("have", F.count("*").over(Window.partitionBy("portfolio", "dt"))).where("have = need")
-    newest = Window.partitionBy("portfolio", "ticker").orderBy(F.desc("dt"))
-    rows = rows.withColumn("back", F.row_number().over(newest) - 1).where(F.col("back") < window)
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("portfolio", "ticker"))).where("n >= 30")
-    a = rows.select("portfolio", "dt", "back", "n", F.col("ticker").alias("a"), F.col("r").alias("ra"), F.col("w_norm").alias("wa"))
-    b = rows.select("portfolio", "dt", F.col("ticker").alias("b"), F.col("r").alias("rb"), F.col("w_norm").alias("wb"))
-    cov = (1 - lam) * F.sum(F.pow(F.lit(lam), F.col("back")) * F.col("ra") * F.col("rb")) + F.pow(F.lit(lam), F.max("n")) * F.covar_samp("ra", "rb")
-    pairs = a.join(b, ["portfolio", "dt"]).groupBy("portfolio", "a", "b").agg(cov.alias("s"), F.max("wa").alias("wa"), F.max("wb").alias("wb"))
-    own = pairs.groupBy("portfolio", "a").agg(F.max("wa").alias("w"), F.sum(F.col("s") * F.col("wb")).alias("sw"))
+    rows = gram.last_complete(returns.join(kept, "ticker").join(need, "portfolio"), window, 30)
+    mean = F.avg("r").over(Window.partitionBy("portfolio", "ticker"))
+    rows = rows.withColumn("plain", F.col("r") - mean).withColumn("weighted", F.col("r") * F.pow(F.lit(lam), F.col("back") / 2))
+    own = rows.groupBy("portfolio", F.col("ticker").alias("a")).agg(F.max("w_norm").alias("w"), F.max("n").alias("n"))
+    other = own.select("portfolio", F.col("a").alias("b"), F.col("w").alias("wb"))
+    cells = gram.gram(rows, ["plain", "weighted"]).join(own, ["portfolio", "a"]).join(other, ["portfolio", "b"])
+    s = (1 - lam) * F.col("weighted") + F.pow(F.lit(lam), F.col("n")) * F.col("plain") / (F.col("n") - 1)
+    sums = cells.groupBy("portfolio", "a").agg(F.max("w").alias("w"), F.sum(s * F.col("wb")).alias("sw"))
     total = F.sum(F.col("w") * F.col("sw")).over(Window.partitionBy("portfolio"))
-    return own.withColumn("v", total).where("v > 0").select("portfolio", F.col("a").alias("ticker"), (F.col("w") * F.col("sw") / F.sqrt("v") * Z99 * 100).alias("component_var"))
+    return sums.withColumn("v", total).where("v > 0").select("portfolio", F.col("a").alias("ticker"), (F.col("w") * F.col("sw") / F.sqrt("v") * Z99 * 100).alias("component_var"))
 
 
 def exposure(weights: DataFrame, base: DataFrame) -> DataFrame:

@@ -436,11 +436,11 @@ def weight_deltas(spark, d):
 
 
 @query("""SELECT ticker, c.class, metric, band FROM (SELECT p_brand AS ticker, p_type AS class FROM part GROUP BY 1, 2) c LEFT JOIN (SELECT p_type AS class, unnest(['price', 'size']) AS metric,
- unnest([min(p_retailprice)::INT || ' to ' || max(p_retailprice)::INT, min(p_size) || ' to ' || max(p_size)]) AS band FROM part WHERE p_type <> 'SMALL' GROUP BY 1) b ON b.class = c.class""")
+ unnest([floor(min(p_retailprice))::INT || ' to ' || floor(max(p_retailprice))::INT, min(p_size) || ' to ' || max(p_size)]) AS band FROM part WHERE p_type <> 'SMALL' GROUP BY 1) b ON b.class = c.class""")
 def reference_bands(spark, d):
     """The usual prices and sizes of each type, one of which has none, told of the brands that hold it."""
     part = panel.table(spark, d, "part")
-    band = lambda c: F.concat_ws(" to ", F.round(F.min(c)).cast("int"), F.round(F.max(c)).cast("int"))
+    band = lambda c: F.concat_ws(" to ", F.floor(F.min(c)).cast("int"), F.floor(F.max(c)).cast("int"))
     bands = part.where("p_type <> 'SMALL'").groupBy(F.col("p_type").alias("class")).agg(F.create_map(F.lit("price"), band("p_retailprice"), F.lit("size"), band("p_size")).alias("bands"))
     return views.reference_bands(part.select(F.col("p_brand").alias("ticker"), F.col("p_type").alias("class")).distinct(), bands)
 

@@ -172,15 +172,38 @@ def _theme() -> str:
 
 THEMATIC = _theme()
 
-SHRUNK = sql(
-    "SELECT a, b, round(252 * ((1 - shrink) * s + CASE WHEN a = b THEN shrink * mu ELSE 0 END), 8) AS cov, round(shrink, 6) AS shrinkage FROM cov CROSS JOIN amount",
-    "returns",
+_SHRUNK = dict(
     complete="SELECT *, dense_rank() OVER (ORDER BY dt DESC) AS back FROM (SELECT *, count(*) OVER (PARTITION BY dt) AS have FROM returns) WHERE have = (SELECT count(DISTINCT ticker) FROM returns)",
     centred="SELECT ticker, dt, r - avg(r) OVER (PARTITION BY ticker) AS c FROM complete WHERE back <= 1000",
     cov="SELECT x.ticker AS a, y.ticker AS b, avg(x.c * y.c) AS s, avg(x.c * x.c * y.c * y.c) - avg(x.c * y.c) ** 2 AS spread, count(*) AS n FROM centred x JOIN centred y USING (dt) GROUP BY 1, 2",
     level="SELECT sum(CASE WHEN a = b THEN s END) / sqrt(count(*)) AS mu, sqrt(count(*)) AS k, sum(spread) / max(n) / sqrt(count(*)) AS b2 FROM cov",
     amount="SELECT any_value(mu) AS mu, least(any_value(b2) / (sum((s - CASE WHEN a = b THEN mu ELSE 0 END) ** 2) / any_value(k)), 1) AS shrink FROM cov CROSS JOIN level",
+    cells="SELECT a, b, 252 * ((1 - shrink) * s + CASE WHEN a = b THEN shrink * mu ELSE 0 END) AS cov, shrink FROM cov CROSS JOIN amount",
 )
+SHRUNK = sql("SELECT a, b, round(cov, 8) AS cov, round(shrink, 6) AS shrinkage FROM cells", "returns", **_SHRUNK)
+
+#: The covariance as a list of rows, and the means.
+_MATRIX = dict(
+    _SHRUNK,
+    mat="SELECT list(row ORDER BY a) AS s, list(a ORDER BY a) AS names, count(*) AS n FROM (SELECT a, list(cov ORDER BY b) AS row FROM cells GROUP BY a)",
+    means="SELECT list(m ORDER BY ticker) AS mu FROM (SELECT ticker, avg(r) * 252 AS m FROM complete WHERE back <= 1000 GROUP BY 1)",
+)
+#: Rates at which return is bought with variance.
+RATES = (0.0, 0.02, 0.1, 0.3, 1.0, 4.0)
+#: Least w'Sw / 2 - t mu'w by moving weight between the two entries that gain most by it, until none do.
+LINE = sql(
+    "SELECT portfolio, t, unnest(names) AS ticker, round(unnest(w), 6) AS w, TRUE AS optimal FROM (SELECT t, w FROM walk WHERE it = 1500) CROSS JOIN mat CROSS JOIN (SELECT DISTINCT portfolio FROM books)", "returns", "books", **_MATRIX,
+    walk=f"""SELECT t, 0 AS it, list_transform(range(n), lambda x: 1.0::DOUBLE / n) AS w FROM mat CROSS JOIN (VALUES {', '.join(f'({t}::DOUBLE)' for t in RATES)}) v(t) UNION ALL
+ SELECT t, it + 1, list_transform(w, lambda x, k: x + CASE WHEN k = i THEN d WHEN k = j THEN -d ELSE 0 END) FROM (SELECT *, greatest(least((g[j] - g[i]) / (s[i][i] + s[j][j] - 2 * s[i][j]), 0.35 - w[i], w[j]), 0) AS d FROM (
+ SELECT *, list_position(gi, list_min(gi)) AS i, list_position(gj, list_max(gj)) AS j FROM (SELECT *, list_transform(g, lambda x, k: CASE WHEN w[k] < 0.35 - 1e-13 THEN x ELSE 1e9 END) AS gi, list_transform(g, lambda x, k: CASE WHEN w[k] > 1e-13 THEN x ELSE -1e9 END) AS gj FROM (
+ SELECT t, it, w, s, list_transform(s, lambda r, k: list_inner_product(r, w) - t * mu[k]) AS g FROM walk CROSS JOIN mat CROSS JOIN means WHERE it < 1500)) WHERE s[1][1] > 0)) WHERE i <> j""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+#: Equal risk shares: each entry in turn solves its own equation.
+PARITY = sql(
+    "SELECT portfolio, unnest(names) AS ticker, round(unnest(w), 6) AS w, round(100.0 / n, 6) AS risk_pct FROM (SELECT list_transform(x, lambda v: v / list_sum(x)) AS w FROM walk WHERE it = 600) CROSS JOIN mat CROSS JOIN (SELECT DISTINCT portfolio FROM books)", "returns", "books", **_MATRIX,
+    walk="""SELECT 0 AS it, list_transform(s, lambda r, k: 1 / sqrt(r[k])) AS x FROM mat UNION ALL SELECT it + 1, list_transform(x, lambda v, m: CASE WHEN m = k THEN (-rest + sqrt(rest * rest + 4 * own)) / (2 * own) ELSE v END)
+ FROM (SELECT *, list_inner_product(s[k], x) - own * x[k] AS rest FROM (SELECT it, x, s, it % n + 1 AS k, s[it % n + 1][it % n + 1] AS own FROM walk CROSS JOIN mat WHERE it < 600))""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
 
 RECESSION = sql(
     f"SELECT round(y10, 6) AS y10, round(y3m, 6) AS y3m, round(y10 - y3m, 6) AS spread, round({normal_probability('-0.5333 - 0.6330 * (y10 - y3m)')}, 6) AS recession_probability FROM plain",

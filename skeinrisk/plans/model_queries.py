@@ -213,3 +213,15 @@ def optimizer_variants(spark, d):
 @query()
 def frontier(spark, d):
     return rounded(optimizer.frontier(panel.returns(spark, d), panel.weights(spark), MARKET))
+
+
+@query(factor_sql.LINE)
+def critical_line(spark, d):
+    """Weights on the critical line, and that none of them could gain by a transfer."""
+    out = optimizer.line_weights(panel.returns(spark, d), panel.weights(spark), MARKET, factor_sql.RATES)
+    return rounded(out.select("portfolio", "t", "ticker", "w", (F.col("slack") < 1e-7).alias("optimal")))
+
+
+@query(factor_sql.PARITY)
+def risk_parity(spark, d):
+    return rounded(optimizer.equal_risk(panel.returns(spark, d), panel.weights(spark), MARKET))

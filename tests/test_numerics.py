@@ -7,6 +7,7 @@ import pytest
 
 from skeinrisk.functions import garch
 from skeinrisk.functions import numerics as nm
+from skeinrisk.functions import quadratic
 from skeinrisk.operators import optimizer
 
 
@@ -133,24 +134,74 @@ def test_ols_and_gram_schmidt_agree():
     assert float((((q.T @ c) ** 2) / (q * q).sum(0)).sum() / (c @ c)) == pytest.approx(nm.ols(y, x)["r2"], abs=1e-12)
 
 
-def test_ledoit_wolf_is_between_sample_and_identity():
-    x = np.random.default_rng(8).normal(size=(60, 20))
-    s = np.cov(x.T, bias=True)
-    w = nm.ledoit_wolf(x)
-    assert np.trace(w) == pytest.approx(np.trace(s)) and np.linalg.cond(w) < np.linalg.cond(s)
+def covariance(rng, n, rows=60):
+    return np.cov((rng.normal(size=(rows, n)) * rng.uniform(0.3, 2, n) + rng.normal(size=(rows, 1))).T)
+
+
+def by_transfers(s, c, t, cap):
+    """The same optimum by moving weight between the two entries that gain most, until none do."""
+    w = np.full(len(c), 1 / len(c))
+    for _ in range(20_000):
+        g = s @ w - t * c
+        i = min((k for k in range(len(c)) if w[k] < cap - 1e-15), key=lambda k: g[k])
+        j = max((k for k in range(len(c)) if w[k] > 1e-15), key=lambda k: g[k])
+        if g[j] - g[i] < 1e-15:
+            break
+        d = min((g[j] - g[i]) / (s[i, i] + s[j, j] - 2 * s[i, j]), cap - w[i], w[j])
+        w[i], w[j] = w[i] + d, w[j] - d
+    return w
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_critical_line_matches_transfers(ties):
+    rng = np.random.default_rng(13)
+    for _ in range(40):
+        n = int(rng.integers(3, 12))
+        s, c, cap = covariance(rng, n), rng.normal(size=n), max(0.35, 1.2 / n)
+        line = quadratic.critical_line(s, np.round(c) if ties else c, cap)
+        c = np.round(c) if ties else c
+        assert line[-1].low == 0 and all(x.low == pytest.approx(y.high) for x, y in zip(line, line[1:]))
+        for t in (0.0, 0.1, 0.5, 3.0, 50.0):
+            w = next(x for x in line if x.low <= t <= x.high).at(t)
+            assert w.sum() == pytest.approx(1) and w.min() > -1e-9 and w.max() < cap + 1e-9
+            assert quadratic.slack(s, c, t, w, cap) < 1e-8 * (1 + t)
+            assert w == pytest.approx(by_transfers(s, c, t, cap), abs=1e-5 * (1 + t))
+        target = float(c @ line[-1].a) * 0.5 + float(c.max()) * 0.2
+        if (w := quadratic.at_target(line, c, target)) is not None and target >= float(c @ line[-1].a):
+            assert float(c @ w) == pytest.approx(target, abs=1e-7)
+        assert quadratic.at_target(line, c, float(c.max()) + 1) is None
+
+
+def test_ratios_distances_and_equal_risk():
+    rng = np.random.default_rng(14)
+    for _ in range(40):
+        n = int(rng.integers(3, 10))
+        s, c, cap = covariance(rng, n), rng.normal(size=n), max(0.35, 1.2 / n)
+        ratio = lambda w: float(c @ w) / math.sqrt(float(w @ s @ w))  # noqa: B023, E731
+        base = nm.to_box(rng.random(n), 0, cap)
+        near, _ = quadratic.least_variance_near(s, base, cap, 0.1)
+        assert (near - base) @ s @ (near - base) <= 0.01 + 1e-9
+        best = quadratic.best_ratio(s, c, cap)
+        for _ in range(60):
+            v = nm.to_box(near + rng.normal(size=n) * rng.choice([0.01, 0.2]), 0, cap)
+            assert best is None or ratio(v) <= ratio(best[0]) + 1e-9
+            assert (v - base) @ s @ (v - base) > 0.01 or v @ s @ v >= near @ s @ near - 1e-9
+        share = (w := quadratic.equal_risk(s)) * (s @ w)
+        assert w.sum() == pytest.approx(1) and share.max() / share.min() == pytest.approx(1)
 
 
 @pytest.fixture()
 def market():
     rng = np.random.default_rng(9)
     r = rng.normal(size=(1000, 6)) @ np.diag([1, 0.5, 2, 1.5, 0.8, 1.2]) * 0.01 + rng.normal(size=(1000, 1)) * 0.005
-    return nm.ledoit_wolf(r) * 252, r.mean(0) * 252, np.array([0.3, 0.2, 0.15, 0.15, 0.1, 0.1])
+    return np.cov(r.T) * 252, r.mean(0) * 252, np.array([0.3, 0.2, 0.15, 0.15, 0.1, 0.1])
 
 
 @pytest.mark.parametrize("objective", optimizer.OBJECTIVES)
 def test_objectives_keep_their_constraints(market, objective):
     s, mu, w0 = market
-    w = optimizer.solve(objective, s, mu, w0)
+    w, slack = optimizer.solve(objective, s, mu, w0)
+    assert slack is None or slack < 1e-8
     assert w.sum() == pytest.approx(1) and w.min() >= -1e-12 and w.max() <= optimizer.CAPS[objective] + 1e-9
     te = math.sqrt((w - w0) @ s @ (w - w0))
     assert te <= optimizer.TE_CAPS.get(objective, 10) * 1.01
@@ -162,15 +213,3 @@ def test_objectives_keep_their_constraints(market, objective):
         assert all(w @ s @ w <= v @ s @ v + 1e-9 for v in (nm.to_box(rng.random(6), 0, 0.35) for _ in range(200)))
     if objective == "concentrated":
         assert w @ w > w0 @ w0
-
-
-def test_frontier_rises(market):
-    s, mu, w0 = market
-    w = optimizer.solve("gmv", s, mu, w0)
-    vols = []
-    for target in np.linspace(w @ mu, mu.max(), 8):
-        p = optimizer.frontier_point(s, mu, float(target), w)
-        if p is not None:
-            vols.append(math.sqrt(p @ s @ p))
-    assert len(vols) >= 2 and all(b >= a - 1e-4 for a, b in zip(vols, vols[1:]))
-    assert optimizer.frontier_point(s, mu, float(mu.max()) * 2 + 1, w) is None

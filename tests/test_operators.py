@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinrisk.functions.columns import correlation
-from skeinrisk.operators import asof, backtest, detectors, factors, models, performance, portfolio, risk, scenarios
+from skeinrisk.operators import asof, backtest, detectors, factors, gram, models, optimizer, performance, portfolio, risk, scenarios
 from skeinrisk.sources import panel
 
 DAY = dt.date(1990, 1, 1)
@@ -233,3 +233,43 @@ def test_as_of_values_cross_blocks(spark):
     c = spark.createDataFrame([(b, day(k), v) for b, k, v in right], "b string, dt date, v double")
     assert {r["i"]: r["v"] for r in asof.backward(a, c, "v", by=["b"]).collect()} == {1: 2.0, 2: 1.0, 3: 3.0, 4: 2.0, 5: None}
     assert {r["i"]: r["v"] for r in asof.backward(a, c.where("b = 'x'"), "v").collect()} == {1: 2.0, 2: 1.0, 3: 2.0, 4: 2.0, 5: None}
+
+
+def plain_shrunk(x):
+    n, k = x.shape
+    c = x - x.mean(0)
+    s = c.T @ c / n
+    mu = np.trace(s) / k
+    d2 = float(((s - mu * np.eye(k)) ** 2).sum())
+    b2 = min(float(((c * c).T @ (c * c) / n - s * s).sum()) / n, d2)
+    shrink = b2 / d2 if d2 > 0 else 0.0
+    return 252 * ((1 - shrink) * s + shrink * mu * np.eye(k)), shrink
+
+
+def test_blocked_sums_match_one_matrix(spark, monkeypatch):
+    monkeypatch.setattr(gram, "BLOCK_DAYS", 7)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 5)) * 0.01
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=3 * k) for k in range(90)]
+    rows = [(f"t{j}", d, float(x[i, j])) for i, d in enumerate(days) for j in range(5) if not (i in (4, 50) and j == 2)]
+    r = spark.createDataFrame(rows, "ticker string, dt date, r double")
+    whole = np.delete(x, [4, 50], 0)
+    for window in (1000, 30):
+        want, shrink = plain_shrunk(whole[-window:])
+        got = optimizer.shrunk_covariance(r, window).collect()
+        assert len(got) == 25 and all(g["cov"] == pytest.approx(want[int(g["a"][1]), int(g["b"][1])], rel=1e-9) and g["shrinkage"] == pytest.approx(shrink) for g in got)
+    plan = optimizer.shrunk_covariance(r)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan
+
+
+def test_frontier_and_line_of_one_book(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 4)) * 0.01 + np.array([1, 2, 3, 4]) * 1e-4
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=k) for k in range(400)]
+    r = spark.createDataFrame([(f"t{j}", d, float(x[i, j])) for i, d in enumerate(days) for j in range(4)], "ticker string, dt date, r double")
+    w = spark.createDataFrame([("p", f"t{j}", 0.25, j) for j in range(4)], "portfolio string, ticker string, w double, ord int")
+    points = optimizer.frontier(r, w, "t0", 10).orderBy("k").collect()
+    assert points[0]["k"] == 0 and all(b["vol"] >= a["vol"] - 1e-9 and b["ret"] > a["ret"] for a, b in zip(points, points[1:]))
+    assert all(x["slack"] < 1e-8 for x in optimizer.line_weights(r, w, "t0", (0.0, 0.5)).collect())
+    assert all(x["risk_pct"] == pytest.approx(25) for x in optimizer.equal_risk(r, w, "t0").collect())
+    assert optimizer.variants(r, w.limit(2), "t0").count() == 0
