@@ -6,9 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import distributions, regression
 from ..functions import numerics as nm
 from ..sources.panel import spread
 
@@ -31,30 +32,50 @@ def _share(a: float, b: float) -> float | None:
 OLS_SCHEMA = "ticker string, factor string, n int, beta double, t double, p double, boot_se double, ci_low double, ci_high double, r2 double, total_vol double, factor_vol double, idio_vol double"
 
 
+def _newest(rows: DataFrame, lookback: int, least: int) -> DataFrame:
+    """The last ``lookback`` rows of each ticker that has ``least``."""
+    own = Window.partitionBy("ticker")
+    rows = rows.withColumn("_back", F.row_number().over(own.orderBy(F.desc("dt")))).where(F.col("_back") <= lookback)
+    return rows.withColumn("_n", F.count("*").over(own)).where(F.col("_n") >= least).drop("_back", "_n")
+
+
 def factor_ols(returns: DataFrame, factors: DataFrame, lookback: int = 252, draws: int = 500) -> DataFrame:
     """A row for each ticker and coefficient ('alpha' first): slope, t, p, bootstrap error and interval, fit and volatility split.
 
-    Without ``draws`` there is no bootstrap, and its columns are null.
+    A factor that depends on those before it has slope, t and p of 0, 0 and 1. Without ``draws`` there is no bootstrap, and its columns
+    are null.
     """
+    rows = _newest(joined(returns, factors), lookback, 60)
+    sums = rows.groupBy("ticker").agg(*[F.sum(v).alias(k) for k, v in regression.products(F.col("r") - F.col("rf"), [F.col(c) for c in FACTORS]).items()])
+    fit = sums.select("ticker", regression.solved(len(FACTORS)).alias("f")).select("ticker", "f.*")
+    df = F.col("n") - (len(FACTORS) + 1)
+    names = F.array(*[F.lit(x) for x in ("alpha", *FACTORS)])
+    cells = fit.withColumn("s2", F.col("rss") / df).select("*", F.inline(F.arrays_zip(names.alias("factor"), F.col("b").alias("beta"), F.col("v").alias("_v"))))
+    error = F.sqrt(F.col("s2") * F.col("_v"))
+    cells = cells.withColumn("t", F.when(error > 0, F.col("beta") / error).otherwise(0.0))
+    part = F.greatest(F.col("r2"), F.lit(0.0))
+    cells = cells.withColumn("p", distributions.t_two_sided(F.col("t"), df.cast("double"))).withColumn("r2", F.when(F.col("tss") > 0, 1 - F.col("rss") / F.col("tss")).otherwise(0.0))
+    cells = cells.withColumn("total_vol", F.sqrt(F.greatest(F.col("tss"), F.lit(0.0)) / (F.col("n") - 1) * 252) * 100)
+    out = cells.select("ticker", "factor", "n", "beta", "t", "p", "r2", "total_vol", (F.col("total_vol") * F.sqrt(part)).alias("factor_vol"), (F.col("total_vol") * F.sqrt(1 - part)).alias("idio_vol"))
+    boot = _bootstrapped(rows, draws) if draws else None
+    if boot is None:
+        out = out.withColumns({c: F.lit(None).cast("double") for c in ("boot_se", "ci_low", "ci_high")})
+    else:
+        out = out.join(boot, ["ticker", "factor"])
+    return out.select(*[c.split()[0] for c in OLS_SCHEMA.split(", ")])
+
+
+def _bootstrapped(rows: DataFrame, draws: int) -> DataFrame:
+    """(ticker, factor, boot_se, ci_low, ci_high): spread of the coefficients over paired resamples."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in OLS_SCHEMA.split(", ")]
-        pdf = pdf.sort_values("dt").tail(lookback)
-        if len(pdf) < 60:
-            return pd.DataFrame(columns=names)
-        y = (pdf["r"] - pdf["rf"]).to_numpy(float)
-        fit = nm.ols(y, pdf[list(FACTORS)].to_numpy(float))
-        none = [None] * (len(FACTORS) + 1)
-        error = low = high = none
-        if draws:
-            boot = nm.bootstrap_betas(fit["z"], y, draws)
-            error, (low, high) = boot.std(0, ddof=1), np.percentile(boot, [2.5, 97.5], axis=0)
-        total = float(y.std(ddof=1)) * math.sqrt(252) * 100
-        part = max(0.0, fit["r2"])
-        rows = [(pdf["ticker"].iloc[0], f, len(y), fit["b"][k], fit["t"][k], fit["p"][k], error[k], low[k], high[k], fit["r2"], total, total * math.sqrt(part), total * math.sqrt(1 - part)) for k, f in enumerate(("alpha", *FACTORS))]
-        return pd.DataFrame(rows, columns=names)
+        pdf = pdf.sort_values("dt")
+        z = np.column_stack([np.ones(len(pdf)), pdf[list(FACTORS)].to_numpy(float)])
+        boot = nm.bootstrap_betas(z, (pdf["r"] - pdf["rf"]).to_numpy(float), draws)
+        low, high = np.percentile(boot, [2.5, 97.5], axis=0)
+        return pd.DataFrame({"ticker": pdf["ticker"].iloc[0], "factor": ["alpha", *FACTORS], "boot_se": boot.std(0, ddof=1), "ci_low": low, "ci_high": high})
 
-    return spread(joined(returns, factors), "ticker").groupBy("ticker").applyInPandas(run, OLS_SCHEMA)
+    return spread(rows, "ticker").groupBy("ticker").applyInPandas(run, "ticker string, factor string, boot_se double, ci_low double, ci_high double")
 
 
 CASCADE_SCHEMA = "ticker string, step int, factor string, ortho_loading double, incr_var_pct double, cumulative_r2_pct double, share_of_explained_pct double"
@@ -163,29 +184,28 @@ def bridge(returns: DataFrame, weights: DataFrame, factors: DataFrame, most: int
     return spread(_books(returns, weights, factors), "portfolio").groupBy("portfolio").applyInPandas(run, BRIDGE_SCHEMA)
 
 
-ROLLING_SCHEMA = "ticker string, dt date, factor string, loading double, r2 double"
-
-
 def rolling_loadings(returns: DataFrame, factors: DataFrame, window: int = 252, step: int = 21, years: int = 5) -> DataFrame:
-    """Loadings over windows that end every ``step`` rows of the last ``years`` years; the last row is in none of them."""
+    """(ticker, dt, factor, loading, r2) over windows that end every ``step`` rows of the last ``years`` years; the last row is in none
+    of them.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in ROLLING_SCHEMA.split(", ")]
-        pdf = pdf.sort_values("dt")
-        if len(pdf) < window + 4 * step:
-            return pd.DataFrame(columns=names)
-        pdf = pdf.tail(years * 252 + window)
-        y, x, days = (pdf["r"] - pdf["rf"]).to_numpy(float), pdf[list(FACTORS)].to_numpy(float), pdf["dt"].to_numpy()
-        rows = []
-        for end in range(window, len(y), step):
-            z = np.column_stack([np.ones(window), x[end - window : end]])
-            own = y[end - window : end]
-            b = np.linalg.lstsq(z, own, rcond=None)[0]
-            e, tss = own - z @ b, float(((own - own.mean()) ** 2).sum())
-            rows += [(pdf["ticker"].iloc[0], days[end - 1], f, b[k + 1], 1 - float(e @ e) / tss if tss > 0 else None) for k, f in enumerate(FACTORS)]
-        return pd.DataFrame(rows, columns=names)
-
-    return spread(joined(returns, factors), "ticker").groupBy("ticker").applyInPandas(run, ROLLING_SCHEMA)
+    Products are summed by blocks of rows, and a window is the sum of its blocks, so each row is looked at once however many windows
+    it is in.
+    """
+    unit = math.gcd(window, step)
+    per_window, per_step = window // unit, step // unit
+    own = Window.partitionBy("ticker")
+    rows = joined(returns, factors).withColumn("_i", F.row_number().over(own.orderBy("dt")) - 1).withColumn("_len", F.count("*").over(own)).where(F.col("_len") >= window + 4 * step)
+    size = F.least(F.col("_len"), F.lit(years * 252 + window))
+    rows = rows.withColumn("_size", size).withColumn("_at", F.col("_i") - F.col("_len") + size).where("_at >= 0")
+    products = regression.products(F.col("r") - F.col("rf"), [F.col(c) for c in FACTORS])
+    blocks = rows.groupBy("ticker", F.floor(F.col("_at") / unit).alias("_block")).agg(F.max("dt").alias("dt"), F.max("_size").alias("_size"), *[F.sum(v).alias(k) for k, v in products.items()])
+    over = own.orderBy("_block").rowsBetween(1 - per_window, 0)
+    windows = blocks.select("ticker", "dt", "_block", "_size", F.count("*").over(over).alias("_have"), *[F.sum(k).over(over).alias(k) for k in products])
+    end = (F.col("_block") + 1) * unit
+    windows = windows.where((F.col("_have") == per_window) & (end < F.col("_size")) & ((F.col("_block") + 1 - per_window) % per_step == 0))
+    fit = windows.select("ticker", "dt", regression.solved(len(FACTORS)).alias("f"))
+    loadings = F.arrays_zip(F.array(*[F.lit(x) for x in FACTORS]).alias("factor"), F.slice("f.b", 2, len(FACTORS)).alias("loading"))
+    return fit.select("ticker", "dt", F.when(F.col("f.tss") > 0, 1 - F.col("f.rss") / F.col("f.tss")).alias("r2"), F.inline(loadings)).select("ticker", "dt", "factor", "loading", "r2")
 
 
 THEME_SCHEMA = "ticker string, basket string, n int, beta double, t double, p double, r2 double, total_vol double, factor_vol double, idio_vol double"

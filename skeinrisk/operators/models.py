@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import garch
+from ..functions import distributions, garch
 from ..functions import numerics as nm
 from ..sources.panel import spread
 
@@ -169,22 +169,12 @@ def rolling_forecasts(series: DataFrame, model: str, lookback: int = WINDOW, chu
 
 def backtest_tests(record: DataFrame) -> DataFrame:
     """Adds p-values to a backtest's statistics."""
-
-    @F.pandas_udf("double")
-    def tail_probability(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: nm.chi2_1_sf(v) if v is not None and not math.isnan(v) else None)
-
-    return record.withColumn("kupiec_p", tail_probability("kupiec_stat")).withColumn("christoffersen_p", tail_probability("christoffersen_stat"))
+    return record.withColumn("kupiec_p", distributions.chi2_tail(F.col("kupiec_stat"))).withColumn("christoffersen_p", distributions.chi2_tail(F.col("christoffersen_stat")))
 
 
 def recession_probability(yields: DataFrame) -> DataFrame:
     """Adds the probit probability of a recession from a yield spread in percent."""
-
-    @F.pandas_udf("double")
-    def probit(x: pd.Series) -> pd.Series:
-        return x.map(lambda s: nm.norm_cdf(-0.5333 - 0.6330 * s))
-
-    return yields.withColumn("recession_probability", probit("spread"))
+    return yields.withColumn("recession_probability", distributions.normal_cdf(-0.5333 - 0.6330 * F.col("spread")))
 
 
 def daily_qmle(pairs: DataFrame, least: int = 20) -> DataFrame:

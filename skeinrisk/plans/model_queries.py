@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import distributions
 from ..operators import backtest, correlation, factors, models, optimizer, performance, portfolio, sections, views
 from ..sources import panel, sinks
 from ..sources.panel import BOND, MARKET, THEME, sql
@@ -225,3 +226,31 @@ def critical_line(spark, d):
 @query(factor_sql.PARITY)
 def risk_parity(spark, d):
     return rounded(optimizer.equal_risk(panel.returns(spark, d), panel.weights(spark), MARKET))
+
+
+#: Student's distribution in closed form for whole degrees of freedom, and the normal and chi-squared ones by series.
+_STUDENT = """CASE WHEN nu % 2 = 0 THEN sin(th) * list_sum(list_transform(range(0, nu // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * pow(cos(th), 2 * j)))
+ ELSE 2 / pi() * (th + sin(th) * coalesce(list_sum(list_transform(range(0, (nu - 1) // 2), lambda j: sqrt(pi()) / 2 * exp(lgamma(j + 1) - lgamma(j + 1.5)) * pow(cos(th), 2 * j + 1))), 0)) END"""
+TAILS = f"""SELECT p_partkey, nu, round(0.5 + a / 2, 7) AS t_cdf, round(1 - abs(a), 7) AS t_p, round({factor_sql.normal_probability('x')}, 7) AS normal_cdf, round(2 * (1 - ({factor_sql.normal_probability('abs(x)')})), 7) AS chi2_tail
+ FROM (SELECT *, {_STUDENT} AS a FROM (SELECT p_partkey, x, nu, atan(x / sqrt(nu)) AS th FROM (SELECT p_partkey, (p_partkey % 101 - 50) / 12.0::DOUBLE AS x, p_size::INT AS nu FROM part)))"""
+
+
+@query(TAILS)
+def distribution_tails(spark, d):
+    """Student's, the normal and the chi-squared distribution at points and degrees of freedom that parts tell."""
+    point = (F.col("p_partkey") % 101 - 50) / F.lit(12.0)
+    rows = panel.table(spark, d, "part").select("p_partkey", F.col("p_size").cast("int").alias("nu"), point.alias("x"))
+    x, nu = F.col("x"), F.col("nu")
+    return rounded(rows.select("p_partkey", "nu", distributions.t_cdf(x, nu).alias("t_cdf"), distributions.t_two_sided(x, nu).alias("t_p"), distributions.normal_cdf(x).alias("normal_cdf"), distributions.chi2_tail(x * x).alias("chi2_tail")), 7)
+
+
+#: Points between which a quantile lies, told by the distribution in closed form on a grid of thousandths.
+QUANTILES = f"""SELECT nu, p, max(x) FILTER (0.5 + a / 2 <= p) AS below FROM (SELECT *, {_STUDENT} AS a FROM (SELECT nu, x, atan(x / sqrt(nu)) AS th FROM (SELECT DISTINCT p_size::INT AS nu FROM part)
+ CROSS JOIN (SELECT (k - 13000) / 1000.0::DOUBLE AS x FROM range(26001) r(k)))) CROSS JOIN (VALUES (0.05::DOUBLE), (0.2), (0.6), (0.975)) v(p) GROUP BY nu, p"""
+
+
+@query(QUANTILES)
+def t_quantiles(spark, d):
+    """Quantiles of Student's distribution for the degrees of freedom that parts tell, down to the thousandth."""
+    rows = panel.table(spark, d, "part").select(F.col("p_size").cast("int").alias("nu")).distinct().withColumn("p", F.explode(F.array(*[F.lit(p) for p in (0.05, 0.2, 0.6, 0.975)])))
+    return rows.select("nu", "p", (F.floor(distributions.t_quantile(F.col("p"), F.col("nu")) * 1000) / 1000).alias("below"))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skeinrisk.functions import numerics as nm
 from skeinrisk.functions.columns import correlation
 from skeinrisk.operators import asof, backtest, detectors, factors, gram, models, optimizer, performance, portfolio, risk, scenarios
 from skeinrisk.sources import panel
@@ -273,3 +274,61 @@ def test_frontier_and_line_of_one_book(spark):
     assert all(x["slack"] < 1e-8 for x in optimizer.line_weights(r, w, "t0", (0.0, 0.5)).collect())
     assert all(x["risk_pct"] == pytest.approx(25) for x in optimizer.equal_risk(r, w, "t0").collect())
     assert optimizer.variants(r, w.limit(2), "t0").count() == 0
+
+
+def test_distributions_match_tables(spark):
+    from skeinrisk.functions import distributions as ds
+
+    rows = [(x, nu) for x in (-30.0, -4.0, -1.3, -0.2, 0.0, 0.7, 2.5, 9.0) for nu in (1.0, 2.5, 4.0, 30.0, 400.0)]
+    df = spark.createDataFrame(rows, "x double, nu double")
+    x, nu = F.col("x"), F.col("nu")
+    for r in df.select("x", "nu", ds.t_cdf(x, nu).alias("t"), ds.t_two_sided(x, nu).alias("p"), ds.normal_cdf(x).alias("n"), ds.chi2_tail(x).alias("c"), ds.log_gamma(nu).alias("g")).collect():
+        assert r["t"] == pytest.approx(nm.t_cdf(r["x"], r["nu"]), rel=1e-9, abs=1e-13) and r["p"] == pytest.approx(2 * nm.t_cdf(-abs(r["x"]), r["nu"]), rel=1e-9, abs=1e-13)
+        assert r["n"] == pytest.approx(nm.norm_cdf(r["x"]), rel=1e-10) and r["c"] == pytest.approx(nm.chi2_1_sf(r["x"]), rel=1e-10) and r["g"] == pytest.approx(math.lgamma(r["nu"]), rel=1e-10, abs=1e-10)
+    rows = [(p, nu) for p in (1e-8, 0.01, 0.3, 0.5, 0.9, 0.999) for nu in (1.0, 3.3, 12.0, 200.0)]
+    df = spark.createDataFrame([*rows, (0.0, 3.0), (1.0, 3.0), (None, 3.0)], "p double, nu double")
+    for r in df.select("p", "nu", ds.t_quantile(F.col("p"), F.col("nu")).alias("t"), ds.normal_quantile(F.col("p")).alias("n")).collect():
+        if r["p"] is None or r["p"] in (0.0, 1.0):
+            assert r["t"] is None and r["n"] is None
+        else:
+            assert r["t"] == pytest.approx(nm.t_ppf(r["p"], r["nu"]), rel=1e-7, abs=1e-9) and r["n"] == pytest.approx(nm.normal.inv_cdf(r["p"]), rel=1e-8, abs=1e-12)
+
+
+def test_regression_by_sweeping(spark):
+    from skeinrisk.functions import regression as rg
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(80, 3)) * [1, 0.01, 5] + 0.3
+    y = x @ [1.0, -20, 0.1] + rng.normal(size=80) * 0.1
+    x = np.column_stack([x, x[:, 0] - x[:, 2]])  # the last depends on the others
+    df = spark.createDataFrame([(*map(float, x[k]), float(y[k]), k % 3) for k in range(80)], "a double, b double, c double, d double, y double, part int")
+    for names in ("abc", "abcd"):
+        products = rg.products(F.col("y"), [F.col(n) for n in names])
+        sums = df.groupBy("part").agg(*[F.sum(v).alias(k) for k, v in products.items()]).agg(*[F.sum(k).alias(k) for k in products])
+        got = sums.select(rg.solved(len(names)).alias("f")).first()["f"]
+        want = nm.ols(y, x[:, :3])
+        assert got["b"][:4] == pytest.approx(want["b"].tolist(), rel=1e-8) and got["n"] == 80 and 1 - got["rss"] / got["tss"] == pytest.approx(want["r2"])
+        assert names == "abc" or got["b"][4] == 0.0
+        errors = [math.sqrt(got["rss"] / want["df"] * v) for v in got["v"][:4]]
+        assert names == "abcd" or [b / e for b, e in zip(got["b"], errors)] == pytest.approx(want["t"].tolist(), rel=1e-7)
+
+
+@pytest.mark.parametrize(("window", "step"), [(60, 20), (50, 20)])
+def test_rolling_loadings_match_each_window_alone(spark, window, step):
+    rng = np.random.default_rng(7)
+    n = 190
+    f, y = rng.normal(size=(n, 6)) * 0.01, rng.normal(size=n) * 0.01
+    days = [DAY + dt.timedelta(k) for k in range(n)]
+    factor = spark.createDataFrame([(days[k], *map(float, f[k]), 0.0001) for k in range(n)], "dt date, mkt double, smb double, hml double, rmw double, cma double, mom double, rf double")
+    got = {(r["dt"], r["factor"]): (r["loading"], r["r2"]) for r in factors.rolling_loadings(series(spark, y), factor, window, step).collect()}
+    want = {}
+    for end in range(window, n, step):
+        fit = nm.ols(y[end - window : end] - 0.0001, f[end - window : end])
+        want |= {(days[end - 1], name): (fit["b"][k + 1], fit["r2"]) for k, name in enumerate(factors.FACTORS)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+
+
+def test_p_values_need_no_python(spark):
+    record = spark.createDataFrame([("p", 3.84, 1.0)], "portfolio string, kupiec_stat double, christoffersen_stat double")
+    plan = models.recession_probability(models.backtest_tests(record).withColumn("spread", F.lit(1.0)))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
