@@ -2,7 +2,8 @@
 
 The trees are trained here, on the URLs that rules label. Everything is a DataFrame expression: features are columns, a level
 of a tree is one aggregation of gradients by (node, feature, bin) whose few sums come to the driver to pick splits, and the
-trained trees are conditional expressions that run where the rows are.
+trained trees are conditional expressions that run where the rows are. Gradients are summed as whole numbers and bin edges are exact
+quantiles, so the same URLs give the same trees in whatever order and partitions they come.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block
 TREES, DEPTH, BINS, RATE, RIDGE = 8, 3, 16, 0.3, 1.0
 #: The bound on training: about so many labelled URLs, those with the smallest hashes.
 TRAIN_ROWS = 200_000
+#: Parts of one in which gradients are summed as whole numbers.
+UNIT = 1 << 40
 #: Suffixes with fewer labelled URLs count as unseen.
 SUFFIX_LEAST = 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,12 +118,13 @@ def boost(binned: DataFrame, n_features: int) -> tuple[float, list[dict]]:
         tree: dict = {"splits": {}, "leaves": {}}
         score = reduce(lambda a, t: a + tree_value(t, 1, left_of), trees, F.lit(start))
         p = 1 / (1 + F.exp(-score))
-        rows = binned.select("bins", "n", ((p - F.col("y")) * F.col("n")).alias("g"), (p * (1 - p) * F.col("n")).alias("h"))
+        whole = lambda x: F.round(x * UNIT).cast("long") * F.col("n")
+        rows = binned.select("bins", "n", whole(p - F.col("y")).alias("g"), whole(p * (1 - p)).alias("h"))
         nodes = [1]
         for level in range(DEPTH):
             at = rows.select(node_of(tree, 1, left_of).alias("node"), "g", "h", F.posexplode("bins").alias("f", "b"))
             # nodes x features x bins sums at most
-            sums = {(r["node"], r["f"], r["b"]): (r["g"], r["h"]) for r in at.groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()}
+            sums = {(r["node"], r["f"], r["b"]): (r["g"] / UNIT, r["h"] / UNIT) for r in at.groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()}
             found = pick(sums, nodes, n_features)
             for node in nodes:
                 own = [(f, b, g, h) for (m, f, b), (g, h) in sums.items() if m == node and f == 0]
@@ -184,8 +188,10 @@ def judge(pages: DataFrame, url_col: str = "url", rules: dict[str, str] = RULES,
     value = {k: F.coalesce(F.col(k), F.lit(prior if k.startswith("_r_") else 0.0)) for k in names}
     # bin edges: quantiles of each feature
     quantiles = [k / BINS for k in range(1, BINS)]
-    edges = labelled.agg(*[F.percentile_approx(value[k], quantiles, 10_000).alias(k) for k in names]).first()
-    edges = [sorted(set(edges[k] or [])) for k in names]
+    # a group of at most the training rows' different values for each feature
+    listed = labelled.select(F.posexplode(F.array(*[value[k] for k in names])).alias("f", "x"))
+    found = {r["f"]: r["q"] for r in listed.groupBy("f").agg(F.percentile("x", quantiles).alias("q")).collect()}
+    edges = [sorted(set(found.get(k, []))) for k in range(len(names))]
 
     def bin_of(x: Column, own: list[float]) -> Column:
         return reduce(lambda a, e: a + (x > e).cast("int"), own, F.lit(0))

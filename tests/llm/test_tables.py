@@ -254,6 +254,17 @@ def test_urls_held_out_are_not_learnt_from(spark, rng):
     assert all((s > 0.5) == (i % 4 < 2) for i, s in score(learnt))
 
 
+def test_the_same_urls_get_the_same_scores_in_any_order(spark, rng):
+    name = lambda: "".join(rng.choice("0123456789abcdefgh") for _ in range(rng.randint(3, 14)))
+    rows = [(k, f"http://{name()}.one/{rng.choice('xyz')}/{name()}?{name()}={k % 7}") for k in range(300)]
+    seen = []
+    for parts in (1, 3, 7):
+        rng.shuffle(rows)
+        pages = spark.createDataFrame(rows, "page_id long, url string").repartition(parts)
+        seen.append(sorted((r["page_id"], r["score"]) for r in url_filter.judge(pages, rules={"one/x/": "block", "one/y/": "allow"}).collect()))
+    assert seen[0] == seen[1] == seen[2] and len({s for _, s in seen[0]}) > 5
+
+
 def plain_boosting(bins, y, weight):
     """Boosted trees grown row by row: at each node the split of the most gain over all features and edges; log odds of each row."""
     score = np.full(len(y), np.log(((weight * y).sum() + 1) / ((weight * (1 - y)).sum() + 1)))
