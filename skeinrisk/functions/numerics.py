@@ -7,6 +7,8 @@ from statistics import NormalDist
 
 import numpy as np
 
+from .garch import scan
+
 normal = NormalDist()
 
 
@@ -190,49 +192,62 @@ def var_es_evt(r: np.ndarray, p: float = 0.01, above: float = 0.10) -> tuple[flo
 # MA(1) and integrated variance
 
 
-def fit_ma1(x: np.ndarray) -> tuple[float, float]:
-    """Exact likelihood of x_t = e_t + theta e_{t-1}, concentrated in the variance: (theta, variance), by golden section."""
+def ma1_loss(x: np.ndarray, n: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n log variance + sum of log v, variance) of x_t = e_t + theta e_{t-1} for each row of x at each of its thetas.
 
-    def loss(theta: float) -> tuple[float, float]:
-        v, u, total, logs = 1 + theta * theta, 0.0, 0.0, 0.0
-        for k in range(len(x)):
-            if k:
-                gain = theta / v
-                v = 1 + theta * theta - theta * gain
-                u = x[k] - gain * u
-            else:
-                u = x[0]
-            total += u * u / v
-            logs += math.log(v)
-        s2 = total / len(x)
-        return (len(x) * math.log(max(s2, 1e-300)) + logs, s2)
-
-    best = min(np.linspace(-0.98, 0.98, 50), key=lambda th: loss(th)[0])
-    a, b, g = max(best - 0.04, -0.9999), min(best + 0.04, 0.9999), (math.sqrt(5) - 1) / 2
-    c, d = b - g * (b - a), a + g * (b - a)
-    fc, fd = loss(c)[0], loss(d)[0]
+    x: (rows, longest), zeros beyond the n of each row; theta: (rows, many). With s_t = 1 + theta^2 + ... + theta^(2t), the innovations'
+    variances are v_t = s_t / s_{t-1}, and z_t = s_{t-1} u_t follows z_t = s_{t-1} x_t - theta z_{t-1}: a linear scan.
+    """
+    rows, most = x.shape
+    many = theta.shape[1]
+    flat = theta.reshape(-1)
+    square = np.repeat((flat * flat)[:, None], most, 1)
+    square[:, 0] = 1.0
+    powers = np.cumprod(square, 1)
+    s = np.cumsum(powers, 1)
+    v = 1 + powers * (flat * flat)[:, None] / s
+    z = scan(s * np.repeat(x, many, 0), -flat)
+    inside = np.arange(most) < np.repeat(n, many)[:, None]
+    u = np.where(inside, z / s, 0.0)
+    variance = ((u * u / v).sum(1) / np.repeat(n, many)).reshape(rows, many)
+    logs = np.where(inside, np.log(v), 0.0).sum(1).reshape(rows, many)
+    return n[:, None] * np.log(np.maximum(variance, 1e-300)) + logs, variance
+
+
+def fit_ma1(series: list[np.ndarray]) -> list[tuple[float, float]]:
+    """Exact likelihood of x_t = e_t + theta e_{t-1}, concentrated in the variance: (theta, variance) of each series, searched side by
+    side: a grid, then golden section around its best."""
+    n = np.array([len(x) for x in series])
+    x = np.zeros((len(series), int(n.max(initial=1))))
+    for k, own in enumerate(series):
+        x[k, : len(own)] = own
+    grid = np.linspace(-0.98, 0.98, 50)
+    best = grid[ma1_loss(x, n, np.tile(grid, (len(series), 1)))[0].argmin(1)]
+    a, b, g = np.maximum(best - 0.04, -0.9999), np.minimum(best + 0.04, 0.9999), (math.sqrt(5) - 1) / 2
     for _ in range(60):
-        if fc < fd:
-            b, d, fd = d, c, fc
-            c = b - g * (b - a)
-            fc = loss(c)[0]
-        else:
-            a, c, fc = c, d, fd
-            d = a + g * (b - a)
-            fd = loss(d)[0]
+        c, d = b - g * (b - a), a + g * (b - a)
+        loss, _ = ma1_loss(x, n, np.column_stack([c, d]))
+        left = loss[:, 0] < loss[:, 1]
+        a, b = np.where(left, a, c), np.where(left, d, b)
     theta = (a + b) / 2
-    return theta, loss(theta)[1]
-
-
-def integrated_variance(x: np.ndarray) -> tuple[float, str]:
-    """Quasi-likelihood integrated variance of noisy returns (Xiu, 2010); realised variance where no noise shows."""
-    rv = float(np.sum(x * x))
-    if len(x) < 5:
-        return rv, "rv"
-    theta, s2 = fit_ma1(x)
-    if not (math.isfinite(theta) and math.isfinite(s2) and s2 > 0):
-        return rv, "fail"
-    return (rv, "rv") if theta >= 0 else (len(x) * s2 * (1 + theta) ** 2, "qmle")
+    return list(zip(theta.tolist(), ma1_loss(x, n, theta[:, None])[1][:, 0].tolist(), strict=True))
+
+
+def integrated_variances(series: list[np.ndarray]) -> list[tuple[float, str]]:
+    """Quasi-likelihood integrated variance of noisy returns (Xiu, 2010) of each series; realised variance where no noise shows."""
+    long = [k for k, x in enumerate(series) if len(x) >= 5]
+    fits = dict(zip(long, fit_ma1([series[k] for k in long]), strict=True)) if long else {}
+    out = []
+    for k, x in enumerate(series):
+        rv = float(np.sum(x * x))
+        theta, s2 = fits.get(k, (0.0, 1.0))
+        if k not in fits:
+            out.append((rv, "rv"))
+        elif not (math.isfinite(theta) and math.isfinite(s2) and s2 > 0):
+            out.append((rv, "fail"))
+        else:
+            out.append((rv, "rv") if theta >= 0 else (len(x) * s2 * (1 + theta) ** 2, "qmle"))
+    return out
 
 
 # regressions, covariance and weights

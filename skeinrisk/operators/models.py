@@ -177,25 +177,60 @@ def recession_probability(yields: DataFrame) -> DataFrame:
     return yields.withColumn("recession_probability", distributions.normal_cdf(-0.5333 - 0.6330 * F.col("spread")))
 
 
-def daily_qmle(pairs: DataFrame, least: int = 20) -> DataFrame:
-    """pairs(dt, ts, x, y) -> (dt, n_obs, corr_naive, corr_qmle, method): noise-robust correlation of each day, by polarisation."""
+QMLE_SCHEMA = "dt date, n_obs int, corr_naive double, corr_qmle double, method string"
+
+
+def daily_qmle(pairs: DataFrame, least: int = 20, together: int = 64) -> DataFrame:
+    """pairs(dt, ts, x, y) -> (dt, n_obs, corr_naive, corr_qmle, method): noise-robust correlation of each day, by polarisation.
+
+    Up to ``together`` days of a task are searched side by side, four series a day.
+    """
+
+    def answer(days: dict) -> pd.DataFrame:
+        used, series = [], []
+        for day, parts in days.items():
+            own = pd.concat(parts).sort_values("ts")
+            x, y = own["x"].to_numpy(float), own["y"].to_numpy(float)
+            if len(x) >= least and x.std() > 0 and y.std() > 0:
+                used.append((day, len(x), float(np.corrcoef(x, y)[0, 1])))
+                series += [x, y, x + y, x - y]
+        found, rows = nm.integrated_variances(series), []
+        for k, (day, n, naive) in enumerate(used):
+            (vx, a), (vy, b), (vs, c), (vd, d) = found[4 * k : 4 * k + 4]
+            if "fail" in (a, b, c, d) or vx <= 0 or vy <= 0:
+                corr, method = naive, "fallback"
+            else:
+                corr = max(-1.0, min(1.0, (vs - vd) / 4 / math.sqrt(vx * vy)))
+                method = "qmle" if {a, b, c, d} == {"qmle"} else "qmle_partial"
+            rows.append((day, n, naive, corr, method))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in QMLE_SCHEMA.split(", ")])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}  # a day may go on in the next batch
+        for part in parts:
+            for day, own in part.groupby("dt", sort=False):
+                if day not in held and len(held) == together:
+                    yield answer(held)
+                    held = {}
+                held.setdefault(day, []).append(own)
+        if held:
+            yield answer(held)
+
+    return spread(pairs.select("dt", "ts", "x", "y"), "dt").sortWithinPartitions("dt").mapInPandas(run, QMLE_SCHEMA)
+
+
+def ma1_likelihood(bars: DataFrame, thetas: tuple[float, ...], key: str = "ticker") -> DataFrame:
+    """bars(key, dt, ts, x) -> (key, dt, theta, n, loss, variance): the likelihood that ``daily_qmle`` searches, at stated thetas, of each
+    day of a series with two values or more."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        columns = ["dt", "n_obs", "corr_naive", "corr_qmle", "method"]
-        if len(x) < least or x.std() == 0 or y.std() == 0:
-            return pd.DataFrame(columns=columns)
-        naive = float(np.corrcoef(x, y)[0, 1])
-        (vx, a), (vy, b), (vs, c), (vd, d) = (nm.integrated_variance(v) for v in (x, y, x + y, x - y))
-        if "fail" in (a, b, c, d) or vx <= 0 or vy <= 0:
-            corr, method = naive, "fallback"
-        else:
-            corr = max(-1.0, min(1.0, (vs - vd) / 4 / math.sqrt(vx * vy)))
-            method = "qmle" if {a, b, c, d} == {"qmle"} else "qmle_partial"
-        return pd.DataFrame([(pdf["dt"].iloc[0], len(x), naive, corr, method)], columns=columns)
+        x = pdf.sort_values("ts")["x"].to_numpy(float)
+        if len(x) < 2:
+            return pd.DataFrame(columns=[key, "dt", "theta", "n", "loss", "variance"])
+        loss, variance = nm.ma1_loss(x[None], np.array([len(x)]), np.array([thetas]))
+        return pd.DataFrame({key: pdf[key].iloc[0], "dt": pdf["dt"].iloc[0], "theta": thetas, "n": len(x), "loss": loss[0], "variance": variance[0]})
 
-    return spread(pairs, "dt").groupBy("dt").applyInPandas(run, "dt date, n_obs int, corr_naive double, corr_qmle double, method string")
+    return spread(bars, key, "dt").groupBy(key, "dt").applyInPandas(run, f"{key} string, dt date, theta double, n int, loss double, variance double")
 
 
 SKILL_SCHEMA = "portfolio string, n_obs int, years double, information_ratio double, t_stat double, p_luck double, observed_percentile double, psr_pct double, years_for_significance double, null_p5 double, null_p50 double, null_p95 double, hist_centers array<double>, hist_counts array<int>, verdict string"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..sources import scratch
 
 
 def window_returns(prices: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -42,17 +43,30 @@ def totals(parts: DataFrame) -> DataFrame:
 def closure(tree: DataFrame) -> DataFrame:
     """tree(class, parent), roots their own parents -> (class, ancestor, depth), a class its own ancestor at 0.
 
-    Levels are joined until no class has a further ancestor, however deep the taxonomy is; a chain longer than there are classes
-    is a circle and raises ValueError.
+    Reach doubles from round to round: ancestors up to 2, 4, 8, ... steps away are those of the ancestors half as far, so a taxonomy of
+    depth n takes log n joins. Each round is written before the next. Classes that are on a circle, or lead to one, reach no root, and
+    ValueError names them.
     """
-    up = tree.select(F.col("class").alias("ancestor"), "parent").where("ancestor <> parent")
-    out = level = tree.select("class", F.col("class").alias("ancestor"), F.lit(0).alias("depth"))
-    for _ in range(tree.count() + 1):
-        level = level.join(up, "ancestor").select("class", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError("the taxonomy has a circle")
+    spark = tree.sparkSession
+
+    def written(df: DataFrame) -> DataFrame:
+        path = scratch.new_path(spark, "closure")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    up = tree.where("class <> parent")
+    reach = written(tree.select("class", F.col("class").alias("ancestor"), F.lit(0).alias("depth")).unionByName(up.select("class", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))).distinct())
+    far, n = 1, tree.count()
+    while True:
+        ends = reach.where(F.col("depth") == far)
+        if ends.isEmpty():
+            return reach
+        if far > n:  # a longer way than there are classes
+            odd = [r["class"] for r in ends.select("class").distinct().orderBy("class").limit(20).collect()]
+            raise ValueError(f"the taxonomy has a circle above {', '.join(map(str, odd))}")
+        on = reach.where("depth > 0").select(F.col("class").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+        reach = written(reach.unionByName(ends.join(on, "ancestor").select("class", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))))
+        far *= 2
 
 
 def resolve(securities: DataFrame, tree: DataFrame, shocks: DataFrame, overrides: DataFrame) -> DataFrame:

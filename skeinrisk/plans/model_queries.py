@@ -142,6 +142,22 @@ def qmle_corr(spark, d):
     return rounded(models.daily_qmle(correlation.paired_bars(panel.bars(spark, d), "view", "click")))
 
 
+#: The innovations of each day one after the other.
+INNOVATIONS = sql("""SELECT ticker, dt, theta, count(*)::INT AS n, round(count(*) * ln(sum(u * u / v) / count(*)) + sum(ln(v)), 6) AS loss, round(sum(u * u / v) / count(*), 6) AS variance FROM walk WHERE n >= 2 GROUP BY ticker, dt, theta""", "bars",
+ steps="SELECT *, row_number() OVER (PARTITION BY ticker, dt ORDER BY ts) AS i, count(*) OVER (PARTITION BY ticker, dt) AS n FROM (SELECT ticker, ts::DATE AS dt, ts, ln(px / lag(px) OVER (PARTITION BY ticker, ts::DATE ORDER BY ts)) * 100 AS x FROM bars) WHERE x IS NOT NULL",
+ walk="""SELECT ticker, dt, theta, n, i, x AS u, 1 + theta * theta AS v FROM steps CROSS JOIN (VALUES (-0.6::DOUBLE), (0.2)) t(theta) WHERE i = 1
+ UNION ALL SELECT s.ticker, s.dt, theta, s.n, s.i, s.x - theta / v * u, 1 + theta * theta - theta * theta / v FROM walk w JOIN steps s ON s.ticker = w.ticker AND s.dt = w.dt AND s.i = w.i + 1""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(INNOVATIONS)
+def ma1_likelihood(spark, d):
+    """The likelihood that the noise-robust correlation searches, for each type of events and day."""
+    bars = panel.bars(spark, d).withColumn("dt", F.to_date("ts"))
+    before = F.lag("px").over(Window.partitionBy("ticker", "dt").orderBy("ts"))
+    rows = bars.withColumn("x", F.ln(F.col("px") / before) * 100).where("x IS NOT NULL").select("ticker", "dt", "ts", "x")
+    return rounded(models.ma1_likelihood(rows, (-0.6, 0.2)))
+
+
 @query(factor_sql.RECESSION)
 def recession_probability(spark, d):
     return rounded(models.recession_probability(views.yield_spread(panel.fill(panel.prices(spark, d)), MARKET, BOND)))

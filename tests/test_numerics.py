@@ -109,13 +109,37 @@ def test_rolling_fits_are_no_worse_than_alone():
     assert (both.loss[::9] <= alone.loss + 0.02).all() and np.abs(both.score).max() <= 10 * garch.SCORE * 600
 
 
+def plain_ma1(x, theta):
+    """Innovations one after the other."""
+    v, u, total, logs = 1 + theta * theta, x[0], 0.0, 0.0
+    for k in range(len(x)):
+        if k:
+            gain = theta / v
+            v, u = 1 + theta * theta - theta * gain, x[k] - gain * u
+        total, logs = total + u * u / v, logs + math.log(v)
+    return len(x) * math.log(total / len(x)) + logs, total / len(x)
+
+
+def test_ma1_likelihood_of_many_series():
+    rng = np.random.default_rng(15)
+    series = [rng.normal(size=k) for k in (7, 40, 23)]
+    x = np.zeros((3, 40))
+    for k, own in enumerate(series):
+        x[k, : len(own)] = own
+    thetas = np.array([-0.95, -0.3, 0.0, 0.6, 0.9999])
+    loss, variance = nm.ma1_loss(x, np.array([7, 40, 23]), np.tile(thetas, (3, 1)))
+    for k, own in enumerate(series):
+        want = [plain_ma1(own, t) for t in thetas]
+        assert loss[k] == pytest.approx([w[0] for w in want], rel=1e-10) and variance[k] == pytest.approx([w[1] for w in want], rel=1e-10)
+
+
 @pytest.mark.parametrize("theta", [-0.3, 0.3])
 def test_ma1_and_integrated_variance(theta):
     e = np.random.default_rng(5).normal(size=4001)
     x = e[1:] + theta * e[:-1]
-    assert nm.fit_ma1(x)[0] == pytest.approx(theta, abs=0.05)
-    iv, how = nm.integrated_variance(x)
-    assert how == ("qmle" if theta < 0 else "rv")
+    assert nm.fit_ma1([x, x[:500]])[0][0] == pytest.approx(theta, abs=0.05)
+    (iv, how), (rv, short) = nm.integrated_variances([x, x[:4]])
+    assert how == ("qmle" if theta < 0 else "rv") and short == "rv" and rv == pytest.approx(float(x[:4] @ x[:4]))
     assert iv == pytest.approx(4000 * (1 + theta) ** 2 if theta < 0 else float(x @ x), rel=0.15)
 
 

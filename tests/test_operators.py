@@ -332,3 +332,13 @@ def test_p_values_need_no_python(spark):
     record = spark.createDataFrame([("p", 3.84, 1.0)], "portfolio string, kupiec_stat double, christoffersen_stat double")
     plan = models.recession_probability(models.backtest_tests(record).withColumn("spread", F.lit(1.0)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_deep_taxonomies_and_circles(spark):
+    deep = [(f"c{k}", f"c{max(k - 1, 0)}") for k in range(65)] + [("side", "c3")]
+    tree = spark.createDataFrame(deep, "class string, parent string")
+    got = {(r["class"], r["ancestor"]): r["depth"] for r in scenarios.closure(tree).collect()}
+    want = {(f"c{i}", f"c{j}"): i - j for i in range(65) for j in range(i + 1)} | {("side", f"c{j}"): 4 - j for j in range(4)} | {("side", "side"): 0}
+    assert got == want
+    with pytest.raises(ValueError, match="circle above a, b"):
+        scenarios.closure(spark.createDataFrame([("a", "b"), ("b", "a"), ("r", "r")], "class string, parent string"))
