@@ -194,9 +194,9 @@ RATES = (0.0, 0.02, 0.1, 0.3, 1.0, 4.0)
 LINE = sql(
     "SELECT portfolio, t, unnest(names) AS ticker, round(unnest(w), 6) AS w, TRUE AS optimal FROM (SELECT t, w FROM walk WHERE it = 1500) CROSS JOIN mat CROSS JOIN (SELECT DISTINCT portfolio FROM books)", "returns", "books", **_MATRIX,
     walk=f"""SELECT t, 0 AS it, list_transform(range(n), lambda x: 1.0::DOUBLE / n) AS w FROM mat CROSS JOIN (VALUES {', '.join(f'({t}::DOUBLE)' for t in RATES)}) v(t) UNION ALL
- SELECT t, it + 1, list_transform(w, lambda x, k: x + CASE WHEN k = i THEN d WHEN k = j THEN -d ELSE 0 END) FROM (SELECT *, greatest(least((g[j] - g[i]) / (s[i][i] + s[j][j] - 2 * s[i][j]), 0.35 - w[i], w[j]), 0) AS d FROM (
+ SELECT t, it + 1, list_transform(w, lambda x, k: x + CASE WHEN k = i THEN d WHEN k = j THEN -d ELSE 0 END) FROM (SELECT *, CASE WHEN i = j THEN 0.0 ELSE greatest(least((g[j] - g[i]) / (s[i][i] + s[j][j] - 2 * s[i][j]), 0.35 - w[i], w[j]), 0) END AS d FROM (
  SELECT *, list_position(gi, list_min(gi)) AS i, list_position(gj, list_max(gj)) AS j FROM (SELECT *, list_transform(g, lambda x, k: CASE WHEN w[k] < 0.35 - 1e-13 THEN x ELSE 1e9 END) AS gi, list_transform(g, lambda x, k: CASE WHEN w[k] > 1e-13 THEN x ELSE -1e9 END) AS gj FROM (
- SELECT t, it, w, s, list_transform(s, lambda r, k: list_inner_product(r, w) - t * mu[k]) AS g FROM walk CROSS JOIN mat CROSS JOIN means WHERE it < 1500)) WHERE s[1][1] > 0)) WHERE i <> j""",
+ SELECT t, it, w, s, list_transform(s, lambda r, k: list_inner_product(r, w) - t * mu[k]) AS g FROM walk CROSS JOIN mat CROSS JOIN means WHERE it < 1500))))""",
 ).replace("WITH ", "WITH RECURSIVE ", 1)
 #: Equal risk shares: each entry in turn solves its own equation.
 PARITY = sql(

@@ -255,6 +255,17 @@ def backtests_with_cache(spark, d):
     return rounded(backtest.with_cached(fresh, stored).select("portfolio", "model", "n_eval", "exceptions", "kupiec_stat"))
 
 
+@query(sql("SELECT portfolio, dt, model, round(var, 6) AS var, v FROM hits WHERE model = 'HS'", "port", **_BT))
+def forecasts_by_date(spark, d):
+    """Forecasts kept by book, model and date: a first run up to one date, and a second one that adds the later dates only."""
+    days = panel.weekdays(book(spark, d))
+    store = sinks.DatedStore(spark, scratch.new_path(spark, "forecasts"), "portfolio string, model string, dt date, r double, var double")
+    for upto in ("2000-12-31", "9999-12-31"):
+        known = days.where(F.col("dt") <= F.lit(upto).cast("date"))
+        store.update(lambda last, known=known: models.rolling_forecasts(known, "hs", last=last).withColumn("model", F.lit("HS")))
+    return rounded(backtest.violations(store.read()).select("portfolio", "dt", "model", "var", "v"))
+
+
 _P = "2 * (1 - ({}))"
 
 
