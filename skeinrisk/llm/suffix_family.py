@@ -270,26 +270,34 @@ class Family:
 
     def __init__(self, shards: int, least: int = LEAST):
         self.shards, self.least = shards, least
-        self.levels: list[DataFrame | None] = []
+        self.levels: list[Written | None] = []
 
     def add(self, chunks: DataFrame) -> DataFrame:
         """chunks(key, c, w, n, text), none of which is in the family yet -> marks (c, spans): windows of new chunks, and of those
         in the family, that are found to be repeated. Chunks that occur more than once (n) are known to be and get no marks."""
-        made = Written(self._arrays(chunks), "suffixes").df
-        marks = made.select(F.explode("marks").alias("m")).select("m.c", "m.spans")
-        new = made.drop("marks")
+        new = Written(self._arrays(chunks), "suffixes")
+        marks = new.df.select(F.explode("marks").alias("m")).select("m.c", "m.spans")
         for k, level in enumerate(self.levels):
             if level is not None:
-                marks = marks.unionByName(self._scan(new, level, k))
+                marks = marks.unionByName(self._scan(new.df, level.df, k))
         marks = Written(marks, "marks").df
         k = 0
         while k < len(self.levels) and self.levels[k] is not None:
-            new = Written(self._merge(new, self.levels[k], k), "suffixes").df
-            self.levels[k] = None
+            both = Written(self._merge(new.df, self.levels[k].df, k), "suffixes")
+            new.discard()
+            self.levels[k].discard()
+            new, self.levels[k] = both, None
             k += 1
         self.levels[k:] = [new, *self.levels[k + 1 :]]
         return marks
 
+    def discard(self) -> None:
+        """Deletes the family's files."""
+        for level in self.levels:
+            if level is not None:
+                level.discard()
+        self.levels = []
+
     def _arrays(self, chunks: DataFrame) -> DataFrame:
         least = self.least
         kinds = {"shard": pa.int64(), **Shard.FIELDS, "marks": pa.list_(pa.struct(list(_MARKS.items())))}
@@ -316,7 +324,7 @@ class Family:
 
     @staticmethod
     def _pairs(a: DataFrame, b: DataFrame, on: Column, how: str) -> DataFrame:
-        side = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns])
+        side = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") for c in ("shard", *Shard.FIELDS)])
         return side(a, "a_").join(side(b, "b_").hint("merge"), on, how)
 
     def _scan(self, new: DataFrame, level: DataFrame, k: int) -> DataFrame:
@@ -368,7 +376,8 @@ def repeated_chunks(texts: DataFrame, table: DataFrame, least: int, batches: int
     seen = occurring(once)
     whole = lambda x: x.where("n > 1").select("c", F.lit(None).cast("binary").alias("spans"), "w")
     mixed = seen.where("m IS NOT NULL").select("key", "c", "w", "far", "n", "m", "at.t", "at.p")
-    mixed = Written(with_texts(texts, mixed, least), "chunks").df
+    cut_out = [Written(with_texts(texts, mixed, least), "chunks")]
+    mixed = cut_out[0].df
     out = whole(seen).withColumn("shift", F.lit(0))
     ready = mixed.where(F.col("m") <= key_chunks).select("key", "c", "w", "n", "text")
     hot = mixed.where(F.col("m") > key_chunks).select(F.col("c").alias("root"), F.lit(0).alias("shift"), "w", "far", "n", "text")
@@ -376,7 +385,8 @@ def repeated_chunks(texts: DataFrame, table: DataFrame, least: int, batches: int
     for size in FINER:
         if hot.isEmpty():
             break
-        cut = Written(pieces_of(hot, least, size), "pieces").df
+        cut_out.append(Written(pieces_of(hot, least, size), "pieces"))
+        cut = cut_out[-1].df
         own = cut.select("c", "root", "shift").distinct()
         roots = own if roots is None else roots.unionByName(own)
         once = cut.groupBy("key", "c").agg(F.sum("n").alias("n"), *[F.first(x).alias(x) for x in ("w", "far", "root", "shift", "text")])
@@ -391,11 +401,15 @@ def repeated_chunks(texts: DataFrame, table: DataFrame, least: int, batches: int
     for k in range(batches if total else 0):
         found = family.add(ready.where(F.pmod(F.xxhash64("c"), F.lit(batches)) == k))
         marks = marks.unionByName(found.withColumns({"w": F.lit(0), "shift": F.lit(0)}))
+    family.discard()
     out = out.unionByName(marks)
     if roots is not None:  # what is told of pieces, told of the chunks that they were cut from
         pieces = marks.drop("shift").unionByName(told).join(roots, "c")
         out = out.unionByName(pieces.select(F.col("root").alias("c"), "spans", "shift", "w"))
-    return Written(out, "repeated").df
+    out = Written(out, "repeated").df
+    for own in cut_out:
+        own.discard()
+    return out
 
 
 def covered(rows: list[dict], least: int) -> np.ndarray:
