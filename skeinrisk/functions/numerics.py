@@ -57,6 +57,8 @@ def t_pdf(x: float, nu: float) -> float:
 
 def t_ppf(p: float, nu: float) -> float:
     """By bisection, then Newton's steps."""
+    if p == 0.5:
+        return 0.0
     if p > 0.5:
         return -t_ppf(1 - p, nu)
     low, high = -1.0, 0.0
