@@ -17,6 +17,7 @@ A string is found where two suffixes that stand side by side in suffix order sha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -166,7 +167,7 @@ class Shard:
     ``at``: where each window starts; ``owner``: its chunk; ``seen``: whether it is known to be repeated.
     """
 
-    FIELDS = {name: pa.binary() for name in ("ids", "keys", "ends", "at", "owner", "seen", "text")}
+    FIELDS = {name: pa.binary() for name in ("ids", "keys", "ends", "at", "seen", "text")}
     SCHEMA = "shard long, " + ", ".join(f"{name} binary" for name in FIELDS)
 
     def __init__(self, ids: np.ndarray, keys: np.ndarray, ends: np.ndarray, at: np.ndarray, owner: np.ndarray, seen: np.ndarray, text: bytes, least: int):
@@ -185,10 +186,11 @@ class Shard:
     @classmethod
     def read(cls, row: dict, prefix: str, least: int) -> Shard:
         take = lambda name, kind: np.frombuffer(row[prefix + name], kind)
-        return cls(take("ids", "V16"), take("keys", np.int64), take("ends", np.int64), take("at", np.int32).astype(np.int64), take("owner", np.int32).astype(np.int64), take("seen", bool), row[prefix + "text"], least)
+        at, ends = take("at", np.int32).astype(np.int64), take("ends", np.int64)
+        return cls(take("ids", "V16"), take("keys", np.int64), ends, at, np.searchsorted(ends, at, "right"), take("seen", bool), row[prefix + "text"], least)
 
     def row(self, shard: int) -> tuple:
-        arrays = self.ids, self.keys.astype(np.int64), self.ends.astype(np.int64), self.at.astype(np.int32), self.owner.astype(np.int32), self.seen
+        arrays = self.ids, self.keys.astype(np.int64), self.ends.astype(np.int64), self.at.astype(np.int32), self.seen
         return (shard, *(x.tobytes() for x in arrays), self.text)
 
     def windows(self) -> np.ndarray:
@@ -238,15 +240,14 @@ class Shard:
         mine, at = np.flatnonzero(mine)[both], at[both]
         return self.marks(mine[~self.seen[mine]]) + other.marks(at[~other.seen[at]])
 
-    def merged(self, other: Shard, mine: np.ndarray, theirs: np.ndarray) -> Shard:
-        """One array over some chunks of each side (masks)."""
+    def merged(self, other: Shard, mine: np.ndarray, theirs: np.ndarray) -> tuple[Shard, list[tuple[bytes, bytes]]]:
+        """One array over some chunks of each side (masks), and the marks of windows that both have and that weren't seen yet."""
         a, b = self.only(mine), other.only(theirs)
         both = Shard(
             np.r_[a.ids, b.ids], np.r_[a.keys, b.keys], np.r_[a.ends, b.ends + len(a.text)], np.r_[a.at, b.at + len(a.text)],
             np.r_[a.owner, b.owner + len(a.ids)], np.r_[a.seen, b.seen], a.text + b.text, self.least,
         )
-        both._settle(np.argsort(both.windows(), kind="stable"))  # two sorted runs: a merge
-        return both
+        return both, both._settle(np.argsort(both.windows(), kind="stable"))  # two sorted runs: a merge
 
     def only(self, chunks: np.ndarray) -> Shard:
         """The array over some of the chunks (a mask)."""
@@ -265,6 +266,15 @@ MARKS = "c binary, spans binary"
 _MARKS = {"c": pa.binary(), "spans": pa.binary()}
 
 
+TOLD = f"{Shard.SCHEMA}, marks array<struct<c:binary,spans:binary>>"
+
+
+def told(shard: int, own: Shard, marks: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    """An array as a row, with the marks that its making found."""
+    kinds = {"shard": pa.int64(), **Shard.FIELDS, "marks": pa.list_(pa.struct(list(_MARKS.items())))}
+    return batch([(*own.row(shard), [{"c": c, "spans": x} for c, x in marks])], kinds)
+
+
 class Family:
     """Levels of suffix arrays: level k has ``shards`` * 2 ** k shards and holds 2 ** k batches, or isn't there."""
 
@@ -275,20 +285,16 @@ class Family:
     def add(self, chunks: DataFrame) -> DataFrame:
         """chunks(key, c, w, n, text), none of which is in the family yet -> marks (c, spans): windows of new chunks, and of those
         in the family, that are found to be repeated. Chunks that occur more than once (n) are known to be and get no marks."""
-        new = Written(self._arrays(chunks), "suffixes")
-        marks = new.df.select(F.explode("marks").alias("m")).select("m.c", "m.spans")
-        for k, level in enumerate(self.levels):
-            if level is not None:
-                marks = marks.unionByName(self._scan(new.df, level.df, k))
-        marks = Written(marks, "marks").df
-        k = 0
-        while k < len(self.levels) and self.levels[k] is not None:
-            both = Written(self._merge(new.df, self.levels[k].df, k), "suffixes")
-            new.discard()
-            self.levels[k].discard()
-            new, self.levels[k] = both, None
+        made, k = [Written(self._arrays(chunks), "suffixes")], 0
+        while k < len(self.levels) and self.levels[k] is not None:  # a merge scans both sides, too
+            made.append(Written(self._merge(made[-1].df, self.levels[k].df, k), "suffixes"))
             k += 1
-        self.levels[k:] = [new, *self.levels[k + 1 :]]
+        found = [x.df.select(F.explode("marks").alias("m")).select("m.c", "m.spans") for x in made]
+        found += [self._scan(made[0].df, level.df, j) for j, level in enumerate(self.levels) if j >= k and level is not None]
+        marks = Written(reduce(DataFrame.unionByName, found), "marks").df
+        for old in [*made[:-1], *self.levels[:k]]:
+            old.discard()
+        self.levels = [*[None] * k, made[-1], *self.levels[k + 1 :]]
         return marks
 
     def discard(self) -> None:
@@ -300,11 +306,9 @@ class Family:
 
     def _arrays(self, chunks: DataFrame) -> DataFrame:
         least = self.least
-        kinds = {"shard": pa.int64(), **Shard.FIELDS, "marks": pa.list_(pa.struct(list(_MARKS.items())))}
 
         def made(shard: int, rows: list[tuple]) -> pa.RecordBatch:
-            own, marks = Shard.build(rows, least)
-            return batch([(*own.row(shard), [{"c": c, "spans": x} for c, x in marks])], kinds)
+            return told(shard, *Shard.build(rows, least))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, last = [], None
@@ -320,7 +324,7 @@ class Family:
 
         rows = chunks.select(F.pmod("key", F.lit(self.shards)).alias("shard"), "c", "key", "w", "n", "text")
         rows = rows.repartition("shard").sortWithinPartitions("shard")
-        return rows.mapInArrow(run, f"{Shard.SCHEMA}, marks array<struct<c:binary,spans:binary>>")
+        return rows.mapInArrow(run, TOLD)
 
     @staticmethod
     def _pairs(a: DataFrame, b: DataFrame, on: Column, how: str) -> DataFrame:
@@ -347,11 +351,11 @@ class Family:
                 sides = [Shard.read(row, p, least) if row[f"{p}shard"] is not None else none for p in ("a_", "b_")]
                 shard = row["b_shard"] if row["a_shard"] is None else row["a_shard"]
                 for to in (shard, shard + shards):
-                    both = sides[0].merged(sides[1], *[x.keys % (2 * shards) == to for x in sides])
+                    both, marks = sides[0].merged(sides[1], *[x.keys % (2 * shards) == to for x in sides])
                     if len(both.ids):
-                        yield batch([both.row(to)], {"shard": pa.int64(), **Shard.FIELDS})
+                        yield told(to, both, marks)
 
-        return self._pairs(new, level, F.col("a_shard") == F.col("b_shard"), "full").mapInArrow(run, Shard.SCHEMA)
+        return self._pairs(new, level, F.col("a_shard") == F.col("b_shard"), "full").mapInArrow(run, TOLD)
 
 
 def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
