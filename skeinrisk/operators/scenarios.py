@@ -21,7 +21,7 @@ def window_returns(prices: DataFrame, scenarios: DataFrame) -> DataFrame:
 def with_proxies(rets: DataFrame, wanted: DataFrame, proxies: DataFrame) -> DataFrame:
     """(id, ticker, ret, proxied): a wanted ticker's own return, else its proxy's; proxied names the proxy where it was used."""
     ids = rets.select("id").distinct()
-    own = ids.crossJoin(F.broadcast(wanted.select("ticker").distinct())).join(F.broadcast(proxies), "ticker", "left")
+    own = wanted.select("ticker").distinct().crossJoin(F.broadcast(ids)).join(proxies, "ticker", "left")  # scenarios are few
     a = rets.select("id", "ticker", F.col("ret").alias("own"))
     b = rets.select("id", F.col("ticker").alias("proxy"), F.col("ret").alias("other"))
     out = own.join(a, ["id", "ticker"], "left").join(b, ["id", "proxy"], "left").where("own IS NOT NULL OR other IS NOT NULL")
@@ -78,7 +78,7 @@ def resolve(securities: DataFrame, tree: DataFrame, shocks: DataFrame, overrides
     reach = closure(tree).join(shocks, F.col("ancestor") == F.col("category"))
     by_class = reach.groupBy("id", "class").agg(F.min_by("shock", "depth").alias("class_shock"))
     ids = shocks.select("id").union(overrides.select("id")).distinct()
-    base = ids.crossJoin(F.broadcast(securities))  # both are short dimensions
+    base = securities.crossJoin(F.broadcast(ids))  # scenarios are few
     out = base.join(overrides.withColumnRenamed("shock", "own"), ["id", "ticker"], "left")
     sectors = shocks.select("id", F.col("category").alias("sector"), F.col("shock").alias("sector_shock"))
     out = out.join(sectors, ["id", "sector"], "left").join(by_class, ["id", "class"], "left")
@@ -98,7 +98,7 @@ def groups(securities: DataFrame, tree: DataFrame, shocks: DataFrame, class_grou
     covered = reach.join(shocks, F.col("ancestor") == F.col("category")).select("id", "class").distinct()
     sleeves = securities.select("ticker", F.explode("blend").alias("class", "sw")).join(covered, "class")
     heaviest = sleeves.groupBy("id", "ticker").agg(F.max_by("class", F.struct("sw", "class")).alias("class"))
-    plain = shocks.select("id").distinct().crossJoin(F.broadcast(securities.where("blend IS NULL").select("ticker", "class", "sector")))
+    plain = securities.where("blend IS NULL").select("ticker", "class", "sector").crossJoin(F.broadcast(shocks.select("id").distinct()))
     hit = shocks.select("id", F.col("category").alias("sector"), F.lit(True).alias("hit"))
     plain = plain.join(hit, ["id", "sector"], "left")
     own = F.lit(None).cast("string")

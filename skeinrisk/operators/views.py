@@ -38,7 +38,7 @@ def weight_deltas(new: DataFrame, old: DataFrame, least: float = 0.001) -> DataF
 
 def reference_bands(classes: DataFrame, bands: DataFrame) -> DataFrame:
     """classes(ticker, class), bands(class, map of metric to text) -> (ticker, class, metric, band)."""
-    return classes.join(F.broadcast(bands), "class", "left").select("ticker", "class", F.explode_outer("bands").alias("metric", "band"))
+    return classes.join(bands, "class", "left").select("ticker", "class", F.explode_outer("bands").alias("metric", "band"))
 
 
 def loss_history(yearly: DataFrame, since: int = 1990) -> DataFrame:

@@ -37,11 +37,11 @@ def order_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fill(panel: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
     """Every ticker on every date of the union calendar, carried forward; dates before a ticker's first price stay null.
 
-    ``tickers``: the requested ones (a column ``ticker``); those without prices come out all null. Calendar and ticker list
-    are dimensions, so their product has no more rows than the filled panel itself.
+    ``tickers``: the requested ones (a column ``ticker``); those without prices come out all null. The calendar, which has a row a
+    day whatever the number of tickers, is sent to all tasks; the product has no more rows than the filled panel itself.
     """
     wanted = (panel if tickers is None else tickers).select("ticker").distinct()
-    grid = panel.select("dt").distinct().crossJoin(F.broadcast(wanted))
+    grid = wanted.crossJoin(F.broadcast(panel.select("dt").distinct()))
     carried = F.last("px", ignorenulls=True).over(by_date().rowsBetween(Window.unboundedPreceding, 0))
     return grid.join(panel, ["ticker", "dt"], "left").select("ticker", "dt", carried.alias("px"))
 
