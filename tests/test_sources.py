@@ -150,6 +150,13 @@ def test_holdings_files(spark, tmp_path):
     assert top["TWO", 1]["weight"] == 5.0 and top["TWO", 1]["symbol"] == "005930.KS" and ("TWO", 2) not in top
 
 
+def test_ranks_of_equal_weights_dont_depend_on_the_order_of_rows(spark):
+    rows = [("F", "HOT RING INC", "nan", "1.5", None, c) for c in ("ECONOMY", "nan", " LARGE ", None, "SMALL")]
+    schema = "fund string, name string, ticker string, weight string, asset_type string, country string"
+    got = [[(r["rank"], r["country"]) for r in holdings.normalise(spark.createDataFrame(own, schema).coalesce(1)).orderBy("rank").collect()] for own in (rows, rows[::-1])]
+    assert got[0] == got[1] == [(1, None), (2, None), (3, "ECONOMY"), (4, "LARGE"), (5, "SMALL")]
+
+
 def test_documents_without_tickers(spark, tmp_path):
     """Names map to tickers, notes in brackets go, lots of one ticker are merged, and the quarter in the file's name is the date."""
     rows = [["Stocks 90%", "", ""], ["Alpha Corp (a)", "1,000", "$300"], ["Alpha ADR (EUR denominated)", "10", "100"], ["Beta", "5", "$", "600"], ["Note", "text", "5"]]
