@@ -257,7 +257,8 @@ def distribution_tails(spark, d):
     point = (F.col("p_partkey") % 101 - 50) / F.lit(12.0)
     rows = panel.table(spark, d, "part").select("p_partkey", F.col("p_size").cast("int").alias("nu"), point.alias("x"))
     x, nu = F.col("x"), F.col("nu")
-    return rounded(rows.select("p_partkey", "nu", distributions.t_cdf(x, nu).alias("t_cdf"), distributions.t_two_sided(x, nu).alias("t_p"), distributions.normal_cdf(x).alias("normal_cdf"), distributions.chi2_tail(x * x).alias("chi2_tail")), 7)
+    told = distributions.at_points(rows, ["x", "nu"], t_cdf=distributions.t_cdf(x, nu), t_p=distributions.t_two_sided(x, nu), normal_cdf=distributions.normal_cdf(x), chi2_tail=distributions.chi2_tail(x * x))
+    return rounded(told.drop("x"), 7)
 
 
 #: Points between which a quantile lies, told by the distribution in closed form on a grid of thousandths.

@@ -92,7 +92,7 @@ def smoothed_volatility(vix: DataFrame, window: int = 60, least: int = 20) -> Da
     return vix.select("dt", F.when(F.count("vix").over(w) >= least, F.avg("vix").over(w)).alias("vix")).where("vix IS NOT NULL")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Dealt out by ``keys`` over a fixed number of partitions, for grouped functions that work long on few rows.
 
     Left to itself, adaptive execution sizes partitions by bytes and would put all such groups into one task.

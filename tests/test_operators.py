@@ -294,6 +294,36 @@ def test_distributions_match_tables(spark):
             assert r["t"] == pytest.approx(nm.t_ppf(r["p"], r["nu"]), rel=1e-7, abs=1e-9) and r["n"] == pytest.approx(nm.normal.inv_cdf(r["p"]), rel=1e-8, abs=1e-12)
 
 
+def test_points_are_computed_once_each_and_by_many_tasks(spark):
+    from skeinrisk.functions import distributions as ds
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 7 / 2).alias("x"), F.lit(4).alias("nu"))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def task(_):
+        from pyspark import TaskContext
+
+        seen.add(1)
+        return TaskContext.get().partitionId()
+
+    got = ds.at_points(rows, ["x", "nu"], t=ds.t_cdf(F.col("x"), F.col("nu")), task=task("x")).collect()
+    assert len(got) == 3000 and seen.value == 7 and len({r["task"] for r in got}) > 1
+    assert all(r["t"] is None if r["x"] is None else r["t"] == pytest.approx(nm.t_cdf(r["x"], 4.0), rel=1e-9) for r in got)
+
+
+def test_tails_of_copied_parts_cost_no_more_folds(spark, tmp_path):
+    from skeinrisk.plans import catalogue
+
+    part = spark.range(1010).select((F.col("id") % 101).alias("p_partkey"), F.lit(3).alias("p_size"))
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    out = catalogue.QUERIES["distribution_tails"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    rows = out.collect()
+    assert len(rows) == 1010 and len(set(rows)) == 101
+    assert "aggregate(" in plan and "aggregate(" not in plan[: plan.index("Join")]  # folds stand beneath the join only
+
+
 def test_regression_by_sweeping(spark):
     from skeinrisk.functions import regression as rg
 
