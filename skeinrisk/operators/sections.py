@@ -11,6 +11,21 @@ from ..functions.columns import RISK_TIERS, YEAR, tier
 from . import detectors, factors, models, performance, portfolio, risk
 
 
+def stacked(base: DataFrame, *parts: DataFrame, key: str = "ticker") -> DataFrame:
+    """``base`` with the columns of ``parts``, all of at most one row a key; null where a part has none, as by left joins.
+
+    Parts that are all dealt by the same key would be joined in one task, which then holds the sorts of all of them at once. Rows are
+    stacked instead, so a task holds those of one part.
+    """
+    own = base.columns
+    rows = base.withColumn("_base", F.lit(True))
+    for part in parts:
+        rows = rows.unionByName(part.where(F.col(key).isNotNull()), allowMissingColumns=True)
+    values = [c for c in rows.columns if c not in (key, "_base")]
+    out = rows.groupBy(key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in values], F.max("_base").alias("_base"))
+    return out.where("_base").select(*own, *[c for c in values if c not in own])
+
+
 def risk_rows(returns: DataFrame, prices: DataFrame) -> DataFrame:
     """One row a ticker: five models, tail, downside, trend, exceptions, last move, spread and mean of the models, risk tier."""
     series = risk.var_series(returns)
@@ -19,8 +34,7 @@ def risk_rows(returns: DataFrame, prices: DataFrame) -> DataFrame:
         risk.var_es_ewma(returns), models.asset_models(returns).drop("n", "nu_garch", "nu_gjr"), risk.hill_tail_index(returns), risk.monthly_downside(returns), risk.risk_level(returns),
         risk.var_trend(series), risk.var_exceptions(series), risk.last_move(prices, returns),
     )
-    for part in parts:
-        out = out.join(part, "ticker", "left")
+    out = stacked(out, *parts)
     five = [F.col(f"var_{m}") for m in ("hs", "ewma", "garch", "gjr", "evt")]
     out = out.withColumn("mean_var", sum(five[1:], five[0]) / 5).withColumn("model_spread", F.greatest(*five) - F.least(*five))
     return out.withColumn("risk_tier", tier(F.col("risk_level"), RISK_TIERS, "low"))

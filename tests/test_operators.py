@@ -364,6 +364,21 @@ def test_p_values_need_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_risk_rows_hold_one_part_a_task(spark):
+    """Null tickers and those of no part stay, as by left joins, and no operator of one part stands above another's."""
+    from skeinrisk.operators import sections
+
+    base = spark.createDataFrame([("A", 1.0), ("B", 2.0), (None, 3.0)], "ticker string, x double")
+    one = spark.createDataFrame([("A", "up"), (None, "lost"), ("C", "lost")], "ticker string, y string")
+    two = spark.createDataFrame([("B", None), ("A", float("nan"))], "ticker string, z double")
+    got = {r["ticker"]: r for r in sections.stacked(base, one, two).collect()}
+    assert got.keys() == {"A", "B", None} and list(got["A"].asDict()) == ["ticker", "x", "y", "z"]
+    assert got["A"]["y"] == "up" and math.isnan(got["A"]["z"]) and (got[None]["x"], got[None]["y"], got["B"]["z"]) == (3.0, None, None)
+    out = sections.risk_rows(series(spark, np.zeros(5)), spark.createDataFrame([("A", DAY, 1.0)], "ticker string, dt date, px double"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("Join") <= 1  # last_move's own
+
+
 def test_deep_taxonomies_and_circles(spark):
     deep = [(f"c{k}", f"c{max(k - 1, 0)}") for k in range(65)] + [("side", "c3")]
     tree = spark.createDataFrame(deep, "class string, parent string")
