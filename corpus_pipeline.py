@@ -27,7 +27,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near copies: five-word shingles, similarity 0.8 or more.
+    """One document, that with the smallest doc_id, of each group of near copies: SimHash finds candidates by pigeonring, an exact join
+    decides and completes them (five-word shingles, similarity 0.8 or more).
 
     Null and empty texts are copies of each other; rows without an id stay; rows that repeat an id and text stay or go together;
     rows of one id and different texts are judged each by its own.

@@ -1,4 +1,7 @@
-"""Near copies by an exact set-similarity join on five-word shingles.
+"""Near copies: candidates by fingerprints, decided and completed by an exact set-similarity join on five-word shingles.
+
+Fingerprints come first (``simhash``): what their search links, and texts of one fingerprint, are candidates, which are decided on
+whole sets; those that hold become trees. Fingerprints can't tell every similar pair, so a join then finds what links these trees.
 
 Two texts are near copies if the Jaccard similarity of their sets of shingles is 0.8 or more. Such a set shares at least four
 fifths of its shingles with the other, so a set whose own shingles (those of no other set) are more than a fifth has no near
@@ -8,8 +11,8 @@ Shingles are counted over the whole corpus, in two rounds. The first counts thos
 space: most sets have enough shingles of their own among these and are done. All shingles of the sets left are counted then,
 rarest first is the order, and the shared ones among a set's first fifth are the keys of the join.
 
-Pairs of a key come in two rounds. First each set meets the key's central member, that with the fewest shingles of its own;
-what links becomes one tree. Then only sets of different trees meet, block by block, so a large group of copies costs about one
+Pairs of a key come in two rounds. First each set meets the key's central member, that with the fewest shingles of its own, where
+that is in another tree; what links becomes one tree. Then only sets of different trees meet, block by block, so a large group of copies costs about one
 comparison for each member. A pair goes on if its sizes fit and its parity bitmaps differ in no more places than the sets may
 (a bitmap's bit is the parity of the shingles that fall on it, so bitmaps differ in no more places than the sets in members);
 pairs that go on are decided by counting the shared shingles of the whole sets.
@@ -17,7 +20,7 @@ pairs that go on are decided by counting the shared shingles of the whole sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +72,8 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text).alias("th"), text.alias("text")).where("doc_id IS NOT NULL")
 
 
-def _signed(slim: DataFrame) -> DataFrame:
-    """(doc_id, th: hash of the text, set: digest of its shingles, n: their number, low: those of the first round)."""
+def _signed(slim: DataFrame, fingerprint: Callable[[bytes | None], int]) -> DataFrame:
+    """(doc_id, th: hash of the text, f: fingerprint, set: digest of its shingles, n: their number, low: those of the first round)."""
     end = np.uint64(int(LOW * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,9 +82,10 @@ def _signed(slim: DataFrame) -> DataFrame:
             digests = pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
             sizes = pa.array([len(s) for s in sets], pa.int32())
             low = pa.array([s[: np.searchsorted(s, end)].view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), digests, sizes, low], ["doc_id", "th", "set", "n", "low"])
+            prints = pa.array(np.array([fingerprint(t.as_py()) for t in b.column(2)], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), prints, digests, sizes, low], ["doc_id", "th", "f", "set", "n", "low"])
 
-    return slim.mapInArrow(run, "doc_id long, th long, set long, n int, low array<long>")
+    return slim.mapInArrow(run, "doc_id long, th long, f long, set long, n int, low array<long>")
 
 
 def _whole(slim: DataFrame) -> DataFrame:
@@ -121,10 +125,31 @@ def _decided(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(9 * shared >= 4 * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
 
 
-def _central_pairs(keys: DataFrame, briefs: DataFrame) -> DataFrame:
-    """(a, b): the members of each key with its central one, where sizes and bitmaps allow it."""
+def _print_pairs(nodes: DataFrame, link_nodes: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """nodes(set, f) -> (a, b): sets that the search for near fingerprints links, and each set with the head of its fingerprint."""
+    heads = Written(nodes.groupBy("f").agg(F.min("set").alias("id")), "heads").df
+    same = nodes.join(heads, "f").where("set <> id").select(F.col("set").alias("a"), F.col("id").alias("b"))
+    return same.unionByName(link_nodes(heads.select("id", "f"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _grown(trees: DataFrame, links: DataFrame) -> DataFrame:
+    """Trees (node, component) with further links."""
+    if links.isEmpty():
+        return trees
+    return Written(components(trees.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "trees").df
+
+
+def _apart(pairs: DataFrame, trees: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are in different trees."""
+    a, b = (trees.select(F.col("node").alias(x), F.col("component").alias(f"_t{x}")) for x in ("a", "b"))
+    tree = lambda x: F.coalesce(F.col(f"_t{x}"), F.col(x))
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(tree("a") != tree("b")).select("a", "b")
+
+
+def _central_pairs(keys: DataFrame, briefs: DataFrame, trees: DataFrame) -> DataFrame:
+    """(a, b): the members of each key with its central one, of different trees, where sizes and bitmaps allow it."""
     central = keys.groupBy("key").agg(F.min(F.struct("own", "set"))["set"].alias("b"))
-    met = keys.join(central, "key").where("set <> b").select(F.col("set").alias("a"), "b").distinct()
+    met = _apart(keys.join(central, "key").where("set <> b").select(F.col("set").alias("a"), "b").distinct(), trees)
     a, b = (briefs.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"t{x}")) for x in ("a", "b"))
     differing = F.aggregate(F.zip_with("ta", "tb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
     fitting = 5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")
@@ -169,28 +194,29 @@ def _cross_pairs(keys: DataFrame, briefs: DataFrame, trees: DataFrame) -> DataFr
     return meets.join(x, "x").join(y, "y").drop("x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, fingerprint: Callable[[bytes | None], int], link_nodes: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, component, first): th is ``xxhash64`` of the text's bytes; component the smallest doc_id reachable over links
     between near copies, itself included; first: whether the row is the one that stays of its group.
 
+    ``fingerprint`` gives a text's as 64 bits; ``link_nodes`` takes (id, f), each f once, and gives links (a, b) of ids that are near.
+
     Null and empty texts have the empty set and are copies of each other; rows without an id take no part; rows that repeat an id
     and text are one document, rows that repeat an id with another text are judged by their own text each (of two in one group
     with the smallest id, that with the smaller th stays). Texts of any length are taken whole.
     """
     slim = _slim(docs, id_col, text_col)
-    signed = Written(_signed(slim), "signed").df
+    signed = Written(_signed(slim, fingerprint), "signed").df
     own = _own(signed.select(F.explode("low").alias("h"), "set"))
-    nodes = Written(signed.groupBy("set").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("n").alias("n")).select("set", "r.doc_id", "r.th", "n"), "nodes").df
+    nodes = Written(signed.groupBy("set").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("n").alias("n"), F.min("f").alias("f")).select("set", "r.doc_id", "r.th", "n", "f"), "nodes").df
     open_ = nodes.join(own, "set", "left").where("coalesce(own, 0) <= n div 5 AND n > 0").select("doc_id", "th")
     open_ = Written(open_, "open").df
     whole = Written(_whole(slim.join(small(open_), ["doc_id", "th"], "left_semi").select("doc_id", "th", "text")), "whole").df
     keys = Written(_keys(whole), "keys").df
     briefs = Written(whole.select("set", "n", "bits").join(keys.select("set").distinct(), "set", "left_semi").dropDuplicates(["set"]), "briefs").df
-    links = Written(_decided(_central_pairs(keys, briefs), whole), "links").df
+    links = Written(_decided(_print_pairs(nodes.where("n > 0").select("set", "f"), link_nodes), whole), "links").df
     found = Written(components(links), "trees").df
-    more = Written(_decided(_cross_pairs(keys, briefs, found), whole), "links").df
-    if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    found = _grown(found, Written(_decided(_central_pairs(keys, briefs, found), whole), "links").df)
+    found = _grown(found, Written(_decided(_cross_pairs(keys, briefs, found), whole), "links").df)
     named = nodes.join(found, nodes["set"] == found["node"], "left").select("set", "doc_id", "th", F.coalesce("component", "set").alias("label"))
     named = Written(named, "named").df
     heads = named.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("head"))

@@ -179,11 +179,14 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, id_col: st
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near copies (``shingle_sets.near_copies``): that with the smallest id.
+    """``docs`` with one document of each group of near copies: that with the smallest id.
+
+    Fingerprints are met by pigeonring filtering; ``shingle_sets.near_copies`` decides what they link on whole sets of five-word
+    shingles (similarity 0.8 or more), and adds the near copies that three differing bits can't tell.
 
     Rows without an id stay; rows that repeat an id and text stay or go together; extra columns of any name pass through.
     """
-    gone = near_copies(docs, id_col, text_col).where(~F.col("first")).select("doc_id", "th").distinct()
+    gone = near_copies(docs, fingerprint, link_nodes, id_col, text_col).where(~F.col("first")).select("doc_id", "th").distinct()
     gone = small(Written(gone, "gone").df).alias("g")
     own = (F.col(f"d.`{id_col}`").cast("long") == F.col("g.doc_id")) & (text_hash(F.col(f"d.`{text_col}`")) == F.col("g.th"))
     return docs.alias("d").join(gone, own, "left_anti")

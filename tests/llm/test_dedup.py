@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from skeinrisk.llm import components, simhash, substring_dedup
+from skeinrisk.llm import components, shingle_sets, simhash, substring_dedup
 
 from .conftest import ODD, documents, prose
 
@@ -301,3 +301,23 @@ def test_documents_below_the_similarity_stay(spark, rng):
         rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w + words(rng, k)))]
         want |= {rows[-2][0]} if near else {rows[-2][0], rows[-1][0]}
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()} == want
+
+
+def test_near_copies_are_met_by_fingerprints_and_completed_by_the_join(spark, rng, monkeypatch):
+    """What near fingerprints link is decided first and not met again; the join adds only what three differing bits can't tell."""
+    rows, near = [], 0
+    for k in range(40):
+        w = words(rng, 300)
+        pair = " ".join(w), " ".join(w + words(rng, 1 + 12 * (k % 2)))
+        rows += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+        near += (simhash.fingerprint(pair[0].encode()) ^ simhash.fingerprint(pair[1].encode())).bit_count() <= simhash.BITS
+    decided, found = shingle_sets._decided, []
+
+    def told(pairs, whole):
+        out = decided(pairs, whole)
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingle_sets, "_decided", told)
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()} == set(range(0, 80, 2))
+    assert 0 < near < 40 and found == [near, 40 - near, 0]
