@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from skeinrisk.llm import suffix_family as sf
+from skeinrisk.llm.common import BRIEF_SHUFFLES, shared_dir
 
 from .conftest import ODD, documents, prose
 
@@ -92,3 +95,27 @@ def test_levels_merge_like_a_counter(spark, rng):
         family.add(spark.createDataFrame(rows, "key long, c binary, w int, n long, text binary"))
         sizes.append([level is not None for level in family.levels])
     assert sizes == [[True], [False, True], [True, True], [False, False, True]]
+
+
+def test_disk_is_given_back_while_it_runs(spark, rng):
+    """Nothing that is shuffled, and no table of all chunks, outlives its step; the session's setting is as it was."""
+    local = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {f for d in local for f in Path(d).glob("*/shuffle_*")}
+    stored = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("skeinrisk-*"))
+    old, before, setting = shuffled(), stored(), spark.conf.get(BRIEF_SHUFFLES, None)
+    result = sf.suffix_digest(documents(spark, [r + ("en", "s", None) for r in rows_of(rng, 60)]))
+    for _ in range(50):  # Spark deletes in the background
+        if shuffled() <= old:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= old
+    assert {p.name.rsplit("-", 1)[1] for p in stored() - before} <= {"texts", "meeting", "occurring", "marks", "repeated", "gone"}
+    assert spark.conf.get(BRIEF_SHUFFLES, None) == setting and result.count() == 60
+
+
+def test_only_chunks_of_keys_that_meet_go_on(spark, rng):
+    both = prose(rng, 90)
+    texts = [(b"1", f"one {both}".encode(), 1), (b"2", f"{both} two".encode(), 1), (b"3", prose(rng, 90).encode(), 1), (b"4", prose(rng, 90).encode(), 2)]
+    df = spark.createDataFrame(texts, "t binary, text binary, n long")
+    every, met = (Counter(bytes(r["t"]) for r in x.select("t").collect()) for x in (sf.chunk_table(df, 400), sf.meeting(df, 400)))
+    assert set(every) == {b"1", b"2", b"3", b"4"} and set(met) == {b"1", b"2", b"4"} and met[b"4"] == every[b"4"]
